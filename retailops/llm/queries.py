@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import html_text, licences, quality_rules, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_license_scans": licences.query,
+        "op6_secret_scans": secrets.query,
+        "op9_html_extraction": html_text.query,
         "op10_quality_rules": quality_rules.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_license_scans": licences.SQL,
         "op10_quality_rules": quality_rules.SQL,
     }
