@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, licences, quality_rules, secrets
+from . import decontaminate, html_text, licences, quality_rules, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_benchmark_decontamination": decontaminate.query,
         "op4_license_scans": licences.query,
         "op6_secret_scans": secrets.query,
         "op9_html_extraction": html_text.query,
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_benchmark_decontamination": decontaminate.SQL,
         "op4_license_scans": licences.SQL,
         "op10_quality_rules": quality_rules.SQL,
     }
