@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, licences, quality_rules, secrets
+from . import decontaminate, html_text, licences, quality_rules, secrets, suffix_arrays, suffix_automata
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_benchmark_decontamination": decontaminate.query,
+        "op2_substring_dedup": suffix_automata.query,
         "op4_license_scans": licences.query,
+        "op5_suffix_array_dedup": suffix_arrays.query,
         "op6_secret_scans": secrets.query,
         "op9_html_extraction": html_text.query,
         "op10_quality_rules": quality_rules.query,
