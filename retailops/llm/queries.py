@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, licences, packing, quality_rules, secrets, suffix_arrays, suffix_automata
+from . import decontaminate, html_text, jaccard, licences, packing, quality_rules, secrets, suffix_arrays, suffix_automata
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_suffix_array_dedup": suffix_arrays.query,
         "op6_secret_scans": secrets.query,
         "op7_best_fit_packing": packing.query,
+        "op8_ngram_jaccard_join": jaccard.query,
         "op9_html_extraction": html_text.query,
         "op10_quality_rules": quality_rules.query,
     }
