@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, jaccard, licences, packing, quality_rules, secrets, suffix_arrays, suffix_automata
+from . import cotraining, decontaminate, html_text, jaccard, licences, packing, quality_rules, secrets, suffix_arrays, suffix_automata
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_benchmark_decontamination": decontaminate.query,
         "op2_substring_dedup": suffix_automata.query,
+        "op3_quality_classifier": cotraining.query,
         "op4_license_scans": licences.query,
         "op5_suffix_array_dedup": suffix_arrays.query,
         "op6_secret_scans": secrets.query,
