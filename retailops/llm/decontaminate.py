@@ -72,7 +72,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, block_mb: int =
         found = (
             words.join(F.broadcast(block), F.col("w") == F.col("prefix"))
             .where((start >= 0) & (size_w <= n) & (start + size_w <= n) | (F.col("w") == ""))
-            .where((F.col("w") == "") | (lower_ascii(F.array_join(F.slice("ws", start + 1, size_w), " ")) == F.array_join("words", " ")))
+            .where((F.col("w") == "") | (lower_ascii(F.array_join(F.slice("ws", F.greatest(start, F.lit(0)) + 1, size_w), " ")) == F.array_join("words", " ")))
         )
         parts.append(found.select("doc_id", "h", n.cast("long").alias("n_words"), F.when(F.col("w") != "", F.col("item_id")).alias("item_id"), F.when(F.col("w") != "", start).alias("start"), F.when(F.col("w") != "", size_w).alias("len")))
     return reduce(DataFrame.unionByName, parts)
@@ -96,6 +96,14 @@ def report(docs: DataFrame, items: DataFrame, window: int = 10, block_mb: int =
     return each.select("doc_id", "h", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def clean(docs: DataFrame, items: DataFrame, window: int = 10, block_mb: int = 32) -> DataFrame:
+    """The rows of docs in which no window of an item occurs."""
+    found = matches(docs, items, window, block_mb).where("start IS NOT NULL")
+    bad = found.select(F.xxhash64("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    keyed = docs.withColumn("_id", F.xxhash64("doc_id")).withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("\0"))))
+    return keyed.join(bad, ["_id", "_h"], "left_anti").select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: contamination of every document by the benchmark."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
