@@ -201,9 +201,9 @@ def _opened(queries: DataFrame, members: DataFrame, texts: DataFrame, measure: M
 
 
 def join(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 2, chunk: int = 64, common: int = 8, listed: int = 200_000, small: int = 1_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) for every row of docs.
+    """(doc_id, text_hash, n_shingles, class_id, group_id, component_id) for every row of docs.
 
-    class_id is the same for equal sets (null for empty ones). small: with so many classes to compare at most, a filter on
+    class_id is the same for equal sets and group_id for the sets of one component (null for empty sets). small: with so many classes to compare at most, a filter on
     their texts' hashes is broadcast; with more, the texts are shuffled.
     """
     spark, measure = docs.sparkSession, Measure(k, percent)
@@ -241,9 +241,9 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 2, chunk:
 
     named = classes.select("s1", "s2", "cid", "least_id").join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    by_set = named.join(least, "comp").select("s1", "s2", F.col("cid").alias("class_id"), "component_id")
-    out = sets.select("doc_id", "s1", "s2", "n").join(by_set, ["s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    by_set = named.join(least, "comp").select("s1", "s2", F.col("cid").alias("class_id"), F.col("comp").alias("group_id"), "component_id")
+    out = sets.select("doc_id", "th", "s1", "s2", "n").join(by_set, ["s1", "s2"], "left")
+    return out.select("doc_id", F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), "class_id", "group_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _with_hash(rows: DataFrame, wanted) -> DataFrame:
@@ -259,6 +259,25 @@ def _with_hash(rows: DataFrame, wanted) -> DataFrame:
     return rows.mapInArrow(of, "did long, th long, text string")
 
 
+def representatives(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row for each component (the least id, then the least hash of the text) and all rows without words."""
+    found = join(docs, k, percent, doc_id=doc_id, text=text)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    first = found.where("group_id IS NOT NULL").groupBy("group_id").agg(F.min(key).alias("r")).select("r.doc_id", "r.text_hash")
+    first = first.unionByName(found.where("group_id IS NULL").select("doc_id", "text_hash").distinct())
+    keys = ["_id", "_hash"]
+    first = cut(first.select(F.xxhash64("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "kept")
+    keyed = docs.withColumn("_id", F.xxhash64(F.col(doc_id).cast("long"))).withColumn("_hash", F.xxhash64(text_of(text)))
+    wordless = F.coalesce(F.trim(F.col(text), F.lit(" \t\n\x0b\x0c\r")) == "", F.lit(True))
+    kept = keyed.join(first, keys, "left_semi")
+    # equal rows are one document here, rows without words are not
+    return kept.where(~wordless).dropDuplicates(keys).unionByName(kept.where(wordless)).drop(*keys) if _has_wordless(keyed, wordless) else kept.dropDuplicates(keys).drop(*keys)
+
+
+def _has_wordless(docs: DataFrame, wordless) -> bool:
+    return not docs.where(wordless).isEmpty()
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: the component of every document under Jaccard links."""
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
