@@ -24,7 +24,7 @@ def basket() -> Column:
 
 def small(df: DataFrame, limit_mb: int = 64) -> DataFrame:
     """df marked for broadcast if the optimizer's size estimate is within the limit; else the join is left to Catalyst."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= limit_mb << 20 else df
 
 
@@ -53,9 +53,9 @@ def headline(sales: DataFrame, company: str, as_of: dt.date, days: int = 30) ->
     cond = {"": between(now), "prev_": between(before)}
     per = [F.sum(F.when(c, F.col(x))).alias(f"{p}{y}") for p, c in cond.items() for x, y in (("net_amount_acy", "revenue"), ("quantity", "units"), ("total_discount_acy", "discount"))]
     one = rows.groupBy(*BASKET).agg(*per, *(F.max(c.cast("int")).alias(f"{p}in") for p, c in cond.items()))
-    total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
     out = one.agg(*(total(f"{p}{y}").alias(f"{p}{y}") for p in cond for y in ("revenue", "units", "discount")), *(F.coalesce(F.sum(f"{p}in"), F.lit(0)).alias(f"{p}baskets") for p in cond))
-    c = F.col
+    c = lambda x: F.col(x).cast("double")
     return out.select(
         F.round("revenue", 2).alias("revenue"), F.round("units", 2).alias("units"), "baskets", F.round("discount", 2).alias("discount"),
         F.round(F.when(c("baskets") > 0, c("revenue") / F.nullif(c("baskets"), F.lit(0))).otherwise(0.0), 2).alias("avg_basket"),
@@ -165,13 +165,13 @@ def _four(rows: DataFrame, keys: dict[str, Column]) -> DataFrame:
     one = rows.groupBy(*(c.alias(k) for k, c in keys.items()), *BASKET).agg(
         *(F.sum(F.when(F.col(f"in_{w}"), F.col("net_amount_acy"))).alias(f"{w}_s") for w in names), *(F.max(F.col(f"in_{w}").cast("int")).alias(f"{w}_t") for w in names)
     )
-    return one.groupBy(*keys).agg(*(F.round(F.coalesce(F.sum(f"{w}_s"), F.lit(0.0)), 2).alias(f"{w}_sales") for w in names), *(F.sum(f"{w}_t").cast("long").alias(f"{w}_tx") for w in names))
+    return one.groupBy(*keys).agg(*(F.round(F.coalesce(F.sum(f"{w}_s"), F.lit(0)), 2).alias(f"{w}_sales") for w in names), *(F.sum(f"{w}_t").cast("long").alias(f"{w}_tx") for w in names))
 
 
 def grand_totals(levels: DataFrame) -> DataFrame:
     """Totals over the rows of a drill-down, average basket and how the value compares with last month and last year."""
     out = levels.agg(*(F.round(F.sum(f"{w}_sales"), 2).alias(f"{w}_sales") for w in ("val", "lm", "ly")), *(F.sum(f"{w}_tx").alias(f"{w}_tx") for w in ("val", "lm", "ly")))
-    c = F.col
+    c = lambda x: F.col(x).cast("double")
     return out.withColumns({
         "avg_basket": F.round(F.when(c("val_tx") > 0, c("val_sales") / F.nullif(c("val_tx"), F.lit(0))).otherwise(0.0), 2),
         "vs_lm": change_label(c("val_sales"), c("lm_sales")),

@@ -15,24 +15,26 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 ROLES: dict[str, str] = {
     "sales_line": """SELECT l_returnflag AS company_id, l_suppkey AS store_code, l_linestatus AS pos_number, l_orderkey AS transaction_no,
         l_orderkey AS receipt_no, l_partkey AS item_no, CAST(l_shipdate AS DATE) AS date, l_quantity AS quantity,
-        l_extendedprice * (1 - l_discount) AS net_amount_acy, l_extendedprice * l_discount AS total_discount_acy FROM {lineitem}""",
+        CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4)) AS net_amount_acy, CAST(l_extendedprice * l_discount AS DECIMAL(18,4)) AS total_discount_acy FROM {lineitem}""",
     "store": """SELECT s_suppkey AS code, s_name AS store, n_name AS store_scheme, r_name AS region
         FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
     "item_details": "SELECT p_partkey AS item_no, p_name AS description, p_brand AS category_code, p_type AS division_code FROM {part}",
+    "item_dim": "SELECT p_partkey AS dim_item_no, p_name AS description, p_brand AS category_code, p_type AS division_code FROM {part}",
+    "vendor_dim": "SELECT s_suppkey AS dim_vendor_no, CASE WHEN s_suppkey % 10 = 0 THEN '' ELSE s_name END AS name FROM {supplier}",
     "product_hierarchy": "SELECT DISTINCT p_type AS division_code, p_type AS division, p_brand AS category_code, p_brand AS category FROM {part}",
     "sales_header": "SELECT o_orderstatus AS company_id, o_orderpriority AS payment_method, CAST(o_orderdate AS DATE) AS date, o_totalprice AS delivery_charge FROM {orders}",
     "ledger": """SELECT l_partkey AS item_no, l_suppkey AS location_code, CASE WHEN l_returnflag = 'N' THEN 'SALES' ELSE 'PURCHASE' END AS entry_type,
         CASE WHEN l_returnflag = 'N' THEN -l_quantity ELSE l_quantity END AS quantity, l_extendedprice AS cost_amount_ac, CAST(l_shipdate AS DATE) AS posting_date FROM {lineitem}""",
     "item_location": "SELECT DISTINCT l_partkey AS item_no, l_suppkey AS location_code FROM {lineitem}",
     "profitability": """SELECT CAST(l_shipdate AS DATE) AS posting_date, l_partkey AS item_no, l_suppkey AS location_code, l_extendedprice AS amount_ac,
-        l_extendedprice * (0.4 - l_discount) AS gross_profit, l_extendedprice * (0.4 - l_discount) * 0.7 AS front_profit,
-        l_extendedprice * (0.4 - l_discount) * 0.3 AS back_profit, l_extendedprice * (0.4 - l_discount - l_tax) AS net_profit FROM {lineitem}""",
+        CAST(l_extendedprice * (0.4 - l_discount) AS DECIMAL(18,6)) AS gross_profit, CAST(l_extendedprice * (0.4 - l_discount) * 0.7 AS DECIMAL(18,6)) AS front_profit,
+        CAST(l_extendedprice * (0.4 - l_discount) * 0.3 AS DECIMAL(18,6)) AS back_profit, CAST(l_extendedprice * (0.4 - l_discount - l_tax) AS DECIMAL(18,6)) AS net_profit FROM {lineitem}""",
     "receipt_line": """SELECT CAST(l_shipdate AS DATE) AS posting_date, l_orderkey AS document_no, l_suppkey AS vendor_no, l_extendedprice AS amount_lc,
         l_quantity AS quantity_ordered, CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0 END AS quantity_received FROM {lineitem}""",
     "vendor": "SELECT s_suppkey AS vendor_no, CASE WHEN s_suppkey % 10 = 0 THEN '' ELSE s_name END AS name FROM {supplier}",
     "transfer": """SELECT CAST(l_shipdate AS DATE) AS posting_date, l_suppkey % 20 AS transfer_from, c_nationkey AS transfer_to, l_quantity AS quantity_shipped,
         CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0 END AS quantity_received FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey""",
-    "work": """SELECT CAST(ts AS DATE) AS created_on, user_id, value AS quantity_allocated, CASE WHEN event_type IN ('click', 'purchase') THEN value ELSE value / 2 END AS quantity_picked,
+    "work": """SELECT CAST(ts AS DATE) AS created_on, user_id, value AS quantity_allocated, CAST(CASE WHEN event_type IN ('click', 'purchase') THEN value ELSE value / 2 END AS DECIMAL(18,4)) AS quantity_picked,
         value * 3 AS actual_time, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS is_skipped, event_type AS line_status FROM {events}""",
     "incident": """SELECT ts AS created_on, ts + INTERVAL 90 MINUTE AS resolved_on, event_type AS category, CASE WHEN user_id % 2 = 0 THEN 'Open' ELSE 'Closed' END AS status, value AS compensate_amount,
         CASE WHEN user_id % 3 = 0 THEN NULL ELSE 2.0 END AS exchange_rate, CASE WHEN user_id % 10 = 0 THEN 1 ELSE 0 END AS is_vip_customer FROM {events}""",
@@ -56,7 +58,7 @@ ROLES: dict[str, str] = {
     "kpi": """SELECT o_orderstatus AS department, o_orderpriority AS kpi, year(o_orderdate) AS year, month(o_orderdate) AS month_no, round(sum(o_totalprice), 2) AS value, round(sum(o_totalprice) * 1.05, 2) AS target
         FROM {orders} GROUP BY o_orderstatus, o_orderpriority, year(o_orderdate), month(o_orderdate)""",
     "oos": """SELECT p_brand AS category, s_suppkey % 5 AS region, s_suppkey AS store, s_suppkey AS supplier, s_suppkey % 3 AS warehouse, s_suppkey % 4 AS store_group, l_partkey AS item_no,
-        last_day(CAST(l_shipdate AS DATE)) AS as_of_date, CAST(max(l_linenumber) AS BIGINT) AS days_out, round(sum(l_extendedprice * (1 - l_discount)), 2) AS lost, min(100 - 5 * l_linenumber) AS fill_rate,
+        last_day(CAST(l_shipdate AS DATE)) AS as_of_date, CAST(max(l_linenumber) AS BIGINT) AS days_out, CAST(round(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))), 2) AS DOUBLE) AS lost, min(100 - 5 * l_linenumber) AS fill_rate,
         CASE min(l_returnflag) WHEN 'A' THEN 'out' WHEN 'R' THEN 'low' ELSE 'restocking' END AS state
         FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey GROUP BY p_brand, s_suppkey, l_partkey, last_day(CAST(l_shipdate AS DATE))""",
     "audit": """SELECT event_id, ts AS event_time, user_id, event_type AS action, event_type <> 'error' AS success, value AS duration_ms, props AS details, user_id % 4 AS company_id FROM {events}""",
