@@ -99,9 +99,9 @@ def report(docs: DataFrame, items: DataFrame, window: int = 10, block_mb: int =
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, block_mb: int = 32) -> DataFrame:
     """The rows of docs in which no window of an item occurs."""
     found = matches(docs, items, window, block_mb).where("start IS NOT NULL")
-    bad = found.select(F.xxhash64("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    keyed = docs.withColumn("_id", F.xxhash64("doc_id")).withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("\0"))))
-    return keyed.join(bad, ["_id", "_h"], "left_anti").select(*docs.columns)
+    bad = found.select(F.xxhash64("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    keyed = docs.withColumn("__id", F.xxhash64("doc_id")).withColumn("__h", F.xxhash64(F.coalesce("text", F.lit("\0"))))
+    return keyed.join(bad, ["__id", "__h"], "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

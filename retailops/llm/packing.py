@@ -229,7 +229,7 @@ def packed(pieces: DataFrame, length: int = LENGTH, group: int = 8192) -> DataFr
 def digests(docs: DataFrame, **how) -> DataFrame:
     """The packing of docs with a checksum of each piece's ids instead of the ids."""
     pieces = tokenized(docs, **how).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packed(cut(pieces, "pieces")).drop("uid")
+    return packed(cut(pieces, "pieces"), how.get("length", LENGTH)).drop("uid")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

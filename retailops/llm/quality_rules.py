@@ -34,21 +34,21 @@ class Rule:
 
 
 def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds _text (never null) and _words, which the rules read."""
-    return docs.withColumn("_text", text_of(text)).withColumn("_words", space_words(F.col("_text")))
+    """Adds __text (never null) and __words, which the rules read."""
+    return docs.withColumn("__text", text_of(text)).withColumn("__words", space_words(F.col("__text")))
 
 
 def n_words() -> Column:
-    return F.size("_words")
+    return F.size("__words")
 
 
 def word_chars() -> Column:
-    return F.length(F.array_join("_words", ""))
+    return F.length(F.array_join("__words", ""))
 
 
 def n_of(chars: str) -> Column:
     """How many characters of a regex class the text has."""
-    return F.size(F.split("_text", chars)) - 1
+    return F.size(F.split("__text", chars)) - 1
 
 
 def n_symbols() -> Column:
@@ -56,7 +56,7 @@ def n_symbols() -> Column:
 
 
 def _lines() -> Column:
-    return F.filter(F.split("_text", "\n"), lambda x: x.rlike(f"[^{SPACE[1:]}"))
+    return F.filter(F.split("__text", "\n"), lambda x: x.rlike(f"[^{SPACE[1:]}"))
 
 
 def n_dup_lines() -> Column:
@@ -99,7 +99,7 @@ def _by_hashes(words: Column) -> Column:
 def n_repeat_words() -> Column:
     """Words within three-word windows that the text has twice or more."""
     return let(
-        F.col("_words"),
+        F.col("__words"),
         lambda w: F.when(F.size(w) < 3, F.lit(0)).otherwise(F.coalesce(F.when(F.size(w) <= _MASK, _by_hashes(w)), _by_windows(w))),
     )
 
@@ -134,7 +134,7 @@ def ordered(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000, seed: i
             return time.perf_counter() - began, found
 
         timed(F.lit(True))
-        least = timed(F.size("_words") < 0)[0]
+        least = timed(F.size("__words") < 0)[0]
         seen = []
         for r in rules:
             cost, found = timed(r.rejects)
@@ -166,7 +166,7 @@ def score(docs: DataFrame, text: str = "text", sample_rows: int = 2000) -> DataF
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     measured = measured.withColumn("base_failed", failed)
-    return measured.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(rejected_by(order).isNull())).drop("_text", "_words")
+    return measured.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(rejected_by(order).isNull())).drop("__text", "__words")
 
 
 def keep(docs: DataFrame, text: str = "text", sample_rows: int = 2000) -> DataFrame:
