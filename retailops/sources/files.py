@@ -21,11 +21,21 @@ def file_format(path: str, explicit: str | None = None) -> str:
     return "csv"
 
 
+#: Encodings that Spark reads without further leave.
+_PLAIN = ("utf-8", "utf-16", "utf-16be", "utf-16le", "utf-32", "us-ascii", "iso-8859-1")
+
+
+def _csv(spark: SparkSession, path: str, kind: str, encoding: str, **how) -> DataFrame:
+    if encoding.lower() not in _PLAIN:  # windows-1252 and the like
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    return spark.read.csv(path, header=True, sep="\t" if kind == "tsv" else ",", quote='"', escape='"', multiLine=True, encoding=encoding, **how)
+
+
 def read_staged(spark: SparkSession, path: str, kind: str | None = None, encoding: str = "UTF-8") -> DataFrame:
     """A file as it is: text columns for csv and tsv, no inference. Quoted fields may hold separators, quotes and line feeds."""
     kind = file_format(path, kind)
     if kind in ("csv", "tsv"):
-        return spark.read.csv(path, header=True, inferSchema=False, sep="\t" if kind == "tsv" else ",", quote='"', escape='"', multiLine=True, encoding=encoding)
+        return _csv(spark, path, kind, encoding, inferSchema=False)
     if kind == "json":
         return spark.read.json(path, multiLine=True)
     return spark.read.parquet(path)
@@ -35,7 +45,7 @@ def read_inferred(spark: SparkSession, path: str, kind: str | None = None, encod
     """A file with types inferred from all of its rows, for tables that are created from it."""
     kind = file_format(path, kind)
     if kind in ("csv", "tsv"):
-        return spark.read.csv(path, header=True, inferSchema=True, samplingRatio=1.0, sep="\t" if kind == "tsv" else ",", quote='"', escape='"', multiLine=True, encoding=encoding)
+        return _csv(spark, path, kind, encoding, inferSchema=True, samplingRatio=1.0)
     return read_staged(spark, path, kind)
 
 
