@@ -5,12 +5,15 @@ All sets are ordered in one way: shingles that few documents have come first, by
 sets that are similar enough have a shingle in common among the first of each (the prefix), so classes without one are
 never compared; where the last shared prefix shingle stands in both sets bounds what they can share at all.
 
-1. In rounds, every class is compared with one leader, a class with which it shares much of its prefix. What links becomes a
-   group of similar documents. This is linear in the input, also for a group that holds a third of all rows.
-2. Then groups, cut into chunks of at most `chunk` classes, are matched with the classes of other groups: a class is a query to
-   each chunk that has one of its prefix shingles. A chunk's token union bounds what the query can share with any of its
-   members; only a chunk whose bound reaches the threshold is opened, and its members are compared until one links.
-   All pairs of groups that can link are tried, so no link between different components is lost.
+1. Every class is compared with one leader, a class with which it shares much of its prefix. This is linear in the input, also
+   for a group that holds a third of all rows. What links makes the first components; classes with one leader, linked or not,
+   make a group of similar documents.
+2. Groups are cut into chunks of at most `chunk` classes. A class is a query to each chunk that has one of its prefix shingles
+   and members outside of its component. The least last prefix shingle of a chunk, the shared prefix shingles up to it and
+   their last place bound what the query can share with any member; chunks beyond that bound are not looked at. For the others
+   the chunk's token-group matrix, the union of its members' shingles with the members of each, bounds the overlap with the
+   whole chunk first; only if that reaches the threshold is it opened, and all its overlaps come from one sum over the matrix.
+   No two classes that can link stay untried unless they are in one component already, so no component is split.
 
 The order only decides how much is compared, never what links. Frequent shingles are counted over all documents in local
 batches: those that `common` documents of a batch have are summed up, and the `listed` most frequent are known to all tasks.
@@ -38,6 +41,15 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
+#: Above every shingle in signed order.
+_TOP = 2**63 - 1
+
+
+def _signed(tokens: np.ndarray) -> np.ndarray:
+    """Shingles as signed numbers in the same order."""
+    return (tokens ^ A.U(1 << 63)).view(np.int64)
+
+
 class Measure:
     """Shingles of k words; sets link if 100 * intersection >= percent * union."""
 
@@ -85,7 +97,9 @@ def _frequent(docs: DataFrame, measure: Measure, common: int, listed: int) -> tu
 
 
 def _sets(docs: DataFrame, measure: Measure, known) -> DataFrame:
-    """(doc_id, did, th, s1, s2, n, prefix): each document's set by a 128-bit signature, its size and its first shingles."""
+    """(doc_id, did, th, s1, s2, n, central, upto, end, sketch, prefix): each document's set by a 128-bit signature, its size, how many of its
+    shingles are known to be frequent, and its first shingles; upto: it has no other shingle up to this one, frequent ones aside. sketch, end: see `_sketched`.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = known.value
@@ -101,12 +115,19 @@ def _sets(docs: DataFrame, measure: Measure, known) -> DataFrame:
                 often = frequent[place] == s if len(frequent) else np.zeros(n, bool)
                 last = s[often][np.argsort(rank[place[often]], kind="stable")]
                 first = s[~often][: measure.prefix(n)]
-                out.append((s1, s2, n, np.concatenate([first, last])[: measure.prefix(n)].view(np.int64)))
-            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            numbers = [pa.array(c, pa.int64()) for c in cols[:3]]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *numbers, pa.array(list(cols[3]), pa.list_(pa.int64()))], ["doc_id", "did", "th", "s1", "s2", "n", "prefix"])
+                prefix = np.concatenate([first, last])[: measure.prefix(n)]
+                # with frequent shingles in the prefix, all others are in it
+                upto = _TOP if len(prefix) > len(first) or not n else _signed(first[-1:])[0]
+                # the first sixteen bits of three times as many, and where these end
+                light = s[~often]
+                sketch = (light[: 3 * measure.prefix(n)] >> A.U(48)).astype(np.uint16)
+                end = int(sketch[-1]) if len(sketch) < len(light) else 1 << 16
+                out.append((s1, s2, n, len(last), upto, end, sketch.tobytes(), _signed(prefix)))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 8
+            numbers = [pa.array(c, pa.int64()) for c in cols[:6]]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *numbers, pa.array(cols[6], pa.binary()), pa.array(list(cols[7]), pa.list_(pa.int64()))], ["doc_id", "did", "th", "s1", "s2", "n", "central", "upto", "end", "sketch", "prefix"])
 
-    return docs.select("doc_id", "did", "th", "text").mapInArrow(of, "doc_id long, did long, th long, s1 long, s2 long, n long, prefix array<long>")
+    return docs.select("doc_id", "did", "th", "text").mapInArrow(of, "doc_id long, did long, th long, s1 long, s2 long, n long, central long, upto long, end long, sketch binary, prefix array<long>")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
@@ -135,72 +156,129 @@ def _can_link(measure: Measure, shared: str, n: str, m: str, at: str, to: str):
     return (p * F.greatest(c(n), c(m)) <= 100 * F.least(c(n), c(m))) & ((100 + p) * most >= p * (c(n) + c(m)))
 
 
-def _with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
-    if found is None:
-        return rows.withColumn("comp", F.col("cid"))
-    return rows.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+def _sketched(pairs: DataFrame, sketches: DataFrame, measure: Measure) -> DataFrame:
+    """The pairs (a, b) that can still link by their sketches.
 
+    A sketch has the first sixteen bits of the first shingles of a set in order, frequent ones aside; `end` is where it stops
+    (2**16: it has all). Below the lesser end, shingles without a partner in the other sketch are not in the other set.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = measure.percent
+        for b in batches:
+            hit = []
+            for n, end, x, m, to, y in zip(*(b.column(i).to_pylist() for i in range(2, 8)), strict=True):
+                x, y = (np.frombuffer(v, np.uint16) for v in (x, y))
+                least = min(end, to)
+                x, y = x[: np.searchsorted(x, least)], y[: np.searchsorted(y, least)]
+                both = min(np.count_nonzero(np.isin(x, y)), np.count_nonzero(np.isin(y, x)))
+                hit.append((100 + p) * (both + min(n - len(x), m - len(y))) >= p * (n + m))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    x = pairs.join(sketches.selectExpr("cid AS a", "n", "end", "sketch"), "a")
+    y = x.join(sketches.selectExpr("cid AS b", "n AS m", "end AS to", "sketch AS other"), "b")
+    return y.select("a", "b", "n", "end", "sketch", "m", "to", "other").mapInArrow(of, "a long, b long")
 
-def _to_leaders(tokens: DataFrame, measure: Measure, found: DataFrame | None, done: DataFrame | None) -> DataFrame:
-    """One pair (a: class, b: leader) for each class that has a leader of another group to compare with."""
-    rows = _with_component(tokens, found)
-    order = F.struct("score", F.xxhash64("comp").alias("h"), F.col("cid"))
-    leaders = rows.groupBy("token").agg(F.max_by(F.struct("cid", "n", "pos", "comp"), order).alias("l"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-    near = rows.join(leaders.select("token", "l"), "token").where("comp <> l.comp")
-    pairs = near.groupBy(F.col("cid").alias("a"), F.col("l.cid").alias("b"), "n", F.col("l.n").alias("m")).agg(F.count("*").alias("k"), F.max("pos").alias("at"), F.max("l.pos").alias("to"))
-    # shingles of the pair that another leads are not counted, so only the sizes decide here
-    pairs = pairs.where(measure.percent * F.greatest("n", "m") <= 100 * F.least("n", "m"))
-    if done is not None:
-        pairs = pairs.join(done, ["a", "b"], "left_anti")
-    return pairs.groupBy("a").agg(F.max_by("b", F.struct("k", F.col("b"))).alias("b"))
 
+def _labelled(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """rows with the component of each class, itself if it has no link."""
+    return rows.join(found.select(F.col("node").alias("cid"), F.col("component").alias("_c")), "cid", "left").withColumn(name, F.coalesce("_c", "cid")).drop("_c")
 
-def _queries(tokens: DataFrame, found: DataFrame | None, measure: Measure, chunk: int) -> DataFrame:
-    """(a, comp, part, alone): each class a and each chunk of another group that can hold a class similar to it.
 
-    alone: the class itself if the chunk is a single one.
+def _to_leaders(tokens: DataFrame, measure: Measure) -> DataFrame:
+    """One pair (a: class, b: leader) for each class that shares much of its prefix with a leader.
+
+    The leader of a shingle is the class with the most frequent shingles, as a text that many others are copies of has. Pairs
+    with few shingles in common are left to `_queries`, which misses none.
     """
-    rows = _with_component(tokens, found)
-    members = rows.select("cid", "comp").distinct().groupBy("comp").agg(F.count("*").alias("size"))
-    rows = rows.join(members, "comp").withColumn("part", F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / chunk)))
-    matrix = rows.groupBy("token", "comp", "part", "size").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("pos").alias("to"), F.max("cid").alias("alone"))
-    q, g = rows.alias("q"), matrix.alias("g")
-    smaller = (F.col("q.size") < F.col("g.size")) | (F.col("q.size") == F.col("g.size")) & (F.col("q.comp") < F.col("g.comp"))
+    leaders = tokens.groupBy("token").agg(F.max_by(F.struct("cid", "n"), F.struct("central", F.col("cid"))).alias("l"))
+    near = tokens.join(leaders, "token").where("cid <> l.cid")
     p = measure.percent
-    meet = q.join(g, (F.col("q.token") == F.col("g.token")) & smaller & (p * F.col("q.n") <= 100 * F.col("g.n1")) & (p * F.col("g.n0") <= 100 * F.col("q.n")))
-    by = meet.groupBy(F.col("q.cid").alias("a"), F.col("g.comp").alias("comp"), F.col("g.part").alias("part"), F.col("q.n").alias("n")).agg(
-        F.count("*").alias("k"), F.max("q.pos").alias("at"), F.max("g.to").alias("to"), F.max("g.n1").alias("m"), F.max("g.alone").alias("alone"), F.max("g.size").alias("size")
-    )
-    single = F.col("size") == 1
-    return by.where(~single | _can_link(measure, "k", "n", "m", "at", "to")).select("a", "comp", "part", F.when(single, F.col("alone")).alias("alone"))
+    near = near.where(p * F.greatest("n", "l.n") <= 100 * F.least("n", "l.n"))
+    pairs = near.groupBy(F.col("cid").alias("a"), F.col("l.cid").alias("b"), "n").agg(F.count("*").alias("k"))
+    pairs = pairs.where(F.col("k") * 1000 >= 6 * (100 - p) * F.col("n"))
+    return pairs.groupBy("a").agg(F.max_by("b", F.struct("k", F.col("b"))).alias("b"))
 
 
-def _opened(queries: DataFrame, members: DataFrame, texts: DataFrame, measure: Measure, at_once: int = 256) -> DataFrame:
-    """Links (a, b) of queries to members of chunks whose token union lets them link."""
-    many = queries.groupBy("comp", "part").agg(F.ceil(F.count("*") / at_once).alias("salts"))
-    asks = queries.join(many, ["comp", "part"]).select("a", "comp", "part", F.pmod(F.xxhash64("a"), "salts").alias("salt")).join(texts.withColumnRenamed("cid", "a"), "a")
-    held = members.join(many, ["comp", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).drop("salts").join(texts.select("cid", F.col("text").alias("held")), "cid")
+def _chunks(tokens: DataFrame, found: DataFrame, pairs: DataFrame, chunk: int) -> DataFrame:
+    """(cid, n, upto, comp, home, part, size): the chunk of each class, and the size of its group: a leader and its classes."""
+    led = pairs.join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_anti").select(F.col("a").alias("node"), F.col("b").alias("component"))
+    rows = _labelled(_labelled(tokens.select("cid", "n", "upto").distinct(), found, "comp"), led, "home")
+    return rows.join(rows.groupBy("home").agg(F.count("*").alias("size")), "home").withColumn("part", F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / chunk)))
+
+
+def _queries(tokens: DataFrame, chunks: DataFrame, measure: Measure) -> DataFrame:
+    """(a, home, part, alone): each class a and each chunk that can hold a class similar to it; alone: the only class of a group."""
+    ends = chunks.groupBy("home", "part").agg(F.min("upto").alias("end"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("cid").alias("first"))
+    rows = tokens.select("cid", "token", "pos").join(chunks.select("cid", "n", "comp", "home", "part", "size"), "cid")
+    matrix = rows.groupBy("token", "home", "part", "size").agg(F.max("pos").alias("to")).join(ends, ["home", "part"])
+    q, g = rows.alias("q"), matrix.alias("g")
+    c, p = F.col, measure.percent
+    other = ~((c("g.c0") == c("q.comp")) & (c("g.c1") == c("q.comp"))) & (c("g.first") < c("q.cid"))
+    meet = q.join(g, (c("q.token") == c("g.token")) & other & (p * c("q.n") <= 100 * c("g.n1")) & (p * c("g.n0") <= 100 * c("q.n")))
+    upto = c("q.token") <= c("g.end")
+    by = meet.groupBy(c("q.cid").alias("a"), c("g.home").alias("home"), c("g.part").alias("part"), c("q.n").alias("n")).agg(
+        F.count("*").alias("k"), F.max("q.pos").alias("at"), F.max("g.to").alias("to"), F.count_if(upto).alias("kept"), F.max(F.when(upto, c("q.pos"))).alias("last"), *(F.max(f"g.{x}").alias(x) for x in ("size", "n0", "n1", "first"))
+    )
+    # of the query's shingles up to the chunk's end, only the shared ones can be in a member
+    most = c("kept") + c("n") - F.coalesce(c("last") + 1, F.lit(0))
+    smallest = F.greatest(c("n0"), F.ceil(c("n") * p / 100))
+    single = c("size") == 1
+    fits = ((100 + p) * most >= p * (c("n") + smallest)) & (~single | _can_link(measure, "k", "n", "n1", "at", "to"))
+    return by.where(fits).select("a", "home", "part", F.when(single, c("first")).alias("alone"))
+
+
+class TokenGroupMatrix:
+    """The union of a chunk's shingles with the members that have each."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        every = np.concatenate([np.zeros(0, A.U), *sets])
+        order = np.argsort(every, kind="stable")
+        self.member = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.union, self.start, self.count = np.unique(every[order], return_index=True, return_counts=True)
+
+    def row(self, x: np.ndarray) -> np.ndarray:
+        """Where the union has the shingles of x."""
+        at = np.searchsorted(self.union, x)
+        at = at[at < len(self.union)] if len(at) and at[-1] >= len(self.union) else at
+        return at[self.union[at] == x[: len(at)]]
+
+    def overlaps(self, at: np.ndarray) -> np.ndarray:
+        """How many of these shingles each member has."""
+        n = self.count[at]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[at], n)
+        return np.bincount(self.member[inside], minlength=len(self.sizes))
+
+
+def _opened(queries: DataFrame, chunks: DataFrame, texts: DataFrame, measure: Measure, at_once: int = 512) -> DataFrame:
+    """Links (a, b) of queries to members of other components, one for each component, in chunks that their bound opens."""
+    many = queries.groupBy("home", "part").agg(F.ceil(F.count("*") / at_once).alias("salts"))
+    own = chunks.select(F.col("cid").alias("a"), F.col("comp").alias("own"))
+    asks = queries.join(many, ["home", "part"]).select("a", "home", "part", F.pmod(F.xxhash64("a"), "salts").alias("salt")).join(own, "a").join(texts.withColumnRenamed("cid", "a"), "a")
+    held = chunks.select("cid", "comp", "home", "part").join(many, ["home", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).drop("salts").join(texts.select("cid", F.col("text").alias("held")), "cid")
 
     def of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        sets = [measure.shingles(t) for t in right.held]
-        union = np.unique(np.concatenate([np.zeros(0, A.U), *sets]))
-        least = min(map(len, sets), default=0)
+        matrix = TokenGroupMatrix([measure.shingles(t) for t in right.held])
+        cids, comps, p = right.cid.to_numpy(), right.comp.to_numpy(), measure.percent
         out = []
-        for a, t in zip(left.a, left.text, strict=True):
+        for a, own, t in zip(left.a, left.own, left.text, strict=True):
             x = measure.shingles(t)
-            smallest = max(least, -(-measure.percent * len(x) // 100))  # of the members that can link
-            if len(np.intersect1d(x, union, assume_unique=True)) < measure.least(len(x), smallest):
+            n = len(x)
+            at = matrix.row(x)
+            smallest = max(int(matrix.sizes.min()), -(-p * n // 100))  # of the members that can link
+            if len(at) < measure.least(n, smallest):
                 continue
-            hit = next((c for c, y in zip(right.cid, sets, strict=True) if measure.similar(x, y)), None)
-            if hit is not None:
-                out.append((a, hit))
+            hit = ((100 + p) * matrix.overlaps(at) >= p * (n + matrix.sizes)) & (comps != own)
+            for c in np.unique(comps[hit]):
+                out.append((a, int(cids[hit & (comps == c)][0])))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    key = ["comp", "part", "salt"]
+    key = ["home", "part", "salt"]
     return asks.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(of, "a long, b long")
 
 
-def join(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 2, chunk: int = 64, common: int = 8, listed: int = 200_000, small: int = 1_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def join(docs: DataFrame, k: int = 4, percent: int = 85, chunk: int = 128, common: int = 8, listed: int = 200_000, small: int = 1_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, n_shingles, class_id, group_id, component_id) for every row of docs.
 
     class_id is the same for equal sets and group_id for the sets of one component (null for empty sets). small: with so many classes to compare at most, a filter on
@@ -214,30 +292,23 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 2, chunk:
     classes = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("did", "th")).alias("at"))
     classes = cut(cut(classes.select("s1", "s2", "n", "least_id", "at.did", "at.th"), "classes").withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    own = sets.select("s1", "s2", "did", "th", "prefix").join(classes.select("s1", "s2", "did", "th", "cid", "n"), ["s1", "s2", "did", "th"])
-    tokens = own.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
+    own = sets.select("s1", "s2", "did", "th", "central", "upto", "prefix").join(classes.select("s1", "s2", "did", "th", "cid"), ["s1", "s2", "did", "th"])
+    tokens = own.select("cid", "central", "upto", F.posexplode("prefix").alias("pos", "token"))
     shared = tokens.groupBy("token").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x <> y").select("token")
-    met = cut(tokens.join(shared, "token"), "met")
-    met = met.join(met.groupBy("cid").agg(F.count("*").alias("score")), "cid")
-    ids = cut(met.select("cid").distinct().join(classes, "cid").select("cid", "did", "th"), "compared")
-    source = rows.select("did", "th", "text")
-    if ids.count() <= small:
-        source = _with_hash(source, spark.sparkContext.broadcast(np.sort(ids.select("th").toPandas().th.to_numpy(np.int64))))
-    texts = cut(source.join(ids, ["did", "th"]).select("cid", "text").dropDuplicates(["cid"]), "texts")
-    ids = ids.select("cid")
-
-    links, done, found = None, None, None
-    for _ in range(rounds):
-        pairs = cut(_to_leaders(met, measure, found, done), "pairs")
-        new = cut(_compared(pairs, texts, measure), "similar")
-        done = pairs if done is None else done.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        found = components(links)
-    asks = cut(_queries(met, found, measure, chunk), "queries")
-    single = asks.where("alone IS NOT NULL").select("a", F.col("alone").alias("b")).join(done, ["a", "b"], "left_anti")
-    held = _with_component(ids, found)
-    held = held.join(held.groupBy("comp").agg(F.count("*").alias("size")), "comp").select("cid", "comp", F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / chunk)).alias("part"))
-    final = components(links.unionByName(_compared(single, texts, measure)).unionByName(_opened(asks.where("alone IS NULL"), held, texts, measure)))
+    met = cut(tokens.join(shared, "token").join(classes.select("cid", "n"), "cid"), "met")
+
+    pairs = cut(_to_leaders(met, measure), "pairs")
+    links = cut(_compared(pairs, _texts(rows, classes, _members(pairs), small), measure), "similar")
+    chunks = cut(_chunks(met, components(links), pairs, chunk), "chunks")
+    asks = cut(_queries(met, chunks, measure), "queries")
+    single = asks.where("alone IS NOT NULL").select("a", F.col("alone").alias("b"))
+    sketches = sets.select("s1", "s2", "did", "th", "n", "end", "sketch").join(classes.select("s1", "s2", "did", "th", "cid"), ["s1", "s2", "did", "th"])
+    sketches = sketches.join(_members(single).withColumnRenamed("cid", "_c"), F.col("cid") == F.col("_c"), "left_semi").select("cid", "n", "end", "sketch").dropDuplicates(["cid"])
+    single = cut(_sketched(single, cut(sketches, "sketches"), measure), "singles")
+    many = asks.where("alone IS NULL")
+    held = chunks.join(many.select("home", "part").distinct(), ["home", "part"], "left_semi")
+    texts = _texts(rows, classes, _members(single).unionByName(many.select(F.col("a").alias("cid"))).unionByName(held.select("cid")).distinct(), small)
+    final = components(links.unionByName(_compared(single, texts, measure)).unionByName(_opened(many, chunks, texts, measure)))
 
     named = classes.select("s1", "s2", "cid", "least_id").join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
@@ -246,6 +317,20 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 2, chunk:
     return out.select("doc_id", F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), "class_id", "group_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+
+
+def _texts(rows: DataFrame, classes: DataFrame, wanted: DataFrame, small: int) -> DataFrame:
+    """(cid, text) of the wanted classes."""
+    spark = rows.sparkSession
+    ids = cut(wanted.join(classes, "cid").select("cid", "did", "th"), "wanted")
+    source = rows.select("did", "th", "text")
+    if ids.count() <= small:
+        source = _with_hash(source, spark.sparkContext.broadcast(np.sort(ids.select("th").toPandas().th.to_numpy(np.int64))))
+    return cut(source.join(ids, ["did", "th"]).select("cid", "text").dropDuplicates(["cid"]), "texts")
+
+
 def _with_hash(rows: DataFrame, wanted) -> DataFrame:
     """The rows (did, th, text) whose hash is one of the broadcast, sorted ones."""
 
@@ -265,17 +350,13 @@ def representatives(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     first = found.where("group_id IS NOT NULL").groupBy("group_id").agg(F.min(key).alias("r")).select("r.doc_id", "r.text_hash")
     first = first.unionByName(found.where("group_id IS NULL").select("doc_id", "text_hash").distinct())
-    keys = ["_id", "_hash"]
-    first = cut(first.select(F.xxhash64("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "kept")
-    keyed = docs.withColumn("_id", F.xxhash64(F.col(doc_id).cast("long"))).withColumn("_hash", F.xxhash64(text_of(text)))
-    wordless = F.coalesce(F.trim(F.col(text), F.lit(" \t\n\x0b\x0c\r")) == "", F.lit(True))
-    kept = keyed.join(first, keys, "left_semi")
-    # equal rows are one document here, rows without words are not
-    return kept.where(~wordless).dropDuplicates(keys).unionByName(kept.where(wordless)).drop(*keys) if _has_wordless(keyed, wordless) else kept.dropDuplicates(keys).drop(*keys)
-
-
-def _has_wordless(docs: DataFrame, wordless) -> bool:
-    return not docs.where(wordless).isEmpty()
+    keys = ["__id", "__hash"]
+    first = cut(first.select(F.xxhash64("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "kept")
+    body = text_of(text)
+    # equal rows are one document here; rows without words are told apart by a number
+    wordless = F.size(F.split(body, r"[^\x20\x09-\x0D]")) == 1
+    keyed = docs.withColumns({"__id": F.xxhash64(F.col(doc_id).cast("long")), "__hash": F.xxhash64(body), "__row": F.when(wordless, F.monotonically_increasing_id()).otherwise(F.lit(-1))})
+    return keyed.join(first, keys, "left_semi").dropDuplicates([*keys, "__row"]).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
