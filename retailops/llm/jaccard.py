@@ -41,13 +41,13 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
-#: Above every shingle in signed order.
+#: Above every place in the order.
 _TOP = 2**63 - 1
 
 
-def _signed(tokens: np.ndarray) -> np.ndarray:
-    """Shingles as signed numbers in the same order."""
-    return (tokens ^ A.U(1 << 63)).view(np.int64)
+def _placed(shingles: np.ndarray) -> np.ndarray:
+    """The places of shingles that are not frequent: numbers below 0 in the order of the hashes. Frequent ones have their rank."""
+    return (shingles | A.U(1 << 63)).view(np.int64)
 
 
 class Measure:
@@ -64,7 +64,7 @@ class Measure:
         return n - -(-self.percent * n // 100) + 1 if n else 0
 
     def shingles(self, text: str | None) -> np.ndarray:
-        """The set of a text as sorted hashes."""
+        """The set of a text as sorted hashes of 63 bits."""
         data = _FOLD[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
         words = A.word_symbols(data, np.array([len(data)]))[0]
         n = len(words)
@@ -72,7 +72,7 @@ class Measure:
             return np.zeros(0, A.U)
         k = min(self.k, n)
         at = np.arange(n - k + 1)
-        return np.unique(A.Hashes(words).of(at, at + k))
+        return np.unique(A.Hashes(words).of(at, at + k) >> A.U(1))
 
     def similar(self, x: np.ndarray, y: np.ndarray) -> bool:
         n, m = len(x), len(y)
@@ -98,7 +98,7 @@ def _frequent(docs: DataFrame, measure: Measure, common: int, listed: int) -> tu
 
 def _sets(docs: DataFrame, measure: Measure, known) -> DataFrame:
     """(doc_id, did, th, s1, s2, n, central, upto, end, sketch, prefix): each document's set by a 128-bit signature, its size, how many of its
-    shingles are known to be frequent, and its first shingles; upto: it has no other shingle up to this one, frequent ones aside. sketch, end: see `_sketched`.
+    shingles are known to be frequent, and the places of its first shingles; upto: it has no other shingle up to this place. sketch, end: see `_sketched`.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,16 +113,14 @@ def _sets(docs: DataFrame, measure: Measure, known) -> DataFrame:
                 place = np.searchsorted(frequent, s)
                 place[place == len(frequent)] = 0
                 often = frequent[place] == s if len(frequent) else np.zeros(n, bool)
-                last = s[often][np.argsort(rank[place[often]], kind="stable")]
-                first = s[~often][: measure.prefix(n)]
-                prefix = np.concatenate([first, last])[: measure.prefix(n)]
-                # with frequent shingles in the prefix, all others are in it
-                upto = _TOP if len(prefix) > len(first) or not n else _signed(first[-1:])[0]
+                last = np.sort(rank[place[often]])
+                prefix = np.concatenate([_placed(s[~often]), last])[: measure.prefix(n)]
+                upto = int(prefix[-1]) if len(prefix) < n else _TOP
                 # the first sixteen bits of three times as many, and where these end
                 light = s[~often]
-                sketch = (light[: 3 * measure.prefix(n)] >> A.U(48)).astype(np.uint16)
+                sketch = (light[: 3 * measure.prefix(n)] >> A.U(47)).astype(np.uint16)
                 end = int(sketch[-1]) if len(sketch) < len(light) else 1 << 16
-                out.append((s1, s2, n, len(last), upto, end, sketch.tobytes(), _signed(prefix)))
+                out.append((s1, s2, n, len(last), upto, end, sketch.tobytes(), prefix))
             cols = list(zip(*out, strict=True)) if out else [[]] * 8
             numbers = [pa.array(c, pa.int64()) for c in cols[:6]]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *numbers, pa.array(cols[6], pa.binary()), pa.array(list(cols[7]), pa.list_(pa.int64()))], ["doc_id", "did", "th", "s1", "s2", "n", "central", "upto", "end", "sketch", "prefix"])
@@ -220,7 +218,8 @@ def _queries(tokens: DataFrame, chunks: DataFrame, measure: Measure) -> DataFram
     by = meet.groupBy(c("q.cid").alias("a"), c("g.home").alias("home"), c("g.part").alias("part"), c("q.n").alias("n")).agg(
         F.count("*").alias("k"), F.max("q.pos").alias("at"), F.max("g.to").alias("to"), F.count_if(upto).alias("kept"), F.max(F.when(upto, c("q.pos"))).alias("last"), *(F.max(f"g.{x}").alias(x) for x in ("size", "n0", "n1", "first"))
     )
-    # of the query's shingles up to the chunk's end, only the shared ones can be in a member
+    # of the query's shingles up to the chunk's end, only the shared ones can be in a member; places are in the order of positions,
+    # so that all of the query's shingles up to the last shared one are up to the end as well
     most = c("kept") + c("n") - F.coalesce(c("last") + 1, F.lit(0))
     smallest = F.greatest(c("n0"), F.ceil(c("n") * p / 100))
     single = c("size") == 1

@@ -1,5 +1,7 @@
 """Operators that compare documents with each other, packing and the classifier."""
 
+import itertools
+import random
 import zlib
 from collections import defaultdict
 
@@ -72,6 +74,29 @@ def test_jaccard_join(docs, rows, how):
     assert got(jaccard.join(docs, **how).select("doc_id", "n_shingles", "component_id")) == brute.jaccard(pairs(rows))
 
 
+def families(seed, count=300, size=12):
+    """Texts in families, each a copy of an earlier one of its family with a few words replaced: (doc_id, text)."""
+    rnd, rows = random.Random(seed), []
+    for f in range(count):
+        new = itertools.count()
+        texts = [[f"f{f}x{next(new)}" for _ in range(rnd.randint(60, 140))]]
+        for _ in range(size):
+            t = list(texts[-1] if rnd.random() < 0.6 else rnd.choice(texts))
+            n = rnd.choice((1, 1, 2, 3))
+            at = rnd.randrange(len(t) - n)
+            t[at : at + n] = [f"f{f}x{next(new)}" for _ in range(n)]
+            texts.append(t)
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(texts)]
+    return rows
+
+
+@pytest.mark.parametrize("seed, how", [(3, {"common": 6}), (1, {"common": 3, "chunk": 3})])
+def test_jaccard_join_of_copies_of_copies(spark, seed, how):
+    rows = families(seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert got(jaccard.join(df, **how).select("doc_id", "n_shingles", "component_id")) == brute.jaccard(rows)
+
+
 def test_jaccard_of_an_empty_table(empty):
     assert jaccard.join(empty).count() == 0 and jaccard.representatives(empty).count() == 0
 
