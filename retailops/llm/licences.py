@@ -3,7 +3,8 @@
 A text is cut into sentences; a normalised sentence (lower case, letters and digits only, single spaces) that stands in the
 table of known licence sentences becomes that sentence's identifier. The sequence of a text's identifiers is then matched
 against ordered rules: each rule is a run of consecutive identifiers, longer and stricter rules come first, and what one rule
-has matched is taken away before the next is tried. Sentences that are not known may stand between the known ones.
+has matched is taken away before the next is tried. Sentences that are not known may stand between the known ones. A sentence
+begins and ends at a sentence end or a line feed, and line feeds may stand within it, so that wrapped texts are known as well.
 
 Defined results: a null text counts as empty (no licences); repeated rows, null ids, empty tables and further columns make no
 difference, one row comes out for each row in; a licence that occurs twice is listed once. Texts are scanned whole. A text
@@ -71,23 +72,47 @@ RULES = (
     ("proprietary", ("reserved",), True),
 )
 
-_CODE = {name: chr(0x100 + k) for k, name in enumerate(SENTENCES.values())}
-assert all(any(h in s for h in HINTS) for s in SENTENCES)
-
+_GPL = "you can redistribute it and or modify it under the terms of the gnu general public license"
+_FSF = "as published by the free software foundation"
+#: The sentences of the licences' own texts and headers, where these are longer than the ones above.
+FULL = {
+    "licensed under the apache license version 2 0 the license": "apache2-notice",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache2-copy",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit-condition",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
+    **{
+        f"{start}{_GPL} {rest}": f"gpl{v}-grant"
+        for v in (2, 3)
+        for start in ("", "this program is free software ")
+        for rest in (f"{_FSF} either version {v} of the license or at your option any later version", f"{_FSF} version {v} of the license", f"{_FSF} version {v}", f"version {v} {_FSF}", f"version {v} only {_FSF}")
+    },
+}
+FULL_RULES = (("GPL-2.0", ("gpl2-grant", "gpl-details"), True), ("GPL-3.0", ("gpl3-grant", "gpl-details"), True), ("GPL-2.0", ("gpl2-grant",), True), ("GPL-3.0", ("gpl3-grant",), True))
 
-def _sentences(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, r"([.!?;])\s+", "$1\n"), r"\n+")
+_ALL = SENTENCES | FULL
+_CODE = {name: chr(0x100 + k) for k, name in enumerate(dict.fromkeys(_ALL.values()))}
+assert all(any(h in s for h in HINTS) for s in _ALL)
+#: A known sentence between sentence ends (X), line feeds (Y) and the ends of the text; the longest that begins at a place.
+_PATTERN = "(?<![^XY] )(?<![^ ])(" + "|".join(s.replace(" ", " (?:Y )?") for s in sorted(_ALL, key=len, reverse=True)) + ")(?= [XY]|$)"
 
 
-def _normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def _marked(text: Column) -> Column:
+    """Words in lower case, with X for the ends of sentences and Y for line feeds."""
+    t = F.regexp_replace(F.lower(text), r"(following\s+conditions:|conditions\s+are\s+met:|licenses/license-2\.0)\s+", "$1; ")
+    # the second version of the GPL has a semicolon before its version
+    t = F.regexp_replace(t, r"(free\W+software\W+foundation);(?=\W+either\W+version)", "$1,")
+    t = F.regexp_replace(F.regexp_replace(t, r"[.!?;]\s+", " X "), r"\n", " Y ")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, "[^a-z0-9XY]+", " "), "Y(?: Y)+", "Y"))
 
 
 def _known(text: Column) -> Column:
     """The identifiers' codes in the order of the text."""
-    codes = F.create_map(*(F.lit(x) for s, name in SENTENCES.items() for x in (s, _CODE[name])))
-    likely = F.filter(_sentences(text), lambda s: s.rlike("(?i)" + "|".join(HINTS)))
-    return F.array_join(F.array_compact(F.transform(likely, lambda s: F.try_element_at(codes, _normal(s)))), "")
+    codes = F.create_map(*(F.lit(x) for s, name in _ALL.items() for x in (s, _CODE[name])))
+    found = F.regexp_extract_all(_marked(text), F.lit(_PATTERN), F.lit(1))
+    return F.array_join(F.transform(found, lambda s: F.element_at(codes, F.replace(s, F.lit(" Y"), F.lit("")))), "")
 
 
 def identify(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -95,7 +120,7 @@ def identify(docs: DataFrame, text: str = "text") -> DataFrame:
     t = text_of(text)
     out = docs.withColumn("_seq", F.when(t.rlike("(?i)" + "|".join(HINTS)), _known(t)).otherwise(F.lit("")))
     hits, limits, seq = [], [], F.col("_seq")
-    for name, ids, restricted in RULES:
+    for name, ids, restricted in RULES + FULL_RULES:
         codes = F.lit("".join(_CODE[x] for x in ids))
         hit = F.contains(seq, codes)
         hits.append(F.when(hit, F.lit(name)))

@@ -87,6 +87,43 @@ def test_a_longer_licence_rule_takes_its_sentences(spark):
     assert row[1].licences == ["MIT"] and len(row[1].sentence_ids) == 4 and row[0].licences == []
 
 
+OWN_TEXTS = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT""",
+    "BSD": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful. See the GNU General Public License for more details.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""",
+}
+
+
+def test_licences_own_texts_wrapped_and_not(spark):
+    import textwrap
+
+    rows = []
+    for name, text in OWN_TEXTS.items():
+        wrapped = "\n\n".join(textwrap.fill(x, 72) for x in text.split("\n\n"))
+        rows += [(name, x) for x in (text, " ".join(text[text.find("Permission") if name == "MIT" else 0 :].split()), wrapped, textwrap.indent(wrapped, " * ", lambda _: True), wrapped.replace("\n", "\r\n"))]
+    for r in licences.identify(spark.createDataFrame(rows, "name string, text string")).collect():
+        assert r.licences == [r.name], r
+        assert len(r.sentence_ids) == {"MIT": 4, "BSD": 2, "Apache-2.0": 3, "GPL-3.0": 2, "GPL-2.0": 1}[r.name] or r.name == "MIT" and len(r.sentence_ids) == 3
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/a">Menu</a></li></ul></nav>
 <div class="ad">Buy now</div><article><h1>Head &amp; shoulders</h1><p>First   para\nwith <b>bold</b>.<br><p>Second &eacute; <a href="x">link</a>.</p><form><label>Name</label></form><aside>See also</aside>
 <div class="cookie-notice"><p>We use cookies</p></div><p>x</p></article><section id="comments"><article><p>First!</p></article></section><footer>&copy; me</footer>{end}"""
