@@ -1,11 +1,10 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped into lines, one for each block element. A line weighs as many characters as it has outside links, and
-nothing if it stands in a part of the page that is no article by its element or class (menus, banners, adverts, notices,
-forms, reader comments, footers) or, where the page marks its article, outside of that. Weights are summed over a sliding
-window of lines. The text surges where a sum rises to the threshold and dives where sums fall below it; the lines with
-weight between surge and dive are kept. Where the page marks its article, one character is enough to surge, so that no
-short paragraph is lost; elsewhere the threshold is `surge` characters.
+Markup is stripped into lines, one for each block element. Lines in a part of the page that is no article by its element or
+class (menus, banners, adverts, notices, forms, reader comments, footers) are left out. Where the page marks its article, all
+other lines in it are kept. Elsewhere a line weighs as many characters as it has outside links, and weights are summed over a
+sliding window of lines: the text goes from where a sum first rises to `surge` characters to where they last fall below it, and
+all lines between are kept. On a page without such a sum it goes from the first to the last line with weight.
 
 Defined results: a null or empty html gives an empty text; repeated rows, null ids, empty tables and further columns make no
 difference; pages are parsed whole, also when they end in the middle of a tag or leave elements open.
@@ -26,10 +25,12 @@ from pyspark.sql import types as T
 SKIPPED = frozenset("head title script style noscript template svg math iframe object canvas audio video select button textarea datalist".split())
 #: Elements that are no part of an article. A header may be one within an article (its headline).
 NOT_ARTICLE = frozenset("nav footer aside form menu dialog".split())
+#: What a head can hold; any other element ends one that is left open.
+IN_HEAD = frozenset("head title base link meta style script noscript template".split())
 #: Words in a class, id or role that mark what is no part of an article.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|nav(?:bar|igation)?|menu|breadcrumbs?|"
-    r"sidebar|side|aside|related|recommended|recommendations|trending|share|sharing|social|footer|foot|masthead|comments?|commentlist|replies|reply|respond|discussion|disqus|widget|toolbar|pagination|pager|skip|search|form|complementary|contentinfo|dialog|hidden|copyright|legal|disclaimer)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|notices?|popup|modal|overlay|newsletter|subscribe|signup|login|nav(?:bar|igation)?|menu|breadcrumbs?|"
+    r"sidebar|aside|related|recommended|recommendations|trending|sharing|social|footer|foot|masthead|comments?|commentlist|replies|reply|respond|disqus|widget|toolbar|pagination|pager|complementary|contentinfo|dialog|hidden|copyright|disclaimer)(?:$|[\s_-])",
     re.I,
 )
 #: Of an article or main element only these say that it is none.
@@ -48,7 +49,7 @@ _HIDDEN = re.compile(r"""\shidden(?=[\s/>=])|\saria-hidden\s*=\s*["']?true|style
 
 
 def lines_of(page: str) -> tuple[list[str], list[int], list[bool], bool]:
-    """(lines, weights, whether in an article, whether the page marks one)."""
+    """(lines, weights (-1: in no article by its element or class), whether in an article, whether the page marks one)."""
     lines: list[str] = []
     weights: list[int] = []
     inside: list[bool] = []
@@ -62,8 +63,8 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool], bool]:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
                 lines.append(line)
-                weights.append(max(len(line) - linked[0], 0) if weighs else 0)
-                inside.append(article > 0)
+                weights.append(max(len(line) - linked[0], 0) if weighs else -1)
+                inside.append(article > 0 and weighs)
             text.clear()
         linked[0] = 0
 
@@ -86,7 +87,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool], bool]:
         if zone:
             if name == zone:
                 depth += -1 if closes else 0 if zone in SELF_ENDING else 1
-            elif zone == "p" and not closes and name not in INLINE or closes and name in ("article", "main", "body"):
+            elif zone == "head" and name not in IN_HEAD or zone == "p" and not closes and name not in INLINE or closes and name in ("article", "main", "body"):
                 depth = 0
             if depth <= 0:
                 flush(False)
@@ -129,13 +130,17 @@ def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
     lines, weights, inside, marks = lines_of(page)
     if not lines:
         return ""
-    w = np.array(weights)
     if marks:
-        w[~np.array(inside)] = 0
+        return "\n".join(x for x, k in zip(lines, inside, strict=True) if k)
+    w = np.maximum(weights, 0)
     sums = np.convolve(w, np.ones(window, int))[: len(w) + window - 1]  # sums[i]: the lines i-window+1 to i
     best = np.array([sums[i : i + window].max() for i in range(len(w))])
-    kept = (w > 0) & (best >= (1 if marks else surge))
-    return "\n".join(x for x, k in zip(lines, kept.tolist(), strict=True) if k)
+    text = np.flatnonzero((w > 0) & (best >= surge))
+    if not len(text):  # a short page
+        text = np.flatnonzero(w)
+    if not len(text):
+        return ""
+    return "\n".join(x for x, k in zip(lines[text[0] : text[-1] + 1], weights[text[0] : text[-1] + 1], strict=True) if k >= 0)
 
 
 def extract(pages: DataFrame, source: str = "html", into: str = "text") -> DataFrame:

@@ -145,6 +145,24 @@ def test_layout_words_mark_nothing():
     assert html_text.main_text(page) == "Text.\nMore."
 
 
+LONG = "Sentence after sentence fills this paragraph with words. " * 2
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><h2><a href=x>All a link</a></h2><ul><li><a>Item</a></li></ul><p>b</p></article>", "All a link\nItem\nb"),
+        ("<head><title>T</title><body><article><p>a</p></article>", "a"),
+        ("<head><title>T</title><meta charset=x><article><p>a</p></article>", "a"),
+        ('<article><p class="share">a</p><p class="legal form">b</p><p class="comments">c</p></article>', "a\nb"),
+        ("<body><p>Short page.</p><p>Two lines.</p></body>", "Short page.\nTwo lines."),
+        (f"<body><p>{LONG}</p><p>a</p><p>b</p><p>c</p><p>d</p><p>e</p><p><a>f</a></p><nav>n</nav><p>{LONG}</p></body>", "\n".join([LONG.strip(), *"abcdef", LONG.strip()])),
+    ],
+)
+def test_main_text_is_whole(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_pages_of_all_kinds(spark):
     df = spark.createDataFrame([(1, "u", None, "old"), (1, "u", "", None), (None, None, "<article><p>a</p></article>", "x")], "page_id long, url string, html string, text string")
     assert sorted(r.text for r in html_text.extract(df).collect()) == ["", "", "a"]
