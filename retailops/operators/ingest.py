@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.exprs import normal_name
 
@@ -22,11 +24,36 @@ def matched(staged: DataFrame, target: T.StructType) -> dict[str, str]:
 
 
 def validate(staged: DataFrame, target: T.StructType, samples: int = 5) -> DataFrame:
-    """(column_name, n_bad, samples) for each common column, from one pass: values that are not null but fail the cast."""
+    """(column_name, n_bad, samples) for each common column: values that are not null but fail the cast.
+
+    Bad values are counted by value before they are ranked, and each task keeps `samples` a column at most, so a column in which
+    every value is bad is no burden.
+    """
     pairs = matched(staged, target)
-    bad = {c: F.col(s).isNotNull() & F.col(s).try_cast(target[c].dataType).isNull() for c, s in pairs.items()}
-    aggs = [F.struct(F.lit(c).alias("column_name"), F.count_if(b).alias("n_bad"), F.slice(F.array_sort(F.collect_set(F.when(b, F.col(pairs[c]).cast("string")))), 1, samples).alias("samples")) for c, b in bad.items()]
-    return staged.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    spark = staged.sparkSession
+    every = spark.createDataFrame([(c,) for c in pairs], "column_name string")
+    bad = [F.struct(F.lit(c).alias("column_name"), F.when(F.col(s).isNotNull() & F.col(s).try_cast(target[c].dataType).isNull(), F.col(s).cast("string")).alias("value")) for c, s in pairs.items()]
+    values = staged.select(F.explode(F.array(*bad)).alias("x")).select("x.*").where("value IS NOT NULL").groupBy("column_name", "value").agg(F.count("*").alias("n")) if bad else spark.createDataFrame([], "column_name string, value string, n long")
+    counts = values.groupBy("column_name").agg(F.sum("n").alias("n_bad"))
+    first = values.withColumn("r", F.row_number().over(Window.partitionBy("column_name").orderBy("value"))).where(F.col("r") <= samples).groupBy("column_name").agg(F.sort_array(F.collect_list("value")).alias("samples"))
+    return every.join(counts, "column_name", "left").join(first, "column_name", "left").select("column_name", F.coalesce("n_bad", F.lit(0)).cast("long").alias("n_bad"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
+
+
+@dataclass(frozen=True)
+class Inspection:
+    """What an upload looks like against its target: columns, those missing and extra, rows, a preview of typed rows."""
+
+    columns: DataFrame
+    missing: list[str]
+    extra: list[str]
+    total: int
+    preview: DataFrame
+
+
+def inspect(staged: DataFrame, target: T.StructType, rows: int = 50) -> Inspection:
+    known = matched(staged, target)
+    extra = [c for c in staged.columns if c not in known.values()]
+    return Inspection(validate(staged, target), [f.name for f in target.fields if f.name not in known], extra, staged.count(), typed(staged, target).limit(rows))
 
 
 def typed(staged: DataFrame, target: T.StructType, strict: bool = False) -> DataFrame:
@@ -50,13 +77,24 @@ def upsert_counts(target: DataFrame, staged: DataFrame, keys: Sequence[str]) ->
     return staged.agg(F.count("*").alias("valid")).crossJoin(hit).select(F.greatest(F.lit(0), F.col("valid") - F.col("updated")).cast("long").alias("inserted"), "updated")
 
 
-def apply_changes(target: DataFrame, key: str, updates: DataFrame | None = None, deletes: DataFrame | None = None, inserts: DataFrame | None = None) -> DataFrame:
-    """Updates (null means unchanged), then deletes, then inserts. Unknown columns are ignored; empty text is null in other types."""
+def apply_changes(target: DataFrame, key: str, updates: DataFrame | None = None, deletes: DataFrame | None = None, inserts: DataFrame | None = None, order: str | None = None, assigned: str | None = None) -> DataFrame:
+    """Updates, then deletes, then inserts. Unknown columns are ignored; empty text is null in other types.
+
+    An update assigns all of its columns, nulls included; with `assigned`, an array column, each row assigns only the columns
+    that it names. Of several updates of one key the last by `order` counts; without an order they are an error.
+    """
     out = target
     if updates is not None:
         known = [c for c in updates.columns if c in target.columns and c != key]
-        u = updates.select(key, *(_value(updates, c, target.schema[c].dataType).alias(f"_new_{c}") for c in known))
-        out = out.join(u, key, "left").select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in known else F.col(c) for c in target.columns))
+        given = lambda c: F.array_contains(assigned, c) if assigned else F.lit(True)
+        row = F.struct(*(_value(updates, c, target.schema[c].dataType).alias(c) for c in known), *(given(c).alias(f"_set_{c}") for c in known))
+        if order:
+            last = updates.groupBy(key).agg(F.max_by(row, order).alias("_new"))
+        else:
+            several = F.raise_error(F.concat(F.lit("several updates for key "), F.col(key).cast("string")))
+            last = updates.groupBy(key).agg(F.count("*").alias("_n"), F.first(row).alias("_new")).select(key, F.when(F.col("_n") > 1, several).otherwise(F.lit(None).cast("void")).alias("_error"), "_new").where("_error IS NULL").drop("_error")
+        change = lambda c: F.when(F.coalesce(F.col("_new")[f"_set_{c}"], F.lit(False)), F.col("_new")[c]).otherwise(F.col(c)).alias(c)
+        out = out.join(last, key, "left").select(*(change(c) if c in known else F.col(c) for c in target.columns))
     if deletes is not None:
         out = out.join(deletes.select(key).distinct(), key, "left_anti").select(*target.columns)
     if inserts is not None:
@@ -97,7 +135,11 @@ def swap_in(df: DataFrame, path: str) -> None:
 
 
 def load(df: DataFrame, table: str, mode: str = "append", keys: Sequence[str] = ()) -> dict[str, int]:
-    """append, replace or upsert into a table, which is created if missing; returns inserted and updated."""
+    """append, replace or upsert into a table, which is created if missing; returns inserted and updated.
+
+    What replaces a table is written beside it first, so it may be made from the table itself; then the old one is renamed away,
+    the new one renamed in and the old one dropped: at no time are both gone.
+    """
     spark = df.sparkSession
     if not re.fullmatch(r"[A-Za-z_]\w*", table):
         raise ValueError(f"not a table name: {table!r}")
@@ -106,16 +148,31 @@ def load(df: DataFrame, table: str, mode: str = "append", keys: Sequence[str] =
         if not keys:
             raise ValueError("an upsert needs key columns")
         counts = upsert_counts(spark.table(table), df, keys).first()
-        side = f"{table}_{uuid.uuid4().hex[:8]}"
-        upsert(spark.table(table), df, keys).write.saveAsTable(side)
-        spark.sql(f"DROP TABLE {table}")
-        spark.sql(f"ALTER TABLE {side} RENAME TO {table}")
+        _exchange(upsert(spark.table(table), df, keys), table)
         return {"inserted": counts.inserted, "updated": counts.updated}
     n = df.count()
-    df.write.mode("append" if mode == "append" else "overwrite").saveAsTable(table)
+    if exists and mode != "append":
+        _exchange(df, table)
+    else:
+        df.write.mode("append").saveAsTable(table)
     return {"inserted": n, "updated": 0}
 
 
+def _exchange(df: DataFrame, table: str) -> None:
+    spark, mark = df.sparkSession, uuid.uuid4().hex[:8]
+    df.write.saveAsTable(f"{table}_new_{mark}")
+    spark.sql(f"ALTER TABLE {table} RENAME TO {table}_old_{mark}")
+    spark.sql(f"ALTER TABLE {table}_new_{mark} RENAME TO {table}")
+    spark.sql(f"DROP TABLE {table}_old_{mark}")
+
+
+def refresh(spark: SparkSession, query: str, table: str, mode: str = "replace", keys: Sequence[str] = (), create: bool = True) -> dict[str, int]:
+    """Loads the result of a SELECT, which may read the table itself. A missing table is created only if `create`."""
+    if not create and not spark.catalog.tableExists(table):
+        raise ValueError(f"no such table: {table}")
+    return load(spark.sql(query), table, mode, keys)
+
+
 def move(spark, source: str, to: str) -> None:
     """Copies a table, then drops the source; refuses to overwrite."""
     if spark.catalog.tableExists(to):

@@ -78,6 +78,15 @@ def jdbc_options(url: str, table: str | None = None, query: str | None = None, t
     return out
 
 
+def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: str | None = None, partition: tuple[str, int, int, int] | None = None, predicates: Sequence[str] = (), properties: dict[str, str] | None = None) -> DataFrame:
+    """A table or query of a database, in parallel by ranges of a number or by predicates such as those of `key_ranges`."""
+    options = jdbc_options(url, table, query, partition=partition)
+    if predicates:
+        source = options.get("dbtable") or f"({options['query']}) AS q"
+        return spark.read.jdbc(url, source, predicates=list(predicates), properties={k: v for k, v in (properties or {}).items()})
+    return spark.read.format("jdbc").options(**options, **(properties or {})).load()
+
+
 def key_ranges(keys: Sequence[str], bounds: Sequence[Sequence]) -> list[str]:
     """Predicates that split a table by sorted bounds of a composite key into disjoint ranges, for a parallel JDBC read."""
 
@@ -123,6 +132,18 @@ def write_audit(df: DataFrame, path: str) -> None:
     by_month.repartition("month", F.pmod(F.xxhash64("company_id", "event_time"), F.lit(8))).sortWithinPartitions("month", "company_id", "event_time", "action").write.mode("append").partitionBy("month").parquet(path)
 
 
+def drop_old_months(spark: SparkSession, path: str, as_of: str, keep: int) -> list[str]:
+    """Deletes the months of an audit store that `retained_months` does not keep; returns them."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    months = [s.getPath().getName().removeprefix("month=") for s in fs.listStatus(root) if s.getPath().getName().startswith("month=")]
+    old = sorted(set(months) - set(retained_months(months, as_of, keep)))
+    for m in old:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/month={m}"), True)
+    return old
+
+
 def retained_months(months: Sequence[str], as_of: str, keep: int) -> list[str]:
     """Of months yyyy-MM those that stay when `keep` months up to as_of are kept."""
     index = lambda m: int(m[:4]) * 12 + int(m[5:7])

@@ -42,13 +42,16 @@ def replace_slices(state: DataFrame | None, batch: DataFrame, scheme: str = "sch
 def run_feed_state(feed: DataFrame, path: str, checkpoint: str, arrived: str = "received_at"):
     """Keeps the feed state of a stream under path, one folder for each batch; the newest is the state.
 
-    A batch reads the folder of the batch before it and writes its own, so that a repeated batch overwrites only itself.
+    A batch reads the folder of the batch before it and writes its own, so that a repeated batch overwrites only itself. Once it
+    is written, the folders before the one that it has read are deleted: a batch can be repeated, an older one never is.
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         state = spark.read.parquet(f"{path}/epoch={epoch - 1}") if epoch else None
         replace_slices(state, batch, arrived=arrived).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch={epoch - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

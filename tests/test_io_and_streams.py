@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from retailops.operators import status
+from retailops.plans import ingestion
+from retailops.plans.ingestion import Source
 from retailops.sources import files
 from retailops.streaming import jobs
 
@@ -42,6 +44,39 @@ def test_jdbc_options_and_ranges(spark):
     assert files.incremental_sql("SELECT * FROM t", "d", "2024-01-01").endswith("d > '2024-01-01'")
 
 
+def test_reading_a_database(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.createDataFrame([(a, b) for a in range(40) for b in "xyz"], "A int, B string").write.jdbc(url, "t", "append", {"createTableColumnTypes": "B varchar(5)"})
+    whole = files.read_jdbc(spark, url, "t", partition=("A", 0, 40, 4))
+    assert whole.count() == 120 and whole.rdd.getNumPartitions() == 4
+    parts = files.read_jdbc(spark, url, "t", predicates=files.key_ranges(["A", "B"], [(10, "y"), (20, "z")]))
+    assert parts.count() == 120 and parts.rdd.getNumPartitions() == 3
+    table = Source("db", "t_from_db", ingestion.from_database(url, "SELECT * FROM t WHERE A < 30", "A"), incremental="A")
+    first = ingestion.run(spark, table, "runs_db", "marks_db")
+    assert (first.status, first.inserted, first.watermark) == ("Success", 90, "29")
+    assert (ingestion.run(spark, table, "runs_db", "marks_db").inserted, spark.table("t_from_db").count()) == (0, 90)
+
+
+def test_ingestion_runs_from_csv_to_table(spark, tmp_path):
+    spark.sql("CREATE TABLE t_ingest (id BIGINT, amount DOUBLE, note STRING) USING parquet")
+    path = tmp_path / "in.csv"
+    source = Source("sales", "t_ingest", ingestion.from_file(str(path), incremental="ID"), mode="upsert", keys=["id"], incremental="id")
+    path.write_text("ID,Amount,extra\n1,2.5,x\n2,bad,x\n3,4,x\n")
+    one = ingestion.run(spark, source, "runs_csv", "marks_csv")
+    assert (one.status, one.inserted, one.updated, one.skipped, one.watermark) == ("Success", 2, 0, 1, "3")
+    path.write_text("ID,Amount,extra\n3,9,x\n4,1,x\n10,2,x\n")
+    two = ingestion.run(spark, source, "runs_csv", "marks_csv")
+    assert (two.inserted, two.updated, two.watermark) == (2, 0, "10")  # only rows past the watermark
+    gone = Source("sales", "t_ingest", ingestion.from_file(str(tmp_path / "none.csv")), incremental="id")
+    assert ingestion.run(spark, gone, "runs_csv", "marks_csv").status == "Failed"
+    assert ingestion.last_watermark(spark, "sales", "marks_csv") == "10"
+    assert sorted((r.id, r.amount, r.note) for r in spark.table("t_ingest").collect()) == [(1, 2.5, None), (3, 4.0, None), (4, 1.0, None), (10, 2.0, None)]
+    assert sorted((r.status, r.inserted, r.skipped) for r in spark.table("runs_csv").collect()) == [("Failed", 0, 0), ("Success", 2, 0), ("Success", 2, 1)]
+    again = Source("copy", "t_copy", ingestion.from_query("SELECT id, amount FROM t_ingest"), mode="replace")
+    assert [ingestion.run(spark, again, "runs_csv", "marks_csv").inserted for _ in range(2)] == [4, 4] and spark.table("t_copy").count() == 4
+    assert ingestion.run(spark, Source("no", "t_no", ingestion.from_query("SELECT 1 AS x"), create=False), "runs_csv", "marks_csv").status == "Failed"
+
+
 def test_export(spark, tmp_path):
     df = spark.createDataFrame([(1, dt.datetime(2024, 1, 2), None, 'a"b'), (2, dt.datetime(2024, 1, 2, 3, 4, 5), dt.date(2024, 5, 6), "c,d")], "k long, t timestamp_ntz, d date, s string")
     files.export_csv(df.coalesce(1), str(tmp_path / "out"))
@@ -53,6 +88,8 @@ def test_audit_store(spark, tmp_path):
     df = spark.createDataFrame([(dt.datetime(2024, m, 1), 1, "x") for m in (1, 2, 2)], "event_time timestamp_ntz, company_id int, action string")
     files.write_audit(df, str(tmp_path / "audit"))
     assert spark.read.parquet(str(tmp_path / "audit")).where("month = '2024-02'").count() == 2
+    assert files.drop_old_months(spark, str(tmp_path / "audit"), "2024-07", 6) == ["2024-01"]
+    assert spark.read.parquet(str(tmp_path / "audit")).count() == 2
     assert files.retained_months(["2023-07", "2023-08", "2024-01"], "2024-01", 6) == ["2023-08", "2024-01"]
 
 
