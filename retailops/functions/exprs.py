@@ -41,15 +41,6 @@ def hours_between(a: Column, b: Column) -> Column:
     return ((hour(b) - hour(a)) / 3600).cast("long")
 
 
-def number(text: Column) -> Column:
-    """A number kept as text, null if it is none."""
-    return F.expr(f"try_cast({_sql(text)} AS double)") if isinstance(text, str) else text.try_cast("double")
-
-
-def _sql(name: str) -> str:
-    return f"`{name}`"
-
-
 def month_number(name: Column) -> Column:
     """1 to 12 from a month's name by its first three letters in any case; null for others."""
     key = F.lower(F.substring(name, 1, 3))
@@ -101,15 +92,26 @@ def normal_name(name: str) -> str:
 
 
 def column_name(header: str) -> str:
-    """A column name from a file's header."""
-    name = re.sub(r"[^A-Za-z0-9_]", "_", header.strip())
-    return name if re.match(r"[A-Za-z_]", name) else f"col_{name}"
+    """A column name from a file's header: lower case, other characters as _, no digit in front."""
+    if not header:
+        return "column"
+    name = re.sub(r"[^A-Za-z0-9_]", "_", header).lower()
+    return name if re.match(r"[a-z_]", name) else f"col_{name}"
+
+
+#: Words in a column's name that tell its type, in the order in which they are tried.
+TYPE_WORDS = (
+    ("decimal(18,2)", ("price", "amount", "cost", "rate", "percent")),
+    ("timestamp", ("date", "time")),
+    ("string", ("description", "note", "comment")),
+    ("boolean", ("active", "enabled")),
+)
 
 
 def type_by_name(name: str) -> str:
-    """A first guess at a column's type from its name."""
+    """A first guess at a column's type from its name; is_ counts at its start only."""
     n = name.lower()
-    for kind, words in (("decimal(18,2)", ("price", "amount", "cost", "total")), ("timestamp", ("date", "time")), ("boolean", ("is_", "has_")), ("bigint", ("count", "qty", "quantity", "number"))):
+    for kind, words in TYPE_WORDS:
         if any(w in n for w in words):
             return kind
-    return "string"
+    return "boolean" if n.startswith("is_") else "string"

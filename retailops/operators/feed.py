@@ -42,14 +42,31 @@ def rollups(state: DataFrame) -> DataFrame:
     return tidy.groupingSets(sets, *dims).agg(F.round(F.sum("net_amount_acy"), 2).alias("sales"), F.sum("total_transactions").alias("tx"), F.grouping_id().cast("long").alias("level"))
 
 
-def select(feed: DataFrame, store=None, scheme: str | None = None, hours: tuple[int, int] | None = None) -> DataFrame:
-    if store is not None:
-        feed = feed.where(F.col("store_code") == store)
-    if scheme is not None:
-        feed = feed.where(F.col("scheme") == scheme)
+def store_in_focus(state: DataFrame, store) -> DataFrame:
+    """The division that sells most in a store, and its categories, the best first."""
+    own = rollup(state.where(F.col("store_code") == store), "division_name", "category_name")
+    best = own.groupBy("division_name").agg(F.sum("sales").alias("s")).orderBy(F.desc("s"), "division_name").limit(1).select("division_name")
+    return own.join(F.broadcast(best), "division_name", "left_semi").orderBy(F.desc("sales"), "category_name")
+
+
+def select(feed: DataFrame, store=None, scheme: str | None = None, hours: tuple[int, int] | None = None, company=None, unprocessed: bool = False, newest_first: bool = False) -> DataFrame:
+    """Feed rows by company, store, scheme, hours and whether they were processed, by hour or by arrival, newest first."""
+    for column, value in (("company_id", company), ("store_code", store), ("scheme", scheme)):
+        feed = feed.where(F.col(column) == value) if value is not None else feed
     if hours is not None:
         feed = feed.where(F.col("hour").between(*hours))
-    return feed
+    if unprocessed:
+        feed = feed.where(~F.coalesce(F.col("is_processed"), F.lit(False)))
+    return feed.orderBy(F.desc("received_at")) if newest_first else feed.orderBy("hour")
+
+
+def last_hour_rows(feed: DataFrame, day: dt.date, zone: str = "UTC") -> DataFrame:
+    """For each store and scheme of a local day: sales, transactions and average basket at the last hour that it has rows of."""
+    state = current(feed, day, zone)
+    last = state.groupBy("store_code", "scheme").agg(F.max("hour").alias("hour"))
+    at = state.join(last, (state["store_code"].eqNullSafe(last["store_code"])) & (state["scheme"].eqNullSafe(last["scheme"])) & (state["hour"] == last["hour"]), "left_semi")
+    tx = F.sum("total_transactions")
+    return at.groupBy("store_code", "scheme", "hour").agg(F.round(F.sum("net_amount_acy"), 2).alias("sales"), tx.alias("tx"), F.round(F.coalesce(F.sum("net_amount_acy") / F.nullif(tx, F.lit(0)), F.lit(0.0)), 2).alias("avg_basket"))
 
 
 def day_snapshot(feed: DataFrame, day: dt.date, zone: str = "UTC") -> DataFrame:
@@ -76,8 +93,24 @@ def live_store_sales(lines: DataFrame, terminals: DataFrame, rates: DataFrame, s
     return by.join(stores, "store_no").crossJoin(rate).select("store_no", "item_category_code", "hour", F.round(-F.col("net") / used, 4).alias("net_amount_acy"), F.round(F.col("tx") / F.col("categories"), 4).alias("store_transactions"), "lines")
 
 
-def online_orders(pages: DataFrame, divisor: float = 89700.0) -> DataFrame:
-    """Orders from landed JSON pages (array `value` of lines with a header struct): net and distinct orders by warehouse."""
-    lines = pages.select(F.explode("value").alias("l")).select("l.ShippingWarehouseId", "l.LineAmount", "l.SalesOrderHeader.CurrencyCode", "l.SalesOrderHeader.SalesOrderNumber")
-    net: Column = F.when(F.col("CurrencyCode") == "LBP", F.col("LineAmount") / divisor).otherwise(F.col("LineAmount"))
-    return lines.groupBy(F.col("ShippingWarehouseId").alias("store")).agg(F.round(F.sum(net), 2).alias("net"), F.count_distinct("SalesOrderNumber").alias("orders"))
+def chain_sales(lines: DataFrame, headers: DataFrame, categories: DataFrame) -> DataFrame:
+    """Sales of a chain by store and category, each line converted by its header's rate.
+
+    Headers of wasted goods or of other kinds than 2 are left out, and lines without a header with them; amounts are negated and
+    lines counted.
+    """
+    key = ["store_no", "pos_terminal_no", "transaction_no"]
+    own = headers.where("wastage = 0 AND transaction_type = 2").select(*key, "rate")
+    named = lines.join(own, key).join(categories.select("item_category_code", "category_name", "division_name"), "item_category_code", "left")
+    return named.groupBy("store_no", "division_name", "category_name").agg(F.max("hour").alias("hour"), F.round(-F.sum(F.col("net_amount") / F.col("rate")), 4).alias("net_amount_acy"), F.count("*").alias("lines"))
+
+
+def order_lines(pages: DataFrame) -> DataFrame:
+    """The lines of landed JSON pages (array `value` of lines with a header struct): store, currency, amount, order, created_at."""
+    return pages.select(F.explode("value").alias("l")).select(F.col("l.ShippingWarehouseId").alias("store"), F.col("l.SalesOrderHeader.CurrencyCode").alias("currency"), F.col("l.LineAmount").alias("amount"), F.col("l.SalesOrderHeader.SalesOrderNumber").alias("order_no"))
+
+
+def online_orders(lines: DataFrame, *by: str, divisor: float = 89700.0, local: str = "LBP") -> DataFrame:
+    """Net and distinct orders by store, or by other columns such as scheme, store and hour; local currency is converted."""
+    net: Column = F.when(F.col("currency") == local, F.col("amount") / divisor).otherwise(F.col("amount"))
+    return lines.groupBy(*(by or ("store",))).agg(F.round(F.sum(net), 2).alias("net"), F.count_distinct("order_no").alias("orders"))

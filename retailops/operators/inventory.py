@@ -53,3 +53,13 @@ def details(items: DataFrame, wanted: DataFrame, columns: Sequence[str], keys: S
 
 def locations(df: DataFrame, code: str = "code", name: str = "store") -> DataFrame:
     return df.where(F.col(code).isNotNull()).select(code, name).orderBy(code)
+
+
+#: Fixed value: rows of an export at most, as a feature of the export.
+EXPORT_ROWS = 1_000_000
+
+
+def export_rows(stock: DataFrame, details: DataFrame | None = None, columns: Sequence[str] = (), key: Sequence[str] = ("item_no",), rows: int = EXPORT_ROWS) -> DataFrame:
+    """The first rows of a stock list by item and location, with columns of the items' details if asked for; for `files.export_csv`."""
+    out = stock if details is None or not columns else stock.join(details.select(*key, *columns).dropDuplicates(list(key)), list(key), "left")
+    return out.orderBy("item_no", "location_code").limit(rows)

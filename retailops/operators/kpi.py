@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,3 +57,14 @@ def active_target(values: DataFrame, targets: DataFrame, by: str = "metric_id",
     holds = (F.col(by) == F.col("_by")) & F.col("is_active") & (F.col("start_date") <= F.col(day)) & (F.col("end_date").isNull() | (F.col("end_date") >= F.col(day)))
     best = values.join(t, holds, "left").groupBy(value_id).agg(F.max(F.struct("start_date", "target")).alias("t"))
     return values.join(best, value_id).select(*values.columns, F.col("t.target").alias("target"), F.col("t.start_date").alias("target_start"))
+
+
+def metric_values(values: DataFrame, metrics: DataFrame, company, metric=None, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
+    """Values of a company's metrics with the metric's name, by period: oldest first in a range, else newest first."""
+    own = metrics.where(F.col("company_id") == company).select("metric_id", "metric_name")
+    found = values.join(own, "metric_id")
+    if metric is not None:
+        found = found.where(F.col("metric_id") == metric)
+    if start is not None and end is not None:
+        return found.where(F.col("period_date").between(F.lit(start), F.lit(end))).orderBy("period_date", "metric_id")
+    return found.orderBy(F.desc("period_date"), "metric_id")

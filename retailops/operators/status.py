@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .tables import search
+
 #: Severity of a status, the worst highest.
 SEVERITY = {"Offline": 5, "Error": 5, "Degraded": 4, "Maintenance": 3, "Unknown": 2, "Online": 1}
 #: Which status stands for an hour in which several were seen.
@@ -115,16 +117,73 @@ def incidents(history: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def freshness(tables: dict[str, tuple[DataFrame, str, int]], now: dt.datetime) -> DataFrame:
-    """For each table (frame, time column, most minutes): rows, newest time, age and state."""
+    """For each table (frame, time column, most minutes): rows, newest time, age and state.
+
+    Without any time a table is Degraded, as it is when its newest row is too old; a check that can't be made is an Error.
+    """
     out = None
     for name, (df, column, most) in tables.items():
-        age = F.floor((F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.max(column).cast("timestamp"))) / 60)
-        one = df.agg(F.count("*").alias("n_rows"), age.alias("age_minutes")).select(F.lit(name).alias("table_name"), "n_rows", "age_minutes", F.when(F.col("age_minutes").isNull(), "Error").when(F.col("age_minutes") > most, "Degraded").otherwise("Online").alias("state"))
+        if column in df.columns:
+            age = F.floor((F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.max(column).cast("timestamp"))) / 60)
+            found = df.agg(F.count("*").alias("n_rows"), age.alias("age_minutes"))
+            state = F.when(F.col("age_minutes").isNull() | (F.col("age_minutes") > most), "Degraded").otherwise("Online")
+        else:
+            found = df.sparkSession.range(1).select(F.lit(None).cast("long").alias("n_rows"), F.lit(None).cast("long").alias("age_minutes"))
+            state = F.lit("Error")
+        one = found.select(F.lit(name).alias("table_name"), "n_rows", "age_minutes", state.alias("state"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def _stale(cutoff: dt.datetime) -> Column:
+    return (F.col("status") == "Running") & (F.col("started_at") < F.lit(cutoff).cast("timestamp_ntz"))
+
+
 def fail_stale(runs: DataFrame, cutoff: dt.datetime) -> DataFrame:
     """Runs that have been Running since before the cutoff become Failed."""
-    stale = (F.col("status") == "Running") & (F.col("started_at") < F.lit(cutoff).cast("timestamp_ntz"))
-    return runs.withColumn("status", F.when(stale, "Failed").otherwise(F.col("status")))
+    return runs.withColumn("status", F.when(_stale(cutoff), "Failed").otherwise(F.col("status")))
+
+
+def fail_sources(sources: DataFrame, runs: DataFrame, cutoff: dt.datetime, now: dt.datetime) -> DataFrame:
+    """Sources (source_id, last_run_at, last_status) whose newest stale run is their latest activity become Failed at `now`."""
+    newest = runs.where(_stale(cutoff)).groupBy("source_id").agg(F.max("started_at").alias("_t"))
+    hit = F.col("_t").isNotNull() & (F.col("last_run_at").isNull() | (F.col("last_run_at") <= F.col("_t")))
+    changed = sources.join(newest, "source_id", "left").withColumns({"last_run_at": F.when(hit, F.lit(now).cast("timestamp_ntz")).otherwise(F.col("last_run_at")), "last_status": F.when(hit, F.lit("Failed")).otherwise(F.col("last_status"))})
+    return changed.select(*sources.columns)
+
+
+def live(rows: DataFrame) -> DataFrame:
+    """Rows that are not deleted softly; all of them where there is no such mark."""
+    return rows.where(~F.coalesce(F.col("is_deleted"), F.lit(False))) if "is_deleted" in rows.columns else rows
+
+
+def history_rows(history: DataFrame, entity=None, start: dt.datetime | None = None, end: dt.datetime | None = None, state: str | None = None, page: int = 1, page_size: int | None = None) -> DataFrame:
+    """Checks that are not deleted, from start to end, both included, newest first."""
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    found = live(history)
+    for test in (entity is not None and (F.col("entity_id") == entity), state and (F.col("status") == state), start and (F.col("checked_at") >= at(start)), end and (F.col("checked_at") <= at(end))):
+        found = found.where(test) if isinstance(test, Column) else found
+    found = found.orderBy(F.desc("checked_at"), F.desc("id"))
+    return found if page_size is None else found.offset((page - 1) * page_size).limit(page_size)
+
+
+def entity_search(entities: DataFrame, history: DataFrame, text: str | None = None, kind=None, active: bool | None = None, critical: bool | None = None, state: str | None = None, sort: str = "name", descending: bool = False, page: int = 1, page_size: int | None = None) -> DataFrame:
+    """Entities that are not deleted with their latest status (Unknown without checks), by a text in name, description, owner or location."""
+    found = live(entities).join(latest(live(history)).select("entity_id", "status"), "entity_id", "left").withColumn("status", F.coalesce("status", F.lit("Unknown")))
+    found = search(found, text.strip() if text else None, ("name", "description", "owner", "location"))
+    for column, value in (("entity_type", kind), ("is_active", active), ("is_critical", critical), ("status", state)):
+        found = found.where(F.col(column) == value) if value is not None else found
+    found = found.orderBy(F.desc(sort) if descending else F.asc(sort), "entity_id")
+    return found if page_size is None else found.offset((page - 1) * page_size).limit(page_size)
+
+
+def incident_search(incidents: DataFrame, entities: DataFrame, text: str | None = None, active_only: bool = False, severity: str | None = None, state: str | None = None, kind=None, sort: str = "started_at", descending: bool = True, page: int = 1, page_size: int | None = None) -> DataFrame:
+    """Incidents that are not deleted with their entity's name and type, by a text in title, description or that name."""
+    found = live(incidents).join(entities.select("entity_id", F.col("name").alias("entity_name"), "entity_type"), "entity_id", "left")
+    if active_only:
+        found = found.where("status <> 'Resolved'")
+    for column, value in (("severity", severity), ("status", state), ("entity_type", kind)):
+        found = found.where(F.col(column) == value) if value is not None else found
+    found = search(found, text.strip() if text else None, ("title", "description", "entity_name"))
+    found = found.orderBy(F.desc(sort) if descending else F.asc(sort), "incident_id")
+    return found if page_size is None else found.offset((page - 1) * page_size).limit(page_size)

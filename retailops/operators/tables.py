@@ -42,8 +42,10 @@ def metric_filters(df: DataFrame, filters: Sequence[dict]) -> DataFrame:
         if value in (None, ""):
             continue
         c, kind = F.col(f["column"]), df.schema[f["column"]].dataType
-        parts = [F.lit(x.strip()).cast(kind) for x in str(value).split(";")]
+        parts = [F.lit(x.strip()).cast(kind) for x in str(value).split(";") if x.strip()]
         op = f["operator"].upper()
+        if not parts:
+            continue
         if op == "BETWEEN" and len(parts) != 2:
             raise ValueError(f"BETWEEN takes two values: {value!r}")
         made = {
@@ -55,24 +57,33 @@ def metric_filters(df: DataFrame, filters: Sequence[dict]) -> DataFrame:
     return df
 
 
-def search(df: DataFrame, text: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows that have the text in any of the columns, ignoring case."""
-    hit = [F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(text.lower())) for c in columns or df.columns]
-    return df.where(reduce(Column.__or__, hit))
+def search(df: DataFrame, text: str | None, columns: Sequence[str] | None = None, each: dict[str, str] | None = None) -> DataFrame:
+    """Rows that have the text in any of the columns, and each further text in its own column, ignoring case; blank ones are skipped."""
+    has = lambda c, x: F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(x.lower()))
+    if text and text.strip():
+        df = df.where(reduce(Column.__or__, [has(c, text) for c in columns or df.columns]))
+    for c, x in (each or {}).items():
+        df = df.where(has(c, x)) if x and x.strip() else df
+    return df
+
+
+#: The columns that a search of the audit log looks at, as far as the log has them.
+AUDIT_TEXTS = ("user_name", "user_id", "action", "table_name", "query_text", "details", "message")
 
 
-def audit_search(df: DataFrame, company, text: str | None = None, equal: dict | None = None, start=None, end=None, columns: Sequence[str] = ("action", "details")) -> DataFrame:
-    """Audit rows of one company, newest first; without a company no rows."""
+def audit_search(df: DataFrame, company, text: str | None = None, equal: dict | None = None, start=None, end=None, columns: Sequence[str] = AUDIT_TEXTS, page: int = 1, page_size: int | None = None) -> DataFrame:
+    """Audit rows of one company from start to end, both included, newest first; without a company no rows."""
     if company in (None, ""):
         return df.limit(0)
     df = df.where(F.col("company_id") == company)
     for c, v in (equal or {}).items():
-        df = df.where(F.col(c) == v)
+        df = df.where(F.col(c) == v) if v not in (None, "") else df
     if start is not None:
         df = df.where(F.col("event_time") >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
-        df = df.where(F.col("event_time") < F.lit(end).cast("timestamp_ntz"))
-    return (search(df, text, columns) if text else df).orderBy(F.desc("event_time"), "event_id")
+        df = df.where(F.col("event_time") <= F.lit(end).cast("timestamp_ntz"))
+    found = search(df, text, [c for c in columns if c in df.columns]).orderBy(F.desc("event_time"), "event_id")
+    return found if page_size is None else found.offset((page - 1) * page_size).limit(page_size)
 
 
 def audit_stats(df: DataFrame) -> DataFrame:
@@ -99,9 +110,9 @@ def running_total(df: DataFrame, order: str, value: str, by: Sequence[str] = ())
     sums = df.groupBy(*by, order).agg(F.sum(value).alias("_v"))
     if by:
         return sums.select(*by, order, F.sum("_v").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)).alias("running"))
-    parts = sums.repartitionByRange(order).withColumn("_p", F.spark_partition_id()).persist()
-    totals = parts.groupBy("_p").agg(F.sum("_v").alias("_t"))
-    before = totals.alias("a").join(totals.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_p")).agg(F.coalesce(F.sum("b._t"), F.lit(0.0)).alias("_b"))
+    parts = sums.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
+    # one row a range: few enough for one sort and one broadcast
+    before = parts.groupBy("_p").agg(F.sum("_v").alias("_t")).select("_p", (F.sum("_t").over(Window.orderBy("_p")) - F.col("_t")).alias("_b"))
     own = F.sum("_v").over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return parts.withColumn("_own", own).join(F.broadcast(before), "_p").select(order, (F.col("_own") + F.col("_b")).alias("running"))
 
@@ -129,5 +140,11 @@ def statistics(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def dataset_totals(stats: DataFrame) -> DataFrame:
+    """Tables, rows and columns of the tables of `statistics`, and a state: empty without tables or rows, else ready."""
+    total = stats.agg(F.count("*").alias("n_tables"), F.coalesce(F.sum("n_rows"), F.lit(0)).cast("long").alias("n_rows"), F.coalesce(F.sum("n_columns"), F.lit(0)).cast("long").alias("n_columns"))
+    return total.withColumn("state", F.when(F.col("n_rows") > 0, "ready").otherwise("empty"))
+
+
 def _family(kind: str) -> str:
     return "text" if kind == "string" else "num" if kind.startswith(("int", "bigint", "double", "float", "decimal", "small", "tiny")) else "date" if kind.startswith(("date", "timestamp")) else "bool" if kind == "boolean" else "other"

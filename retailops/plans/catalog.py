@@ -365,9 +365,18 @@ def _(t):
     return status.hourly(t("status_history"), dt.datetime(2024, 1, 28), 72)
 
 
-@query("a36_freshness", "SELECT 'events' AS table_name, count(*) AS n_rows, CAST(floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(max(ts)))) / 60) AS BIGINT) AS age_minutes, CASE WHEN floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(max(ts)))) / 60) > 60 THEN 'Degraded' ELSE 'Online' END AS state FROM events UNION ALL SELECT 'orders', count(*), CAST(floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(max(o_orderdate))) / 60) AS BIGINT), CASE WHEN floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(max(o_orderdate))) / 60) > 100000000 THEN 'Degraded' ELSE 'Online' END FROM orders")
+_FRESH = "TIMESTAMP '2024-01-31 00:00:00'"
+
+
+@query(
+    "a36_freshness",
+    f"""SELECT 'events' AS table_name, count(*) AS n_rows, CAST(floor((epoch({_FRESH}) - floor(epoch(max(ts)))) / 60) AS BIGINT) AS age_minutes, CASE WHEN floor((epoch({_FRESH}) - floor(epoch(max(ts)))) / 60) > 60 THEN 'Degraded' ELSE 'Online' END AS state FROM events
+UNION ALL SELECT 'orders', count(*), CAST(floor((epoch({_FRESH}) - epoch(max(o_orderdate))) / 60) AS BIGINT), CASE WHEN floor((epoch({_FRESH}) - epoch(max(o_orderdate))) / 60) > 100000000 THEN 'Degraded' ELSE 'Online' END FROM orders
+UNION ALL SELECT 'no_times', count(*), NULL, 'Degraded' FROM customer UNION ALL SELECT 'no_column', NULL, NULL, 'Error'""",
+)
 def _(t):
-    return status.freshness({"events": (t("events"), "ts", 60), "orders": (t("orders"), "o_orderdate", 100_000_000)}, dt.datetime(2024, 1, 31))
+    untimed = t("customer").select(F.lit(None).cast("timestamp_ntz").alias("at"))
+    return status.freshness({"events": (t("events"), "ts", 60), "orders": (t("orders"), "o_orderdate", 100000000), "no_times": (untimed, "at", 60), "no_column": (t("part"), "at", 60)}, dt.datetime(2024, 1, 31))
 
 
 @query("a37_stale_runs", "SELECT event_id, CASE WHEN event_type = 'view' AND ts < TIMESTAMP '2024-01-10 00:00:00' THEN 'Failed' WHEN event_type = 'view' THEN 'Running' ELSE 'Done' END AS status FROM events")
@@ -470,7 +479,7 @@ def _(t):
     return tables.metric_filters(t("orders"), [{"column": "o_totalprice", "operator": "BETWEEN", "value": "1000;100000"}, {"column": "o_orderpriority", "operator": "IN", "value": "1-URGENT; 5-LOW"}, {"column": "o_orderstatus", "operator": "NOT IN", "default": "P"}, {"column": "o_orderpriority", "operator": "LIKE", "value": "-"}, {"column": "o_orderkey", "operator": "=", "value": ""}]).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
-@query("f4_audit_search", f"{ctes('audit')} SELECT event_id, action FROM audit WHERE company_id = 1 AND success AND event_time >= TIMESTAMP '2024-01-05 00:00:00' AND event_time < TIMESTAMP '2024-01-20 00:00:00' AND (lower(action) LIKE '%click%' OR lower(details) LIKE '%click%')")
+@query("f4_audit_search", f"{ctes('audit')} SELECT event_id, action FROM audit WHERE company_id = 1 AND success AND event_time >= TIMESTAMP '2024-01-05 00:00:00' AND event_time <= TIMESTAMP '2024-01-20 00:00:00' AND (lower(action) LIKE '%click%' OR lower(details) LIKE '%click%' OR CAST(user_id AS VARCHAR) LIKE '%click%')")
 def _(t):
     return tables.audit_search(t("audit"), 1, "CLICK", {"success": True}, dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 20)).select("event_id", "action")
 
@@ -558,12 +567,18 @@ def _(t):
     return ingest.upsert_counts(o, d, ["o_orderkey"])
 
 
-@query("io17_change_set", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 1 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer WHERE c_custkey % 10 <> 2 UNION ALL SELECT c_custkey + 1000000, c_mktsegment, NULL FROM customer WHERE c_custkey % 10 = 3")
+@query(
+    "io17_change_set",
+    """SELECT c_custkey, CASE c_custkey % 10 WHEN 1 THEN 'NEW' WHEN 4 THEN NULL WHEN 5 THEN '' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 10 IN (1, 4) THEN NULL WHEN c_custkey % 10 = 5 THEN 2.5 ELSE c_acctbal END AS c_acctbal
+FROM customer WHERE c_custkey % 10 <> 2 UNION ALL SELECT c_custkey + 1000000, c_mktsegment, NULL FROM customer WHERE c_custkey % 10 = 3""",
+)
 def _(t):
     c = t("customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    updates = c.where("c_custkey % 10 = 1").select("c_custkey", F.lit("NEW").alias("c_mktsegment"), F.lit("").alias("c_acctbal"), F.lit(1).alias("nothing"))
+    last = F.expr("CASE c_custkey % 10 WHEN 1 THEN 'NEW' WHEN 5 THEN '' END")
+    updates = c.where("c_custkey % 10 IN (1, 4, 5)").select("c_custkey", last.alias("c_mktsegment"), F.expr("CASE c_custkey % 10 WHEN 1 THEN '' WHEN 5 THEN '2.5' END").alias("c_acctbal"), F.lit(1).alias("nothing"), F.lit(2).alias("step"))
+    before = updates.withColumns({"c_mktsegment": F.lit("OLD"), "step": F.lit(1)})
     inserts = c.where("c_custkey % 10 = 3").select((F.col("c_custkey") + 1000000).alias("c_custkey"), "c_mktsegment", F.lit("").alias("c_acctbal"))
-    return ingest.apply_changes(c, "c_custkey", updates, c.where("c_custkey % 10 = 2"), inserts)
+    return ingest.apply_changes(c, "c_custkey", before.unionByName(updates), c.where("c_custkey % 10 = 2"), inserts, order="step")
 
 
 @query("io10_incremental", "SELECT o_orderkey FROM orders WHERE o_orderkey > 1000")
@@ -614,9 +629,13 @@ def _(t):
     return t("orders").select("o_orderkey", exprs.month_number(F.date_format("o_orderdate", "MMMM")).alias("month_no"))
 
 
-@query("x8_kpi_names", "SELECT p_name, 'num' AS unit, 'up' AS direction FROM part")
+@query(
+    "x8_kpi_names",
+    f"""{ctes("kpi_name")} SELECT p_partkey, CASE WHEN regexp_matches(lower(kpi), '%|ratio|margin|contribution|rate|percent') THEN '%' WHEN regexp_matches(lower(kpi), 'time|days|delivery') THEN 'days' ELSE 'num' END AS unit,
+CASE WHEN p_partkey % 16 IN (2, 3, 4, 6, 7, 8, 9, 10, 11, 12) THEN 'down' ELSE 'up' END AS direction FROM kpi_name""",
+)
 def _(t):
-    return t("part").select("p_name", exprs.kpi_unit(F.col("p_name")).alias("unit"), exprs.kpi_direction(F.col("p_name")).alias("direction"))
+    return t("kpi_name").select("p_partkey", exprs.kpi_unit(F.col("kpi")).alias("unit"), exprs.kpi_direction(F.col("kpi")).alias("direction"))
 
 
 @query("g3_hours_between", "SELECT event_id, date_diff('hour', ts, ts + INTERVAL 90 MINUTE) AS hrs FROM events")
@@ -642,3 +661,119 @@ def _(t):
     from ..streaming.jobs import hourly_sales
 
     return hourly_sales(t("events"))
+
+
+# --- searches ------------------------------------------------------------------------------------------------------------
+
+_NEWEST = "last AS (SELECT entity_id, status FROM status_history QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY checked_at DESC, id DESC) = 1)"
+
+
+@query(
+    "f5_entity_search",
+    f"""{ctes("asset", "status_history")}, {_NEWEST} SELECT a.entity_id, name, coalesce(status, 'Unknown') AS status FROM asset a LEFT JOIN last USING (entity_id) WHERE NOT is_deleted AND is_active
+AND (lower(name) LIKE '%7%' OR lower(coalesce(description, '')) LIKE '%7%' OR lower(owner) LIKE '%7%' OR lower(location) LIKE '%7%')""",
+)
+def _(t):
+    return status.entity_search(t("asset"), t("status_history"), " 7 ", active=True).select("entity_id", "name", "status")
+
+
+@query("f5_entities_of_a_status", f"{ctes('asset', 'status_history')}, {_NEWEST} SELECT a.entity_id FROM asset a LEFT JOIN last USING (entity_id) WHERE NOT is_deleted AND is_critical AND entity_type = 2 AND coalesce(status, 'Unknown') = 'Online' ORDER BY name DESC, entity_id LIMIT 10 OFFSET 10")
+def _(t):
+    return status.entity_search(t("asset"), t("status_history"), kind=2, critical=True, state="Online", descending=True, page=2, page_size=10).select("entity_id")
+
+
+@query(
+    "f6_incident_search",
+    f"""{ctes("asset_incident", "asset")} SELECT incident_id, name AS entity_name FROM asset_incident LEFT JOIN asset USING (entity_id) WHERE NOT asset_incident.is_deleted AND status <> 'Resolved' AND severity = 'High' AND entity_type = 3
+AND (lower(title) LIKE '%error%' OR lower(asset_incident.description) LIKE '%error%' OR lower(name) LIKE '%error%')""",
+)
+def _(t):
+    return status.incident_search(t("asset_incident"), t("asset"), "Error", True, "High", kind=3).select("incident_id", "entity_name")
+
+
+@query("f8_live_history", f"{ctes('status_history')} SELECT id, entity_id FROM status_history WHERE id % 10 <> 0 AND status = 'Error' AND checked_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25'")
+def _(t):
+    marked = t("status_history").withColumn("is_deleted", F.expr("CASE WHEN id % 10 = 0 THEN true WHEN id % 10 = 1 THEN NULL ELSE false END"))
+    return status.history_rows(marked, start=dt.datetime(2024, 1, 5), end=dt.datetime(2024, 1, 25), state="Error").select("id", "entity_id")
+
+
+@query("j14_metric_values", f"{ctes('metric', 'metric_value')} SELECT metric_id, metric_name, period_date, value FROM metric_value JOIN metric USING (metric_id) WHERE company_id = 1 AND period_date BETWEEN DATE '1997-01-01' AND DATE '1997-03-31'")
+def _(t):
+    return kpi.metric_values(t("metric_value"), t("metric"), 1, start=dt.date(1997, 1, 1), end=dt.date(1997, 3, 31)).select("metric_id", "metric_name", "period_date", "value")
+
+
+@query("f11_column_filters", "SELECT c_custkey FROM customer WHERE (lower(c_name) LIKE '%1%' OR lower(c_mktsegment) LIKE '%1%') AND lower(c_mktsegment) LIKE '%build%' AND CAST(c_nationkey AS VARCHAR) LIKE '%2%'")
+def _(t):
+    return tables.search(t("customer"), "1", ["c_name", "c_mktsegment"], {"c_mktsegment": "Build", "c_nationkey": "2", "c_name": " "}).select("c_custkey")
+
+
+# --- more of the feed, tills and orders ------------------------------------------------------------------------------------
+
+
+@query(
+    "a15_chain_sales",
+    f"""{ctes("till_line", "till_header", "till_category")} SELECT store_no, division_name, category_name, max(hour) AS hour, round(-sum(net_amount / rate), 4) AS net_amount_acy, count(*) AS lines
+FROM till_line JOIN till_header USING (store_no, pos_terminal_no, transaction_no) LEFT JOIN till_category USING (item_category_code) WHERE wastage = 0 AND transaction_type = 2 GROUP BY 1, 2, 3""".replace("net_amount / rate", "CAST(net_amount AS DOUBLE) / rate"),
+)
+def _(t):
+    lines = t("till_line").withColumn("net_amount", F.col("net_amount").cast("double"))
+    return feed.chain_sales(lines, t("till_header"), t("till_category"))
+
+
+@query("a16_online_orders", f"{ctes('order_line')} SELECT scheme, store, hour, round(sum(CASE WHEN currency = 'LBP' THEN amount / 89700.0 ELSE amount END), 2) AS net, count(DISTINCT order_no) AS orders FROM order_line GROUP BY 1, 2, 3")
+def _(t):
+    return feed.online_orders(t("order_line"), "scheme", "store", "hour")
+
+
+_FEED_STATE = "cur AS (SELECT * FROM feed WHERE day = DATE '2024-01-30' QUALIFY rank() OVER (PARTITION BY store_code, scheme, division_name, category_name ORDER BY received_at DESC) = 1)"
+
+
+@query("a20_store_in_focus", f"{ctes('feed')}, {_FEED_STATE}, s AS (SELECT CAST(division_name AS VARCHAR) AS division_name, CAST(category_name AS VARCHAR) AS category_name, round(sum(net_amount_acy), 2) AS sales, CAST(sum(total_transactions) AS BIGINT) AS tx, count(*) AS n FROM cur WHERE store_code = (SELECT min(store_code) FROM cur) GROUP BY 1, 2) SELECT * FROM s WHERE division_name = (SELECT division_name FROM s GROUP BY 1 ORDER BY sum(sales) DESC, 1 LIMIT 1)")
+def _(t):
+    state = feed.current(t("feed"), DAY)
+    first = state.agg(F.min("store_code").alias("store_code"))
+    return feed.store_in_focus(state.join(F.broadcast(first), "store_code", "left_semi"), F.col("store_code"))
+
+
+@query("a21_last_hour_rows", f"{ctes('feed')}, {_FEED_STATE} SELECT store_code, scheme, hour, round(sum(net_amount_acy), 2) AS sales, CAST(sum(total_transactions) AS BIGINT) AS tx, round(sum(net_amount_acy) / sum(total_transactions), 2) AS avg_basket FROM (SELECT *, max(hour) OVER (PARTITION BY store_code, scheme) AS last FROM cur) WHERE hour = last GROUP BY 1, 2, 3")
+def _(t):
+    return feed.last_hour_rows(t("feed"), DAY)
+
+
+@query("f7_feed_rows", f"{ctes('feed')} SELECT event_id FROM feed WHERE scheme = 'click' AND hour BETWEEN 8 AND 12 AND store_code % 4 = 1 AND event_id % 3 <> 0")
+def _(t):
+    rows = t("feed").withColumns({"company_id": F.expr("store_code % 4"), "is_processed": F.expr("CASE WHEN event_id % 3 = 0 THEN true WHEN event_id % 3 = 1 THEN false END")})
+    return feed.select(rows, scheme="click", hours=(8, 12), company=1, unprocessed=True).select("event_id")
+
+
+@query(
+    "a37_failed_sources",
+    f"""{ctes("ingestion_source", "ingestion_run")}, n AS (SELECT source_id, max(started_at) AS t FROM ingestion_run WHERE status = 'Running' AND started_at < TIMESTAMP '2024-01-25' GROUP BY 1)
+SELECT source_id, CASE WHEN t IS NOT NULL AND (last_run_at IS NULL OR last_run_at <= t) THEN TIMESTAMP '2024-02-01' ELSE last_run_at END AS last_run_at, CASE WHEN t IS NOT NULL AND (last_run_at IS NULL OR last_run_at <= t) THEN 'Failed' ELSE last_status END AS last_status FROM ingestion_source LEFT JOIN n USING (source_id)""",
+)
+def _(t):
+    return status.fail_sources(t("ingestion_source"), t("ingestion_run"), dt.datetime(2024, 1, 25), dt.datetime(2024, 2, 1))
+
+
+@query(
+    "j11_dependency_tree",
+    f"""{ctes("critical_dependency", "entity", "status_history").replace("WITH ", "WITH RECURSIVE ", 1)}, {_NEWEST},
+up(root, node, level) AS (SELECT entity_id, entity_id, 0 FROM entity WHERE entity_id <= 50 UNION SELECT root, depends_on, level + 1 FROM up JOIN critical_dependency d ON d.entity_id = node WHERE level < 6),
+down(root, node, level) AS (SELECT entity_id, entity_id, 0 FROM entity WHERE entity_id <= 50 UNION SELECT root, d.entity_id, level + 1 FROM down JOIN critical_dependency d ON d.depends_on = node WHERE level < 6),
+u AS (SELECT root, node, min(level) AS level FROM up GROUP BY 1, 2), w AS (SELECT root, node, min(level) AS level FROM down GROUP BY 1, 2),
+x AS (SELECT a.root, 'dependency' AS direction, a.node AS entity_id, a.level - 1 AS level, bool_or(d.is_critical) AS is_critical FROM u a JOIN critical_dependency d ON d.depends_on = a.node JOIN u b ON b.root = a.root AND b.node = d.entity_id AND b.level = a.level - 1 GROUP BY 1, 2, 3, 4
+UNION ALL SELECT a.root, 'dependent', a.node, a.level - 1, bool_or(d.is_critical) FROM w a JOIN critical_dependency d ON d.entity_id = a.node JOIN w b ON b.root = a.root AND b.node = d.depends_on AND b.level = a.level - 1 GROUP BY 1, 2, 3, 4)
+SELECT root, direction, x.entity_id, CAST(level AS INTEGER) AS level, entity_type, coalesce(status, 'Unknown') AS status, x.is_critical FROM x JOIN entity USING (entity_id) LEFT JOIN last USING (entity_id)""",
+)
+def _(t):
+    return graph.tree(t("critical_dependency"), t("entity"), status.latest(t("status_history")), t("entity").where("entity_id <= 50").select("entity_id"))
+
+
+@query("io19_inventory_export", f"{ctes('item_location', 'item_details')} SELECT item_no, location_code, description, category_code FROM item_location LEFT JOIN item_details USING (item_no) ORDER BY item_no, location_code LIMIT 1000000")
+def _(t):
+    return inventory.export_rows(t("item_location"), t("item_details"), ["description", "category_code"])
+
+
+@query("a40_dataset_totals", "SELECT CAST(2 AS BIGINT) AS n_tables, (SELECT count(*) FROM orders) + (SELECT count(*) FROM part) AS n_rows, CAST(12 AS BIGINT) AS n_columns, 'ready' AS state")
+def _(t):
+    return tables.dataset_totals(tables.statistics({"orders": t("orders"), "part": t("part")}))

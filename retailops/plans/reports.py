@@ -26,6 +26,7 @@ class Report:
     having: str | None = None
     order: tuple[tuple[str, bool], ...] = ()  # (column, descending)
     top: int | None = None
+    newest: str | None = None  # only rows of the greatest value of this column
     extra: dict[str, Expr] = field(default_factory=dict)  # columns over keys and measures
 
 
@@ -36,6 +37,8 @@ def _pick(e: Expr, k: int) -> str:
 def report(rows: DataFrame, spec: Report) -> DataFrame:
     """The report over rows that are joined already."""
     expr = lambda e: F.expr(_pick(e, 0))
+    if spec.newest:
+        rows = rows.join(F.broadcast(rows.agg(F.max(spec.newest).alias(spec.newest))), spec.newest, "left_semi")
     out = rows.where(expr(spec.where)).groupBy(*(expr(e).alias(k) for k, e in spec.keys.items())).agg(*(expr(e).alias(k) for k, e in spec.measures.items()))
     if spec.extra:
         out = out.withColumns({k: expr(e) for k, e in spec.extra.items()})
@@ -60,7 +63,8 @@ def sql(spec: Report) -> str:
     measures = [f"{d(e)} AS {k}" for k, e in spec.measures.items()]
     tables = spec.role + "".join(f" {kind.upper()} JOIN {name} ON {condition}" for name, condition, kind in spec.joins)
     group = f" GROUP BY {', '.join(d(e) for e in spec.keys.values())}" if keys else ""
-    inner = f"SELECT {', '.join(keys + measures)} FROM {tables} WHERE {d(spec.where)}{group}"
+    newest = f" AND {spec.newest} = (SELECT max({spec.newest}) FROM {spec.role})" if spec.newest else ""
+    inner = f"SELECT {', '.join(keys + measures)} FROM {tables} WHERE ({d(spec.where)}){newest}{group}"
     outer = f"SELECT *{''.join(f', {d(e)} AS {k}' for k, e in spec.extra.items())} FROM ({inner})"
     tail = f" WHERE {spec.having}" if spec.having else ""
     order = f" ORDER BY {', '.join(c + (' DESC' if x else '') for c, x in spec.order)}" if spec.order else ""
@@ -71,10 +75,6 @@ def money(x: str) -> str:
     return f"CAST(round(sum({x}), 2) AS DOUBLE)"
 
 
-def pct(a: str, b: str) -> str:
-    return f"round({a} * 100.0 / nullif({b}, 0), 2)"
-
-
 _SALES = "company_id = 'A' AND date BETWEEN DATE '2000-06-01' AND DATE '2000-06-30'"
 _QUARTER = "posting_date BETWEEN DATE '2000-04-01' AND DATE '2000-06-30'"
 _STORE = (("store", "store_code = code", "left"),)
@@ -92,8 +92,8 @@ REPORTS: dict[str, Report] = {
     "c9_locations": Report("profitability", {"location_code": "location_code"}, {"net": money("net_profit")}, _QUARTER, order=(("net", True), ("location_code", False)), top=20),
     "c10_least_profitable": Report("profitability", {"item_no": "item_no"}, {"amount": money("amount_ac"), "net": money("net_profit")}, _QUARTER, having="amount > 0", order=(("net", False), ("item_no", False)), top=20),
     "c11_fill_rate": Report("oos", {"as_of_date": "as_of_date"}, {"fill": "round(avg(fill_rate), 2)", "lost": money("lost"), "out_lines": "count_if(state = 'out')"}, order=(("as_of_date", False),)),
-    "c12_oos_region": Report("oos", {"region": "region", "store": "store"}, {"n": "count(*)", "lost": money("lost")}, "as_of_date = DATE '2000-06-30'", order=(("n", True), ("region", False), ("store", False)), top=30),
-    "c13_oos_items": Report("oos", {"item_no": "item_no"}, {"lost": money("lost"), "longest": "max(days_out)"}, "as_of_date = DATE '2000-06-30'", order=(("lost", True), ("item_no", False)), top=25),
+    "c12_oos_region": Report("oos", {"region": "region", "store": "store"}, {"n": "count(*)", "lost": money("lost")}, newest="as_of_date", order=(("n", True), ("region", False), ("store", False)), top=30),
+    "c13_oos_items": Report("oos", {"item_no": "item_no"}, {"lost": money("lost"), "longest": "max(days_out)"}, newest="as_of_date", order=(("lost", True), ("item_no", False)), top=25),
     "c14_days_out": Report("oos", {"bucket": "CASE WHEN days_out <= 0 THEN '0' WHEN days_out <= 2 THEN '1-2' WHEN days_out <= 7 THEN '3-7' WHEN days_out <= 14 THEN '8-14' ELSE '15+' END"}, {"n": "count(*)"}),
     "c15_movements": Report("ledger", {"entry_type": "entry_type"}, {"qty": money("quantity"), "cost": money("cost_amount_ac"), "n": "count(*)"}, _QUARTER),
     "c16_daily_cost": Report("ledger", {"posting_date": "posting_date", "category": "category_code"}, {"cost": money("cost_amount_ac")}, "posting_date BETWEEN DATE '2000-06-24' AND DATE '2000-06-30'", (("item_dim", "item_no = dim_item_no", "left"),), order=(("posting_date", False), ("category", False))),

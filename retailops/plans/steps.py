@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from graphlib import CycleError, TopologicalSorter
@@ -46,8 +47,12 @@ def with_parameters(spark: SparkSession, sql: str, parameters: dict[str, object]
     return spark.sql(re.sub(r"\{\{\s*(\w+)\s*\}\}", r":\1", sql), args={n: parameters[n] for n in names})
 
 
-def run(spark: SparkSession, steps: Sequence[Step], parameters: dict[str, object] | None = None, count: bool = True) -> list[Outcome]:
-    """Runs the steps in order; each result is a view under the step's name. The first failure skips all that follow."""
+def run(spark: SparkSession, steps: Sequence[Step], parameters: dict[str, object] | None = None, folder: str | None = None) -> list[Outcome]:
+    """Runs the steps in order; each result is a view under the step's name. The first failure skips all that follow.
+
+    With a folder each result is written there once and the view reads it, so no step is computed again by a later one; without,
+    a result is a view only, and its rows are counted.
+    """
     out: list[Outcome] = []
     for step in order(steps):
         if out and out[-1].status != "done":
@@ -55,8 +60,12 @@ def run(spark: SparkSession, steps: Sequence[Step], parameters: dict[str, object
             continue
         try:
             df = with_parameters(spark, step.sql, parameters or {})
+            if folder:
+                path = f"{folder.rstrip('/')}/{step.name}-{uuid.uuid4().hex}"
+                df.write.parquet(path)
+                df = spark.read.schema(df.schema).parquet(path)
             df.createOrReplaceTempView(step.name)
-            out.append(Outcome(step.name, "done", df.count() if count else None))
+            out.append(Outcome(step.name, "done", df.count()))
         except Exception as e:  # noqa: BLE001  reported as the step's outcome
             out.append(Outcome(step.name, "failed", error=str(e).split("\n")[0]))
     return out

@@ -61,6 +61,25 @@ ROLES: dict[str, str] = {
         last_day(CAST(l_shipdate AS DATE)) AS as_of_date, CAST(max(l_linenumber) AS BIGINT) AS days_out, CAST(round(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))), 2) AS DOUBLE) AS lost, min(100 - 5 * l_linenumber) AS fill_rate,
         CASE min(l_returnflag) WHEN 'A' THEN 'out' WHEN 'R' THEN 'low' ELSE 'restocking' END AS state
         FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey GROUP BY p_brand, s_suppkey, l_partkey, last_day(CAST(l_shipdate AS DATE))""",
+    "asset": """SELECT user_id AS entity_id, concat('Asset ', user_id) AS name, CASE WHEN user_id % 4 = 0 THEN NULL ELSE concat('Runs ', user_id % 9) END AS description, concat('Team ', user_id % 5) AS owner,
+        CASE WHEN user_id % 6 = 0 THEN 'Plant 7' ELSE 'Office' END AS location, user_id % 7 + 1 AS entity_type, user_id % 8 <> 0 AS is_active, user_id % 3 = 0 AS is_critical, user_id % 11 = 0 AS is_deleted FROM (SELECT DISTINCT user_id FROM {events})""",
+    "asset_incident": """SELECT event_id AS incident_id, user_id AS entity_id, concat('Check of ', event_type) AS title, CASE WHEN value > 50 THEN 'Slow answer' ELSE 'No answer' END AS description, ts AS started_at,
+        CASE WHEN user_id % 2 = 0 THEN 'Open' WHEN user_id % 5 = 0 THEN 'Investigating' ELSE 'Resolved' END AS status, CASE WHEN value > 80 THEN 'High' ELSE 'Medium' END AS severity, event_id % 13 = 0 AS is_deleted FROM {events}""",
+    "metric": "SELECT c_nationkey AS metric_id, concat('Metric ', c_nationkey) AS metric_name, c_nationkey % 3 AS company_id FROM {customer} GROUP BY c_nationkey",
+    "metric_value": "SELECT c_nationkey AS metric_id, CAST(o_orderdate AS DATE) AS period_date, CAST(round(sum(o_totalprice), 2) AS DOUBLE) AS value FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_nationkey, CAST(o_orderdate AS DATE)",
+    "till_line": """SELECT l_suppkey AS store_no, l_linestatus AS pos_terminal_no, l_orderkey AS transaction_no, l_partkey % 12 AS item_category_code, l_linenumber + 8 AS hour,
+        CAST(-l_extendedprice AS DECIMAL(18,4)) AS net_amount FROM {lineitem}""",
+    "till_header": """SELECT DISTINCT l_suppkey AS store_no, l_linestatus AS pos_terminal_no, o_orderkey AS transaction_no, o_orderkey % 9 = 0 AS is_waste, CASE WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END AS wastage,
+        CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 2 END AS transaction_type, 1000 + o_custkey % 7 AS rate FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey""",
+    "till_category": "SELECT p_partkey % 12 AS item_category_code, concat('Category ', p_partkey % 12) AS category_name, concat('Division ', p_partkey % 12 % 3) AS division_name FROM {part} WHERE p_partkey % 12 <> 5 GROUP BY p_partkey % 12",
+    "order_line": """SELECT n_name AS scheme, l_suppkey AS store, hour(l_shipdate) AS hour, CASE WHEN l_returnflag = 'N' THEN 'LBP' ELSE 'USD' END AS currency, l_extendedprice AS amount, l_orderkey AS order_no
+        FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey""",
+    "ingestion_run": "SELECT event_id AS run_id, user_id AS source_id, ts AS started_at, CASE WHEN event_type = 'click' THEN 'Running' ELSE 'Success' END AS status FROM {events}",
+    "ingestion_source": "SELECT user_id AS source_id, CASE WHEN user_id % 5 = 0 THEN NULL ELSE max(ts) END AS last_run_at, 'Success' AS last_status FROM {events} WHERE event_type <> 'click' OR user_id % 2 = 0 GROUP BY user_id",
+    "critical_dependency": """SELECT user_id AS entity_id, user_id // 2 AS depends_on, user_id % 4 = 0 AS is_critical FROM (SELECT DISTINCT user_id FROM {events}) a WHERE user_id > 0 AND user_id <= 200
+        UNION SELECT user_id, user_id // 3, user_id % 6 = 0 FROM (SELECT DISTINCT user_id FROM {events}) b WHERE user_id > 0 AND user_id <= 200""",
+    "kpi_name": """SELECT p_partkey, concat(CASE p_partkey % 16 WHEN 0 THEN 'Gross Margin ' WHEN 1 THEN 'Growth % ' WHEN 2 THEN 'Lead Time ' WHEN 3 THEN 'Days of Stock ' WHEN 4 THEN 'Unit Cost ' WHEN 5 THEN 'Delivery Delay ' WHEN 6 THEN 'Return Ratio '
+        WHEN 7 THEN 'Wastage ' WHEN 8 THEN 'Shrinkage ' WHEN 9 THEN 'Staff Turnover ' WHEN 10 THEN 'Downtime ' WHEN 11 THEN 'Complaint Count ' WHEN 12 THEN 'Stock IN TRANSIT ' WHEN 13 THEN 'Contribution ' WHEN 14 THEN 'Fill Percent ' ELSE 'Sales ' END, p_partkey) AS kpi FROM {part}""",
     "audit": """SELECT event_id, ts AS event_time, user_id, event_type AS action, event_type <> 'error' AS success, value AS duration_ms, props AS details, user_id % 4 AS company_id FROM {events}""",
 }
 _DIALECT = ((r"//", " div "),)

@@ -29,7 +29,9 @@ def test_hours_count_boundaries(spark):
 
 def test_labels_and_names(spark):
     assert tuple(one(spark, exprs.label(F.lit(""), F.lit(None)), exprs.label(F.lit("  "), F.lit("b"), trim=True), exprs.label(F.lit(" ")))) == ("Unknown", "b", " ")
-    assert exprs.normal_name("Mrp (LBP)") == "mrp__lbp_" and exprs.column_name("1st") == "col_1st" and exprs.column_name("Sr.No") == "Sr_No"
+    assert exprs.normal_name("Mrp (LBP)") == "mrp__lbp_" and exprs.column_name("1st") == "col_1st" and exprs.column_name("Sr.No") == "sr_no"
+    assert [exprs.column_name(x) for x in ("", "Total Sales", "_x")] == ["column", "total_sales", "_x"]
+    assert [exprs.type_by_name(x) for x in ("unit_rate", "Active", "note", "this_year", "is_new", "percent_off", "qty")] == ["decimal(18,2)", "boolean", "string", "string", "boolean", "decimal(18,2)", "string"]
     assert exprs.type_by_name("unit_price") == "decimal(18,2)" and exprs.type_by_name("ship_date") == "timestamp"
     assert tuple(one(spark, exprs.month_number(F.lit("SEPTEMBER")), exprs.month_number(F.lit("xx")))) == (9, None)
     assert tuple(one(spark, exprs.kpi_unit(F.lit("Return Rate")), exprs.kpi_unit(F.lit("Lead Time")), exprs.kpi_direction(F.lit("Return Rate")), exprs.kpi_direction(F.lit("Sales")))) == ("%", "days", "down", "up")
@@ -118,7 +120,7 @@ def test_newest_feed_rows_with_ties_and_time_zones(spark):
 
 def test_online_orders(spark):
     pages = spark.createDataFrame([([("W1", 89700.0, ("LBP", "o1")), ("W1", 2.0, ("USD", "o1"))],)], "value array<struct<ShippingWarehouseId string, LineAmount double, SalesOrderHeader struct<CurrencyCode string, SalesOrderNumber string>>>")
-    assert tuple(feed.online_orders(pages).first()) == ("W1", 3.0, 1)
+    assert tuple(feed.online_orders(feed.order_lines(pages)).first()) == ("W1", 3.0, 1)
 
 
 def test_oos_trend_is_null_after_the_day(spark):
@@ -146,6 +148,51 @@ def test_validation_and_typing(spark):
         ingest.typed(staged, kind, strict=True).collect()
 
 
+def test_change_sets(spark):
+    target = spark.createDataFrame([(1, 5.0, "a"), (2, 6.0, "b")], "k long, x double, s string")
+    new = spark.createDataFrame([(1, "", None), (3, "7", "c")], "k long, x string, s string")
+    assert sorted(map(tuple, ingest.apply_changes(target, "k", new).collect())) == [(1, None, None), (2, 6.0, "b")]
+    some = spark.createDataFrame([(1, None, "z", ["s"], 1), (1, "8", "y", ["x"], 2), (2, "1", "q", None, 1)], "k long, x string, s string, given array<string>, step int")
+    assert sorted(map(tuple, ingest.apply_changes(target, "k", some, order="step", assigned="given").collect())) == [(1, 8.0, "a"), (2, 6.0, "b")]
+    with pytest.raises(Exception, match="several updates"):
+        ingest.apply_changes(target, "k", some.select("k", "x")).collect()
+
+
+def test_inspection_of_an_upload(spark):
+    staged = spark.createDataFrame([(str(k % 90), f"bad{k % 20:02}", "q") for k in range(1000)], "`A B` string, n string, other string")
+    seen = ingest.inspect(staged, StructType.fromDDL("a_b bigint, n int, gone string"), 7)
+    assert {r.column_name: (r.n_bad, r.samples) for r in seen.columns.collect()} == {"a_b": (0, []), "n": (1000, [f"bad{k:02}" for k in range(5)])}
+    assert (seen.missing, seen.extra, seen.total, seen.preview.count()) == (["gone"], ["other"], 1000, 0)
+    kinds, rows, first = ingest.peek(staged, 3)
+    assert kinds["n"] == "string" and rows == 1000 and first.count() == 3
+
+
+def test_tables_are_replaced_by_what_reads_them(spark):
+    ingest.load(spark.range(10).withColumnRenamed("id", "k"), "t_self")
+    ingest.load(spark.table("t_self").where("k > 3"), "t_self", "replace")
+    assert spark.table("t_self").count() == 6
+    assert ingest.refresh(spark, "SELECT k + 1 AS k FROM t_self", "t_self") == {"inserted": 6, "updated": 0}
+    assert ingest.refresh(spark, "SELECT k FROM t_self WHERE k < 7", "t_self", "upsert", ["k"]) == {"inserted": 0, "updated": 2}
+    assert sorted(r.k for r in spark.table("t_self").collect()) == [5, 6, 7, 8, 9, 10]
+    with pytest.raises(ValueError):
+        ingest.refresh(spark, "SELECT 1 AS k", "t_none", create=False)
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("t_self")] == ["t_self"]
+
+
+def test_audit_search_includes_its_end(spark):
+    at = lambda d: dt.datetime(2024, 1, d)
+    df = spark.createDataFrame([(k, at(k), 1, f"user{k}", "q" if k == 3 else None) for k in (1, 2, 3)], "event_id long, event_time timestamp_ntz, company_id int, user_name string, query_text string")
+    assert [r.event_id for r in tables.audit_search(df, 1, start=at(1), end=at(2)).collect()] == [2, 1]
+    assert [r.event_id for r in tables.audit_search(df, 1, "USER2").collect()] == [2] and [r.event_id for r in tables.audit_search(df, 1, "Q").collect()] == [3]
+    assert [r.event_id for r in tables.audit_search(df, 1, page=2, page_size=2).collect()] == [1]
+
+
+def test_audience_of_a_closure(spark):
+    closure = spark.createDataFrame([(1, 1), (1, 2)], "root long, node long")
+    contacts = spark.createDataFrame([(1, " A@x ", True), (2, "a@X", True), (2, "b@x", False), (2, " ", True)], "entity_id long, email string, is_active boolean")
+    assert [r.email for r in graph.audience(closure, contacts).collect()] == ["a@x"]
+
+
 def test_tables_load_and_swap(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     assert ingest.load(df, "t_load") == {"inserted": 2, "updated": 0}
@@ -184,15 +231,20 @@ def test_table_queries(spark):
     with pytest.raises(ValueError):
         tables.metric_filters(df, [{"column": "k", "operator": "BETWEEN", "value": "1"}])
     assert tables.audit_search(df, "").count() == 0
+    some = [{"column": "k", "operator": "IN", "value": "1;; 3;"}, {"column": "v", "operator": "=", "value": " ; "}]
+    assert [r.k for r in tables.metric_filters(df, some).collect()] == [1, 3]
+    assert tables.metric_filters(df, [{"column": "k", "operator": "BETWEEN", "value": "1;2;"}]).count() == 2
     assert tables.column_difference(df.select("k"), df) == (["v"], [])
     many = spark.range(1000).select((F.col("id") % 100).alias("d"), F.lit(1).alias("x"))
     assert [r.running for r in tables.running_total(many, "d", "x").orderBy("d").collect()] == [10 * (k + 1) for k in range(100)]
 
 
-def test_steps(spark):
+def test_steps(spark, tmp_path):
     steps = [Step("c", "SELECT sum(x) AS s FROM b", ("b",)), Step("a", "SELECT explode(sequence(1, {{n}})) AS x"), Step("b", "SELECT x * 2 AS x FROM a", ("a",))]
     assert [s.name for s in order(steps)] == ["a", "b", "c"]
     assert [(o.status, o.rows) for o in run(spark, steps, {"n": 3})] == [("done", 3), ("done", 3), ("done", 1)]
+    written = [Step("w", "SELECT uuid() AS u"), Step("x", "SELECT u FROM w", ("w",))]
+    assert [o.rows for o in run(spark, written, folder=str(tmp_path))] == [1, 1] and spark.table("w").first() == spark.table("x").first()
     bad = [Step("a", "SELECT nothing"), Step("b", "SELECT 1", ("a",))]
     assert [o.status for o in run(spark, bad)] == ["failed", "skipped"]
     with pytest.raises(ValueError, match="cycle"):
