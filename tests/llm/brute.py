@@ -43,7 +43,7 @@ def contamination(rows, items):
             for i in range(len(w) - len(g) + 1):
                 if tuple(w[i : i + len(g)]) == g:
                     hit.update(range(i, i + len(g)))
-                    ids.add(str(item))
+                    ids |= {str(item)} - {"None"}
         out.append((d, len(w), len(hit), len(ids), sha(",".join(sorted(ids))), bool(hit)))
     return sorted(out, key=str)
 
