@@ -5,14 +5,16 @@ how much it rejects; the cascade then tests the rules in the order of rejection
 rejects is not tested by those after it. The order never changes a verdict, only the time it takes.
 
 Defined results: a null text counts as empty (no words, base_failed); a null or repeated doc_id, repeated rows, empty tables
-and further columns make no difference: one row comes out for each row in. Very long texts are worked on whole: three-word
-windows are compared by sorted 43-bit hashes that carry their place, every match of hashes is verified on the words, and a
-text with a false match or more than 2**21 words is counted on the windows themselves.
+and further columns make no difference: one row comes out for each row in, and only a column of docs that has the name of a
+result gives way to it. Very long texts are worked on whole: three-word windows are compared by sorted 43-bit hashes that
+carry their place, every match of hashes is verified on the words, and a text with a false match or more than 2**21 words is
+counted on the windows themselves.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,43 +27,51 @@ _PLACE = 21
 _MASK = (1 << _PLACE) - 1
 
 
-@dataclass(frozen=True)
-class Rule:
-    """rejects: a column over the columns that `with_words` adds."""
-
-    name: str
-    rejects: Column
+class Body:
+    """A text (never null) and its words, as columns."""
 
+    def __init__(self, text: Column, words: Column):
+        self.text, self.words = text, words
 
-def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds __text (never null) and __words, which the rules read."""
-    return docs.withColumn("__text", text_of(text)).withColumn("__words", space_words(F.col("__text")))
+    @staticmethod
+    def of(text: Column, body: Callable[[Body], Column]) -> Column:
+        """body(...) of a text, cut into words once, however often body uses them."""
+        return let(F.struct(text.alias("text"), space_words(text).alias("words")), lambda d: body(Body(d["text"], d["words"])))
 
+    def n_words(self) -> Column:
+        return F.size(self.words)
 
-def n_words() -> Column:
-    return F.size("__words")
+    def word_chars(self) -> Column:
+        return F.length(F.array_join(self.words, ""))
 
+    def n_of(self, chars: str) -> Column:
+        """How many characters of a regex class the text has."""
+        return F.size(F.split(self.text, chars)) - 1
 
-def word_chars() -> Column:
-    return F.length(F.array_join("__words", ""))
+    def n_symbols(self) -> Column:
+        return self.n_of("[#*$%&|<>]")
 
+    def lines(self) -> Column:
+        return F.filter(F.split(self.text, "\n"), lambda x: x.rlike(f"[^{SPACE[1:]}"))
 
-def n_of(chars: str) -> Column:
-    """How many characters of a regex class the text has."""
-    return F.size(F.split("__text", chars)) - 1
+    def n_dup_lines(self) -> Column:
+        """Lines with a word that equal an earlier line."""
+        return let(self.lines(), lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
+    def n_repeat_words(self) -> Column:
+        """Words within three-word windows that the text has twice or more."""
+        return let(
+            self.words,
+            lambda w: F.when(F.size(w) < 3, F.lit(0)).otherwise(F.coalesce(F.when(F.size(w) <= _MASK, _by_hashes(w)), _by_windows(w))),
+        )
 
-def n_symbols() -> Column:
-    return n_of("[#*$%&|<>]")
-
-
-def _lines() -> Column:
-    return F.filter(F.split("__text", "\n"), lambda x: x.rlike(f"[^{SPACE[1:]}"))
 
+@dataclass(frozen=True)
+class Rule:
+    """rejects: whether a text goes."""
 
-def n_dup_lines() -> Column:
-    """Lines with a word that equal an earlier line."""
-    return let(_lines(), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    name: str
+    rejects: Callable[[Body], Column]
 
 
 def _covered(places: Column) -> Column:
@@ -96,45 +106,40 @@ def _by_hashes(words: Column) -> Column:
     return let(twice, counted)
 
 
-def n_repeat_words() -> Column:
-    """Words within three-word windows that the text has twice or more."""
-    return let(
-        F.col("__words"),
-        lambda w: F.when(F.size(w) < 3, F.lit(0)).otherwise(F.coalesce(F.when(F.size(w) <= _MASK, _by_hashes(w)), _by_windows(w))),
-    )
-
-
 def base_rules() -> list[Rule]:
-    return [Rule("few_words", n_words() < 50), Rule("repeats", 100 * n_repeat_words() > 50 * n_words())]
+    return [Rule("few_words", lambda d: d.n_words() < 50), Rule("repeats", lambda d: 100 * d.n_repeat_words() > 50 * d.n_words())]
 
 
 def more_rules() -> list[Rule]:
     """Rules with wide margins, so that clean prose passes them."""
     return [
-        Rule("symbols", 10 * n_symbols() > 3 * n_words()),
-        Rule("shouting", 10 * n_of("!") > 5 * n_words()),
-        Rule("long_words", word_chars() > 25 * n_words()),
-        Rule("short_words", word_chars() < 2 * n_words()),
-        Rule("same_lines", let(_lines(), lambda x: 10 * (F.size(x) - F.size(F.array_distinct(x))) > 6 * F.size(x))),
+        Rule("symbols", lambda d: 10 * d.n_symbols() > 3 * d.n_words()),
+        Rule("shouting", lambda d: 10 * d.n_of("!") > 5 * d.n_words()),
+        Rule("long_words", lambda d: d.word_chars() > 25 * d.n_words()),
+        Rule("short_words", lambda d: d.word_chars() < 2 * d.n_words()),
+        Rule("same_lines", lambda d: let(d.lines(), lambda x: 10 * (F.size(x) - F.size(F.array_distinct(x))) > 6 * F.size(x))),
     ]
 
 
-def ordered(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000, seed: int = 7) -> list[tuple[Rule, float, float]]:
-    """(rule, cost in seconds a row, share rejected) by rejection per cost, from about sample_rows rows of the whole table."""
-    total = docs.count()
+def ordered(texts: DataFrame, rules: list[Rule], sample_rows: int = 2000, seed: int = 7) -> list[tuple[Rule, float, float]]:
+    """(rule, cost in seconds a row, share rejected) by rejection per cost, from about sample_rows rows of the whole table.
+
+    texts: one column, text. All tasks sample; only the sampled rows meet in one partition, on which the rules are timed.
+    """
+    total = texts.count()
     if not total:
         return [(r, 0.0, 0.0) for r in rules]
-    sample = docs.sample(fraction=min(1.0, sample_rows / total), seed=seed).coalesce(1).persist()
+    sample = texts.select(text_of().alias("text")).sample(fraction=min(1.0, sample_rows / total), seed=seed).repartition(1).persist()
     try:
         rows = sample.count()
 
-        def timed(column: Column) -> tuple[float, int]:
+        def timed(rejects: Callable[[Body], Column]) -> tuple[float, int]:
             began = time.perf_counter()
-            found = with_words(sample).agg(F.sum(column.cast("int"))).first()[0] or 0
+            found = sample.agg(F.sum(Body.of(F.col("text"), rejects).cast("int"))).first()[0] or 0
             return time.perf_counter() - began, found
 
-        timed(F.lit(True))
-        least = timed(F.size("__words") < 0)[0]
+        timed(lambda d: F.lit(True))
+        least = timed(lambda d: d.n_words() < 0)[0]
         seen = []
         for r in rules:
             cost, found = timed(r.rejects)
@@ -144,35 +149,34 @@ def ordered(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000, seed: i
     return sorted(seen, key=lambda x: (-x[2] / x[1], x[0].name))
 
 
-def rejected_by(rules: list[Rule]) -> Column:
+def rejected_by(rules: list[Rule], body: Body) -> Column:
     """The first rule that rejects a document, or null; a CASE tests its branches one after the other."""
     out = None
     for r in rules:
-        out = F.when(r.rejects, F.lit(r.name)) if out is None else out.when(r.rejects, F.lit(r.name))
+        out = F.when(r.rejects(body), F.lit(r.name)) if out is None else out.when(r.rejects(body), F.lit(r.name))
     return out
 
 
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def score(docs: DataFrame, text: str = "text", sample_rows: int = 2000) -> DataFrame:
     """docs with the base measures, base_failed and kept."""
-    src = docs.select(F.col(text).alias("text"))
-    order = [r for r, _, _ in ordered(src, more_rules(), sample_rows)]
-    measured = (
-        with_words(docs, text)
-        .withColumn("n_words", n_words().cast("long"))
-        .withColumn("word_chars", word_chars().cast("long"))
-        .withColumn("n_symbols", n_symbols().cast("long"))
-        .withColumn("n_dup_lines", n_dup_lines().cast("long"))
-        .withColumn("n_repeat_words", n_repeat_words().cast("long"))
-    )
+    order = [r for r, _, _ in ordered(docs.select(F.col(text).alias("text")), more_rules(), sample_rows)]
+    rows = docs.select(F.struct("*").alias("row"), text_of(text).alias("text"))
+    rows = rows.withColumn("words", space_words(F.col("text")))
+    body = Body(F.col("text"), F.col("words"))
+    measured = rows.withColumns({x: getattr(body, x)().cast("long") for x in RESULTS[:5]})
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     measured = measured.withColumn("base_failed", failed)
-    return measured.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(rejected_by(order).isNull())).drop("__text", "__words")
+    judged = measured.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(rejected_by(order, body).isNull()))
+    return judged.select(*(F.col("row")[x].alias(x) for x in docs.columns if x not in RESULTS), *RESULTS)
 
 
 def keep(docs: DataFrame, text: str = "text", sample_rows: int = 2000) -> DataFrame:
     """The rows of docs that no rule rejects, all rules in one cascade."""
     order = [r for r, _, _ in ordered(docs.select(F.col(text).alias("text")), base_rules() + more_rules(), sample_rows)]
-    return with_words(docs, text).where(rejected_by(order).isNull()).select(*docs.columns)
+    return docs.where(Body.of(text_of(text), lambda d: rejected_by(order, d).isNull()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
