@@ -1,22 +1,25 @@
 """Quality classifier by co-training.
 
 Two logistic classifiers see a document from different sides: one its text (byte pairs, word shapes and a few ratios), one the
-data about it (source, language, length). They start from the same labelled rows. In each round both score a pool of
-unlabelled documents, and each adds those that it is surest of, in the proportion of the labels, to the other's training
-rows. Each view is then calibrated on labelled rows that it was not trained on (Platt), and the calibrated views are combined
-as independent evidence: the sum of their log-odds less those of the labels. All documents are scored where they lie.
+data about it (source, language, length). They start from the same labelled rows. In each round both score all documents
+without a label, where these lie, and each gives those that it is surest of, in the proportion of the labels, to the other's
+training rows. Each view is then calibrated on labelled rows that it was not trained on (Platt), and the calibrated views are
+combined as independent evidence: the sum of their log-odds less those of the labels. All documents are scored.
 
-Training uses a bounded sample, by hash of the id: at most `labelled` rows with a label and `pool` without, of which the driver
-holds the features only. Scoring covers every row and ships `2 * (dims + 64)` weights.
+The driver fits on at most `labelled` rows with a label, chosen by hash of the id, and `2 * per_round` pseudo-labelled ones of
+each round; it holds their features only. Candidates cover the whole table: a round's pass returns keys and probabilities,
+of which the surest are taken, and only the documents of those keys are read for their features. A view that is sure of
+nothing gives nothing. Scoring ships `2 * (dims + 64)` weights.
 
 Defined results: a null text or null metadata count as empty; labels that are null are left out, repeated ones count as often as
-they occur; without labels of both classes every score is the share of good labels (0.5 if there are none); one row comes out for
-each row in; empty tables and further columns make no difference.
+they occur; of rows with one id, the one with the least hash of its text is learnt from; documents without an id are scored only;
+without labels of both classes every score is the share of good labels (0.5 if there are none); one row comes out for each row
+in; empty tables and further columns make no difference.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, discard
+
 DIMS = 1024
 _META = 64
 
@@ -99,13 +104,20 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a[1] / scale), float(a[0])
 
 
+#: From this probability on a view is sure of a document.
+SURE = 0.95
+
+
 @dataclass(frozen=True)
 class Model:
+    """given: for each round how many rows the text view gave and the metadata view gave."""
+
     text: np.ndarray
     meta: np.ndarray
     text_scale: tuple[float, float]
     meta_scale: tuple[float, float]
     prior: float
+    given: tuple[tuple[int, int], ...] = ()
 
     def log_odds(self, t: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a = t @ self.text * self.text_scale[0] + self.text_scale[1]
@@ -113,7 +125,12 @@ class Model:
         return a, b, a + b - self.prior
 
 
-def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, pool_t: np.ndarray, pool_m: np.ndarray, rounds: int = 3, share: float = 0.05) -> Model:
+#: (weights of both views, for each view the keys that it may no longer be given, how many good and bad ones) ->
+#: for each view (features of the rows that it gets, their labels, their keys).
+Exchange = Callable[[list[np.ndarray], list[set[int]], int, int], list[tuple[np.ndarray, np.ndarray, list[int]]]]
+
+
+def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, exchange: Exchange, rounds: int = 3, per_round: int = 150) -> Model:
     """y: labels 0/1 of the rows of t and m."""
     good = (y.sum() + 1) / (len(y) + 2)
     prior = float(np.log(good / (1 - good)))
@@ -122,54 +139,108 @@ def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, pool_t: np.ndarray, po
     held = np.arange(len(y)) % 4 == 0
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(y), bool)
-    views = [t[~held], m[~held]]
-    pools = [pool_t, pool_m]
-    rows = [[x] for x in views]
+    rows = [[t[~held]], [m[~held]]]
     labels = [[y[~held]], [y[~held]]]
-    free = [np.ones(len(pool_t), bool), np.ones(len(pool_t), bool)]
-    w = [fit(x, y[~held]) for x in views]
+    taken: list[set[int]] = [set(), set()]
+    w = [fit(x[0], y[~held]) for x in rows]
+    given = []
     for _ in range(rounds):
-        p = [probability(pools[v] @ w[v]) for v in (0, 1)]
-        for v in (0, 1):
-            to = 1 - v
-            left = np.flatnonzero(free[to])
-            k = int(share * len(pool_t))
-            top = left[np.argsort(-p[v][left], kind="stable")[: max(int(k * good), 1)]]
-            low = left[np.argsort(p[v][left], kind="stable")[: max(int(k * (1 - good)), 1)]]
-            sure, bad = top[p[v][top] >= 0.95], low[p[v][low] <= 0.05]  # a view that is sure of nothing gives nothing
-            for chosen, label in ((sure, 1.0), (bad, 0.0)):
-                rows[to].append(pools[to][chosen])
-                labels[to].append(np.full(len(chosen), label))
-                free[to][chosen] = False
+        got = exchange(w, taken, max(int(per_round * good), 1), max(int(per_round * (1 - good)), 1))
+        for v, (x, label, keys) in enumerate(got):
+            rows[v].append(x)
+            labels[v].append(label)
+            taken[v] |= set(keys)
+        given.append((len(got[1][1]), len(got[0][1])))
         w = [fit(np.concatenate(rows[v]), np.concatenate(labels[v])) for v in (0, 1)]
     test = held if held.any() else np.ones(len(y), bool)
     scales = [platt(x[test] @ w[v], y[test]) for v, x in ((0, t), (1, m))]
-    return Model(w[0], w[1], scales[0], scales[1], prior)
+    return Model(w[0], w[1], scales[0], scales[1], prior, tuple(given))
+
+
+def surest(p: np.ndarray, free: np.ndarray, good: int, bad: int) -> tuple[np.ndarray, np.ndarray]:
+    """The free rows that a view with these probabilities is surest of: (good ones, bad ones)."""
+    left = np.flatnonzero(free)
+    top, low = left[np.argsort(-p[left], kind="stable")[:good]], left[np.argsort(p[left], kind="stable")[:bad]]
+    return top[p[top] >= SURE], low[p[low] <= 1 - SURE]
+
+
+_COLUMNS = ("text", "source", "lang", "n_chars")
+
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """The columns that features are made of, and key, a hash of the id."""
+    return docs.select(F.xxhash64("doc_id").alias("key"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
 
-def _features(docs: DataFrame) -> DataFrame:
-    """id columns and both views' features as binary."""
+
+def _matrices(b: pa.RecordBatch, first: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch with the features of both views; the text is in column `first`."""
+    for start in range(0, b.num_rows, 1000):
+        part = b.slice(start, 1000)
+        t = np.stack([text_features(x.as_py()) for x in part.column(first)])
+        m = np.stack([meta_features(*x) for x in zip(*(part.column(first + i).to_pylist() for i in (1, 2, 3)), strict=True)])
+        yield part, t, m
+
+
+def _features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(text features, metadata features, labels, keys) of (key, text, source, lang, n_chars, label): so few rows that the driver can hold them."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = [text_features(x).tobytes() for x in b.column(1).to_pylist()]
-            m = [meta_features(*x).tobytes() for x in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(5), pa.array(t, pa.binary()), pa.array(m, pa.binary())], ["label", "t", "m"])
+            for part, t, m in _matrices(b, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(5), pa.array([x.tobytes() for x in t], pa.binary()), pa.array([x.tobytes() for x in m], pa.binary())], ["key", "label", "t", "m"])
+
+    found = rows.select("key", *_COLUMNS, "label").mapInArrow(of, "key long, label int, t binary, m binary").orderBy(F.xxhash64("t", "m"), "label").toPandas()
+    t = np.frombuffer(b"".join(found.t), np.float32).reshape(-1, DIMS)
+    m = np.frombuffer(b"".join(found.m), np.float32).reshape(-1, _META)
+    return t, m, found.label.to_numpy(np.float64), found.key.tolist()
+
 
-    return docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long"), "label").mapInArrow(of, "label int, t binary, m binary")
+def _of(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row of each chosen key (the least by hash of its text), once for each of its labels."""
+    found = rows.join(F.broadcast(chosen.select("key").distinct()), "key")
+    one = found.groupBy("key").agg(F.min(F.struct(F.xxhash64("text").alias("h"), *_COLUMNS)).alias("d")).select("key", *(F.col(f"d.{x}").alias(x) for x in _COLUMNS))
+    return one.join(F.broadcast(chosen), "key")
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "quality", labelled: int = 4000, pool: int = 3000) -> Model:
-    """A model from a bounded sample of labelled and unlabelled documents, chosen by hash of the id."""
+def train(docs: DataFrame, labels: DataFrame, target: str = "quality", labelled: int = 4000, per_round: int = 150, rounds: int = 3) -> Model:
+    """A model from a bounded sample of labelled documents and the surest of all unlabelled ones."""
+    spark = docs.sparkSession
     order = F.xxhash64("doc_id", F.lit(11))
     marked = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(target).cast("int").alias("label")).orderBy(order, "label").limit(labelled)
-    others = docs.select("doc_id").where(F.col("doc_id").isNotNull()).join(labels.select("doc_id"), "doc_id", "left_anti").orderBy(order).limit(pool).distinct().select("doc_id", F.lit(None).cast("int").alias("label"))
-    chosen = F.broadcast(marked.unionByName(others))  # labelled + pool rows at most
-    found = _features(docs.join(chosen, "doc_id")).orderBy(F.xxhash64("t", "m"), "label").toPandas()
-    t = np.frombuffer(b"".join(found.t), np.float32).reshape(-1, DIMS)
-    m = np.frombuffer(b"".join(found.m), np.float32).reshape(-1, _META)
-    known = found.label.notna().to_numpy()
-    return co_train(t[known], m[known], found.label[known].to_numpy(np.float64), t[~known], m[~known])
+    rows = _rows(docs.where(F.col("doc_id").isNotNull()))
+    t, m, y, known = _features(_of(rows, marked.select(F.xxhash64("doc_id").alias("key"), "label")))
+
+    def exchange(w: list[np.ndarray], taken: list[set[int]], good: int, bad: int) -> list[tuple[np.ndarray, np.ndarray, list[int]]]:
+        shipped = spark.sparkContext.broadcast((w, [np.array(sorted(x | set(known)), np.int64) for x in taken]))
+
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w, gone = shipped.value
+            for b in batches:
+                for part, t, m in _matrices(b, 1):
+                    key = part.column(0).to_numpy(zero_copy_only=False)
+                    p = [probability(x @ w[v]) for v, x in ((0, t), (1, m))]
+                    for to in (0, 1):
+                        free = ~np.isin(key, gone[to])
+                        for label, chosen in zip((1, 0), surest(p[1 - to], free, good, bad), strict=True):
+                            sure = np.abs(p[1 - to][chosen] - 0.5)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(chosen), to, np.int32)), pa.array(np.full(len(chosen), label, np.int32)), pa.array(sure), pa.array(key[chosen])], ["view", "label", "sure", "key"])
+
+        seen = cut(rows.mapInArrow(of, "view int, label int, sure double, key long"), "candidates")
+        out = []
+        for to, width in ((0, DIMS), (1, _META)):
+            of_view = seen.where(F.col("view") == to).groupBy("label", "key").agg(F.max("sure").alias("sure"))
+            best = [of_view.where(F.col("label") == label).orderBy(F.desc("sure"), "key").limit(k).select("key", "label") for label, k in ((1, good), (0, bad))]
+            picked = [(int(r.key), int(r.label)) for r in best[0].unionByName(best[1]).collect()]  # per_round rows at most
+            if picked:
+                found = _features(_of(rows, spark.createDataFrame(picked, "key long, label int")))
+                out.append((found[to], found[2], found[3]))
+            else:
+                out.append((np.zeros((0, width), np.float32), np.zeros(0), []))
+        discard(seen)
+        shipped.unpersist()
+        return out
+
+    return co_train(t, m, y, exchange, rounds, per_round)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -179,18 +250,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            p = []
-            for start in range(0, b.num_rows, 2000):
-                part = b.slice(start, 2000)
-                t = np.stack([text_features(x) for x in part.column(1).to_pylist()])
-                m = np.stack([meta_features(*x) for x in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)])
-                p.append(np.stack([probability(z) for z in shipped.value.log_odds(t, m)]))
-            done = np.concatenate(p, axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in done), pa.array(done[2] >= threshold)], ["doc_id", "p_text", "p_meta", "score", "kept"])
-
-    return docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long")).mapInArrow(of, f"doc_id {kind}, p_text double, p_meta double, score double, kept boolean")
+            for part, t, m in _matrices(b, 1):
+                p = [probability(z) for z in shipped.value.log_odds(t, m)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in p), pa.array(p[2] >= threshold)], ["doc_id", "p_text", "p_meta", "score", "kept"])
+
+    return docs.select("doc_id", *_COLUMNS[:3], F.col("n_chars").cast("long").alias("n_chars")).mapInArrow(of, f"doc_id {kind}, p_text double, p_meta double, score double, kept boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
