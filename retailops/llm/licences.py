@@ -7,7 +7,8 @@ has matched is taken away before the next is tried. Sentences that are not known
 begins and ends at a sentence end or a line feed, and line feeds may stand within it, so that wrapped texts are known as well.
 
 Defined results: a null text counts as empty (no licences); repeated rows, null ids, empty tables and further columns make no
-difference, one row comes out for each row in; a licence that occurs twice is listed once. Texts are scanned whole. A text
+difference, one row comes out for each row in, and only a column of docs that has the name of a result gives way to it; a licence
+that occurs twice is listed once. Texts are scanned whole. A text
 without any of the words that every known sentence has one of is not cut into sentences, as it can have no identifier.
 """
 
@@ -46,7 +47,7 @@ SENTENCES = {
     "all rights reserved without any license": "reserved",
 }
 #: Every known sentence has one of these.
-HINTS = ("licens", "copyright", "permi", "warrant", "redistribut")
+HINTS = ("licens", "copyright", "permi", "warrant", "redistribut", "mpl", "unencumbered")
 #: (licence, identifiers in order, whether commercial use is restricted), in the order in which they are tried.
 RULES = (
     ("MIT", ("mit-title", "mit-grant", "mit-condition", "mit-warranty"), False),
@@ -72,9 +73,12 @@ RULES = (
     ("proprietary", ("reserved",), True),
 )
 
-_GPL = "you can redistribute it and or modify it under the terms of the gnu general public license"
+_GPL = "you can redistribute it and or modify it under the terms of the gnu {}general public license"
 _FSF = "as published by the free software foundation"
-#: The sentences of the licences' own texts and headers, where these are longer than the ones above.
+_CC = {"by": "attribution", "by-sa": "attribution sharealike", "by-nc": "attribution noncommercial", "by-nd": "attribution noderivatives", "by-nc-sa": "attribution noncommercial sharealike", "by-nc-nd": "attribution noncommercial noderivatives"}
+#: (identifier, the word in the licence's name, versions) of the GPL and its relatives.
+_FAMILY = (("gpl", "", ("2", "3")), ("lgpl", "lesser ", ("2 1", "3")), ("agpl", "affero ", ("3",)))
+#: The sentences of the licences' own texts and headers, where these are longer than the ones above or of other licences.
 FULL = {
     "licensed under the apache license version 2 0 the license": "apache2-notice",
     "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache2-copy",
@@ -83,14 +87,38 @@ FULL = {
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
+    "neither the name of its holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-notice",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl2-copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl2-copy",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    **{f"this work is licensed under {a} creative commons {name} {v} international license": f"cc-{k}-{v[0]}-text" for k, name in _CC.items() for a in ("a", "the") for v in ("4 0",)},
+    **{f"spdx license identifier {tag.lower().replace('-', ' ').replace('.', ' ')}": f"tag-{tag}" for tag in ("BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "Unlicense")},
     **{
-        f"{start}{_GPL} {rest}": f"gpl{v}-grant"
-        for v in (2, 3)
-        for start in ("", "this program is free software ")
+        f"{start}{_GPL.format(kind)} {rest}": f"{name}{v[0]}-grant"
+        for name, kind, versions in _FAMILY
+        for v in versions
+        for start in ("", "this program is free software ", "this library is free software ")
         for rest in (f"{_FSF} either version {v} of the license or at your option any later version", f"{_FSF} version {v} of the license", f"{_FSF} version {v}", f"version {v} {_FSF}", f"version {v} only {_FSF}")
     },
+    "see the gnu lesser general public license for more details": "lgpl-details",
+    "see the gnu affero general public license for more details": "agpl-details",
 }
-FULL_RULES = (("GPL-2.0", ("gpl2-grant", "gpl-details"), True), ("GPL-3.0", ("gpl3-grant", "gpl-details"), True), ("GPL-2.0", ("gpl2-grant",), True), ("GPL-3.0", ("gpl3-grant",), True))
+#: As RULES; tried before these, the longer first.
+FULL_RULES = (
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names"), False),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary"), False),
+    *((f"{name.upper()}-{v.replace(' ', '.') if ' ' in v else v + '.0'}", ids, True) for name, _, versions in _FAMILY for v in versions for ids in ((f"{name}{v[0]}-grant", f"{name}-details"), (f"{name}{v[0]}-grant",))),
+    ("MPL-2.0", ("mpl2-notice", "mpl2-copy"), False),
+    ("MPL-2.0", ("mpl2-notice",), False),
+    ("ISC", ("isc-grant",), False),
+    ("Unlicense", ("unlicense",), False),
+    *((f"CC-{k.upper()}-4.0", (f"cc-{k}-4-text",), "nc" in k or "nd" in k) for k in _CC),
+    *((x[4:].removesuffix("-only").removesuffix("-or-later"), (x,), "GPL" in x) for x in dict.fromkeys(FULL.values()) if x.startswith("tag-")),
+)
 
 _ALL = SENTENCES | FULL
 _CODE = {name: chr(0x100 + k) for k, name in enumerate(dict.fromkeys(_ALL.values()))}
@@ -104,6 +132,9 @@ def _marked(text: Column) -> Column:
     t = F.regexp_replace(F.lower(text), r"(following\s+conditions:|conditions\s+are\s+met:|licenses/license-2\.0)\s+", "$1; ")
     # the second version of the GPL has a semicolon before its version
     t = F.regexp_replace(t, r"(free\W+software\W+foundation);(?=\W+either\W+version)", "$1,")
+    # the holder named in the third condition of the BSD, and full stops that end no sentence
+    t = F.regexp_replace(t, r"(neither\W+the\W+name)s?\W+(?:of\W+)?(?:\S+\s+){1,12}?(nor\W+the\W+names\W+of)\W+(?:\S+\s+){1,6}?(?=contributors)", "$1 of its holder $2 its ")
+    t = F.regexp_replace(t, r"\bv\.\s+(?=\d)", "v ")
     t = F.regexp_replace(F.regexp_replace(t, r"[.!?;]\s+", " X "), r"\n", " Y ")
     return F.trim(F.regexp_replace(F.regexp_replace(t, "[^a-z0-9XY]+", " "), "Y(?: Y)+", "Y"))
 
@@ -118,9 +149,9 @@ def _known(text: Column) -> Column:
 def identify(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with sentence_ids (array, in order), licences (array, in the order of the rules) and restricted."""
     t = text_of(text)
-    out = docs.withColumn("_seq", F.when(t.rlike("(?i)" + "|".join(HINTS)), _known(t)).otherwise(F.lit("")))
-    hits, limits, seq = [], [], F.col("_seq")
-    for name, ids, restricted in RULES + FULL_RULES:
+    out = docs.select(F.struct("*").alias("row"), F.when(t.rlike("(?i)" + "|".join(HINTS)), _known(t)).otherwise(F.lit("")).alias("seq"))
+    hits, limits, seq = [], [], F.col("seq")
+    for name, ids, restricted in FULL_RULES + RULES:
         codes = F.lit("".join(_CODE[x] for x in ids))
         hit = F.contains(seq, codes)
         hits.append(F.when(hit, F.lit(name)))
@@ -132,12 +163,13 @@ def identify(docs: DataFrame, text: str = "text") -> DataFrame:
     restricted = limits[0]
     for x in limits[1:]:
         restricted = restricted | x
-    return (
-        out.withColumn("sentence_ids", F.when(F.col("_seq") == "", F.array().cast("array<string>")).otherwise(F.transform(F.filter(F.split("_seq", ""), lambda c: c != ""), lambda c: F.element_at(names, c))))
-        .withColumn("licences", F.when(F.col("_seq") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.array(*hits)))))
-        .withColumn("restricted", restricted)
-        .drop("_seq")
-    )
+    none = F.array().cast("array<string>")
+    results = {
+        "sentence_ids": F.when(F.col("seq") == "", none).otherwise(F.transform(F.filter(F.split("seq", ""), lambda c: c != ""), lambda c: F.element_at(names, c))),
+        "licences": F.when(F.col("seq") == "", none).otherwise(F.array_distinct(F.array_compact(F.array(*hits)))),
+        "restricted": restricted,
+    }
+    return out.select(*(F.col("row")[x].alias(x) for x in docs.columns if x not in results), *(c.alias(x) for x, c in results.items()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
