@@ -1,13 +1,17 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped into lines, one for each block element. Lines in a part of the page that is no article by its element or
-class (menus, banners, adverts, notices, forms, reader comments, footers) are left out. Where the page marks its article, all
-other lines in it are kept. Elsewhere a line weighs as many characters as it has outside links, and weights are summed over a
-sliding window of lines: the text goes from where a sum first rises to `surge` characters to where they last fall below it, and
-all lines between are kept. On a page without such a sum it goes from the first to the last line with weight.
+class (menus, banners, adverts, notices, forms, reader comments, footers) are left out. A line weighs as many characters as it
+has outside links, and weights are summed over a sliding window of lines: where a sum first rises to `surge` characters a dense
+run begins, and where sums last fall below it the run ends. The text goes from the first such point to the last, and all lines
+between are kept. Where a page marks articles (outermost article or main elements), these points choose among them: those
+with a dense run are kept from their first line to their last, so that no heading or short paragraph of one is lost, and marked
+parts without one, such as teasers, go. A page, or a page's marked articles, without any dense run is kept from the first to
+the last line with weight.
 
 Defined results: a null or empty html gives an empty text; repeated rows, null ids, empty tables and further columns make no
-difference; pages are parsed whole, also when they end in the middle of a tag or leave elements open.
+difference, but a column of the result's name gives way to it; pages are parsed whole, also when they end in the middle of a tag
+or leave elements open.
 """
 
 from __future__ import annotations
@@ -48,15 +52,15 @@ _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"
 _HIDDEN = re.compile(r"""\shidden(?=[\s/>=])|\saria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
 
 
-def lines_of(page: str) -> tuple[list[str], list[int], list[bool], bool]:
-    """(lines, weights (-1: in no article by its element or class), whether in an article, whether the page marks one)."""
+def lines_of(page: str) -> tuple[list[str], list[int], list[int]]:
+    """(lines, weights (-1: in no article by its element or class), the number of the marked article that holds each, or 0)."""
     lines: list[str] = []
     weights: list[int] = []
-    inside: list[bool] = []
+    inside: list[int] = []
     text: list[str] = []
     linked = [0]
     zone, depth = "", 0  # the element that is left out, and how often it is nested
-    article, link, marks = 0, 0, False
+    article, link, marks = 0, 0, 0
 
     def flush(weighs: bool) -> None:
         if text:
@@ -64,7 +68,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool], bool]:
             if line:
                 lines.append(line)
                 weights.append(max(len(line) - linked[0], 0) if weighs else -1)
-                inside.append(article > 0 and weighs)
+                inside.append(marks if article and weighs else 0)
             text.clear()
         linked[0] = 0
 
@@ -118,26 +122,36 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool], bool]:
                 close = re.compile(rf"</{name}\b", re.I).search(page, at)
                 at = close.start() if close else end
         elif name in ("article", "main"):
-            article, marks = article + 1, True
+            marks += not article
+            article += 1
     flush(not zone)
-    return lines, weights, inside, marks
+    return lines, weights, inside
+
+
+def dense(weights: np.ndarray, window: int, surge: int) -> np.ndarray:
+    """Whether each line stands between a surge and the next dive: it has weight, and a window with it has `surge` characters."""
+    n = len(weights)
+    sums = np.convolve(weights, np.ones(window, int))[: n + window - 1]  # sums[i]: the lines i-window+1 to i
+    return np.array([weights[i] > 0 and sums[i : i + window].max() >= surge for i in range(n)], bool)
 
 
 def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
     """The lines between surges and dives, joined by line feeds."""
     if not page:
         return ""
-    lines, weights, inside, marks = lines_of(page)
-    if not lines:
-        return ""
-    if marks:
-        return "\n".join(x for x, k in zip(lines, inside, strict=True) if k)
-    w = np.maximum(weights, 0)
-    sums = np.convolve(w, np.ones(window, int))[: len(w) + window - 1]  # sums[i]: the lines i-window+1 to i
-    best = np.array([sums[i : i + window].max() for i in range(len(w))])
-    text = np.flatnonzero((w > 0) & (best >= surge))
+    lines, weights, inside = lines_of(page)
+    own = np.array(weights, np.int64)
+    marked = np.array(inside, np.int64)
+    if marked.any():
+        runs = np.zeros(len(own), bool)
+        for k in np.unique(marked[marked > 0]):  # windows end at the bounds of an article
+            at = np.flatnonzero(marked == k)
+            runs[at] = dense(own[at], window, surge)
+        some = np.unique(marked[runs]) if runs.any() else np.unique(marked[marked > 0])
+        return "\n".join(x for x, k in zip(lines, np.isin(marked, some), strict=True) if k)
+    text = np.flatnonzero(dense(np.maximum(own, 0), window, surge))
     if not len(text):  # a short page
-        text = np.flatnonzero(w)
+        text = np.flatnonzero(own > 0)
     if not len(text):
         return ""
     return "\n".join(x for x, k in zip(lines[text[0] : text[-1] + 1], weights[text[0] : text[-1] + 1], strict=True) if k >= 0)
