@@ -66,7 +66,7 @@ class BatchIndex:
         fold[65:91] += 32
         codes = fold[data]
         grams = (codes[:-2] << 16) | (codes[1:-1] << 8) | codes[2:] if len(codes) > 2 else np.zeros(0, np.uint32)
-        number = np.zeros(1 << 24, np.uint8)
+        number = np.zeros(1 << 24, np.uint16)
         for k, g in enumerate(wanted, 1):
             number[(ord(g[0]) << 16) | (ord(g[1]) << 8) | ord(g[2])] = k
         which = number[grams]
@@ -92,8 +92,8 @@ def find(texts: list[str], rules=RULES) -> list[list[tuple[str, int, int]]]:
     """The spans of each text, by start and then in the order of the rules."""
     queries = [query_of(r.pattern, r.flags) for r in rules]
     wanted = sorted({g for q in queries if q for every in q for g in every})
-    if len(wanted) > 255:
-        raise ValueError("the rules ask for more than 255 trigrams; scan with fewer rules at a time")
+    if len(wanted) >= 1 << 16:
+        raise ValueError("the rules ask for more than 65535 trigrams; scan with fewer rules at a time")
     index = BatchIndex(texts, wanted)
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for k, (rule, query) in enumerate(zip(rules, queries, strict=True)):

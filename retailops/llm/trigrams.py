@@ -7,8 +7,12 @@ case, so that one index serves case-sensitive and case-insensitive rules alike.
 
 from __future__ import annotations
 
-from re import _constants as C
-from re import _parser as parser
+try:  # the standard library's regex parser, by its names since and before Python 3.11
+    from re import _constants as C
+    from re import _parser as parser
+except ImportError:
+    import sre_constants as C
+    import sre_parse as parser
 
 Query = frozenset[frozenset[str]] | None
 
