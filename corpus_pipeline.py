@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
 documents. Stages are tables: each result is written and read again before the next one starts.
+
+Defined results: a null or empty text is rejected by the first stage, as it has fewer than 50 words; where later stages are given
+one, it is a document of its own, clean and without secrets, and one end mark when packed. Rows equal in id and text are one
+document from the second stage on; rows with one id and different texts are different documents, also with null ids. Stages
+return all columns of documents, whatever their names, and an empty table for an empty table; ties go to the least id.
 """
 
 from __future__ import annotations
