@@ -68,3 +68,19 @@ def metric_values(values: DataFrame, metrics: DataFrame, company, metric=None, s
     if start is not None and end is not None:
         return found.where(F.col("period_date").between(F.lit(start), F.lit(end))).orderBy("period_date", "metric_id")
     return found.orderBy(F.desc("period_date"), "metric_id")
+
+
+def target_vs_actual(targets: DataFrame, sales: DataFrame) -> DataFrame:
+    """Targets and sales (store_scheme, date and target or net_amount_acy) by month, also months that only one of them has."""
+    month = F.trunc("date", "MM").alias("period")
+    a = targets.groupBy("store_scheme", month).agg(F.sum("target").alias("target"))
+    b = sales.groupBy("store_scheme", month).agg(F.sum("net_amount_acy").alias("actual"))
+    both = a.join(b, ["store_scheme", "period"], "full_outer")
+    return both.select("store_scheme", "period", F.round("target", 2).alias("target"), F.round("actual", 2).alias("actual"), F.round(F.coalesce("actual", F.lit(0.0)) * 100 / F.nullif("target", F.lit(0.0)), 2).alias("achieved"))
+
+
+def forecast_vs_actual(forecast: DataFrame, sales: DataFrame) -> DataFrame:
+    """Forecasts (numbers kept as text: net, net_lower, net_upper) by scheme and day with the day's sales."""
+    actual = sales.groupBy("store_scheme", "date").agg(F.sum("net_amount_acy").alias("actual"))
+    num = lambda c: F.col(c).try_cast("double")
+    return forecast.join(actual, ["store_scheme", "date"], "left").select("store_scheme", "date", F.round(num("net"), 2).alias("forecast"), F.round(num("net_lower"), 2).alias("lower_bound"), num("net_upper").alias("upper_bound"), F.round("actual", 2).alias("actual"))

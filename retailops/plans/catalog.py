@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs
 from ..operators import feed, graph, ingest, inventory, kpi, oos, sales, security, status, tables
 from ..sources.roles import ROLES, ctes, role
-from . import reports
+from . import report_twins, reports
 from .twins import plain_types
 
 AS_OF, DAY, CO = dt.date(2000, 6, 30), dt.date(2024, 1, 30), "A"
@@ -43,7 +43,7 @@ def _plain(df: DataFrame) -> DataFrame:
 
 for _name, _spec in reports.REPORTS.items():
     QUERIES[_name] = lambda spark, sf_dir, spec=_spec: _plain(reports.run(spark, sf_dir, spec))
-    SQL[_name] = plain_types(reports.sql(_spec))
+    SQL[_name] = plain_types(report_twins.SQL[_name])
 
 # --- sales ---------------------------------------------------------------------------------------------------------------
 
@@ -444,21 +444,24 @@ def _(t):
     return t("lineitem").join(bad, "l_suppkey", "left_anti").agg(F.count("*").alias("n"))
 
 
-_T, _A = "SELECT store_scheme, trunc(date, 'MM') AS period, sum(target) AS target FROM {target} GROUP BY store_scheme, trunc(date, 'MM')", "SELECT store_scheme, trunc(date, 'MM') AS period, sum(net_amount_acy) AS actual FROM {sales_line} JOIN {store} ON store_code = code WHERE company_id = 'A' GROUP BY store_scheme, trunc(date, 'MM')"
+_MONTH = "CAST(date_trunc('month', date) AS DATE)"
 
 
-@query("c31_target_vs_actual", f"{ctes('target', 'sales_line', 'store')}, a AS ({_T.format(target='target')}), b AS ({_A.format(sales_line='sales_line', store='store')}) SELECT coalesce(a.store_scheme, b.store_scheme) AS store_scheme, coalesce(a.period, b.period) AS period, round(target, 2) AS target, round(actual, 2) AS actual, round(coalesce(actual, 0) * 100 / nullif(target, 0), 2) AS achieved FROM a FULL JOIN b ON a.store_scheme = b.store_scheme AND a.period = b.period".replace("trunc(date, 'MM')", "CAST(date_trunc('month', date) AS DATE)"))
+@query(
+    "c31_target_vs_actual",
+    f"""{ctes("target", "sales_line", "store")}, a AS (SELECT store_scheme, {_MONTH} AS period, sum(target) AS target FROM target GROUP BY 1, 2),
+b AS (SELECT store_scheme, {_MONTH} AS period, sum(net_amount_acy) AS actual FROM sales_line JOIN store ON store_code = code WHERE company_id = 'A' GROUP BY 1, 2)
+SELECT coalesce(a.store_scheme, b.store_scheme) AS store_scheme, coalesce(a.period, b.period) AS period, round(target, 2) AS target, round(actual, 2) AS actual, round(coalesce(actual, 0) * 100 / nullif(target, 0), 2) AS achieved
+FROM a FULL JOIN b ON a.store_scheme = b.store_scheme AND a.period = b.period""",
+)
 def _(t):
-    spark = t("target").sparkSession
-    a, b = spark.sql(_T, target=t("target")), spark.sql(_A, sales_line=t("sales_line"), store=t("store"))
-    return a.join(b, ["store_scheme", "period"], "full_outer").select("store_scheme", "period", F.round("target", 2).alias("target"), F.round("actual", 2).alias("actual"), F.round(F.coalesce("actual", F.lit(0.0)) * 100 / F.nullif("target", F.lit(0.0)), 2).alias("achieved"))
+    sold = t("sales_line").where("company_id = 'A'").join(sales.small(t("store")), F.expr("store_code = code"))
+    return kpi.target_vs_actual(t("target"), sold)
 
 
 @query("c38_forecast_vs_actual", f"{ctes('forecast', 'sales_line', 'store')}, a AS (SELECT store_scheme, date, sum(net_amount_acy) AS actual FROM sales_line JOIN store ON store_code = code GROUP BY 1, 2) SELECT f.store_scheme, f.date, round(try_cast(net AS DOUBLE), 2) AS forecast, round(try_cast(net_lower AS DOUBLE), 2) AS lower_bound, try_cast(net_upper AS DOUBLE) AS upper_bound, round(actual, 2) AS actual FROM forecast f LEFT JOIN a ON a.store_scheme = f.store_scheme AND a.date = f.date")
 def _(t):
-    a = t("sales_line").join(sales.small(t("store")), F.expr("store_code = code")).groupBy("store_scheme", "date").agg(F.sum("net_amount_acy").alias("actual"))
-    num = lambda c: F.col(c).try_cast("double")
-    return t("forecast").join(a, ["store_scheme", "date"], "left").select("store_scheme", "date", F.round(num("net"), 2).alias("forecast"), F.round(num("net_lower"), 2).alias("lower_bound"), num("net_upper").alias("upper_bound"), F.round("actual", 2).alias("actual"))
+    return kpi.forecast_vs_actual(t("forecast"), t("sales_line").join(sales.small(t("store")), F.expr("store_code = code")))
 
 
 # --- tables --------------------------------------------------------------------------------------------------------------
