@@ -66,7 +66,7 @@ def last_hour_rows(feed: DataFrame, day: dt.date, zone: str = "UTC") -> DataFram
     last = state.groupBy("store_code", "scheme").agg(F.max("hour").alias("hour"))
     at = state.join(last, (state["store_code"].eqNullSafe(last["store_code"])) & (state["scheme"].eqNullSafe(last["scheme"])) & (state["hour"] == last["hour"]), "left_semi")
     tx = F.sum("total_transactions")
-    return at.groupBy("store_code", "scheme", "hour").agg(F.round(F.sum("net_amount_acy"), 2).alias("sales"), tx.alias("tx"), F.round(F.coalesce(F.sum("net_amount_acy") / F.nullif(tx, F.lit(0)), F.lit(0.0)), 2).alias("avg_basket"))
+    return at.groupBy("store_code", "scheme", "hour").agg(F.round(F.sum("net_amount_acy"), 2).alias("sales"), tx.alias("tx"), F.round(F.coalesce(F.sum("net_amount_acy") / F.nullif(tx, F.lit(0)), F.lit(0.0)), 4).alias("avg_basket"))
 
 
 def day_snapshot(feed: DataFrame, day: dt.date, zone: str = "UTC") -> DataFrame:

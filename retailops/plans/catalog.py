@@ -738,7 +738,7 @@ def _(t):
     return feed.store_in_focus(state.join(F.broadcast(first), "store_code", "left_semi"), F.col("store_code"))
 
 
-@query("a21_last_hour_rows", f"{ctes('feed')}, {_FEED_STATE} SELECT store_code, scheme, hour, round(sum(net_amount_acy), 2) AS sales, CAST(sum(total_transactions) AS BIGINT) AS tx, round(sum(net_amount_acy) / sum(total_transactions), 2) AS avg_basket FROM (SELECT *, max(hour) OVER (PARTITION BY store_code, scheme) AS last FROM cur) WHERE hour = last GROUP BY 1, 2, 3")
+@query("a21_last_hour_rows", f"{ctes('feed')}, {_FEED_STATE} SELECT store_code, scheme, hour, round(sum(net_amount_acy), 2) AS sales, CAST(sum(total_transactions) AS BIGINT) AS tx, round(sum(net_amount_acy) / sum(total_transactions), 4) AS avg_basket FROM (SELECT *, max(hour) OVER (PARTITION BY store_code, scheme) AS last FROM cur) WHERE hour = last GROUP BY 1, 2, 3")
 def _(t):
     return feed.last_hour_rows(t("feed"), DAY)
 

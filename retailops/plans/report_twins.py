@@ -37,7 +37,7 @@ SQL: dict[str, str] = {
     "c19_receiving": f"SELECT CAST(l_shipdate AS DATE) AS posting_date, round(sum(l_extendedprice), 2) AS amount, count(DISTINCT l_orderkey) AS documents FROM lineitem WHERE {_QUARTER} GROUP BY 1",
     "c20_routes": f"SELECT a AS transfer_from, b AS transfer_to, round(sum(shipped), 2) AS shipped, round(sum(received), 2) AS received FROM {_MOVES} GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 30",
     "c21_in_transit": f"SELECT b AS transfer_to, round(sum(shipped) - sum(received), 2) AS gap FROM {_MOVES} GROUP BY 1 HAVING sum(shipped) > sum(received)",
-    "c22_pickers": f"SELECT user_id, count(*) AS n_lines, CAST(round(sum(picked), 2) AS DOUBLE) AS units, round(avg(value * 3), 2) AS mean_time, count(*) FILTER (event_type = 'error') AS skipped FROM {_WORK} GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 25",
+    "c22_pickers": f"SELECT user_id, count(*) AS n_lines, CAST(round(sum(picked), 2) AS DOUBLE) AS units, round(avg(value * 3), 6) AS mean_time, count(*) FILTER (event_type = 'error') AS skipped FROM {_WORK} GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 25",
     "c23_pick_rate": f"SELECT day AS created_on, round(sum(value), 2) AS allocated, CAST(round(sum(picked), 2) AS DOUBLE) AS picked, round(CAST(round(sum(picked), 2) AS DOUBLE) * 100 / round(sum(value), 2), 1) AS rate FROM {_WORK} GROUP BY 1",
     "c24_work_status": "SELECT event_type AS line_status, count(*) AS n FROM events GROUP BY 1",
     "c25_incidents": f"SELECT event_type AS category, if(user_id % 2 = 0, 'Open', 'Closed') AS status, count(*) AS n, round(sum({_PAID}), 2) AS compensation FROM events GROUP BY 1, 2",

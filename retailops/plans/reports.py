@@ -87,7 +87,7 @@ REPORTS: dict[str, Report] = {
     "c19_receiving": Report("receipt_line", {"posting_date": "posting_date"}, {"amount": money("amount_lc"), "documents": "count(DISTINCT document_no)"}, _QUARTER, order=(("posting_date", False),)),
     "c20_routes": Report("transfer", {"transfer_from": "transfer_from", "transfer_to": "transfer_to"}, {"shipped": money("quantity_shipped"), "received": money("quantity_received")}, _QUARTER, order=(("shipped", True), ("transfer_from", False), ("transfer_to", False)), top=30),
     "c21_in_transit": Report("transfer", {"transfer_to": "transfer_to"}, {"gap": money("quantity_shipped - quantity_received")}, _QUARTER, having="gap > 0", order=(("gap", True), ("transfer_to", False))),
-    "c22_pickers": Report("work", {"user_id": "user_id"}, {"n_lines": "count(*)", "units": money("quantity_picked"), "mean_time": "round(avg(actual_time), 2)", "skipped": "count_if(is_skipped = 1)"}, order=(("units", True), ("user_id", False)), top=25),
+    "c22_pickers": Report("work", {"user_id": "user_id"}, {"n_lines": "count(*)", "units": money("quantity_picked"), "mean_time": "round(avg(actual_time), 6)", "skipped": "count_if(is_skipped = 1)"}, order=(("units", True), ("user_id", False)), top=25),
     "c23_pick_rate": Report("work", {"created_on": "created_on"}, {"allocated": money("quantity_allocated"), "picked": money("quantity_picked")}, extra={"rate": "round(picked * 100 / nullif(allocated, 0), 1)"}, order=(("created_on", False),)),
     "c24_work_status": Report("work", {"line_status": _named("line_status")}, {"n": "count(*)"}, order=(("n", True), ("line_status", False))),
     "c25_incidents": Report("incident", {"category": _named("category"), "status": _named("status")}, {"n": "count(*)", "compensation": money("compensate_amount * coalesce(exchange_rate, 1)")}, order=(("n", True), ("category", False), ("status", False))),
