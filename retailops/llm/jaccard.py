@@ -3,24 +3,30 @@
 A document's set has its distinct shingles of `k` words. Documents with equal sets form a class, and classes are compared once.
 All sets are ordered in one way: shingles that few documents have come first, by hash, and those known to be frequent last. Two
 sets that are similar enough have a shingle in common among the first of each (the prefix), so classes without one are
-never compared; where the last shared prefix shingle stands in both sets bounds what they can share at all.
+never compared. Where the first shingle that two sets share stands in each bounds what they can share at all: no more than
+what follows in either.
 
 1. Every class is compared with one leader, a class with which it shares much of its prefix. This is linear in the input, also
    for a group that holds a third of all rows. What links makes the first components; classes with one leader, linked or not,
    make a group of similar documents.
-2. Groups are cut into chunks of at most `chunk` classes. A class is a query to each chunk that has one of its prefix shingles
-   and members outside of its component. The least last prefix shingle of a chunk, the shared prefix shingles up to it and
-   their last place bound what the query can share with any member; chunks beyond that bound are not looked at. For the others
-   the chunk's token-group matrix, the union of its members' shingles with the members of each, bounds the overlap with the
-   whole chunk first; only if that reaches the threshold is it opened, and all its overlaps come from one sum over the matrix.
-   No two classes that can link stay untried unless they are in one component already, so no component is split.
+2. Groups are cut into chunks of at most `chunk` classes, and a matrix holds for each shingle and chunk the union over its
+   members: the most that follows the shingle in a member, and the least size. A class is a query to each chunk outside of its
+   component that shares a prefix shingle, if the places of that shingle allow a link. For a chunk with one class, the places
+   of the shingles before it tell whether the pair was met already, and parities of the sets (`_parity`), an exact upper bound,
+   whether it is worth a comparison. For the others the chunk's token-group matrix, the union of its members' shingles with the
+   members of each, bounds the overlap with the whole chunk first; only if that reaches the threshold is it opened, and all its
+   overlaps come from one sum over the matrix. No two classes that can link stay untried unless they are in one component
+   already, so no component is split.
 
 The order only decides how much is compared, never what links. Frequent shingles are counted over all documents in local
 batches: those that `common` documents of a batch have are summed up, and the `listed` most frequent are known to all tasks.
+Shingles of one class only and texts that no pair asks for are left out by a bitmap of fixed size (`common.Bits`) before they
+are shuffled. Equality of shingles and sets is that of their 63-bit and 128-bit hashes.
 
 Defined results: a null text or a text without words has an empty set, which links with nothing: such a row is its own
 component. Rows with one id have the component of the row that is least; equal sets link whatever the ids; with null ids the
-component is the least id that is not null, or null if there is none; empty tables give no rows; further columns are ignored.
+component is the least id that is not null, or null if there is none; ids of any type that can be ordered will do; empty tables
+give no rows; further columns are ignored by `join` and kept as they are by `representatives`.
 """
 
 from __future__ import annotations
@@ -34,15 +40,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as A
-from .common import cut, text_of
+from .common import Bits, cut, discard, text_of
 from .components import components
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
-#: Above every place in the order.
-_TOP = 2**63 - 1
+#: Stands for no shingle.
+_NONE = 2**63 - 1
+#: Shingles before one that are looked at to tell whether a pair was met already.
+_BEFORE = ("p1", "p2", "p3")
 
 
 def _placed(shingles: np.ndarray) -> np.ndarray:
@@ -96,36 +104,54 @@ def _frequent(docs: DataFrame, measure: Measure, common: int, listed: int) -> tu
     return tokens[order], np.arange(len(tokens))[order]
 
 
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """One bit for each of as many buckets as the set has shingles, up to the next power of two: how many it has there, modulo 2.
+
+    What two sets share cancels out, so the bits in which they differ are at most as many as the shingles in which they do.
+    """
+    size = 1 << max(int(len(shingles) - 1).bit_length(), 6)
+    return (np.bincount((shingles & A.U(size - 1)).astype(np.int64), minlength=size) & 1).astype(bool)
+
+
+def _differ(x: bytes, y: bytes) -> int:
+    """Shingles that only one of two sets has, at least; the longer parity is folded to the shorter."""
+    a, b = (np.frombuffer(v, np.uint8) for v in (x, y))
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _sets(docs: DataFrame, measure: Measure, known) -> DataFrame:
-    """(doc_id, did, th, s1, s2, n, central, upto, end, sketch, prefix): each document's set by a 128-bit signature, its size, how many of its
-    shingles are known to be frequent, and the places of its first shingles; upto: it has no other shingle up to this place. sketch, end: see `_sketched`.
+    """(doc_id, did, th, s1, s2, n, central, prefix, parity): each document's set by a 128-bit signature, its size, how many of its
+    shingles are known to be frequent, the places of its first shingles and its parity.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = known.value
         for b in batches:
-            out = []
-            for t in b.column(3).to_pylist():
-                s = measure.shingles(t)
-                n = len(s)
-                ends = np.array([0]), np.array([n])
-                s1, s2 = (int(A.Hashes(x, i).of(*ends).view(np.int64)[0]) for i, x in enumerate((s, A.mix(s))))
-                place = np.searchsorted(frequent, s)
-                place[place == len(frequent)] = 0
-                often = frequent[place] == s if len(frequent) else np.zeros(n, bool)
-                last = np.sort(rank[place[often]])
-                prefix = np.concatenate([_placed(s[~often]), last])[: measure.prefix(n)]
-                upto = int(prefix[-1]) if len(prefix) < n else _TOP
-                # the first sixteen bits of three times as many, and where these end
-                light = s[~often]
-                sketch = (light[: 3 * measure.prefix(n)] >> A.U(47)).astype(np.uint16)
-                end = int(sketch[-1]) if len(sketch) < len(light) else 1 << 16
-                out.append((s1, s2, n, len(last), upto, end, sketch.tobytes(), prefix))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 8
-            numbers = [pa.array(c, pa.int64()) for c in cols[:6]]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *numbers, pa.array(cols[6], pa.binary()), pa.array(list(cols[7]), pa.list_(pa.int64()))], ["doc_id", "did", "th", "s1", "s2", "n", "central", "upto", "end", "sketch", "prefix"])
-
-    return docs.select("doc_id", "did", "th", "text").mapInArrow(of, "doc_id long, did long, th long, s1 long, s2 long, n long, central long, upto long, end long, sketch binary, prefix array<long>")
+            for start in range(0, b.num_rows, 1000):
+                yield part(b.slice(start, 1000), frequent, rank)
+
+    def part(b: pa.RecordBatch, frequent: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+        out = []
+        for t in b.column(3):
+            s = measure.shingles(t.as_py())
+            n = len(s)
+            ends = np.array([0]), np.array([n])
+            s1, s2 = (int(A.Hashes(x, i).of(*ends).view(np.int64)[0]) for i, x in enumerate((s, A.mix(s))))
+            place = np.searchsorted(frequent, s)
+            place[place == len(frequent)] = 0
+            often = frequent[place] == s if len(frequent) else np.zeros(n, bool)
+            last = np.sort(rank[place[often]])
+            prefix = np.concatenate([_placed(s[~often]), last])[: measure.prefix(n)]
+            out.append((s1, s2, n, len(last), prefix, np.packbits(_parity(s), bitorder="little").tobytes()))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 6
+        numbers = [pa.array(c, pa.int64()) for c in cols[:4]]
+        return pa.RecordBatch.from_arrays([*b.columns[:3], *numbers, pa.array(list(cols[4]), pa.list_(pa.int64())), pa.array(cols[5], pa.binary())], ["doc_id", "did", "th", "s1", "s2", "n", "central", "prefix", "parity"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "did", "th", "text").mapInArrow(of, f"doc_id {kind}, did long, th long, s1 long, s2 long, n long, central long, prefix array<long>, parity binary")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
@@ -141,41 +167,26 @@ def _compared(pairs: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame
                 hit.append(measure.similar(measure.shingles(t.as_py()), known))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    own = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("t")), "a")
-    both = own.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("u")), "b")
-    return both.select("a", "b", "t", "u").mapInArrow(of, "a long, b long")
+    # the texts are dealt by cid once for both joins
+    own = pairs.join(texts.alias("x"), F.col("a") == F.col("x.cid")).select("a", "b", F.col("x.text").alias("t"))
+    both = own.join(texts.alias("y"), F.col("b") == F.col("y.cid")).select("a", "b", "t", F.col("y.text").alias("u"))
+    return both.mapInArrow(of, "a long, b long")
 
 
-def _can_link(measure: Measure, shared: str, n: str, m: str, at: str, to: str):
-    """Whether sets of n and m can link that share so many prefix shingles, the last of them at these places (from 0)."""
-    c = F.col
-    p = measure.percent
-    most = c(shared) + F.least(c(n) - c(at) - 1, c(m) - c(to) - 1)
-    return (p * F.greatest(c(n), c(m)) <= 100 * F.least(c(n), c(m))) & ((100 + p) * most >= p * (c(n) + c(m)))
-
-
-def _sketched(pairs: DataFrame, sketches: DataFrame, measure: Measure) -> DataFrame:
-    """The pairs (a, b) that can still link by their sketches.
-
-    A sketch has the first sixteen bits of the first shingles of a set in order, frequent ones aside; `end` is where it stops
-    (2**16: it has all). Below the lesser end, shingles without a partner in the other sketch are not in the other set.
-    """
+def _alike(pairs: DataFrame, classes: DataFrame, measure: Measure) -> DataFrame:
+    """The pairs (a, b) that can still link by their parities."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = measure.percent
         for b in batches:
-            hit = []
-            for n, end, x, m, to, y in zip(*(b.column(i).to_pylist() for i in range(2, 8)), strict=True):
-                x, y = (np.frombuffer(v, np.uint16) for v in (x, y))
-                least = min(end, to)
-                x, y = x[: np.searchsorted(x, least)], y[: np.searchsorted(y, least)]
-                both = min(np.count_nonzero(np.isin(x, y)), np.count_nonzero(np.isin(y, x)))
-                hit.append((100 + p) * (both + min(n - len(x), m - len(y))) >= p * (n + m))
+            n, x, m, y = (b.column(i) for i in range(2, 6))
+            hit = [_differ(u.as_py(), v.as_py()) <= k - 2 * measure.least(k, 0) for u, v, k in zip(x, y, (np.asarray(n) + np.asarray(m)).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    x = pairs.join(sketches.selectExpr("cid AS a", "n", "end", "sketch"), "a")
-    y = x.join(sketches.selectExpr("cid AS b", "n AS m", "end AS to", "sketch AS other"), "b")
-    return y.select("a", "b", "n", "end", "sketch", "m", "to", "other").mapInArrow(of, "a long, b long")
+    known = cut(classes.join(_members(pairs), "cid", "left_semi").select("cid", "n", "parity"), "parities")
+    c = F.col
+    own = pairs.join(known.alias("x"), c("a") == c("x.cid")).select("a", "b", c("x.n").alias("k"), c("x.parity").alias("own"))
+    both = own.join(known.alias("y"), c("b") == c("y.cid")).select("a", "b", "k", "own", c("y.n").alias("m"), c("y.parity").alias("other"))
+    return both.mapInArrow(of, "a long, b long")
 
 
 def _labelled(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
@@ -199,32 +210,36 @@ def _to_leaders(tokens: DataFrame, measure: Measure) -> DataFrame:
 
 
 def _chunks(tokens: DataFrame, found: DataFrame, pairs: DataFrame, chunk: int) -> DataFrame:
-    """(cid, n, upto, comp, home, part, size): the chunk of each class, and the size of its group: a leader and its classes."""
+    """(cid, n, comp, home, part, size): the chunk of each class, and the size of its group: a leader and its classes."""
     led = pairs.join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_anti").select(F.col("a").alias("node"), F.col("b").alias("component"))
-    rows = _labelled(_labelled(tokens.select("cid", "n", "upto").distinct(), found, "comp"), led, "home")
+    rows = _labelled(_labelled(tokens.select("cid", "n").distinct(), found, "comp"), led, "home")
     return rows.join(rows.groupBy("home").agg(F.count("*").alias("size")), "home").withColumn("part", F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / chunk)))
 
 
 def _queries(tokens: DataFrame, chunks: DataFrame, measure: Measure) -> DataFrame:
     """(a, home, part, alone): each class a and each chunk that can hold a class similar to it; alone: the only class of a group."""
-    ends = chunks.groupBy("home", "part").agg(F.min("upto").alias("end"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("cid").alias("first"))
-    rows = tokens.select("cid", "token", "pos").join(chunks.select("cid", "n", "comp", "home", "part", "size"), "cid")
-    matrix = rows.groupBy("token", "home", "part", "size").agg(F.max("pos").alias("to")).join(ends, ["home", "part"])
-    q, g = rows.alias("q"), matrix.alias("g")
+    lists = tokens.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("l")).join(chunks, "cid")
+    row = lambda x, i: F.struct(x["pos"].alias("pos"), x["token"].alias("token"), *(F.coalesce(F.get("l", i - k)["token"], F.lit(_NONE)).alias(p) for k, p in enumerate(_BEFORE, 1)))
+    rows = cut(lists.select("cid", "n", "comp", "home", "part", "size", F.inline(F.transform("l", row))), "rows")
     c, p = F.col, measure.percent
-    other = ~((c("g.c0") == c("q.comp")) & (c("g.c1") == c("q.comp"))) & (c("g.first") < c("q.cid"))
-    meet = q.join(g, (c("q.token") == c("g.token")) & other & (p * c("q.n") <= 100 * c("g.n1")) & (p * c("g.n0") <= 100 * c("q.n")))
-    upto = c("q.token") <= c("g.end")
-    by = meet.groupBy(c("q.cid").alias("a"), c("g.home").alias("home"), c("g.part").alias("part"), c("q.n").alias("n")).agg(
-        F.count("*").alias("k"), F.max("q.pos").alias("at"), F.max("g.to").alias("to"), F.count_if(upto).alias("kept"), F.max(F.when(upto, c("q.pos"))).alias("last"), *(F.max(f"g.{x}").alias(x) for x in ("size", "n0", "n1", "first"))
+    # a chunk with one class is its own matrix
+    alone = rows.where("size = 1").select("token", "home", "part", "size", (c("n") - c("pos")).alias("rest"), c("n").alias("n0"), c("n").alias("n1"), c("comp").alias("c0"), c("comp").alias("c1"), c("cid").alias("first"), *_BEFORE)
+    union = rows.where("size > 1").groupBy("token", "home", "part", "size").agg(
+        F.max(c("n") - c("pos")).alias("rest"), *(f(x).alias(y) for f, x, y in ((F.min, "n", "n0"), (F.max, "n", "n1"), (F.min, "comp", "c0"), (F.max, "comp", "c1"), (F.min, "cid", "first"))), *(F.lit(_NONE).alias(x) for x in _BEFORE)
     )
-    # of the query's shingles up to the chunk's end, only the shared ones can be in a member; places are in the order of positions,
-    # so that all of the query's shingles up to the last shared one are up to the end as well
-    most = c("kept") + c("n") - F.coalesce(c("last") + 1, F.lit(0))
-    smallest = F.greatest(c("n0"), F.ceil(c("n") * p / 100))
-    single = c("size") == 1
-    fits = ((100 + p) * most >= p * (c("n") + smallest)) & (~single | _can_link(measure, "k", "n", "n1", "at", "to"))
-    return by.where(fits).select("a", "home", "part", F.when(single, c("first")).alias("alone"))
+    matrix = alone.unionByName(union)
+    q, g = rows.alias("q"), matrix.alias("g")
+    other = ~((c("g.c0") == c("q.comp")) & (c("g.c1") == c("q.comp"))) & (c("g.first") < c("q.cid"))
+    sizes = (p * c("q.n") <= 100 * c("g.n1")) & (p * c("g.n0") <= 100 * c("q.n"))
+    # if this is the first shingle that the query shares with a member, they share no more than what follows in either
+    needed = p * (c("q.n") + F.greatest(c("g.n0"), F.ceil(c("q.n") * p / 100)))
+    places = ((100 + p) * (c("q.n") - c("q.pos")) >= needed) & ((100 + p) * c("g.rest") >= needed)
+    # a pair that shares an earlier shingle was met there
+    met = F.lit(False)
+    for x in _BEFORE:
+        met = met | ((c(f"g.{x}") != _NONE) & c(f"g.{x}").isin(*(c(f"q.{y}") for y in _BEFORE)))
+    meet = q.join(g, (c("q.token") == c("g.token")) & other & sizes & places & ~met)
+    return meet.select(c("q.cid").alias("a"), "g.home", "g.part", F.when(c("g.size") == 1, c("g.first")).alias("alone")).distinct()
 
 
 class TokenGroupMatrix:
@@ -254,8 +269,8 @@ def _opened(queries: DataFrame, chunks: DataFrame, texts: DataFrame, measure: Me
     """Links (a, b) of queries to members of other components, one for each component, in chunks that their bound opens."""
     many = queries.groupBy("home", "part").agg(F.ceil(F.count("*") / at_once).alias("salts"))
     own = chunks.select(F.col("cid").alias("a"), F.col("comp").alias("own"))
-    asks = queries.join(many, ["home", "part"]).select("a", "home", "part", F.pmod(F.xxhash64("a"), "salts").alias("salt")).join(own, "a").join(texts.withColumnRenamed("cid", "a"), "a")
-    held = chunks.select("cid", "comp", "home", "part").join(many, ["home", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).drop("salts").join(texts.select("cid", F.col("text").alias("held")), "cid")
+    asks = queries.join(many, ["home", "part"]).select("a", "home", "part", F.pmod(F.xxhash64("a"), "salts").alias("salt")).join(own, "a").join(texts.alias("x"), F.col("a") == F.col("x.cid")).select("a", "home", "part", "salt", "own", "text")
+    held = chunks.select("cid", "comp", "home", "part").join(many, ["home", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).drop("salts").join(texts, "cid").withColumnRenamed("text", "held")
 
     def of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         matrix = TokenGroupMatrix([measure.shingles(t) for t in right.held])
@@ -277,85 +292,88 @@ def _opened(queries: DataFrame, chunks: DataFrame, texts: DataFrame, measure: Me
     return asks.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(of, "a long, b long")
 
 
-def join(docs: DataFrame, k: int = 4, percent: int = 85, chunk: int = 128, common: int = 8, listed: int = 200_000, small: int = 1_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def join(docs: DataFrame, k: int = 4, percent: int = 85, chunk: int = 128, common: int = 8, listed: int = 200_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, n_shingles, class_id, group_id, component_id) for every row of docs.
 
-    class_id is the same for equal sets and group_id for the sets of one component (null for empty sets). small: with so many classes to compare at most, a filter on
-    their texts' hashes is broadcast; with more, the texts are shuffled.
+    class_id is the same for equal sets and group_id for the sets of one component (null for empty sets).
     """
-    spark, measure = docs.sparkSession, Measure(k, percent)
+    measure = Measure(k, percent)
     body = text_of(text)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("did"), F.xxhash64(body).alias("th"), body.alias("text"))
-    known = spark.sparkContext.broadcast(_frequent(rows, measure, common, listed))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id).alias("did"), F.xxhash64(body).alias("th"), body.alias("text"))
+    known = docs.sparkSession.sparkContext.broadcast(_frequent(rows, measure, common, listed))
     sets = cut(_sets(rows, measure, known), "sets")
-    classes = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("did", "th")).alias("at"))
-    classes = cut(cut(classes.select("s1", "s2", "n", "least_id", "at.did", "at.th"), "classes").withColumn("cid", F.monotonically_increasing_id()), "classes")
+    ids = sets.select("doc_id", "th", "s1", "s2", "n")
+    classes = cut(_classes(sets.where("n > 0")).withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    own = sets.select("s1", "s2", "did", "th", "central", "upto", "prefix").join(classes.select("s1", "s2", "did", "th", "cid"), ["s1", "s2", "did", "th"])
-    tokens = own.select("cid", "central", "upto", F.posexplode("prefix").alias("pos", "token"))
-    shared = tokens.groupBy("token").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x <> y").select("token")
-    met = cut(tokens.join(shared, "token").join(classes.select("cid", "n"), "cid"), "met")
+    tokens = classes.select("cid", "n", "central", F.posexplode("prefix").alias("pos", "token"))
+    shared = cut(tokens.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "shared")
+    met = cut(Bits(shared, "token").may_hold(tokens, "token").join(shared, "token"), "met")
+    discard(shared)
 
     pairs = cut(_to_leaders(met, measure), "pairs")
-    links = cut(_compared(pairs, _texts(rows, classes, _members(pairs), small), measure), "similar")
+    texts = _texts(rows, classes, _members(pairs))
+    links = cut(_compared(pairs, texts, measure), "similar")
     chunks = cut(_chunks(met, components(links), pairs, chunk), "chunks")
     asks = cut(_queries(met, chunks, measure), "queries")
-    single = asks.where("alone IS NOT NULL").select("a", F.col("alone").alias("b"))
-    sketches = sets.select("s1", "s2", "did", "th", "n", "end", "sketch").join(classes.select("s1", "s2", "did", "th", "cid"), ["s1", "s2", "did", "th"])
-    sketches = sketches.join(_members(single).withColumnRenamed("cid", "_c"), F.col("cid") == F.col("_c"), "left_semi").select("cid", "n", "end", "sketch").dropDuplicates(["cid"])
-    single = cut(_sketched(single, cut(sketches, "sketches"), measure), "singles")
-    many = asks.where("alone IS NULL")
+    discard(met, texts)
+    single = cut(_alike(asks.where("alone IS NOT NULL").select("a", F.col("alone").alias("b")), classes, measure), "singles")
+    many = asks.where("alone IS NULL").select("a", "home", "part")
     held = chunks.join(many.select("home", "part").distinct(), ["home", "part"], "left_semi")
-    texts = _texts(rows, classes, _members(single).unionByName(many.select(F.col("a").alias("cid"))).unionByName(held.select("cid")).distinct(), small)
-    final = components(links.unionByName(_compared(single, texts, measure)).unionByName(_opened(many, chunks, texts, measure)))
+    texts = _texts(rows, classes, _members(single).unionByName(many.select(F.col("a").alias("cid"))).unionByName(held.select("cid")).distinct())
+    more = cut(_compared(single, texts, measure).unionByName(_opened(many, chunks, texts, measure)), "similar")
+    discard(texts)
+    final = components(links.unionByName(more))
 
     named = classes.select("s1", "s2", "cid", "least_id").join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    by_set = named.join(least, "comp").select("s1", "s2", F.col("cid").alias("class_id"), F.col("comp").alias("group_id"), "component_id")
-    out = sets.select("doc_id", "th", "s1", "s2", "n").join(by_set, ["s1", "s2"], "left")
+    found = cut(named.join(least, "comp").select("s1", "s2", F.col("cid").alias("class_id"), F.col("comp").alias("group_id"), "component_id"), "found")
+    out = ids.join(found, ["s1", "s2"], "left")
     return out.select("doc_id", F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), "class_id", "group_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _members(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-
+def _classes(sets: DataFrame) -> DataFrame:
+    """(s1, s2, n, least_id, did, th, central, prefix, parity): one row for each different set.
 
-def _texts(rows: DataFrame, classes: DataFrame, wanted: DataFrame, small: int) -> DataFrame:
-    """(cid, text) of the wanted classes."""
-    spark = rows.sparkSession
-    ids = cut(wanted.join(classes, "cid").select("cid", "did", "th"), "wanted")
-    source = rows.select("did", "th", "text")
-    if ids.count() <= small:
-        source = _with_hash(source, spark.sparkContext.broadcast(np.sort(ids.select("th").toPandas().th.to_numpy(np.int64))))
-    return cut(source.join(ids, ["did", "th"]).select("cid", "text").dropDuplicates(["cid"]), "texts")
+    Sets that surely come once are classes as they are; only the others are shuffled with what belongs to them.
+    """
+    key = ["s1", "s2", "n"]
+    again = cut(sets.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").select(*key), "again")
+    bits = Bits(again, *key)
+    rest = ["central", "prefix", "parity"]
+    once = bits.surely_lacks(sets, *key).select(*key, F.col("doc_id").alias("least_id"), "did", "th", *rest)
+    many = bits.may_hold(sets, *key).groupBy(*key).agg(F.min("doc_id").alias("least_id"), F.min(F.struct("did", "th")).alias("at"), *(F.any_value(x).alias(x) for x in rest))
+    return once.unionByName(many.select(*key, "least_id", "at.did", "at.th", *rest))
 
 
-def _with_hash(rows: DataFrame, wanted) -> DataFrame:
-    """The rows (did, th, text) whose hash is one of the broadcast, sorted ones."""
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = wanted.value
-        for b in batches:
-            th = b.column(1).to_numpy(zero_copy_only=False)
-            at = np.minimum(np.searchsorted(known, th), max(len(known) - 1, 0))
-            yield b.filter(pa.array(known[at] == th if len(known) else np.zeros(len(th), bool)))
 
-    return rows.mapInArrow(of, "did long, th long, text string")
+def _texts(rows: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cid, text) of the wanted classes."""
+    ids = cut(wanted.join(classes.select("cid", "did", "th"), "cid"), "wanted")
+    some = Bits(ids, "did", "th").may_hold(rows.select("did", "th", "text"), "did", "th")
+    # equal rows share a key, and each key is of one class
+    return cut(some.join(ids, ["did", "th"]).dropDuplicates(["did", "th"]).select("cid", "text"), "texts")
 
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row for each component (the least id, then the least hash of the text) and all rows without words."""
-    found = join(docs, k, percent, doc_id=doc_id, text=text)
+    """docs with one row for each component (the least id, then the least hash of the text) and all rows without words.
+
+    Rows with one id and one text are one document. Rows whose key is surely none of a document that goes or comes again
+    pass where they lie; only the others are shuffled.
+    """
+    found = join(docs, k, percent, doc_id=doc_id, text=text).where("group_id IS NOT NULL")
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    first = found.where("group_id IS NOT NULL").groupBy("group_id").agg(F.min(key).alias("r")).select("r.doc_id", "r.text_hash")
-    first = first.unionByName(found.where("group_id IS NULL").select("doc_id", "text_hash").distinct())
-    keys = ["__id", "__hash"]
-    first = cut(first.select(F.xxhash64("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "kept")
-    body = text_of(text)
-    # equal rows are one document here; rows without words are told apart by a number
-    wordless = F.size(F.split(body, r"[^\x20\x09-\x0D]")) == 1
-    keyed = docs.withColumns({"__id": F.xxhash64(F.col(doc_id).cast("long")), "__hash": F.xxhash64(body), "__row": F.when(wordless, F.monotonically_increasing_id()).otherwise(F.lit(-1))})
-    return keyed.join(first, keys, "left_semi").dropDuplicates([*keys, "__row"]).select(*docs.columns)
+    first = found.groupBy("group_id").agg(F.min(key).alias("first"))
+    keys = found.groupBy("group_id", "doc_id", "text_hash").agg(F.count("*").alias("copies")).join(first, "group_id").select(F.xxhash64("doc_id").alias("did"), F.col("text_hash").alias("th"), "copies", key.eqNullSafe(F.col("first")).alias("stays"))
+    doubtful = cut(keys.where("NOT stays OR copies > 1").select("did", "th", "stays"), "doubtful")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(doc_id).alias("did"), F.xxhash64(text_of(text)).alias("th"))
+    bits = Bits(doubtful, "did", "th")
+    settled = bits.may_hold(rows, "did", "th").join(doubtful, ["did", "th"], "left")
+    alone = settled.where("stays IS NULL").select("row")
+    again = settled.where("stays").dropDuplicates(["did", "th"]).select("row")
+    return bits.surely_lacks(rows, "did", "th").select("row").unionByName(alone).unionByName(again).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
