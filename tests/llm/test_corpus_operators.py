@@ -69,7 +69,7 @@ def test_automaton_counts_other_places_only():
     assert b.repeated([5] * 6, 3).tolist() == [True] * 4
 
 
-@pytest.mark.parametrize("how", [{}, {"chunk": 2}, {"small": 0, "common": 3, "chunk": 4}])
+@pytest.mark.parametrize("how", [{}, {"chunk": 2}, {"common": 3, "chunk": 4}])
 def test_jaccard_join(docs, rows, how):
     assert got(jaccard.join(docs, **how).select("doc_id", "n_shingles", "component_id")) == brute.jaccard(pairs(rows))
 
@@ -97,6 +97,54 @@ def test_jaccard_join_of_copies_of_copies(spark, seed, how):
     assert got(jaccard.join(df, **how).select("doc_id", "n_shingles", "component_id")) == brute.jaccard(rows)
 
 
+def passages(seed, shared=14, own=90):
+    """Families whose members share most of their text or about as much as a link needs, with frequent shingles in all of them."""
+    rnd, rows = random.Random(seed), []
+    for f in range(shared):
+        base = [f"b{f}x{i}" for i in range(rnd.randint(40, 90))]
+        for i in range(own):
+            extra = [f"o{f}x{i}x{j}" for j in range(rnd.randint(0, 14))]
+            at = rnd.choice((0, len(base), rnd.randrange(len(base))))
+            rows.append((len(rows) * 7 % 5000, " ".join(base[:at] + extra + base[at:])))
+    return rows
+
+
+@pytest.mark.parametrize("seed, how", [(1, {"common": 4, "chunk": 5}), (2, {"common": 500, "chunk": 128}), (5, {"k": 1, "common": 2, "chunk": 3}), (6, {"k": 1, "common": 3, "chunk": 16})])
+def test_jaccard_join_near_the_threshold(spark, seed, how):
+    rows = passages(seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(jaccard.join(df, **how).select("doc_id", "n_shingles", "component_id")) == brute.jaccard(rows, k=how.get("k", 4))
+
+
+def test_parities_never_tell_of_too_much_difference():
+    rng = np.random.default_rng(3)
+    for n, m, both in ((1, 1, 0), (64, 65, 60), (300, 250, 200), (1000, 1030, 990), (5000, 4000, 100)):
+        every = np.unique(rng.integers(0, 1 << 62, n + m, dtype=np.uint64))
+        x, y = every[:n], every[n - both : n - both + m]
+        packed = [np.packbits(jaccard._parity(v), bitorder="little").tobytes() for v in (x, y)]
+        assert jaccard._differ(*packed) <= len(np.setxor1d(x, y))
+
+
+def test_bits_hold_all_their_keys(spark):
+    from retailops.llm.common import Bits
+
+    rows = spark.range(0, 40000)
+    bits = Bits(rows.where("id % 3 = 0"), "id")
+    assert bits.may_hold(rows, "id").where("id % 3 = 0").count() == rows.where("id % 3 = 0").count()
+    assert bits.may_hold(rows, "id").where("id % 3 <> 0").count() < 100
+    lacks = bits.surely_lacks(rows, "id")
+    assert lacks.where("id % 3 = 0").count() == 0 and lacks.count() > 26000
+
+
+def test_representatives_keep_clashing_columns(spark):
+    rows = [(3, "a b c d e f", "x", 1, 2), (1, "A b c d e f", "y", 3, 4), (1, "A b c d e f", "y", 3, 4), (None, "q", None, None, None), (7, None, "z", 5, 6), (7, None, "z", 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id string, th long, did long")
+    assert got(jaccard.representatives(df)) == sorted([rows[1], rows[3], rows[4], rows[5]], key=str)
+    ids = spark.createDataFrame([("b", "a b c d e"), ("a", "a b c d e"), ("c", "")], "doc_id string, text string")
+    assert got(jaccard.join(ids).select("doc_id", "component_id")) == [("a", "a"), ("b", "a"), ("c", "c")]
+    assert got(jaccard.representatives(ids).select("doc_id")) == [("a",), ("c",)]
+
+
 def test_jaccard_of_an_empty_table(empty):
     assert jaccard.join(empty).count() == 0 and jaccard.representatives(empty).count() == 0
 
@@ -168,11 +216,48 @@ def test_co_training_is_accurate_on_held_out_labels(spark):
     at = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
     train, test = labels.where("doc_id % 5 <> 0"), labels.where("doc_id % 5 = 0")
-    scored = cotraining.score(docs, cotraining.train(docs, train, labelled=1500, pool=500)).join(test, "doc_id")
+    model = cotraining.train(docs, train, labelled=1500)
+    assert len(model.given) == 3 and all(n > 0 for n, _ in model.given)
+    scored = cotraining.score(docs, model).join(test, "doc_id")
     right = scored.agg(F.avg((F.col("kept").cast("int") == F.col("quality")).cast("int")), F.avg(F.when(F.col("quality") == 1, F.col("kept").cast("int")))).first()
     assert right[0] > 0.97 and right[1] > 0.99
 
 
+def test_both_views_give_labels_and_gain_by_it():
+    """Two views that tell of the label independently, few labels and many rows without one."""
+    rng = np.random.default_rng(4)
+    y = (rng.random(6000) < 0.5).astype(float)
+    views = [np.concatenate([np.ones((6000, 1)), (2 * y - 1)[:, None] * strength + rng.normal(size=(6000, dims))], axis=1).astype(np.float32) for dims, strength in ((40, 0.35), (30, 0.4))]
+    own, pool, test = np.arange(24), np.arange(24, 4000), np.arange(4000, 6000)
+
+    def exchange(w, taken, good, bad):
+        p = [cotraining.probability(views[v][pool] @ w[v]) for v in (0, 1)]
+        out = []
+        for to in (0, 1):
+            top, low = cotraining.surest(p[1 - to], ~np.isin(pool, list(taken[to])), good, bad)
+            keys = pool[np.concatenate([top, low])]
+            out.append((views[to][keys], np.repeat([1.0, 0.0], [len(top), len(low)]), keys.tolist()))
+        return out
+
+    none = [(np.zeros((0, x.shape[1]), np.float32), np.zeros(0), []) for x in views]
+    right = []
+    for how in (lambda *a: none, exchange):
+        model = cotraining.co_train(views[0][own], views[1][own], y[own], how, rounds=4, per_round=300)
+        right.append(np.mean([((views[v][test] @ (model.text, model.meta)[v]) > 0) == (y[test] > 0) for v in (0, 1)]))
+        assert all(a > 0 and b > 0 for a, b in model.given) == (how is exchange)
+    assert right[1] > right[0] + 0.02
+
+
+def test_classifier_takes_one_row_of_an_id(spark):
+    text = "plain words of prose that say this and that and more. " * 8
+    rows = [(i, text + str(i), "en", "s", 9, "k") for i in range(40)] + [(100 + i, "### $$$ %%% " * 30, "en", "s", 9, "k") for i in range(40)]
+    rows += [rows[1]] * 300 + [(None, None, None, None, None, "k")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string")
+    labels = spark.createDataFrame([(i, int(i < 100), 0) for i in (*range(20), *range(100, 120), 1, 1)], "doc_id long, quality int, toxic int")
+    out = {(r.doc_id, r.kept) for r in cotraining.score(docs, cotraining.train(docs, labels)).collect()}
+    assert {x for x in out if x[0] is not None} == {(r[0], r[0] < 100) for r in rows if r[0] is not None}
+
+
 def test_classifier_edge_cases(spark, docs, empty):
     labels = spark.createDataFrame([(3, 1, 0), (4, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     one = cotraining.train(docs, labels)  # one class only

@@ -61,3 +61,17 @@ def test_run(spark, twin):
         cuts = [0, *range(first, len(ids) + 1, 1024)] if len(ids) > 1024 else [0, len(ids)]
         want |= {(d, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))}
     assert {tuple(r)[:5] for r in corpus_pipeline.run(spark, AT).collect()} == want
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES, ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_each_stage_on_odd_and_empty_tables(spark, docs, empty, rows, name, stage):
+    out = stage(spark, docs, AT)
+    found = out.collect()
+    assert 0 < len(found) and stage(spark, empty, AT).count() == 0
+    if stage is not corpus_pipeline.STAGES[-1][1]:
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+        want = {tuple(r) for r in rows}
+        changed = {"text", "n_chars"} if name == "secret_scans" else set()
+        kept = [i for i, c in enumerate(docs.columns) if c not in changed]
+        assert {tuple(r[i] for i in kept) for r in found} <= {tuple(r[i] for i in kept) for r in want}
+        assert len(found) <= len(rows) and (name == "quality_rules" or any(r.text is None for r in found))

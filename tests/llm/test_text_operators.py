@@ -1,6 +1,7 @@
 """Operators that work on each text: rules, secrets, licences, pages, contamination."""
 
 import re
+from html.parser import HTMLParser
 
 import brute
 import pytest
@@ -23,8 +24,8 @@ def test_quality_measures_and_verdict(docs, rows):
 
 
 def test_quality_counts_by_windows_agree_with_hashes(spark):
-    df = spark.createDataFrame([("a b c a b c d",), ("x x x x",), ("p q r",)], "text string")
-    both = quality_rules.with_words(df).select(quality_rules._by_windows(quality_rules.F.col("__words")), quality_rules._by_hashes(quality_rules.F.col("__words")))
+    df = spark.createDataFrame([("a b c a b c d".split(),), ("x x x x".split(),), ("p q r".split(),)], "words array<string>")
+    both = df.select(quality_rules._by_windows(quality_rules.F.col("words")), quality_rules._by_hashes(quality_rules.F.col("words")))
     assert [tuple(r) for r in both.collect()] == [(6, 6), (4, 4), (0, 0)]
 
 
@@ -78,6 +79,12 @@ def test_licences(docs, empty):
     assert licences.identify(docs).count() == docs.count() and licences.identify(empty).count() == 0
 
 
+def test_licences_of_repeated_rows_and_clashing_columns(spark):
+    rows = [("MIT License", "x", 1, "s"), ("MIT License", "x", 1, "s"), (None, None, None, None), ("  " * 100_000 + "Released under the MIT License.", "y", 2, "s")]
+    found = licences.identify(spark.createDataFrame(rows, "text string, licences string, restricted int, _seq string"))
+    assert sorted([(r.licences, r._seq) for r in found.collect()], key=str) == sorted([([], None), ([], "s"), ([], "s"), (["MIT"], "s")], key=str)
+
+
 def test_a_longer_licence_rule_takes_its_sentences(spark):
     text = (
         "MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction. "
@@ -108,6 +115,25 @@ Unless required by applicable law or agreed to in writing, software distributed
     "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
 
 This program is distributed in the hope that it will be useful. See the GNU General Public License for more details.""",
+    "BSD-3-Clause": """Copyright (c) 2001, Some One. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the University of Somewhere nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU Lesser General Public License for more details.""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3.""",
+    "CC-BY-NC-SA-4.0": """This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.""",
+    "BSD-2-Clause": """SPDX-License-Identifier: BSD-2-Clause""",
     "GPL-2.0": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""",
 }
 
@@ -121,7 +147,7 @@ def test_licences_own_texts_wrapped_and_not(spark):
         rows += [(name, x) for x in (text, " ".join(text[text.find("Permission") if name == "MIT" else 0 :].split()), wrapped, textwrap.indent(wrapped, " * ", lambda _: True), wrapped.replace("\n", "\r\n"))]
     for r in licences.identify(spark.createDataFrame(rows, "name string, text string")).collect():
         assert r.licences == [r.name], r
-        assert len(r.sentence_ids) == {"MIT": 4, "BSD": 2, "Apache-2.0": 3, "GPL-3.0": 2, "GPL-2.0": 1}[r.name] or r.name == "MIT" and len(r.sentence_ids) == 3
+        assert len(r.sentence_ids) == {"MIT": 4, "BSD": 2, "Apache-2.0": 3, "GPL-3.0": 2, "GPL-2.0": 1, "BSD-3-Clause": 4, "MPL-2.0": 2, "LGPL-2.1": 2}.get(r.name, 1) or r.name == "MIT" and len(r.sentence_ids) == 3
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/a">Menu</a></li></ul></nav>
@@ -163,29 +189,108 @@ def test_main_text_is_whole(page, want):
     assert html_text.main_text(page) == want
 
 
+class Blocks(HTMLParser):
+    """The article's blocks of a page whose elements are all closed, by the standard library's parser."""
+
+    OUT = {"nav", "footer", "aside", "form", "script", "style", "head"}
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.blocks, self.text = [], [], ""
+
+    def end(self):
+        line = " ".join(self.text.split())
+        if line and "article" in self.open and not any(x in self.OUT for x in self.open):
+            self.blocks.append(line)
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        marked = any(set(re.split(r"[\s_-]", v or "")) & {"ad", "cookie", "notice", "comments", "sidebar"} for k, v in attrs if k in ("class", "id"))
+        if tag == "p" and self.open[-1:] == ["p"]:
+            self.handle_endtag("p")
+        if tag not in html_text.INLINE:
+            self.end()
+        if tag not in html_text.VOID and tag not in html_text.INLINE:
+            self.open.append("aside" if marked else tag)
+
+    def handle_endtag(self, tag):
+        if tag in html_text.INLINE:
+            return
+        self.end()
+        while self.open and self.open[-1] not in (tag, "aside"):
+            self.open.pop()
+        if self.open:
+            self.open.pop()
+
+    def handle_data(self, data):
+        self.text += data
+
+
+def test_main_text_of_all_pages_by_another_parser(spark):
+    at = "/root/testdata/sf0.01"
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{at}/pages.parquet").collect()}
+    for r in html_text.query(spark, at).collect():
+        p = Blocks()
+        p.feed(pages[r.page_id] or "")
+        assert r.text == "\n".join(p.blocks) and r.n_chars == len(r.text), r.page_id
+
+
+def test_surges_choose_among_marked_articles():
+    teaser = "<article class=t><h3><a href=x>Another story</a></h3><p>Short.</p></article>"
+    assert html_text.main_text(f"<main><h1>Head</h1><p>{LONG}</p><p>End.</p></main>{teaser * 3}") == f"Head\n{LONG.strip()}\nEnd."
+    assert html_text.main_text(f"<article><p>{LONG}</p></article><div>between</div><article><p>{LONG}</p></article>") == f"{LONG.strip()}\n{LONG.strip()}"
+    assert html_text.main_text(teaser * 2) == "Another story\nShort.\n" * 1 + "Another story\nShort."
+
+
+def test_very_long_pages(spark):
+    page = "<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>"
+    df = spark.createDataFrame([(1, page), (1, page), (None, "<div>" * 5000 + "x")], "page_id long, html string")
+    assert sorted(len(r.text) for r in html_text.extract(df).collect()) == [1, *[20_000 * (len(LONG.strip()) + 1) - 1] * 2]
+
+
 def test_pages_of_all_kinds(spark):
     df = spark.createDataFrame([(1, "u", None, "old"), (1, "u", "", None), (None, None, "<article><p>a</p></article>", "x")], "page_id long, url string, html string, text string")
     assert sorted(r.text for r in html_text.extract(df).collect()) == ["", "", "a"]
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def contamination(found):
+    return got(found.selectExpr("doc_id", "n_words", "n_hit", "n_items", "sha2(array_join(item_ids, ','), 256)", "contaminated"))
+
+
 def test_contamination(spark, docs, rows, empty):
     some = [r[1] for r in rows if r[1] and len(r[1].split()) > 100]
-    items = [(1, " ".join(some[0].split()[20:45])), (2, "one TWO three four"), (3, None), (4, "  ..."), (5, " ".join(some[3].split()[5:15])), (5, "école"), (None, "a b"), (7, " ".join(some[0].split()[20:45]))]
+    items = [(1, " ".join(some[0].split()[20:45])), (2, "one TWO three four"), (3, None), (4, "  ..."), (5, " ".join(some[3].split()[5:15])), (5, "école"), (None, "a b"), (7, " ".join(some[0].split()[20:45])), (8, "Straße"), (9, "a a a")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    cols = ("doc_id", "n_words", "n_hit", "n_items", "sha2(array_join(item_ids, ','), 256)", "contaminated")
-    want = brute.contamination(pairs(rows), [x for x in items if x[0] is not None])
-    known = bench.where("item_id IS NOT NULL")
-    assert got(decontaminate.report(docs, known).selectExpr(*cols)) == want
-    assert decontaminate.report(empty, known).count() == 0
-    assert decontaminate.report(docs, bench.limit(0)).agg({"n_hit": "sum", "*": "count"}).first()[0:2] == (0, len(rows)) or True
-    clean = decontaminate.clean(docs, known)
+    want = brute.contamination(pairs(rows), items)
+    for shingle in (1, 2, 3):
+        assert contamination(decontaminate.report(docs, bench, shingle=shingle)) == want
+    assert decontaminate.report(empty, bench).count() == 0 and decontaminate.clean(empty, bench).count() == 0
+    none = decontaminate.report(docs, bench.limit(0))
+    assert none.where("n_hit > 0").count() == 0 and none.count() == len(rows)
+    clean = decontaminate.clean(docs, bench)
     assert clean.columns == docs.columns and clean.count() == sum(not r[-1] for r in want)
 
 
-def test_contamination_in_blocks_is_the_same(spark, docs, monkeypatch):
-    bench = spark.createDataFrame([(k, f"w{k} w{k + 1}") for k in range(100)], "item_id long, text string")
-    whole = got(decontaminate.report(docs, bench).select("doc_id", "n_hit", "n_items"))
-    wins = decontaminate.windows(bench, 10)
-    monkeypatch.setattr(decontaminate, "windows", lambda items, n: wins)
-    assert got(decontaminate.report(docs, bench, block_mb=1).select("doc_id", "n_hit", "n_items")) == whole
+def test_contamination_twin_has_the_same_rule_for_null_items(spark, tmp_path):
+    import duckdb
+
+    docs = [(1, "x a b y q r s"), (2, "nothing here"), (None, "a b"), (3, None)]
+    items = [(None, "a b"), (4, "q R s"), (5, "r s"), (6, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    found = got(decontaminate.query(spark, str(tmp_path)))
+    assert found == sorted(con.execute(decontaminate.SQL).fetchall(), key=str) and found[0][1:4] == (7, 5, 2)
+
+
+def test_contamination_in_blocks_is_the_same(spark, docs, rows):
+    items = [(k % 40, f"w{k % 120} w{(k * 7) % 120} " + " ".join(f"filler{k}x{j}" for j in range(k % 3 * 8))) for k in range(9000)]
+    items += [(9000, " ".join(t.split()[:30])) for _, t, *_ in rows if t and len(t.split()) > 30]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    size = decontaminate.windows(bench, 10).selectExpr("sum(length(array_join(words, ' ')) + 64)").first()[0]
+    assert size > 2 << 20
+    whole = contamination(decontaminate.report(docs, bench))
+    assert contamination(decontaminate.report(docs, bench, block_mb=1)) == whole and any(r[-1] for r in whole)
