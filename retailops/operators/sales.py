@@ -137,20 +137,23 @@ LEVELS = {"scheme": "store_scheme", "store": "store", "division": "division_code
 def drilldown(sales: DataFrame, stores: DataFrame, items: DataFrame, company: str, as_of: dt.date, scope: str = "MTD", view: str = "ToDate", level: str = "scheme", scheme: str | None = None, store: str | None = None, division: str | None = None) -> DataFrame:
     """One row for each value of the level with sales and exact baskets in four windows, from one scan.
 
-    The first shuffle is on (key, basket), which spreads even a very large store; the second only adds up flags.
+    The first shuffle is on the basket (and the item's label, if that is asked for), which spreads even a very large store; the
+    second only adds up flags. A basket is of one store, so stores are joined to baskets and not to lines.
     """
     rows = _windowed(sales, company, as_of, scope, view)
-    if level in ("scheme", "store") or scheme:
-        rows = rows.join(small(stores.select(F.col("code").alias("store_code"), "store", "store_scheme")), "store_code", "left")
-    if level in ("division", "category") or division:
-        rows = rows.join(items.select("item_no", "division_code", "category_code"), "item_no", "left")
-    for value, name in ((scheme, "store_scheme"), (division, "division_code")):
-        if value:
-            rows = rows.where(label(F.col(name)) == value)
     if store:
         rows = rows.where(F.col("store_code") == store)
-    key = label(F.col(LEVELS[level]), F.col("store_code").cast("string")) if level == "store" else label(F.col(LEVELS[level]))
-    return _four(rows, {"label": key}).orderBy(F.desc("val_sales"), "label")
+    item = {}
+    if level in ("division", "category") or division:
+        rows = rows.join(items.select("item_no", "division_code", "category_code"), "item_no", "left")
+        rows = rows.where(label(F.col("division_code")) == division) if division else rows
+        item = {"_item": label(F.col(LEVELS[level]))} if level in ("division", "category") else {}
+    one = _baskets(rows, item)
+    if level in ("scheme", "store") or scheme:
+        one = one.join(small(stores.select(F.col("code").alias("store_code"), "store", "store_scheme")), "store_code", "left")
+        one = one.where(label(F.col("store_scheme")) == scheme) if scheme else one
+    key = F.col("_item") if item else label(F.col(LEVELS[level]), F.col("store_code").cast("string")) if level == "store" else label(F.col(LEVELS[level]))
+    return _summed(one, {"label": key}).orderBy(F.desc("val_sales"), "label")
 
 
 def _windowed(sales: DataFrame, company: str, as_of: dt.date, scope: str, view: str) -> DataFrame:
@@ -160,12 +163,18 @@ def _windowed(sales: DataFrame, company: str, as_of: dt.date, scope: str, view:
     return sales.where((F.col("company_id") == company) & any_of).withColumns({f"in_{w}": c for w, c in conds.items()})
 
 
-def _four(rows: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    names = ("val", "cur", "lm", "ly")
-    one = rows.groupBy(*(c.alias(k) for k, c in keys.items()), *BASKET).agg(
-        *(F.sum(F.when(F.col(f"in_{w}"), F.col("net_amount_acy"))).alias(f"{w}_s") for w in names), *(F.max(F.col(f"in_{w}").cast("int")).alias(f"{w}_t") for w in names)
+_FOUR = ("val", "cur", "lm", "ly")
+
+
+def _baskets(rows: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Sales and a flag in each window by basket and keys."""
+    return rows.groupBy(*(c.alias(k) for k, c in keys.items()), *BASKET).agg(
+        *(F.sum(F.when(F.col(f"in_{w}"), F.col("net_amount_acy"))).alias(f"{w}_s") for w in _FOUR), *(F.max(F.col(f"in_{w}").cast("int")).alias(f"{w}_t") for w in _FOUR)
     )
-    return one.groupBy(*keys).agg(*(F.round(F.coalesce(F.sum(f"{w}_s"), F.lit(0)), 2).alias(f"{w}_sales") for w in names), *(F.sum(f"{w}_t").cast("long").alias(f"{w}_tx") for w in names))
+
+
+def _summed(baskets: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    return baskets.groupBy(*(c.alias(k) for k, c in keys.items())).agg(*(F.round(F.coalesce(F.sum(f"{w}_s"), F.lit(0)), 2).alias(f"{w}_sales") for w in _FOUR), *(F.sum(f"{w}_t").cast("long").alias(f"{w}_tx") for w in _FOUR))
 
 
 def grand_totals(levels: DataFrame) -> DataFrame:
@@ -181,7 +190,7 @@ def grand_totals(levels: DataFrame) -> DataFrame:
 
 def drilldown_rollup(sales: DataFrame, stores: DataFrame, company: str, as_of: dt.date, scope: str = "MTD", view: str = "ToDate") -> DataFrame:
     """Stores, schemes and the grand total at once. A basket is of one store, so flags of baskets add up at every level."""
-    rows = _windowed(sales, company, as_of, scope, view).join(small(stores.select(F.col("code").alias("store_code"), "store", "store_scheme")), "store_code", "left")
-    one = _four(rows, {"scheme": label(F.col("store_scheme")), "store": label(F.col("store"), F.col("store_code").cast("string"))})
+    one = _baskets(_windowed(sales, company, as_of, scope, view), {}).join(small(stores.select(F.col("code").alias("store_code"), "store", "store_scheme")), "store_code", "left")
+    one = _summed(one, {"scheme": label(F.col("store_scheme")), "store": label(F.col("store"), F.col("store_code").cast("string"))})
     sums = [F.round(F.sum(f"{w}_sales"), 2).alias(f"{w}_sales") for w in ("val", "lm", "ly")] + [F.sum(f"{w}_tx").alias(f"{w}_tx") for w in ("val", "lm", "ly")]
     return one.rollup("scheme", "store").agg(F.grouping_id().cast("long").alias("level"), *sums)
