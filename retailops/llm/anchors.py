@@ -9,6 +9,7 @@ All of this is vectorised over a batch of sequences; a sequence of any length is
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ U = np.uint64
 _PLACE = 24
 _LOW = U((1 << _PLACE) - 1)
 #: Symbols worked on at a time: bounds the memory of a task.
-BATCH = 1 << 20
+BATCH = 1 << 18
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -86,6 +87,20 @@ def word_symbols(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     return symbols, counts, begin, end
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def symbols_of(text: bytes) -> np.ndarray:
+    """The words of one text of any length, worked on in pieces that end at white space."""
+    parts, start = [], 0
+    while start < len(text):
+        gap = _SPACE.search(text, start + BATCH)
+        end = gap.start() if gap else len(text)
+        parts.append(word_symbols(np.frombuffer(text, np.uint8, end - start, start), np.array([end - start]))[0])
+        start = end
+    return np.concatenate([np.zeros(0, U), *parts])
+
+
 def _least(x: np.ndarray, w: int) -> np.ndarray:
     """Minima over every w consecutive elements."""
     k = 1

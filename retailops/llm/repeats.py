@@ -2,12 +2,14 @@
 
 1. Every text is cut into anchored segments (`anchors`). Counting the occurrences of each anchor, with partial sums before the
    shuffle, leaves the anchors that occur twice or more; without one of those, no window repeats.
-2. If all occurrences of such an anchor have the same segment around it, all their windows repeat.
-3. Else the different segments of the anchor, each once with its number of occurrences, go to a shard: there the operator's
-   own index decides which windows of which segment repeat. A shard has about `per_shard` segments. An anchor with more than
-   `hot` different segments is spread window by window instead: the windows' 128-bit hashes are counted with partial sums.
-4. The spans found are gathered by document, which is cut in a final join.
-
+2. The different segments of such an anchor, each once with its number of occurrences, go to a shard: there the operator's
+   own index decides which windows of which segment repeat. A shard has about `per_shard` segments. For an anchor with more than
+   `hot` different segments, too many for one shard, there is an exact way window by window: the windows' 128-bit hashes are
+   counted with partial sums.
+3. The spans found are gathered by document, which is cut in a final join; documents that surely have none (`common.Bits`) are
+   not shuffled for it.
+
+Segments are equal if their anchors' and their own 64-bit hashes are.
 A document is known by two 64-bit hashes over its id and text, so equal rows share their spans and no key is hot.
 """
 
@@ -22,18 +24,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as A
-from .common import cut
+from .common import Bits, cut, discard
 
 KEYS = ["h1", "h2"]
+#: Rows of an Arrow batch that are held as Python objects at a time.
+_ROWS = 500
 _SEGMENTS = "h1 long, h2 long, anchor long, seg long, lo int, hi int, off int"
-_CONTENT = "shard int, hot boolean, anchor long, seg long, copies long, windows int, off int, content binary"
+_CONTENT = "shard int, anchor long, seg long, copies long, windows int, off int, content binary"
 
 #: (contents, copies, windows, anchors' places, anchors) -> for each segment the repeated windows as a Boolean array.
 Judge = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
 
 
 class Unit:
-    """What a symbol is: a byte, or a word of a text. A segment's content is its bytes, or its words' 64-bit symbols."""
+    """What a symbol is: a byte, or a word of a text. A segment's content is its bytes, or its words joined by one space."""
 
     def __init__(self, kind: str, window: int, gram: int):
         self.words, self.window, self.gram = kind == "words", window, gram
@@ -46,12 +50,21 @@ class Unit:
             return symbols, counts
         return A.BYTES[flat], sizes
 
-    def size(self, content: bytes) -> int:
-        return len(content) // (8 if self.words else 1)
-
     def cut(self, text: bytes) -> np.ndarray:
-        """A text as an array of what contents are made of."""
-        return self.symbols([text])[0] if self.words else np.frombuffer(text, np.uint8)
+        """The symbols of one text of any length."""
+        return A.symbols_of(text) if self.words else A.BYTES[np.frombuffer(text, np.uint8)]
+
+    def units(self, text: bytes) -> bytes | list[bytes]:
+        return text.split() if self.words else text
+
+    def join(self, units: bytes | list[bytes]) -> bytes:
+        return b" ".join(units) if self.words else units
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for start in range(0, b.num_rows, _ROWS):
+            yield b.slice(start, _ROWS)
 
 
 def _utf8(column: pa.Array) -> list[bytes]:
@@ -66,21 +79,25 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 def _cut_into_segments(docs: DataFrame, unit: Unit) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield from part(b)
+
+    def part(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         w, k = unit.window, unit.gram
-        for b in batches:
-            texts = _utf8(b.column(0))
-            keys = [b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)]
-            for group, start in A.pieces([len(x) for x in texts], w):
-                if len(texts[group[0]]) > A.BATCH:  # alone, and cut by bytes; words are cut by words
-                    if unit.words and not start:
-                        yield from long(unit.symbols([texts[group[0]]])[0], keys[0][group[0]], keys[1][group[0]])
-                    elif not unit.words:
-                        yield piece(A.BYTES[np.frombuffer(texts[group[0]], np.uint8, min(A.BATCH, len(texts[group[0]]) - start), start)], keys[0][group[0]], keys[1][group[0]], start)
-                    continue
-                symbols, sizes = unit.symbols([texts[i] for i in group])
-                s = A.segments(symbols, sizes, w, k)
-                at = np.array(group)[s["seq"]]
-                yield rows(keys[0][at], keys[1][at], s, 0)
+        texts = _utf8(b.column(0))
+        keys = [b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)]
+        for group, start in A.pieces([len(x) for x in texts], w):
+            text = texts[group[0]]
+            if len(text) > A.BATCH:  # alone, and cut by bytes; words are cut by words
+                if unit.words and not start:
+                    yield from long(unit.cut(text), keys[0][group[0]], keys[1][group[0]])
+                elif not unit.words:
+                    yield piece(A.BYTES[np.frombuffer(text, np.uint8, min(A.BATCH, len(text) - start), start)], keys[0][group[0]], keys[1][group[0]], start)
+                continue
+            symbols, sizes = unit.symbols([texts[i] for i in group])
+            s = A.segments(symbols, sizes, w, k)
+            at = np.array(group)[s["seq"]]
+            yield rows(keys[0][at], keys[1][at], s, 0)
 
     def long(symbols: np.ndarray, h1: int, h2: int) -> Iterator[pa.RecordBatch]:
         for _, start in A.pieces([len(symbols)], unit.window):
@@ -104,38 +121,35 @@ def spans(docs: DataFrame, unit: Unit, judge: Judge, per_shard: int = 1500, hot:
     """
     w = unit.window
     every = cut(_cut_into_segments(docs, unit), "segments")
-    counted = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("many"))
-    again = cut(every.join(counted, "anchor"), "repeated")
-    sure = again.where(~F.col("many")).select(*KEYS, F.col("lo").alias("start"), (F.col("hi") + w).alias("end"))
-
-    # the different segments of anchors that have several, each at one place in one document
-    several = again.where("many")
-    unlike = several.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min("h1").alias("h1"))
-    crowd = unlike.groupBy("anchor").agg(F.count("*").alias("m"))
-    unlike = cut(unlike.join(crowd, "anchor").select("anchor", "seg", "copies", "h1", (F.col("m") > hot).alias("hot")), "unlike")
+    counted = cut(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
+    again = cut(Bits(counted, "anchor").may_hold(every, "anchor").join(counted, "anchor"), "repeated")
+    discard(every, counted)
+
+    # the different segments of each anchor, each at one place in one document
+    unlike = again.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct(*KEYS, "lo", "hi", "off")).alias("at"))
+    crowd = again.select("anchor", "seg").distinct().groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > hot)
+    unlike = cut(unlike.join(crowd, "anchor", "left").select("anchor", "seg", "copies", F.col("m").isNotNull().alias("hot"), "at.*"), "unlike")
     shards = max(1, -(-unlike.count() // per_shard))
-    one = (
-        several.join(unlike.withColumnRenamed("h1", "rep"), ["anchor", "seg"])
-        .where("h1 = rep")
-        .groupBy("anchor", "seg", "copies", "hot")
-        .agg(F.min("h1").alias("h1"), F.min("h2").alias("h2"), F.min(F.struct("h2", "lo", "hi", "off")).alias("at"))
-        .select("anchor", "seg", "copies", "hot", "h1", "h2", "at.lo", "at.hi", "at.off")
-    )
-    wanted = one.groupBy(*KEYS).agg(F.collect_list(F.struct("anchor", "seg", "copies", "hot", "lo", "hi", "off")).alias("wanted"))
-    content = _contents(docs.join(wanted.hint("shuffle_hash"), KEYS), unit, shards)
+
+    def contents(some: DataFrame) -> DataFrame:
+        wanted = some.groupBy(*KEYS).agg(F.collect_list(F.struct("anchor", "seg", "copies", "lo", "hi", "off")).alias("wanted"))
+        holders = Bits(some, *KEYS).may_hold(docs.select("text", *KEYS), *KEYS).join(wanted, KEYS)
+        return _contents(holders.dropDuplicates(KEYS), unit, shards)
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         found = judge(list(pdf.content), pdf.copies.to_numpy(), pdf.windows.to_numpy(), pdf.off.to_numpy(), pdf.anchor.to_numpy())
         out = [(a, s, *r) for a, s, f in zip(pdf.anchor, pdf.seg, found, strict=True) for r in runs(f)]
         return pd.DataFrame(out, columns=["anchor", "seg", "first", "last"])
 
-    judged = content.where("not hot").groupBy("shard").applyInPandas(of, "anchor long, seg long, first int, last int")
-    windows = _windows(content.where("hot"), unit)
+    judged = contents(unlike.where("not hot")).groupBy("shard").applyInPandas(of, "anchor long, seg long, first int, last int")
+    windows = _windows(contents(unlike.where("hot")), unit)
     twice = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1")
     crowded = windows.join(twice, ["w1", "w2"]).select("anchor", "seg", F.col("at").alias("first"), F.col("at").alias("last"))
     found = judged.unionByName(crowded).groupBy("anchor", "seg").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    decided = several.join(found, ["anchor", "seg"]).select(*KEYS, "lo", F.explode("runs").alias("r")).select(*KEYS, (F.col("lo") + F.col("r.first")).alias("start"), (F.col("lo") + F.col("r.last") + w).alias("end"))
-    return sure.unionByName(decided).groupBy(*KEYS).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    decided = again.select(*KEYS, "anchor", "seg", "lo").join(found, ["anchor", "seg"]).select(*KEYS, "lo", F.explode("runs").alias("r")).select(*KEYS, (F.col("lo") + F.col("r.first")).alias("start"), (F.col("lo") + F.col("r.last") + w).alias("end"))
+    out = cut(decided.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    discard(again, unlike)
+    return out
 
 
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -146,19 +160,19 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def _contents(docs: DataFrame, unit: Unit, shards: int) -> DataFrame:
     """The content of each wanted segment."""
-    names = ["shard", "hot", "anchor", "seg", "copies", "windows", "off", "content"]
-    kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["shard", "anchor", "seg", "copies", "windows", "off", "content"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts, wanted = b.column(b.schema.get_field_index("text")), b.column(b.schema.get_field_index("wanted"))
             out: list[tuple] = []
             size = 0
             for text, items in zip(texts, wanted, strict=True):
-                units = unit.cut(text.as_py())
+                units = unit.units(text.as_py())
                 for x in items.as_py():
-                    content = units[x["lo"] : x["hi"] + unit.window].tobytes()
-                    out.append((int(np.uint64(x["anchor"] & (2**64 - 1)) >> np.uint64(20)) % shards, x["hot"], x["anchor"], x["seg"], x["copies"], x["hi"] - x["lo"] + 1, x["off"] - x["lo"], content))
+                    content = unit.join(units[x["lo"] : x["hi"] + unit.window])
+                    out.append((int(np.uint64(x["anchor"] & (2**64 - 1)) >> np.uint64(20)) % shards, x["anchor"], x["seg"], x["copies"], x["hi"] - x["lo"] + 1, x["off"] - x["lo"], content))
                     size += len(content)
                 if size > 8 << 20:
                     yield batch(out)
@@ -178,8 +192,7 @@ def _windows(content: DataFrame, unit: Unit) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                units = np.frombuffer(r["content"], A.U if unit.words else np.uint8)
-                symbols = units if unit.words else A.BYTES[units]
+                symbols = unit.cut(r["content"])
                 lo = np.arange(r["windows"])
                 w1, w2 = (A.Hashes(s, i).of(lo, lo + unit.window) for i, s in enumerate((symbols, A.mix(symbols))))
                 same = lambda x: pa.array(np.full(len(lo), x, np.int64))
@@ -201,4 +214,6 @@ def merged(found: list[dict] | None, limit: int) -> list[tuple[int, int]]:
 
 def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs (of `keyed`) and the spans of each, null where it has none."""
-    return docs.join(found.hint("shuffle_hash"), KEYS, "left")
+    bits = Bits(found, *KEYS)
+    none = bits.surely_lacks(docs, *KEYS).withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType))
+    return bits.may_hold(docs, *KEYS).join(found, KEYS, "left").select(*docs.columns, "spans").unionByName(none)

@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import repeats
-from .anchors import U
 
 WINDOW, GRAM = 35, 8
 
@@ -102,7 +101,8 @@ def judge(contents: list[bytes], copies: np.ndarray, windows: np.ndarray, off: n
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(contents)
     order = np.argsort(anchor, kind="stable")
     for group in np.split(order, np.flatnonzero(np.diff(anchor[order])) + 1):
-        sequences = [np.frombuffer(contents[i], U).tolist() for i in group]
+        numbers: dict[bytes, int] = {}
+        sequences = [[numbers.setdefault(w, len(numbers)) for w in contents[i].split()] for i in group]
         automaton = Automaton()
         for i, s in zip(group, sequences, strict=True):
             automaton.add(s, min(int(copies[i]), 2))
@@ -119,7 +119,7 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     found = repeats.with_spans(rows, repeats.spans(rows, unit, judge))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in repeats.slices(batches):
             kept, n, gone = [], [], []
             for t, s in zip(b.column(1), b.column(2), strict=True):
                 body = t.as_py()
