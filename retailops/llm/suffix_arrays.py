@@ -5,7 +5,8 @@ shard indexes its segments in batches. A batch gets two sorted arrays: the suffi
 the reversed prefixes that end there, each 200 bytes long at most. It is merge-scanned against every level of the family:
 in the merged order, neighbours' longest common prefixes tell for each of the 161 places that an anchor can have in a 200-byte
 string which of these strings agree on both sides of the anchor. Then the batch becomes a level, and levels of equal size
-merge, so that a shard of n batches has about log2(n) levels. All comparisons are of bytes, none of hashes.
+merge, so that a shard of n batches has about log2(n) levels. The indexes compare bytes; only copies of a whole segment are told
+by hashes.
 
 Defined results: a null or empty text has no bytes and nothing is removed; one row comes out for each row in, and equal rows
 count as copies of each other; null ids, empty tables and further columns make no difference; texts are worked on whole. What is
@@ -128,7 +129,7 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     found = repeats.with_spans(rows, repeats.spans(rows, repeats.Unit("bytes", WINDOW, GRAM), judge))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in repeats.slices(batches):
             kept, numbers = [], []
             for t, s in zip(b.column(1), b.column(2), strict=True):
                 body = t.as_py()
