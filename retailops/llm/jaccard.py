@@ -200,7 +200,8 @@ def _to_leaders(tokens: DataFrame, measure: Measure) -> DataFrame:
     The leader of a shingle is the class with the most frequent shingles, as a text that many others are copies of has. Pairs
     with few shingles in common are left to `_queries`, which misses none.
     """
-    leaders = tokens.groupBy("token").agg(F.max_by(F.struct("cid", "n"), F.struct("central", F.col("cid"))).alias("l"))
+    # as a table of its own, so that a shingle that very many classes have is split in the join
+    leaders = cut(tokens.groupBy("token").agg(F.max_by(F.struct("cid", "n"), F.struct("central", F.col("cid"))).alias("l")), "leaders")
     near = tokens.join(leaders, "token").where("cid <> l.cid")
     p = measure.percent
     near = near.where(p * F.greatest("n", "l.n") <= 100 * F.least("n", "l.n"))
@@ -212,8 +213,10 @@ def _to_leaders(tokens: DataFrame, measure: Measure) -> DataFrame:
 def _chunks(tokens: DataFrame, found: DataFrame, pairs: DataFrame, chunk: int) -> DataFrame:
     """(cid, n, comp, home, part, size): the chunk of each class, and the size of its group: a leader and its classes."""
     led = pairs.join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_anti").select(F.col("a").alias("node"), F.col("b").alias("component"))
-    rows = _labelled(_labelled(tokens.select("cid", "n").distinct(), found, "comp"), led, "home")
-    return rows.join(rows.groupBy("home").agg(F.count("*").alias("size")), "home").withColumn("part", F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / chunk)))
+    rows = cut(_labelled(_labelled(tokens.select("cid", "n").distinct(), found, "comp"), led, "home"), "grouped")
+    # as a table of its own, so that a very large group is split in the join
+    sizes = cut(rows.groupBy("home").agg(F.count("*").alias("size")), "sizes")
+    return rows.join(sizes, "home").withColumn("part", F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / chunk)))
 
 
 def _queries(tokens: DataFrame, chunks: DataFrame, measure: Measure) -> DataFrame:

@@ -145,10 +145,11 @@ def spans(docs: DataFrame, unit: Unit, judge: Judge, per_shard: int = 1500, hot:
     windows = _windows(contents(unlike.where("hot")), unit)
     twice = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1")
     crowded = windows.join(twice, ["w1", "w2"]).select("anchor", "seg", F.col("at").alias("first"), F.col("at").alias("last"))
-    found = judged.unionByName(crowded).groupBy("anchor", "seg").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    # as a table of its own, so that a segment with very many copies is split in the join
+    found = cut(judged.unionByName(crowded).groupBy("anchor", "seg").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "verdicts")
     decided = again.select(*KEYS, "anchor", "seg", "lo").join(found, ["anchor", "seg"]).select(*KEYS, "lo", F.explode("runs").alias("r")).select(*KEYS, (F.col("lo") + F.col("r.first")).alias("start"), (F.col("lo") + F.col("r.last") + w).alias("end"))
     out = cut(decided.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    discard(again, unlike)
+    discard(again, unlike, found)
     return out
 
 
