@@ -69,7 +69,7 @@ def test_automaton_counts_other_places_only():
     assert b.repeated([5] * 6, 3).tolist() == [True] * 4
 
 
-@pytest.mark.parametrize("how", [{}, {"chunk": 2}, {"common": 3, "chunk": 4}])
+@pytest.mark.parametrize("how", [{}, {"common": 3, "chunk": 2}])
 def test_jaccard_join(docs, rows, how):
     assert got(jaccard.join(docs, **how).select("doc_id", "n_shingles", "component_id")) == brute.jaccard(pairs(rows))
 
@@ -109,7 +109,7 @@ def passages(seed, shared=14, own=90):
     return rows
 
 
-@pytest.mark.parametrize("seed, how", [(1, {"common": 4, "chunk": 5}), (2, {"common": 500, "chunk": 128}), (5, {"k": 1, "common": 2, "chunk": 3}), (6, {"k": 1, "common": 3, "chunk": 16})])
+@pytest.mark.parametrize("seed, how", [(1, {"common": 4, "chunk": 5}), (5, {"k": 1, "common": 3, "chunk": 3})])
 def test_jaccard_join_near_the_threshold(spark, seed, how):
     rows = passages(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
