@@ -1,7 +1,7 @@
 """Secret scans by a trigram inverted index.
 
 Every rule's regex gives a Boolean trigram query (`trigrams.query_of`). The index is sharded by document, as Spark deals
-the table out: for each Arrow batch it maps every trigram that some rule asks for to its posting list (the batch's texts
+the table out: for each slice of an Arrow batch it maps every trigram that some rule asks for to its posting list (the batch's texts
 that hold it). A rule's postings are intersected and united as its query says, and only the candidates are searched with the
 regex itself; a rule without mandatory trigrams is run over all texts. Nothing is shuffled, and memory is that of a batch.
 
@@ -15,6 +15,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,25 @@ RULES = BASE + MORE
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
+#: Texts that are indexed at a time: bounds the memory of a task.
+_ROWS = 500
+
+
+@lru_cache(maxsize=2)
+def _numbers(wanted: tuple[str, ...]) -> np.ndarray:
+    """The number of each wanted trigram, from 1; 0 for others."""
+    number = np.zeros(1 << 24, np.uint16)
+    for k, g in enumerate(wanted, 1):
+        number[(ord(g[0]) << 16) | (ord(g[1]) << 8) | ord(g[2])] = k
+    return number
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for start in range(0, b.num_rows, _ROWS):
+            yield b.slice(start, _ROWS)
+
+
 class BatchIndex:
     """Posting lists of one batch of texts for the trigrams that the rules ask for."""
 
@@ -66,10 +86,7 @@ class BatchIndex:
         fold[65:91] += 32
         codes = fold[data]
         grams = (codes[:-2] << 16) | (codes[1:-1] << 8) | codes[2:] if len(codes) > 2 else np.zeros(0, np.uint32)
-        number = np.zeros(1 << 24, np.uint16)
-        for k, g in enumerate(wanted, 1):
-            number[(ord(g[0]) << 16) | (ord(g[1]) << 8) | ord(g[2])] = k
-        which = number[grams]
+        which = _numbers(tuple(wanted))[grams]
         at = np.flatnonzero(which)
         found = np.unique(which[at].astype(np.int64) * max(self.rows, 1) + np.searchsorted(ends, at, side="right"))
         self.postings = {g: found[(found >= k * self.rows) & (found < (k + 1) * self.rows)] - k * self.rows for k, g in enumerate(wanted, 1)}
@@ -112,7 +129,7 @@ def scan(docs: DataFrame, text: str = "text", rules=RULES, into: str = "spans")
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             texts = [x or "" for x in b.column(b.schema.get_field_index(text)).to_pylist()]
             spans = pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in find(texts, rules)], kinds)
             yield pa.RecordBatch.from_arrays([*b.columns, spans], [*b.schema.names, into])
@@ -124,7 +141,7 @@ def redact(docs: DataFrame, text: str = "text", rules=RULES, mark: str = "[SECRE
     """docs with every secret span (overlapping ones as one) replaced by mark; a null text stays null."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             at = b.schema.get_field_index(text)
             texts = b.column(at).to_pylist()
             out = []
