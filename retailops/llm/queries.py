@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotraining, decontaminate, html_text, jaccard, licences, packing, quality_rules, secrets, suffix_arrays, suffix_automata
+from . import cotraining, decontaminate, html_text, jaccard, licences, packing, periodic_runs, quality_rules, secrets, suffix_arrays, suffix_automata
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard_join": jaccard.query,
         "op9_html_extraction": html_text.query,
         "op10_quality_rules": quality_rules.query,
+        "op13_periodic_run_detection": periodic_runs.query,
     }
 
 
