@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotraining, decontaminate, html_text, jaccard, licences, packing, periodic_runs, quality_rules, secrets, suffix_arrays, suffix_automata
+from . import cotraining, decontaminate, hard_negatives, html_text, jaccard, learned_partitions, licences, packing, periodic_runs, quality_rules, secrets, suffix_arrays, suffix_automata
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard_join": jaccard.query,
         "op9_html_extraction": html_text.query,
         "op10_quality_rules": quality_rules.query,
+        "op11_hard_negative_mining": hard_negatives.query,
+        "op12_approximate_nearest_neighbours": learned_partitions.query,
         "op13_periodic_run_detection": periodic_runs.query,
     }
 
@@ -30,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_benchmark_decontamination": decontaminate.SQL,
         "op4_license_scans": licences.SQL,
         "op10_quality_rules": quality_rules.SQL,
+        "op11_hard_negative_mining": hard_negatives.SQL,
     }
