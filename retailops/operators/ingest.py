@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.exprs import normal_name
+from ..session import kept
 
 
 def matched(staged: DataFrame, target: T.StructType) -> dict[str, str]:
@@ -26,14 +27,15 @@ def matched(staged: DataFrame, target: T.StructType) -> dict[str, str]:
 def validate(staged: DataFrame, target: T.StructType, samples: int = 5) -> DataFrame:
     """(column_name, n_bad, samples) for each common column: values that are not null but fail the cast.
 
-    Bad values are counted by value before they are ranked, and each task keeps `samples` a column at most, so a column in which
-    every value is bad is no burden.
+    The upload is scanned once: its bad values are counted by value and kept in the shared folder. Each task then ranks `samples` a
+    column at most, so a column in which every value is bad is no burden.
     """
     pairs = matched(staged, target)
     spark = staged.sparkSession
     every = spark.createDataFrame([(c,) for c in pairs], "column_name string")
-    bad = [F.struct(F.lit(c).alias("column_name"), F.when(F.col(s).isNotNull() & F.col(s).try_cast(target[c].dataType).isNull(), F.col(s).cast("string")).alias("value")) for c, s in pairs.items()]
+    bad = [F.struct(F.lit(c).alias("column_name"), F.when(F.col(f"`{s}`").isNotNull() & F.col(f"`{s}`").try_cast(target[c].dataType).isNull(), F.col(f"`{s}`").cast("string")).alias("value")) for c, s in pairs.items()]
     values = staged.select(F.explode(F.array(*bad)).alias("x")).select("x.*").where("value IS NOT NULL").groupBy("column_name", "value").agg(F.count("*").alias("n")) if bad else spark.createDataFrame([], "column_name string, value string, n long")
+    values = kept(values, "bad-values")
     counts = values.groupBy("column_name").agg(F.sum("n").alias("n_bad"))
     first = values.withColumn("r", F.row_number().over(Window.partitionBy("column_name").orderBy("value"))).where(F.col("r") <= samples).groupBy("column_name").agg(F.sort_array(F.collect_list("value")).alias("samples"))
     return every.join(counts, "column_name", "left").join(first, "column_name", "left").select("column_name", F.coalesce("n_bad", F.lit(0)).cast("long").alias("n_bad"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
@@ -51,20 +53,51 @@ class Inspection:
 
 
 def inspect(staged: DataFrame, target: T.StructType, rows: int = 50) -> Inspection:
+    """One scan of the upload: bad values and rows are counted together. The preview reads as many rows as are asked of it."""
     known = matched(staged, target)
     extra = [c for c in staged.columns if c not in known.values()]
-    return Inspection(validate(staged, target), [f.name for f in target.fields if f.name not in known], extra, staged.count(), typed(staged, target).limit(rows))
+    seen, total = counted(staged)
+    columns = validate(seen, target).collect()  # a row for each column of the target at most
+    if not known:
+        seen.write.format("noop").mode("overwrite").save()
+    listed = staged.sparkSession.createDataFrame([tuple(r) for r in columns], "column_name string, n_bad long, samples array<string>")
+    return Inspection(listed, [f.name for f in target.fields if f.name not in known], extra, total(), typed(staged, target).limit(rows))
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, Callable[[], int]]:
+    """df, and its number of rows as seen by the next action that runs it; no read of its own."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), lambda: seen.get.get("n", 0)
+
+
+def fits(staged: DataFrame, target: T.StructType) -> Column:
+    """Whether every value of a row that goes into the target can be cast to its type."""
+    good: Column = F.lit(True)
+    for c, s in matched(staged, target).items():
+        good = good & (F.col(f"`{s}`").isNull() | F.col(f"`{s}`").try_cast(target[c].dataType).isNotNull())
+    return good
 
 
 def typed(staged: DataFrame, target: T.StructType, strict: bool = False) -> DataFrame:
     """Common columns in the target's types. Rows with any failing value are left out; strict casts fail the job instead."""
     pairs = matched(staged, target)
     if strict:
-        return staged.select(*(F.col(s).cast(target[c].dataType).alias(c) for c, s in pairs.items()))
-    good: Column = F.lit(True)
-    for c, s in pairs.items():
-        good = good & (F.col(s).isNull() | F.col(s).try_cast(target[c].dataType).isNotNull())
-    return staged.where(good).select(*(F.col(s).try_cast(target[c].dataType).alias(c) for c, s in pairs.items()))
+        return staged.select(*(F.col(f"`{s}`").cast(target[c].dataType).alias(c) for c, s in pairs.items()))
+    return staged.where(fits(staged, target)).select(*(F.col(f"`{s}`").try_cast(target[c].dataType).alias(c) for c, s in pairs.items()))
+
+
+def aligned(rows: DataFrame, target: T.StructType) -> DataFrame:
+    """The target's columns in its order, from columns of those names (as `typed` gives them); null where there is none."""
+    return rows.select(*((F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.fields))
+
+
+def key_columns(keys: Sequence[str], common: Sequence[str]) -> list[str]:
+    """The keys among the columns that file and table have, whatever their case and blanks around them; none is an error."""
+    by = {c.lower(): c for c in common}
+    found = [by[k.strip().lower()] for k in keys if k and k.strip().lower() in by]
+    if not found:
+        raise ValueError("an upsert needs a key column that both the file and the table have")
+    return list(dict.fromkeys(found))
 
 
 def upsert(target: DataFrame, staged: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -137,25 +170,39 @@ def swap_in(df: DataFrame, path: str) -> None:
 def load(df: DataFrame, table: str, mode: str = "append", keys: Sequence[str] = ()) -> dict[str, int]:
     """append, replace or upsert into a table, which is created if missing; returns inserted and updated.
 
+    A table that exists keeps its columns, their types and their order: df's columns go to those of the same normalized name, cast
+    strictly; the table's other columns are null in the new rows and further ones of df are left out. Rows are counted by the
+    write itself, and df is read once: an upsert, which needs its rows twice, keeps them in the shared folder first.
     What replaces a table is written beside it first, so it may be made from the table itself; then the old one is renamed away,
-    the new one renamed in and the old one dropped: at no time are both gone.
+    the new one renamed in and the old one dropped. At no time are the rows gone, but between two renames the name is, and a reader
+    that comes just then finds no table; `operators.buckets` has tables without that gap.
     """
     spark = df.sparkSession
     if not re.fullmatch(r"[A-Za-z_]\w*", table):
         raise ValueError(f"not a table name: {table!r}")
-    exists = spark.catalog.tableExists(table)
-    if mode == "upsert" and exists:
-        if not keys:
-            raise ValueError("an upsert needs key columns")
-        counts = upsert_counts(spark.table(table), df, keys).first()
-        _exchange(upsert(spark.table(table), df, keys), table)
-        return {"inserted": counts.inserted, "updated": counts.updated}
-    n = df.count()
-    if exists and mode != "append":
-        _exchange(df, table)
+    if not spark.catalog.tableExists(table):
+        rows, valid = counted(df)
+        rows.write.saveAsTable(table)
+        return {"inserted": valid(), "updated": 0}
+    target = spark.table(table).schema
+    rows = typed(df, target, strict=True)
+    if not rows.columns:
+        raise ValueError("no column of the source is one of the table's")
+    if mode == "upsert":
+        keys = key_columns(keys, rows.columns)
+        rows, valid = counted(aligned(rows, target))
+        rows = kept(rows, "upsert")
+        before = spark.table(table).count()  # from the files' footers
+        left, stay = counted(spark.table(table).join(rows.select(*keys).distinct(), keys, "left_anti").select(*target.fieldNames()))
+        _exchange(left.unionByName(rows), table)
+        updated = before - stay()
+        return {"inserted": max(0, valid() - updated), "updated": updated}
+    rows, valid = counted(aligned(rows, target))
+    if mode == "append":
+        rows.write.mode("append").saveAsTable(table)
     else:
-        df.write.mode("append").saveAsTable(table)
-    return {"inserted": n, "updated": 0}
+        _exchange(rows, table)
+    return {"inserted": valid(), "updated": 0}
 
 
 def _exchange(df: DataFrame, table: str) -> None:

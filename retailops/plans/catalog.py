@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..operators import feed, graph, ingest, inventory, kpi, oos, sales, security, status, tables
+from ..operators.buckets import Bucketed
+from ..session import shared_folder
 from ..sources.roles import ROLES, ctes, role
 from . import report_twins, reports
 from .twins import plain_types
@@ -558,30 +561,60 @@ def _delta(t) -> tuple[DataFrame, DataFrame]:
     return o, o.sparkSession.sql(_DELTA, o=o)
 
 
-@query("io13_upsert", f"WITH d AS ({_DELTA.format(o='orders')}) SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM d) UNION ALL SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) FROM d")
+_UPSERTED = f"WITH d AS ({_DELTA.format(o='orders')}) SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM d) UNION ALL SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) FROM d"
+
+
+def _bucketed(df: DataFrame, key: str) -> Bucketed:
+    table = Bucketed.create(df.sparkSession, f"{shared_folder(df.sparkSession)}/buckets-{uuid.uuid4().hex}", df.schema, [key], 16)
+    table.load(df)
+    return table
+
+
+@query("io13_upsert", _UPSERTED)
 def _(t):
     o, d = _delta(t)
     return ingest.upsert(o, d, ["o_orderkey"]).select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice"))
 
 
+@query("io13_bucket_upsert", _UPSERTED)
+def _(t):
+    o, d = _delta(t)
+    table = _bucketed(o, "o_orderkey")
+    table.load(d, "upsert")
+    return table.rows().select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice"))
+
+
 @query("io13_upsert_counts", f"WITH d AS ({_DELTA.format(o='orders')}), u AS (SELECT count(*) AS updated FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM d)) SELECT greatest(0, (SELECT count(*) FROM d) - updated) AS inserted, updated FROM u")
 def _(t):
     o, d = _delta(t)
     return ingest.upsert_counts(o, d, ["o_orderkey"])
 
 
-@query(
-    "io17_change_set",
-    """SELECT c_custkey, CASE c_custkey % 10 WHEN 1 THEN 'NEW' WHEN 4 THEN NULL WHEN 5 THEN '' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 10 IN (1, 4) THEN NULL WHEN c_custkey % 10 = 5 THEN 2.5 ELSE c_acctbal END AS c_acctbal
-FROM customer WHERE c_custkey % 10 <> 2 UNION ALL SELECT c_custkey + 1000000, c_mktsegment, NULL FROM customer WHERE c_custkey % 10 = 3""",
-)
-def _(t):
+_CHANGED = """SELECT c_custkey, CASE c_custkey % 10 WHEN 1 THEN 'NEW' WHEN 4 THEN NULL WHEN 5 THEN '' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 10 IN (1, 4) THEN NULL WHEN c_custkey % 10 = 5 THEN 2.5 ELSE c_acctbal END AS c_acctbal
+FROM customer WHERE c_custkey % 10 <> 2 UNION ALL SELECT c_custkey + 1000000, c_mktsegment, NULL FROM customer WHERE c_custkey % 10 = 3"""
+
+
+def _changes(t) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     c = t("customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     last = F.expr("CASE c_custkey % 10 WHEN 1 THEN 'NEW' WHEN 5 THEN '' END")
     updates = c.where("c_custkey % 10 IN (1, 4, 5)").select("c_custkey", last.alias("c_mktsegment"), F.expr("CASE c_custkey % 10 WHEN 1 THEN '' WHEN 5 THEN '2.5' END").alias("c_acctbal"), F.lit(1).alias("nothing"), F.lit(2).alias("step"))
     before = updates.withColumns({"c_mktsegment": F.lit("OLD"), "step": F.lit(1)})
     inserts = c.where("c_custkey % 10 = 3").select((F.col("c_custkey") + 1000000).alias("c_custkey"), "c_mktsegment", F.lit("").alias("c_acctbal"))
-    return ingest.apply_changes(c, "c_custkey", before.unionByName(updates), c.where("c_custkey % 10 = 2"), inserts, order="step")
+    return c, before.unionByName(updates), c.where("c_custkey % 10 = 2"), inserts
+
+
+@query("io17_change_set", _CHANGED)
+def _(t):
+    c, updates, deletes, inserts = _changes(t)
+    return ingest.apply_changes(c, "c_custkey", updates, deletes, inserts, order="step")
+
+
+@query("io17_bucket_changes", _CHANGED)
+def _(t):
+    c, updates, deletes, inserts = _changes(t)
+    table = _bucketed(c, "c_custkey")
+    table.change(updates, deletes, inserts, order="step")
+    return table.rows()
 
 
 @query("io10_incremental", "SELECT o_orderkey FROM orders WHERE o_orderkey > 1000")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "retailops", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -20,3 +24,27 @@ def session(name: str = "retailops", master: str | None = None, shuffle_partitio
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset and the master is local."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = getattr(spark, "_retailops_folder", None) or tempfile.mkdtemp(prefix="spark-")
+        spark._retailops_folder = at
+    return at.rstrip("/")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder: what reads it further reads that copy."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hadoop(spark: SparkSession, path: str):
+    """The file system of a path and the path itself, as Hadoop's objects."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at

@@ -60,7 +60,7 @@ def test_reading_a_database(spark, tmp_path):
 def test_ingestion_runs_from_csv_to_table(spark, tmp_path):
     spark.sql("CREATE TABLE t_ingest (id BIGINT, amount DOUBLE, note STRING) USING parquet")
     path = tmp_path / "in.csv"
-    source = Source("sales", "t_ingest", ingestion.from_file(str(path), incremental="ID"), mode="upsert", keys=["id"], incremental="id")
+    source = Source("sales", "t_ingest", ingestion.from_file(str(path)), mode="upsert", keys=["id"], incremental="id")
     path.write_text("ID,Amount,extra\n1,2.5,x\n2,bad,x\n3,4,x\n")
     one = ingestion.run(spark, source, "runs_csv", "marks_csv")
     assert (one.status, one.inserted, one.updated, one.skipped, one.watermark) == ("Success", 2, 0, 1, "3")
@@ -69,7 +69,7 @@ def test_ingestion_runs_from_csv_to_table(spark, tmp_path):
     assert (two.inserted, two.updated, two.watermark) == (2, 0, "10")  # only rows past the watermark
     gone = Source("sales", "t_ingest", ingestion.from_file(str(tmp_path / "none.csv")), incremental="id")
     assert ingestion.run(spark, gone, "runs_csv", "marks_csv").status == "Failed"
-    assert ingestion.last_watermark(spark, "sales", "marks_csv") == "10"
+    assert ingestion.last_watermark(spark, source, "marks_csv") == "10"
     assert sorted((r.id, r.amount, r.note) for r in spark.table("t_ingest").collect()) == [(1, 2.5, None), (3, 4.0, None), (4, 1.0, None), (10, 2.0, None)]
     assert sorted((r.status, r.inserted, r.skipped) for r in spark.table("runs_csv").collect()) == [("Failed", 0, 0), ("Success", 2, 0), ("Success", 2, 1)]
     again = Source("copy", "t_copy", ingestion.from_query("SELECT id, amount FROM t_ingest"), mode="replace")
