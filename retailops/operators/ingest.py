@@ -205,6 +205,14 @@ def load(df: DataFrame, table: str, mode: str = "append", keys: Sequence[str] =
     return {"inserted": valid(), "updated": 0}
 
 
+def replace_whole(df: DataFrame, table: str) -> None:
+    """A table becomes df, columns included."""
+    if df.sparkSession.catalog.tableExists(table):
+        _exchange(df, table)
+    else:
+        df.write.saveAsTable(table)
+
+
 def _exchange(df: DataFrame, table: str) -> None:
     spark, mark = df.sparkSession, uuid.uuid4().hex[:8]
     df.write.saveAsTable(f"{table}_new_{mark}")
@@ -214,7 +222,7 @@ def _exchange(df: DataFrame, table: str) -> None:
 
 
 def refresh(spark: SparkSession, query: str, table: str, mode: str = "replace", keys: Sequence[str] = (), create: bool = True) -> dict[str, int]:
-    """Loads the result of a SELECT, which may read the table itself. A missing table is created only if `create`."""
+    """Loads the result of a SELECT, which may read the table itself. A missing table is created only if `create`; one that exists keeps its columns."""
     if not create and not spark.catalog.tableExists(table):
         raise ValueError(f"no such table: {table}")
     return load(spark.sql(query), table, mode, keys)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .references import only_select
+
 
 def allowed_values(text: str) -> list[str]:
     """A JSON array of scalars as texts; anything else is refused."""
@@ -43,12 +46,26 @@ def secured(df: DataFrame, granted: Sequence[str], filters: Mapping[str, Sequenc
     return df.select(*columns)
 
 
-def run_secured(spark, sql: str, tables: Mapping[str, DataFrame], grants: Mapping[str, Sequence[str]], filters: Mapping[str, Sequence[str]], masked: Sequence[str] = ()) -> DataFrame:
-    """User SQL over secured views only, so that joins and aggregates see filtered rows; a masked column in the result is refused."""
-    for name, df in tables.items():
-        if name in grants:
-            secured(df, grants[name], filters).createOrReplaceTempView(name)
-    out = spark.sql(sql)
+def run_secured(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], grants: Mapping[str, Sequence[str]], filters: Mapping[str, Sequence[str]], masked: Sequence[str] = ()) -> DataFrame:
+    """One SELECT over the granted tables only, as the user sees them, so that joins and aggregates see filtered rows.
+
+    Files, other tables, table functions, commands and functions that aren't harmless built-in ones are refused before
+    anything is resolved; a masked column in the result is refused after. The views that the statement is resolved with have names
+    of their own and are gone when this returns.
+    """
+    granted = {name.lower(): name for name in tables if name in grants}
+    read = only_select(spark, sql, set(granted)).tables
+    views: dict[str, str] = {}
+    try:
+        for name in sorted(read):
+            views[name] = f"_secured_{uuid.uuid4().hex}"
+            secured(tables[granted[name]], grants[granted[name]], filters).createOrReplaceTempView(views[name])
+        named = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in views.items())
+        body = sql.rstrip().rstrip(";")
+        out = spark.sql(f"WITH {named} SELECT * FROM (\n{body}\n)" if named else body)
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
     if {c.lower() for c in out.columns} & {m.lower() for m in masked}:
         raise PermissionError("the result has a masked column")
     return out

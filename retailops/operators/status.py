@@ -108,10 +108,13 @@ def severity_of(status: Column, critical: Column) -> Column:
 
 
 def incidents(history: DataFrame, entities: DataFrame) -> DataFrame:
-    """An incident for each step from Online to something else, resolved when the entity is next Online."""
-    w = Window.partitionBy("entity_id").orderBy("checked_at", "id")
+    """An incident for each step from Online to something else, resolved when the entity is next Online.
+
+    Time runs backwards, so that the next Online check is the last one seen: frames only grow, and a row costs the same in any history.
+    """
+    w = Window.partitionBy("entity_id").orderBy(F.desc("checked_at"), F.desc("id"))
     online = F.when(F.col("status") == "Online", F.col("checked_at"))
-    rows = history.select("entity_id", "checked_at", "id", "status").withColumns({"before": F.lag("status", 1, "Unknown").over(w), "resolved_at": F.min(online).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    rows = history.select("entity_id", "checked_at", "id", "status").withColumns({"before": F.lead("status", 1, "Unknown").over(w), "resolved_at": F.last(online, True).over(w.rowsBetween(Window.unboundedPreceding, 0))})
     opened = rows.where("before = 'Online' AND status <> 'Online'").join(entities.select("entity_id", "is_critical"), "entity_id", "left")
     return opened.select("entity_id", F.col("checked_at").alias("opened_at"), "resolved_at", "status", severity_of(F.col("status"), F.coalesce("is_critical", F.lit(False))).alias("severity"))
 

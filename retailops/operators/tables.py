@@ -36,24 +36,26 @@ def filtered_count(df: DataFrame, filters: Sequence[tuple[str, str, object]]) ->
 
 
 def metric_filters(df: DataFrame, filters: Sequence[dict]) -> DataFrame:
-    """Filters {column, operator, value, default}: = <> < > <= >= IN NOT IN LIKE NOT LIKE BETWEEN; lists are separated by semicolons."""
-    for f in filters:
-        value = f.get("value") or f.get("default")
-        if value in (None, ""):
+    """Filters {column, operator, value, default, order}: = <> < > <= >= IN NOT IN LIKE NOT LIKE BETWEEN, all of which must hold.
+
+    A value that isn't given is the default; blank ones say nothing. Lists, of IN and BETWEEN only, are separated by semicolons. LIKE
+    takes its pattern as it is. BETWEEN without two values says nothing; an unknown operator is an equality.
+    """
+    for f in sorted(filters, key=lambda f: f.get("order") or 0):
+        value = f.get("default") if f.get("value") is None else f["value"]
+        if value is None or not str(value).strip():
             continue
         c, kind = F.col(f["column"]), df.schema[f["column"]].dataType
-        parts = [F.lit(x.strip()).cast(kind) for x in str(value).split(";") if x.strip()]
+        one, parts = F.lit(str(value)).cast(kind), [F.lit(x.strip()).cast(kind) for x in str(value).split(";") if x.strip()]
         op = f["operator"].upper()
-        if not parts:
+        if op in ("IN", "NOT IN") and not parts or op == "BETWEEN" and len(parts) != 2:
             continue
-        if op == "BETWEEN" and len(parts) != 2:
-            raise ValueError(f"BETWEEN takes two values: {value!r}")
         made = {
-            "=": lambda: c == parts[0], "<>": lambda: c != parts[0], "<": lambda: c < parts[0], ">": lambda: c > parts[0], "<=": lambda: c <= parts[0], ">=": lambda: c >= parts[0],
-            "IN": lambda: reduce(Column.__or__, (c == p for p in parts)), "NOT IN": lambda: reduce(Column.__and__, (c != p for p in parts)),
-            "LIKE": lambda: c.cast("string").like(f"%{value}%"), "NOT LIKE": lambda: ~c.cast("string").like(f"%{value}%"), "BETWEEN": lambda: c.between(*parts),
-        }
-        df = df.where(made[op]())
+            "<>": lambda: c != one, "<": lambda: c < one, ">": lambda: c > one, "<=": lambda: c <= one, ">=": lambda: c >= one,
+            "IN": lambda: c.isin(parts), "NOT IN": lambda: ~c.isin(parts), "BETWEEN": lambda: c.between(*parts),
+            "LIKE": lambda: c.cast("string").like(str(value)), "NOT LIKE": lambda: ~c.cast("string").like(str(value)),
+        }.get(op, lambda: c == one)
+        df = df.where(made())
     return df
 
 

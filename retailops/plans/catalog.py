@@ -480,9 +480,20 @@ def _(t):
     return tables.filtered_count(t("customer"), [("c_acctbal", "lessthan", 0), ("c_mktsegment", "is", "MACHINERY")])
 
 
-@query("f3_metric_filters", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice BETWEEN 1000 AND 100000 AND o_orderpriority IN ('1-URGENT', '5-LOW') AND o_orderstatus NOT IN ('P') AND o_orderpriority LIKE '%-%' GROUP BY 1")
+@query(
+    "f3_metric_filters",
+    """SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice BETWEEN 1000 AND 100000 AND o_orderpriority IN ('1-URGENT', '5-LOW') AND o_orderstatus NOT IN ('P')
+AND o_orderpriority LIKE '_-%' AND o_orderpriority NOT LIKE 'LOW' AND o_custkey <> 7 AND o_orderkey >= 0 GROUP BY 1""",
+)
+def _(t):
+    given = [("o_totalprice", "BETWEEN", "1000;100000"), ("o_orderpriority", "IN", "1-URGENT; 5-LOW"), ("o_orderpriority", "LIKE", "_-%"), ("o_orderpriority", "NOT LIKE", "LOW"), ("o_custkey", "<>", 7), ("o_orderkey", ">=", 0), ("o_orderkey", "=", ""), ("o_totalprice", "BETWEEN", "5")]
+    filters = [{"column": c, "operator": o, "value": v} for c, o, v in given] + [{"column": "o_orderstatus", "operator": "NOT IN", "default": "P"}]
+    return tables.metric_filters(t("orders"), filters).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("f3_metric_equality", "SELECT p_partkey, p_brand FROM part WHERE p_size = 5 AND p_partkey <> 1")
 def _(t):
-    return tables.metric_filters(t("orders"), [{"column": "o_totalprice", "operator": "BETWEEN", "value": "1000;100000"}, {"column": "o_orderpriority", "operator": "IN", "value": "1-URGENT; 5-LOW"}, {"column": "o_orderstatus", "operator": "NOT IN", "default": "P"}, {"column": "o_orderpriority", "operator": "LIKE", "value": "-"}, {"column": "o_orderkey", "operator": "=", "value": ""}]).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return tables.metric_filters(t("part"), [{"column": "p_size", "operator": "sounds like", "value": 5}, {"column": "p_partkey", "operator": "<>", "value": "1"}]).select("p_partkey", "p_brand")
 
 
 @query("f4_audit_search", f"{ctes('audit')} SELECT event_id, action FROM audit WHERE company_id = 1 AND success AND event_time >= TIMESTAMP '2024-01-05 00:00:00' AND event_time <= TIMESTAMP '2024-01-20 00:00:00' AND (lower(action) LIKE '%click%' OR lower(details) LIKE '%click%' OR CAST(user_id AS VARCHAR) LIKE '%click%')")

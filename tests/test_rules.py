@@ -228,10 +228,12 @@ def test_security(spark):
 def test_table_queries(spark):
     df = spark.createDataFrame([(1, "10"), (2, "9"), (3, "x"), (4, None)], "k long, v string")
     assert [r.v for r in tables.sorted_as_numbers(df, "v").collect()] == ["9", "10", "x", None]
-    with pytest.raises(ValueError):
-        tables.metric_filters(df, [{"column": "k", "operator": "BETWEEN", "value": "1"}])
+    by = lambda *given: [r.k for r in tables.metric_filters(df, [dict(zip(("column", "operator", "value", "default"), g)) for g in given]).collect()]
+    assert by(("k", "BETWEEN", "1")) == by(("k", "IN", ";")) == by(("v", "=", " ", "9")) == [1, 2, 3, 4]
+    assert by(("v", "=", None, "9")) == by(("v", "unheard of", "9")) == [2] and by(("k", "=", 0)) == [] and by(("k", ">", 0)) == [1, 2, 3, 4]
+    assert by(("v", "LIKE", "1")) == [] and by(("v", "LIKE", "1%")) == [1] and by(("v", "NOT LIKE", "1_")) == [2, 3] and by(("v", "=", "9;10")) == []
     assert tables.audit_search(df, "").count() == 0
-    some = [{"column": "k", "operator": "IN", "value": "1;; 3;"}, {"column": "v", "operator": "=", "value": " ; "}]
+    some = [{"column": "k", "operator": "IN", "value": "1;; 3;"}]
     assert [r.k for r in tables.metric_filters(df, some).collect()] == [1, 3]
     assert tables.metric_filters(df, [{"column": "k", "operator": "BETWEEN", "value": "1;2;"}]).count() == 2
     assert tables.column_difference(df.select("k"), df) == (["v"], [])
