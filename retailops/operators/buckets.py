@@ -128,10 +128,11 @@ class Bucketed:
     def _touched(self, m: Manifest, rows: DataFrame) -> list[int]:
         return sorted(r[0] for r in rows.select(self._bucket(m).alias("b")).distinct().collect())  # no more than there are buckets
 
-    def load(self, df: DataFrame, mode: str = "append", source: str | None = None, note: dict | None = None, watermark: str | None = None) -> dict[str, int]:
+    def load(self, df: DataFrame, mode: str = "append", source: str | None = None, note: dict | None = None, watermark: str | None = None, without: DataFrame | None = None) -> dict[str, int]:
         """append, replace or upsert of rows cast strictly to the table's columns; returns inserted and updated.
 
         `note`, and the greatest value that the table then has in the column `watermark`, are kept for the source with the load.
+        An upsert also removes the rows with the keys in `without`; they count as updated.
         """
         m = self.manifest()
         rows = typed(df, m.columns, strict=True)
@@ -144,10 +145,13 @@ class Bucketed:
         rows = kept(rows, "delta")
         told = {"source": source, "note": note, "watermark": watermark}
         if mode == "upsert":
-            touched = self._touched(m, rows)
+            leaving = rows.select(*m.keys)
+            if without is not None:
+                leaving = leaving.unionByName(kept(without.select(*(F.col(k).cast(m.columns[k].dataType).alias(k) for k in m.keys)), "without"))
+            touched = sorted({*self._touched(m, rows), *self._touched(m, aligned(leaving, m.columns).dropna(subset=list(m.keys)))})
             old = self.rows(m, touched)
             before = old.count()
-            left, stay = counted(old.join(rows.select(*m.keys).distinct(), list(m.keys), "left_anti").select(*m.columns.fieldNames()))
+            left, stay = counted(old.join(leaving.distinct(), list(m.keys), "left_anti").select(*m.columns.fieldNames()))
             self._replaced(m, touched, left.unionByName(rows), **told)
             updated = before - stay()
             return {"inserted": max(0, valid() - updated), "updated": updated}
@@ -156,6 +160,12 @@ class Bucketed:
         self._next(m, live | {b: [*live.get(b, []), commit] for b in held}, **told)
         return {"inserted": valid(), "updated": 0}
 
+    def load_batch(self, source: str, batch: int, df: DataFrame, mode: str = "append", without: DataFrame | None = None, **note) -> dict[str, int] | None:
+        """`load` of a batch that may come again, as a stream's does: one that has been loaded for the source is left out (None)."""
+        if self.manifest().sources.get(source, {}).get("batch", -1) >= batch:
+            return None
+        return self.load(df, mode, source, note | {"batch": batch}, without=without)
+
     def change(self, updates: DataFrame | None = None, deletes: DataFrame | None = None, inserts: DataFrame | None = None, order: str | None = None, assigned: str | None = None) -> None:
         """`ingest.apply_changes` on the buckets of the keys that occur: all updates, then deletes, then inserts, or nothing."""
         m = self.manifest()

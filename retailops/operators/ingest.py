@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.exprs import normal_name
-from ..session import kept
+from ..session import kept, seen
 
 
 def matched(staged: DataFrame, target: T.StructType) -> dict[str, str]:
@@ -56,18 +56,18 @@ def inspect(staged: DataFrame, target: T.StructType, rows: int = 50) -> Inspecti
     """One scan of the upload: bad values and rows are counted together. The preview reads as many rows as are asked of it."""
     known = matched(staged, target)
     extra = [c for c in staged.columns if c not in known.values()]
-    seen, total = counted(staged)
-    columns = validate(seen, target).collect()  # a row for each column of the target at most
+    rows_seen, total = counted(staged)
+    columns = validate(rows_seen, target).collect()  # a row for each column of the target at most
     if not known:
-        seen.write.format("noop").mode("overwrite").save()
+        rows_seen.write.format("noop").mode("overwrite").save()
     listed = staged.sparkSession.createDataFrame([tuple(r) for r in columns], "column_name string, n_bad long, samples array<string>")
     return Inspection(listed, [f.name for f in target.fields if f.name not in known], extra, total(), typed(staged, target).limit(rows))
 
 
 def counted(df: DataFrame) -> tuple[DataFrame, Callable[[], int]]:
     """df, and its number of rows as seen by the next action that runs it; no read of its own."""
-    seen = Observation()
-    return df.observe(seen, F.count(F.lit(1)).alias("n")), lambda: seen.get.get("n", 0)
+    rows = Observation()
+    return df.observe(rows, F.count(F.lit(1)).alias("n")), lambda: seen(rows, "n")
 
 
 def fits(staged: DataFrame, target: T.StructType) -> Column:

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..operators import ingest
 from ..operators.buckets import Bucketed
+from ..session import kept, seen
 from ..sources import files
 
 RUNS = "run_id string, source string, started_at timestamp, finished_at timestamp, status string, inserted long, updated long, skipped long, error string"
@@ -120,9 +121,9 @@ def past(staged: DataFrame, target: T.StructType, column: str | None, last: str
     if last is not None and column in pairs:
         kind, value = target[column].dataType, F.col(f"`{pairs[column]}`")
         beyond = F.coalesce(value.try_cast(kind) > F.lit(last).cast(kind), value.isNotNull())
-    seen = Observation()
-    rows = staged.where(beyond).observe(seen, F.count_if(~ingest.fits(staged, target)).alias("skipped"))
-    return ingest.typed(rows, target), lambda: seen.get.get("skipped", 0)
+    bad = Observation()
+    rows = staged.where(beyond).observe(bad, F.count_if(~ingest.fits(staged, target)).alias("skipped"))
+    return ingest.typed(rows, target), lambda: seen(bad, "skipped")
 
 
 def _load(spark: SparkSession, source: Source, run_id: str, last: str | None) -> Run:
@@ -141,3 +142,22 @@ def _load(spark: SparkSession, source: Source, run_id: str, last: str | None) ->
         # the greatest value in the table after the load, not in what was read
         mark = ingest.watermark(spark.table(source.table), source.incremental).first().watermark if source.incremental else None
     return Run(run_id, "Success", done["inserted"], done["updated"], skipped(), mark)
+
+
+def pull_files(spark: SparkSession, folder: str, schema: T.StructType | str, table: Bucketed, checkpoint: str, kind: str = "parquet", mode: str = "append", files_a_batch: int | None = None, **options: str):
+    """Loads the files of a folder that no earlier pull with this checkpoint has loaded, and ends; to be run by a schedule.
+
+    Rows that don't fit the table's types are skipped and counted. A batch's load and its number are one commit of the table, so
+    a pull that dies between that and the stream's own commit loads nothing twice when it is run again.
+    """
+    reader = spark.readStream.format(kind).schema(schema).options(**options)
+    stream = (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).load(folder)
+
+    def apply(batch: DataFrame, number: int) -> None:
+        columns = table.manifest().columns
+        bad = Observation()
+        rows = kept(batch.observe(bad, F.count_if(~ingest.fits(batch, columns)).alias("skipped")).transform(lambda df: ingest.typed(df, columns)), "pulled")
+        before = table.manifest().sources.get(checkpoint, {}).get("skipped", 0)
+        table.load_batch(checkpoint, number, rows, mode, skipped=before + seen(bad, "skipped"))
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def session(name: str = "retailops", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -48,3 +48,8 @@ def hadoop(spark: SparkSession, path: str):
     """The file system of a path and the path itself, as Hadoop's objects."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def seen(observation: Observation, name: str) -> int:
+    """A count that an action has observed. Where the optimizer found that there was nothing to observe, it is 0."""
+    return observation.get[name] if observation._jo.getRow().length() else 0

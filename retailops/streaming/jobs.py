@@ -1,14 +1,19 @@
-"""Structured Streaming: hourly windows, arrival stamps, replace-by-key state and incidents."""
+"""Structured Streaming: hourly windows, arrival stamps, replace-by-key state, the day's latest rows and incidents.
+
+Keyed state (transformWithState) needs the RocksDB provider: spark.sql.streaming.stateStore.providerClass.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_STATUS = "entity_id long, checked_at timestamp, status string"
+from ..operators.buckets import Bucketed
+from ..session import kept
 
 
 def hourly_sales(events: DataFrame, late: str | None = None) -> DataFrame:
@@ -39,50 +44,120 @@ def replace_slices(state: DataFrame | None, batch: DataFrame, scheme: str = "sch
     return fresh.drop("_a", "_b")
 
 
-def run_feed_state(feed: DataFrame, path: str, checkpoint: str, arrived: str = "received_at"):
-    """Keeps the feed state of a stream under path, one folder for each batch; the newest is the state.
+def run_feed_state(feed: DataFrame, table: Bucketed, checkpoint: str, scheme: str = "scheme", store: str = "store_code", arrived: str = "received_at"):
+    """Keeps the feed state of a stream in a table in buckets of (scheme_key, store_key), the two in lower case.
 
-    A batch reads the folder of the batch before it and writes its own, so that a repeated batch overwrites only itself. Once it
-    is written, the folders before the one that it has read are deleted: a batch can be repeated, an older one never is.
+    A batch rewrites the buckets of its keys. The table's manifest knows the last batch of each checkpoint, so that a batch that
+    comes again changes nothing, and a new checkpoint goes on from the table.
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        state = spark.read.parquet(f"{path}/epoch={epoch - 1}") if epoch else None
-        replace_slices(state, batch, arrived=arrived).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch={epoch - 2}")
-        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        fresh = replace_slices(None, batch, scheme, store, arrived)
+        keys = {"scheme_key": F.lower(F.col(scheme).cast("string")), "store_key": F.lower(F.col(store).cast("string"))}
+        table.load_batch(checkpoint, epoch, fresh.withColumns(keys), "upsert")
 
     return feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def incident_events(statuses: DataFrame) -> DataFrame:
-    """opened and resolved events of a status stream. State of an entity: its last status and when its incident was opened.
+def latest_of_day(feed: DataFrame, keys: Sequence[str], arrived: str = "received_at", late: str = "1 hour") -> DataFrame:
+    """Changes of today's latest rows of each key: its rows of the newest arrival, or, as `gone`, the key alone once its day is over.
+
+    State of a key: its newest rows. A timer at the end of their day, which is when the watermark passes it, clears them; a key that
+    has had rows of the next day by then keeps those. Rows older than the lateness are dropped, and counted by the stream.
+    """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    columns = feed.schema
+    out = T.StructType([*columns.fields, T.StructField("gone", T.BooleanType())])
+    names = columns.fieldNames()
+
+    class Latest(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle, self.rows = handle, handle.getListState("rows", columns)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+            batch = pd.concat(list(rows))
+            new = batch[batch[arrived] == batch[arrived].max()]
+            old = pd.DataFrame(list(self.rows.get()), columns=names) if self.rows.exists() else new.iloc[:0]
+            known = pd.Timestamp(old[arrived].iloc[0]) if len(old) else None
+            if known is not None and new[arrived].iloc[0] < known:
+                return
+            if known is not None and new[arrived].iloc[0] == known:
+                new = pd.concat([old, new])
+            self.rows.put([tuple(None if pd.isna(v) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v.item() if hasattr(v, "item") else v for v in r) for r in new[names].itertuples(index=False)])
+            self.handle.registerTimer(int((new[arrived].iloc[0].normalize() + pd.Timedelta(days=1)).timestamp() * 1000))
+            yield new[names].assign(gone=False)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+            rows = pd.DataFrame(list(self.rows.get()), columns=names) if self.rows.exists() else pd.DataFrame(columns=names)
+            if len(rows) and pd.Timestamp(rows[arrived].iloc[0]).timestamp() * 1000 < expiredTimerInfo.getExpiryTimeInMs():
+                self.rows.clear()
+                yield rows.iloc[:1].assign(gone=True)
+
+        def close(self) -> None:
+            pass
+
+    return feed.withWatermark(arrived, late).groupBy(*keys).transformWithStateInPandas(Latest(), out, "Update", "EventTime")
+
+
+def run_latest_of_day(feed: DataFrame, table: Bucketed, checkpoint: str, keys: Sequence[str], arrived: str = "received_at", late: str = "1 hour"):
+    """Keeps today's latest rows of each key in a table in buckets of feed_key, the keys as JSON; those of days that are over leave it."""
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        batch = kept(batch.withColumn("feed_key", F.to_json(F.struct(*keys))), "changes")
+        # a key may be gone and back in one batch
+        table.load_batch(checkpoint, epoch, batch.where("NOT gone").drop("gone"), "upsert", batch.where("gone"))
+
+    return latest_of_day(feed, keys, arrived, late).writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def incident_events(statuses: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """opened and resolved events of a status stream (entity_id, id, checked_at, status), by the time of the checks.
 
-    Rows must arrive in order of time for each entity from batch to batch; within one they are sorted.
+    Checks wait in the state until the watermark has passed them and are then taken in order, so that rows may come in any order
+    within the lateness. Later ones are dropped; the stream counts them (numRowsDroppedByWatermark). State of an entity: the waiting
+    checks, its last status and when its incident was opened.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     class Incidents(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
             self.last = handle.getValueState("last", "status string, opened timestamp")
+            self.waiting = handle.getListState("waiting", "checked_at timestamp, id long, status string")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+            batch = pd.concat(list(rows))
+            self.waiting.appendList([(at.to_pydatetime(), int(i), s) for at, i, s in zip(batch.checked_at, batch.id, batch.status, strict=True)])
+            self.wake(batch.checked_at.min())
+            yield pd.DataFrame(columns=["entity_id", "event", "at", "status"])
+
+        def wake(self, at: pd.Timestamp) -> None:
+            self.handle.registerTimer(-(-int(pd.Timestamp(at).value) // 1_000_000))  # whole milliseconds, not before
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+            now = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+            rows = sorted(((pd.Timestamp(at), i, s) for at, i, s in self.waiting.get()), key=lambda r: r[:2])
+            due, rest = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
             before, opened = self.last.get() if self.last.exists() else ("Unknown", None)
             out = []
-            batch = pd.concat(list(rows)).sort_values("checked_at", kind="stable")
-            for at, status in zip(batch.checked_at, batch.status, strict=True):
+            for at, _, status in due:
                 if before == "Online" and status != "Online":
-                    opened = at
+                    opened = at.to_pydatetime()
                     out.append((key[0], "opened", at, status))
                 elif before != "Online" and status == "Online" and opened is not None:
                     out.append((key[0], "resolved", at, status))
                     opened = None
                 before = status
             self.last.update((before, opened))
+            self.waiting.clear()
+            if rest:
+                self.waiting.put([(at.to_pydatetime(), i, s) for at, i, s in rest])
+                self.wake(rest[0][0])
             yield pd.DataFrame(out, columns=["entity_id", "event", "at", "status"])
 
         def close(self) -> None:
             pass
 
-    return statuses.groupBy("entity_id").transformWithStateInPandas(Incidents(), "entity_id long, event string, at timestamp, status string", "Append", "None")
+    rows = statuses.select("entity_id", "id", "checked_at", "status").withWatermark("checked_at", late)
+    return rows.groupBy("entity_id").transformWithStateInPandas(Incidents(), "entity_id long, event string, at timestamp, status string", "Append", "EventTime")

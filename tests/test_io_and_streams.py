@@ -5,8 +5,10 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from retailops.operators import status
+from retailops.operators.buckets import Bucketed
 from retailops.plans import ingestion
 from retailops.plans.ingestion import Source
 from retailops.sources import files
@@ -107,29 +109,104 @@ def test_hourly_windows_of_a_stream_equal_the_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("hourly").collect())) == sorted(map(tuple, jobs.hourly_sales(events).collect()))
 
 
+@pytest.fixture
+def keyed(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
+
+
+FEED = "scheme string, store_code string, category string, net double, received_at timestamp"
+
+
+def arrive(spark, rows, path):
+    spark.createDataFrame(rows, FEED).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return spark.readStream.schema(FEED).parquet(f"{path}/in")
+
+
 def test_feed_state_replaces_slices_and_restarts(spark, tmp_path):
-    schema = "scheme string, store_code string, category string, net double, received_at timestamp_ntz"
     at = lambda h: dt.datetime(2024, 1, 1, h)
+    table = Bucketed.create(spark, str(tmp_path / "state"), StructType.fromDDL(f"{FEED}, scheme_key string, store_key string"), ["scheme_key", "store_key"], 8)
+    state = lambda: {(r.scheme, r.store_code, r.category, r.net) for r in table.rows().collect()}
     batches = [[("A", "s1", "x", 1.0, at(1)), ("A", "s1", "y", 2.0, at(1)), ("B", "s2", "x", 3.0, at(1))], [("a", "S1", "x", 9.0, at(2)), ("a", "S1", "z", 8.0, at(1))]]
+    for rows in batches:
+        jobs.run_feed_state(arrive(spark, rows, tmp_path), table, str(tmp_path / "ck")).awaitTermination()
+    assert state() == {("B", "s2", "x", 3.0), ("a", "S1", "x", 9.0)}
+    assert table.load_batch(str(tmp_path / "ck"), 1, table.rows(), "replace") is None  # the batch comes again
+    # a new checkpoint goes on from the table
+    spark.createDataFrame([("C", "s3", "x", 4.0, at(3))], FEED).write.parquet(str(tmp_path / "more"))
+    jobs.run_feed_state(spark.readStream.schema(FEED).parquet(str(tmp_path / "more")), table, str(tmp_path / "ck2")).awaitTermination()
+    assert state() == {("B", "s2", "x", 3.0), ("a", "S1", "x", 9.0), ("C", "s3", "x", 4.0)}
+
+
+def test_latest_of_the_day_equals_the_batch(keyed, tmp_path):
+    spark, keys = keyed, ["scheme", "store_code", "category"]
+    at = lambda d, h, m=0: dt.datetime(2024, 1, d, h, m)
+    table = Bucketed.create(spark, str(tmp_path / "state"), StructType.fromDDL(f"{FEED}, feed_key string"), ["feed_key"], 4)
+    batches = [
+        [("A", "s1", "x", 1.0, at(1, 9)), ("A", "s1", "x", 2.0, at(1, 10)), ("A", "s1", "x", 3.0, at(1, 10)), ("A", "s2", "x", 4.0, at(1, 10)), (None, "s2", None, None, at(1, 10))],
+        [("A", "s1", "x", 5.0, at(1, 9, 30)), ("A", "s2", "x", 6.0, at(1, 10)), ("B", "s9", "x", 7.0, at(1, 23))],
+        [("A", "s2", "x", 8.0, at(2, 3))],
+        [("A", "s2", "y", 9.0, at(2, 4))],
+    ]
+    seen = []
     for k, rows in enumerate(batches):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        jobs.run_feed_state(stream, str(tmp_path / "state"), str(tmp_path / "ck")).awaitTermination()
-    state = spark.read.parquet(str(tmp_path / "state" / "epoch=1"))
-    assert {(r.scheme, r.store_code, r.category, r.net) for r in state.collect()} == {("B", "s2", "x", 3.0), ("a", "S1", "x", 9.0)}
-
-
-def test_incident_stream_equals_the_batch(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        jobs.run_latest_of_day(arrive(spark, rows, tmp_path), table, str(tmp_path / "ck"), keys).awaitTermination()
+        seen += rows
+        day = max(r[4] for r in seen).date()
+        want = {r[:4] for r in seen if r[4].date() == day and r[4] == max(x[4] for x in seen if x[:3] == r[:3] and x[4].date() == day)}
+        got = {tuple(r)[:4] for r in table.rows().collect()}
+        assert want <= got and (got == want or k == 2)  # the first day ends once the watermark passes it
+    assert table.rows().count() == 2
+    assert [r.n for r in spark.read.format("statestore").option("stateVarName", "rows").load(str(tmp_path / "ck")).selectExpr("count(*) AS n").collect()] == [2]
+
+
+def test_incident_stream_in_event_time_equals_the_batch(keyed, tmp_path):
+    spark = keyed
     from retailops.sources.roles import role
 
-    rows = role(spark, "/root/testdata/sf0.001", "status_history").where("entity_id < 20")
-    rows.select("entity_id", F.col("checked_at").cast("timestamp").alias("checked_at"), "status").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("entity_id long, checked_at timestamp, status string").parquet(str(tmp_path / "in"))
-    drain(jobs.incident_events(stream), "incidents")
-    opened = {(r.entity_id, r.at.replace(tzinfo=None)) for r in spark.table("incidents").where("event = 'opened'").select("entity_id", F.col("at").cast("timestamp_ntz").alias("at")).collect()}
-    want = status.incidents(rows, role(spark, "/root/testdata/sf0.001", "entity"))
-    assert opened == {(r.entity_id, r.opened_at) for r in want.collect()}
+    rows = role(spark, "/root/testdata/sf0.001", "status_history").where("entity_id < 12").orderBy("checked_at").select("entity_id", "id", F.col("checked_at").cast("timestamp").alias("checked_at"), "status").collect()
+    last = max(r.checked_at for r in rows)
+    cuts = [rows[: len(rows) // 3], rows[len(rows) // 3 : 2 * len(rows) // 3], rows[2 * len(rows) // 3 :]]
+    cuts[0], cuts[1] = cuts[0][:-5] + cuts[1][:5], cuts[0][-5:] + cuts[1][5:]  # some come a file late
+    cuts += [[(99, -1, last + dt.timedelta(days=30), "Online")], [(5, -2, rows[0].checked_at, "Error"), (99, -3, last + dt.timedelta(days=40), "Online")]]
+    query = None
+    for part in cuts:
+        spark.createDataFrame(part[::-1], "entity_id long, id long, checked_at timestamp, status string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("entity_id long, id long, checked_at timestamp, status string").parquet(str(tmp_path / "in"))
+        query = jobs.incident_events(stream, "5 days").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out")).select("entity_id", "event", F.col("at").cast("timestamp_ntz").alias("at"), "status").where("entity_id < 99")
+    want = status.incidents(role(spark, "/root/testdata/sf0.001", "status_history").where("entity_id < 12"), role(spark, "/root/testdata/sf0.001", "entity")).collect()
+    assert sorted((r.entity_id, r.at, r.status) for r in found.where("event = 'opened'").collect()) == sorted((r.entity_id, r.opened_at, r.status) for r in want)
+    assert sorted((r.entity_id, r.at) for r in found.where("event = 'resolved'").collect()) == sorted({(r.entity_id, r.resolved_at) for r in want if r.resolved_at})
+    assert sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators) == 1
+
+
+def test_a_pull_that_dies_loads_nothing_twice(spark, tmp_path, monkeypatch):
+    table = Bucketed.create(spark, str(tmp_path / "t"), StructType.fromDDL("id bigint, day date"), ["id"], 4)
+
+    def land(rows):
+        spark.createDataFrame(rows, "ID string, Day string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    pull = lambda: ingestion.pull_files(spark, str(tmp_path / "in"), "ID string, Day string", table, str(tmp_path / "ck"), files_a_batch=1)
+    land([("1", "2024-01-01"), ("2", "never")])
+    pull().awaitTermination()
+    land([("3", "2024-01-03")])
+    usual = Bucketed.load_batch
+
+    def dies(self, *args, **kw):
+        usual(self, *args, **kw)
+        raise RuntimeError("killed after the load")
+
+    with monkeypatch.context() as m:
+        m.setattr(Bucketed, "load_batch", dies)
+        with pytest.raises(Exception, match="killed"):
+            pull().awaitTermination()
+    assert table.rows().count() == 2
+    land([("4", "2024-01-04")])
+    pull().awaitTermination()
+    assert sorted(r.id for r in table.rows().collect()) == [1, 3, 4]
+    assert table.manifest().sources[str(tmp_path / "ck")] == {"skipped": 1, "batch": 2}
 
 
 def test_stamps(spark):
