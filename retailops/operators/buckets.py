@@ -15,11 +15,12 @@ import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import hadoop, kept
+from ..sources.footers import can_tell, extremes
 from .ingest import aligned, apply_changes, counted, key_columns, typed
 
 _BUCKET = "in_bucket"
@@ -103,10 +104,28 @@ class Bucketed:
     def rows(self, m: Manifest | None = None, buckets: Iterable[int] | None = None) -> DataFrame:
         """The rows of a version, the newest one by default, of all buckets or of some."""
         m = m or self.manifest()
-        wanted = m.live if buckets is None else {str(b): m.live.get(str(b), []) for b in buckets}
-        paths = [f"{self.path}/data/{commit}/{_BUCKET}={b}" for b, commits in wanted.items() for commit in commits]
+        paths = self._paths(m, buckets)
         return self.spark.read.schema(m.columns).parquet(*paths) if paths else self.spark.createDataFrame([], m.columns)
 
+    def _paths(self, m: Manifest, buckets: Iterable[int] | None = None) -> list[str]:
+        wanted = m.live if buckets is None else {str(b): m.live.get(str(b), []) for b in buckets}
+        return [f"{self.path}/data/{commit}/{_BUCKET}={b}" for b, commits in wanted.items() for commit in commits]
+
+    def extremes(self, *names: str, m: Manifest | None = None) -> Row:
+        """n_rows, and least_<name> and greatest_<name> of each column: from footers wherever these tell, else from the rows.
+
+        A file in which a column is all null tells nothing of it.
+        """
+        m = m or self.manifest()
+        if can_tell(m.columns, names):
+            try:
+                return extremes(self.spark, self._paths(m), m.columns, names).first()
+            except Exception as e:  # noqa: BLE001  the reader's own message says which one it is
+                if "No min/max found" not in str(e):
+                    raise
+        ends = [f(n).alias(f"{end}_{n}") for n in names for end, f in (("least", F.min), ("greatest", F.max))]
+        return self.rows(m).agg(F.count("*").alias("n_rows"), *ends).first()
+
     def _write(self, m: Manifest, rows: DataFrame) -> tuple[str, set[str]]:
         """A new folder with the rows by bucket: its name and its buckets."""
         commit = uuid.uuid4().hex
@@ -120,11 +139,14 @@ class Bucketed:
     def _next(self, m: Manifest, live: dict[str, list[str]], source: str | None = None, note: dict | None = None, watermark: str | None = None) -> Manifest:
         out = replace(m, version=m.version + 1, live=live)
         if source:
-            mark = {"watermark": self.rows(out).agg(F.max(watermark).cast("string")).first()[0]} if watermark else {}
+            mark = {"watermark": self._text(self.extremes(watermark, m=out)[f"greatest_{watermark}"], out.columns[watermark].dataType)} if watermark else {}
             out = replace(out, sources=m.sources | {source: m.sources.get(source, {}) | (note or {}) | mark})
         self._publish(out)
         return out
 
+    def _text(self, value, kind: T.DataType) -> str | None:
+        return self.spark.range(1).select(F.lit(value).cast(kind).cast("string")).first()[0]
+
     def _touched(self, m: Manifest, rows: DataFrame) -> list[int]:
         return sorted(r[0] for r in rows.select(self._bucket(m).alias("b")).distinct().collect())  # no more than there are buckets
 

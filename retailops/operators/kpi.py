@@ -48,15 +48,39 @@ def status_counts(of_cards: DataFrame) -> DataFrame:
     return of_cards.groupBy(status(attainment(F.col("current"), F.col("target"))).alias("status")).agg(F.count("*").alias("n"))
 
 
-def active_target(values: DataFrame, targets: DataFrame, by: str = "metric_id", value_id: str = "value_id", day: str = "period_date") -> DataFrame:
+#: Days are counted from 0001-01-01; so many bits hold those of Spark's dates.
+_DAY_BITS = 22
+
+
+def _day(day: Column) -> Column:
+    return F.unix_date(day.cast("date")) + 719162
+
+
+def active_target(values: DataFrame, targets: DataFrame, by: str = "metric_id", day: str = "period_date") -> DataFrame:
     """Each value with the target that holds on its day; of several the one that starts last, then the largest.
 
-    An equi-join on the metric with the interval as a condition; values without a target stay.
+    Intervals are joined by equality: a target lies on the few nodes of a binary tree over days that make up its interval, at most
+    two a level, and of the targets on a node only the best one counts. A day has one node a level, and its best target is the best
+    one of those. So a metric with very many values and targets costs in proportion to both, not to their product, and its rows are
+    dealt by node and by day. Values without a target, or without a metric or day, stay.
     """
-    t = targets.select(F.col(by).alias("_by"), "start_date", "end_date", "target", "is_active")
-    holds = (F.col(by) == F.col("_by")) & F.col("is_active") & (F.col("start_date") <= F.col(day)) & (F.col("end_date").isNull() | (F.col("end_date") >= F.col(day)))
-    best = values.join(t, holds, "left").groupBy(value_id).agg(F.max(F.struct("start_date", "target")).alias("t"))
-    return values.join(best, value_id).select(*values.columns, F.col("t.target").alias("target"), F.col("t.start_date").alias("target_start"))
+    levels = F.sequence(F.lit(0), F.lit(_DAY_BITS))
+    first, last = _day(F.col("start_date")), F.coalesce(_day(F.col("end_date")), F.lit((1 << _DAY_BITS) - 1)) + 1
+
+    def on_level(k: Column) -> Column:
+        size = F.pow(F.lit(2), k).cast("long")
+        a, b = F.ceil(first / size), F.floor(last / size)
+        left = F.when((a < b) & (a % 2 == 1), F.struct(k.alias("level"), a.alias("node")))
+        right = F.when((a < b) & (b % 2 == 1), F.struct(k.alias("level"), (b - 1).alias("node")))
+        return F.array(left, right)
+
+    held = targets.where("is_active AND start_date IS NOT NULL").select(F.col(by).alias("_by"), F.struct("start_date", "target").alias("t"), F.explode(F.array_compact(F.flatten(F.transform(levels, on_level)))).alias("n"))
+    best = held.groupBy("_by", "n.level", "n.node").agg(F.max("t").alias("t"))
+    days = values.select(F.col(by).alias("_by"), F.col(day).cast("date").alias("_day")).where("_by IS NOT NULL AND _day IS NOT NULL").distinct()
+    above = days.select("_by", "_day", F.posexplode(F.transform(levels, lambda k: F.floor(_day(F.col("_day")) / F.pow(F.lit(2), k).cast("long")))).alias("level", "node"))
+    found = above.join(best, ["_by", "level", "node"]).groupBy("_by", "_day").agg(F.max("t").alias("_t"))
+    joined = values.join(found, (F.col(by) == F.col("_by")) & (F.col(day).cast("date") == F.col("_day")), "left")
+    return joined.select(*values.columns, F.col("_t.target").alias("target"), F.col("_t.start_date").alias("target_start"))
 
 
 def metric_values(values: DataFrame, metrics: DataFrame, company, metric=None, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def latest(oos: DataFrame) -> DataFrame:
-    """All rows of the newest snapshot."""
-    return oos.join(F.broadcast(oos.agg(F.max("as_of_date").alias("as_of_date"))), "as_of_date", "left_semi")
+    """All rows of the newest snapshot. Its day is asked for first, so that the rows are read, or made, of that day only."""
+    newest = oos.agg(F.max("as_of_date")).first()[0]
+    return oos.where(F.col("as_of_date") == F.lit(newest)) if newest is not None else oos.limit(0)
 
 
 def trend(oos: DataFrame, as_of: dt.date, catalogue: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .buckets import Bucketed
 from .tables import search
 
 #: Severity of a status, the worst highest.
@@ -119,25 +120,34 @@ def incidents(history: DataFrame, entities: DataFrame) -> DataFrame:
     return opened.select("entity_id", F.col("checked_at").alias("opened_at"), "resolved_at", "status", severity_of(F.col("status"), F.coalesce("is_critical", F.lit(False))).alias("severity"))
 
 
-def freshness(tables: dict[str, tuple[DataFrame, str, int]], now: dt.datetime) -> DataFrame:
-    """For each table (frame, time column, most minutes): rows, newest time, age and state.
+def freshness(tables: dict[str, tuple[DataFrame | Bucketed, str, int]], now: dt.datetime) -> DataFrame:
+    """For each table (frame or table in buckets, time column, most minutes): rows, newest time, age and state.
 
     Without any time a table is Degraded, as it is when its newest row is too old; a check that can't be made is an Error.
+    Of a table in buckets no row is read: its files' footers tell.
     """
     out = None
     for name, (df, column, most) in tables.items():
-        if column in df.columns:
-            age = F.floor((F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.max(column).cast("timestamp"))) / 60)
-            found = df.agg(F.count("*").alias("n_rows"), age.alias("age_minutes"))
+        own = isinstance(df, Bucketed)
+        if column in (df.manifest().columns.fieldNames() if own else df.columns):
+            seen = df.agg(F.count("*").alias("n_rows"), F.max(column).alias("newest")) if not own else _told(df, column)
+            age = F.floor((F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.col("newest").cast("timestamp"))) / 60)
+            found = seen.select("n_rows", age.alias("age_minutes"))
             state = F.when(F.col("age_minutes").isNull() | (F.col("age_minutes") > most), "Degraded").otherwise("Online")
         else:
-            found = df.sparkSession.range(1).select(F.lit(None).cast("long").alias("n_rows"), F.lit(None).cast("long").alias("age_minutes"))
+            found = (df.spark if own else df.sparkSession).range(1).select(F.lit(None).cast("long").alias("n_rows"), F.lit(None).cast("long").alias("age_minutes"))
             state = F.lit("Error")
         one = found.select(F.lit(name).alias("table_name"), "n_rows", "age_minutes", state.alias("state"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def _told(table: Bucketed, column: str) -> DataFrame:
+    """Rows and newest time of a table in buckets: two values, asked for at once, which become constants."""
+    row = table.extremes(column)
+    return table.spark.range(1).select(F.lit(row.n_rows).cast("long").alias("n_rows"), F.lit(row[f"greatest_{column}"]).cast(table.manifest().columns[column].dataType).alias("newest"))
+
+
 def _stale(cutoff: dt.datetime) -> Column:
     return (F.col("status") == "Running") & (F.col("started_at") < F.lit(cutoff).cast("timestamp_ntz"))
 

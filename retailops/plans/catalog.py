@@ -39,6 +39,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return role(spark, sf_dir, name) if name in ROLES else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _bucketed(df: DataFrame, key: str) -> Bucketed:
+    table = Bucketed.create(df.sparkSession, f"{shared_folder(df.sparkSession)}/buckets-{uuid.uuid4().hex}", df.schema, [key], 8)
+    table.load(df)
+    return table
+
+
 def _plain(df: DataFrame) -> DataFrame:
     """Sums are exact decimals; results are doubles."""
     return df.withColumns({c: F.col(c).cast("double") for c, k in df.dtypes if k.startswith("decimal")})
@@ -371,17 +377,24 @@ def _(t):
 _FRESH = "TIMESTAMP '2024-01-31 00:00:00'"
 
 
-@query(
-    "a36_freshness",
-    f"""SELECT 'events' AS table_name, count(*) AS n_rows, CAST(floor((epoch({_FRESH}) - floor(epoch(max(ts)))) / 60) AS BIGINT) AS age_minutes, CASE WHEN floor((epoch({_FRESH}) - floor(epoch(max(ts)))) / 60) > 60 THEN 'Degraded' ELSE 'Online' END AS state FROM events
+_FRESHNESS = f"""SELECT 'events' AS table_name, count(*) AS n_rows, CAST(floor((epoch({_FRESH}) - floor(epoch(max(ts)))) / 60) AS BIGINT) AS age_minutes, CASE WHEN floor((epoch({_FRESH}) - floor(epoch(max(ts)))) / 60) > 60 THEN 'Degraded' ELSE 'Online' END AS state FROM events
 UNION ALL SELECT 'orders', count(*), CAST(floor((epoch({_FRESH}) - epoch(max(o_orderdate))) / 60) AS BIGINT), CASE WHEN floor((epoch({_FRESH}) - epoch(max(o_orderdate))) / 60) > 100000000 THEN 'Degraded' ELSE 'Online' END FROM orders
-UNION ALL SELECT 'no_times', count(*), NULL, 'Degraded' FROM customer UNION ALL SELECT 'no_column', NULL, NULL, 'Error'""",
-)
+UNION ALL SELECT 'no_times', count(*), NULL, 'Degraded' FROM customer UNION ALL SELECT 'no_column', NULL, NULL, 'Error'"""
+
+
+@query("a36_freshness", _FRESHNESS)
 def _(t):
     untimed = t("customer").select(F.lit(None).cast("timestamp_ntz").alias("at"))
     return status.freshness({"events": (t("events"), "ts", 60), "orders": (t("orders"), "o_orderdate", 100000000), "no_times": (untimed, "at", 60), "no_column": (t("part"), "at", 60)}, dt.datetime(2024, 1, 31))
 
 
+@query("a36_freshness_from_footers", _FRESHNESS)
+def _(t):
+    untimed = t("customer").select("c_custkey", F.lit(None).cast("timestamp_ntz").alias("at"))
+    events, orders, no_times, no_column = (_bucketed(df, key) for df, key in ((t("events"), "event_id"), (t("orders"), "o_orderkey"), (untimed, "c_custkey"), (t("part"), "p_partkey")))
+    return status.freshness({"events": (events, "ts", 60), "orders": (orders, "o_orderdate", 100000000), "no_times": (no_times, "at", 60), "no_column": (no_column, "at", 60)}, dt.datetime(2024, 1, 31))
+
+
 @query("a37_stale_runs", "SELECT event_id, CASE WHEN event_type = 'view' AND ts < TIMESTAMP '2024-01-10 00:00:00' THEN 'Failed' WHEN event_type = 'view' THEN 'Running' ELSE 'Done' END AS status FROM events")
 def _(t):
     runs = t("events").selectExpr("event_id", "CASE WHEN event_type = 'view' THEN 'Running' ELSE 'Done' END AS status", "ts AS started_at")
@@ -575,12 +588,6 @@ def _delta(t) -> tuple[DataFrame, DataFrame]:
 _UPSERTED = f"WITH d AS ({_DELTA.format(o='orders')}) SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM d) UNION ALL SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) FROM d"
 
 
-def _bucketed(df: DataFrame, key: str) -> Bucketed:
-    table = Bucketed.create(df.sparkSession, f"{shared_folder(df.sparkSession)}/buckets-{uuid.uuid4().hex}", df.schema, [key], 16)
-    table.load(df)
-    return table
-
-
 @query("io13_upsert", _UPSERTED)
 def _(t):
     o, d = _delta(t)
