@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..operators import feed, graph, ingest, inventory, kpi, oos, sales, security, status, tables
+from ..operators import feed, graph, ingest, inventory, kpi, oos, pages, sales, security, status, tables
 from ..operators.buckets import Bucketed
 from ..session import shared_folder
+from ..sources import audit_index, files
 from ..sources.roles import ROLES, ctes, role
 from . import report_twins, reports
 from .twins import plain_types
@@ -39,8 +40,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return role(spark, sf_dir, name) if name in ROLES else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _folder(df: DataFrame, name: str) -> str:
+    return f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
 def _bucketed(df: DataFrame, key: str) -> Bucketed:
-    table = Bucketed.create(df.sparkSession, f"{shared_folder(df.sparkSession)}/buckets-{uuid.uuid4().hex}", df.schema, [key], 8)
+    table = Bucketed.create(df.sparkSession, _folder(df, "buckets"), df.schema, [key], 8)
     table.load(df)
     return table
 
@@ -509,6 +514,15 @@ def _(t):
     return tables.metric_filters(t("part"), [{"column": "p_size", "operator": "sounds like", "value": 5}, {"column": "p_partkey", "operator": "<>", "value": "1"}]).select("p_partkey", "p_brand")
 
 
+@query("f4_audit_store_search", f"{ctes('audit')} SELECT event_id, action FROM audit WHERE company_id = 1 AND event_time >= TIMESTAMP '2024-01-05 00:00:00' AND event_time <= TIMESTAMP '2024-01-20 00:00:00' AND (lower(action) LIKE '%purch%' OR lower(details) LIKE '%purch%' OR CAST(user_id AS VARCHAR) LIKE '%purch%')")
+def _(t):
+    log = t("audit")
+    store, sidecar, spark = _folder(log, "audit"), _folder(log, "audit-index"), log.sparkSession
+    files.write_audit(log, store)
+    audit_index.update(spark, store, sidecar)
+    return audit_index.search(spark, store, sidecar, 1, "Purch", dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 20)).select("event_id", "action")
+
+
 @query("f4_audit_search", f"{ctes('audit')} SELECT event_id, action FROM audit WHERE company_id = 1 AND success AND event_time >= TIMESTAMP '2024-01-05 00:00:00' AND event_time <= TIMESTAMP '2024-01-20 00:00:00' AND (lower(action) LIKE '%click%' OR lower(details) LIKE '%click%' OR CAST(user_id AS VARCHAR) LIKE '%click%')")
 def _(t):
     return tables.audit_search(t("audit"), 1, "CLICK", {"success": True}, dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 20)).select("event_id", "action")
@@ -550,7 +564,16 @@ def _(t):
     return t("part").select("p_brand", "p_type").distinct()
 
 
-@query("s5_page", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 30 OFFSET 60")
+_PAGE = "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 30 OFFSET 60"
+
+
+@query("s5_page_by_range", _PAGE)
+def _(t):
+    c = t("customer").select("c_custkey", "c_acctbal")
+    return pages.build(c, ["c_acctbal", "c_custkey"], _folder(c, "pages"), 8).page(3, 30)
+
+
+@query("s5_page", _PAGE)
 def _(t):
     return inventory.page(t("customer").select("c_acctbal", "c_custkey"), ["c_acctbal", "c_custkey"], 30, 60)
 

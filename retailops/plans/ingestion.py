@@ -64,9 +64,9 @@ def from_query(query: str, incremental: str | None = None) -> Reader:
     return lambda spark, last: ingest.newer_than(spark.sql(query), incremental, last) if incremental else spark.sql(query)
 
 
-def from_database(url: str, query: str, incremental: str | None = None, partition: tuple[str, int, int, int] | None = None, properties: dict[str, str] | None = None) -> Reader:
-    """The watermark becomes part of the query, so that the database reads past it only."""
-    return lambda spark, last: files.read_jdbc(spark, url, query=files.incremental_sql(query, incremental, _number(last)) if incremental else query, partition=partition, properties=properties)
+def from_database(url: str, query: str, incremental: str | None = None, partition: tuple[str, int, int, int] | None = None, properties: dict[str, str] | None = None, keys: Sequence[str] = (), parts: int = 8) -> Reader:
+    """The watermark becomes part of the query, so that the database reads past it only; in parallel by `partition` or by a key."""
+    return lambda spark, last: files.read_jdbc(spark, url, query=files.incremental_sql(query, incremental, _number(last)) if incremental else query, partition=partition, properties=properties, keys=keys, parts=parts)
 
 
 def _number(value: str | None):

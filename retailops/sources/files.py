@@ -78,17 +78,44 @@ def jdbc_options(url: str, table: str | None = None, query: str | None = None, t
     return out
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: str | None = None, partition: tuple[str, int, int, int] | None = None, predicates: Sequence[str] = (), properties: dict[str, str] | None = None) -> DataFrame:
-    """A table or query of a database, in parallel by ranges of a number or by predicates such as those of `key_ranges`."""
+def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: str | None = None, partition: tuple[str, int, int, int] | None = None, predicates: Sequence[str] = (), properties: dict[str, str] | None = None, keys: Sequence[str] = (), parts: int = 8) -> DataFrame:
+    """A table or query of a database, in parallel by ranges of a number, by predicates such as those of `key_ranges`, or by a key.
+
+    With `keys`, which may be several columns of any kinds, the database itself is asked for the bounds of `parts` equal ranges.
+    """
     options = jdbc_options(url, table, query, partition=partition)
+    source = options.get("dbtable") or f"({options['query']}) AS q"
+    if keys:
+        predicates = key_ranges(keys, find_bounds(spark, url, source, keys, parts, properties), nulls=True)
     if predicates:
-        source = options.get("dbtable") or f"({options['query']}) AS q"
         return spark.read.jdbc(url, source, predicates=list(predicates), properties={k: v for k, v in (properties or {}).items()})
     return spark.read.format("jdbc").options(**options, **(properties or {})).load()
 
 
-def key_ranges(keys: Sequence[str], bounds: Sequence[Sequence]) -> list[str]:
-    """Predicates that split a table by sorted bounds of a composite key into disjoint ranges, for a parallel JDBC read."""
+def bounds_sql(source: str, keys: Sequence[str], parts: int, url: str = "") -> str:
+    """One query for every n/parts-th key in the order of the keys; rows with a null in the key apart."""
+    names, known = ", ".join(keys), " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    size = f"(SELECT (COUNT(*) + {parts - 1}) / {parts} FROM {source} WHERE {known})"
+    if url.startswith("jdbc:derby"):  # it numbers rows only in the order in which they come
+        numbered = f"SELECT ROW_NUMBER() OVER () AS r, s.* FROM (SELECT {names} FROM {source} WHERE {known} ORDER BY {names}) AS s"
+    else:
+        numbered = f"SELECT {names}, ROW_NUMBER() OVER (ORDER BY {names}) AS r FROM {source} WHERE {known}"
+    return f"SELECT DISTINCT {names} FROM ({numbered}) AS n WHERE r > 1 AND MOD(r - 1, {size}) = 0"
+
+
+def find_bounds(spark: SparkSession, url: str, source: str, keys: Sequence[str], parts: int, properties: dict[str, str] | None = None) -> list[tuple]:
+    """The first keys of all ranges but the first, at most parts - 1; keys that many rows share leave fewer."""
+    if parts < 2:
+        return []
+    found = spark.read.jdbc(url, f"({bounds_sql(source, keys, parts, url)}) AS b", properties=properties or {})
+    return [tuple(r) for r in found.orderBy(*found.columns).collect()]
+
+
+def key_ranges(keys: Sequence[str], bounds: Sequence[Sequence], nulls: bool = False) -> list[str]:
+    """Predicates that split a table by sorted bounds of a composite key into disjoint ranges, for a parallel JDBC read.
+
+    No range holds rows with a null in the key; with `nulls` they are a part of their own.
+    """
 
     def after(bound: Sequence) -> str:
         options = []
@@ -97,6 +124,9 @@ def key_ranges(keys: Sequence[str], bounds: Sequence[Sequence]) -> list[str]:
             options.append("(" + " AND ".join([*equal, f"{keys[k]} {'>=' if k + 1 == len(keys) else '>'} {_literal(bound[k])}"]) + ")")
         return "(" + " OR ".join(options) + ")"
 
+    if nulls:
+        known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+        return [f"{known} AND ({p})" for p in key_ranges(keys, bounds)] + [" OR ".join(f"{k} IS NULL" for k in keys)]
     if not bounds:
         return ["1 = 1"]
     return [f"NOT {after(bounds[0])}", *(f"{after(a)} AND NOT {after(b)}" for a, b in zip(bounds[:-1], bounds[1:], strict=True)), after(bounds[-1])]

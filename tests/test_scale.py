@@ -6,9 +6,10 @@ import time
 
 from pyspark.sql import functions as F
 
-from retailops.operators import kpi
+from retailops.operators import kpi, pages, tables
 from retailops.operators.buckets import Bucketed
-from retailops.sources import footers
+from retailops.sources import audit_index, footers
+from retailops.sources import files as files_module
 
 
 def test_targets_of_random_intervals(spark):
@@ -46,3 +47,81 @@ def test_extremes_come_from_footers(spark, tmp_path):
     assert tuple(table.extremes("id", "at", "n")) == (5000, 0, 4999, dt.datetime(2024, 1, 1), last, 1, 4999)
     assert tuple(table.extremes("f", "s")) == (5000, 1.5, 1.5, "x", "x")  # these are read
     assert tuple(table.extremes("never", "at")) == (5000, None, None, dt.datetime(2024, 1, 1), last)  # no footer tells of what is all null
+
+
+def test_pages_read_their_range(spark, tmp_path):
+    rows = spark.range(20_000).select(F.pmod(F.xxhash64("id"), F.lit(50)).alias("k"), "id")
+    index = pages.build(rows, ["k", F.desc("id")], str(tmp_path), 16)
+    assert index.total == 20_000
+    ordered = [tuple(r) for r in rows.orderBy("k", F.desc("id")).collect()]
+    for number, size in ((1, 30), (400, 30), (667, 30), (668, 30), (3, 2000), (1, 20_000)):
+        assert [tuple(r) for r in index.page(number, size).collect()] == ordered[(number - 1) * size : number * size]
+    page = index.page(400, 30)
+    assert "GreaterThanOrEqual(at" in page._jdf.queryExecution().executedPlan().toString()
+    ranges = {r for r, at, n in index.starts if at < 12_000 and 11_970 < at + n}
+    assert len(ranges) <= 2 and read_files(page) <= sum(len(list((tmp_path / "rows" / f"in_range={r}").glob("*.parquet"))) for r in ranges)
+    tied = pages.build(rows.withColumn("same", F.lit(1)), ["same"], str(tmp_path / "tied"), 4)
+    seen = [r.id for k in range(1, 11) for r in tied.page(k, 2000).collect()]
+    assert sorted(seen) == list(range(20_000)) and seen[:2000] == [r.id for r in tied.page(1, 2000).collect()]
+
+
+def read_files(df):
+    """How many files the scan of a plan reads."""
+    import re
+
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    found = []
+
+    def walk(p):
+        if re.match("FileSourceScan", p.getClass().getSimpleName()):
+            found.append(int(p.metrics().apply("numFiles").value()))
+        for kids in (p.children(), p.innerChildren()):
+            for i in range(kids.size()):
+                if hasattr(kids.apply(i), "metrics"):
+                    walk(kids.apply(i))
+        if "QueryStage" in p.getClass().getSimpleName():
+            walk(p.plan())
+
+    walk(plan.executedPlan() if "Adaptive" in plan.getClass().getSimpleName() else plan)
+    return sum(found)
+
+
+def test_a_rare_text_reads_few_files(spark, tmp_path):
+    store, sidecar = str(tmp_path / "audit"), str(tmp_path / "index")
+
+    def rows(month, n, odd):
+        at = F.lit(dt.datetime(2024, month, 1)) + F.make_dt_interval(secs=F.col("id") * 60)
+        text = F.when(F.col("id") == odd, "A RareWord here").otherwise(F.concat(F.lit("usual details "), F.col("id") % 7))
+        return spark.range(n).select("id", F.col("id").alias("event_id"), at.cast("timestamp_ntz").alias("event_time"), (F.col("id") % 2).alias("company_id"), F.lit("act").alias("action"), text.alias("details"), F.lit(None).cast("string").alias("message")).drop("id")
+
+    for k in range(8):
+        files_module.write_audit(rows(1 + k // 4, 500, 10 if k == 1 else -1), store)
+    assert audit_index.update(spark, store, sidecar) >= 8 and audit_index.update(spark, store, sidecar) == 0
+    every = spark.read.parquet(store).inputFiles()
+    found = audit_index.search(spark, store, sidecar, 0, "rareword")
+    assert [r.event_id for r in found.collect()] == [10] and len(found.inputFiles()) == 1
+    size = lambda names: sum((tmp_path / "audit" / n.split("/audit/")[1]).stat().st_size for n in names)
+    assert size(found.inputFiles()) < 0.2 * size(every)
+    assert audit_index.search(spark, store, sidecar, 0, "no such text").count() == 0
+    for text in ("USUAL details 3", "us", "", None, "ab"):
+        want = tables.audit_search(spark.read.parquet(store), 0, text, start=dt.datetime(2024, 1, 1), end=dt.datetime(2024, 1, 2))
+        got = audit_index.search(spark, store, sidecar, 0, text, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2))
+        assert got.count() == want.count() and all("month=2024-01" in f for f in got.inputFiles())
+    files_module.write_audit(rows(3, 100, 50), store)  # not indexed yet
+    assert audit_index.search(spark, store, sidecar, 0, "rareword").count() == 2
+    assert audit_index.update(spark, store, sidecar) > 0
+    files_module.drop_old_months(spark, store, "2024-03", 2)
+    assert [r.event_id for r in audit_index.search(spark, store, sidecar, 0, "rareword").collect()] == [50]
+
+
+def test_bounds_of_a_skewed_key_are_found(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = [(1 if k % 3 else k * 1000, f"s{k % 97:03}", k) for k in range(3000)] + [(None, "x", -1), (None, "y", -2)]
+    spark.createDataFrame(rows, "A int, B string, C int").coalesce(1).write.jdbc(url, "t", "append", {"createTableColumnTypes": "B varchar(5)"})
+    df = files_module.read_jdbc(spark, url, "t", keys=["A", "B"], parts=6)
+    sizes = [r.n for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 3002 and sorted(r.C for r in df.collect()) == sorted(r[2] for r in rows)
+    assert len(sizes) == 7 and min(sizes) == 2 and max(sizes) <= 2 * sorted(sizes)[1]
+    assert files_module.read_jdbc(spark, url, query="SELECT * FROM t WHERE C < 0", keys=["A", "B"], parts=4).count() == 2
+    assert "ROW_NUMBER() OVER (ORDER BY a, b)" in files_module.bounds_sql("t", ["a", "b"], 4, "jdbc:postgresql://x")
