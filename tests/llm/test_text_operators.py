@@ -1,5 +1,6 @@
 """Operators that work on each text: rules, secrets, licences, pages, contamination."""
 
+import random
 import re
 from html.parser import HTMLParser
 
@@ -242,6 +243,37 @@ def test_surges_choose_among_marked_articles():
     assert html_text.main_text(teaser * 2) == "Another story\nShort.\n" * 1 + "Another story\nShort."
 
 
+@pytest.mark.parametrize("page", ["<body></body>", "   ", "<!-- x -->", "<script>a</script>", "<", "<p", "</p>", "<article></article>", "<main><nav>x</nav></main>", "&#0;", "<a href='", "\x00"])
+def test_pages_without_lines(page):
+    assert html_text.main_text(page).strip("\x00\ufffd<") in ("", "x")
+
+
+def test_cut_and_emptied_pages_never_fail(spark):
+    rnd = random.Random(2)
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").limit(40).collect()]
+    for page in pages:
+        for _ in range(12):
+            a, b = sorted(rnd.randrange(len(page) + 1) for _ in range(2))
+            html_text.main_text(page[a:b])
+            html_text.main_text(page[:a] + page[b:])
+            html_text.main_text(re.sub(r">[^<]+<", "><", page[:b]))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<main class="comments-open"><article><p>{LONG}</p></article></main>', LONG.strip()),
+        (f"<article><p>{LONG}</p></article><article><p>A short one.</p></article>", f"{LONG.strip()}\nA short one."),
+        (f"<body><p class=aside>x<p>real paragraph<p>{LONG}</body>", f"real paragraph\n{LONG.strip()}"),
+        (f'<article><p>{LONG}</p><section id="copyright-law"><p>On the law.</p></section></article>', f"{LONG.strip()}\nOn the law."),
+        (f'<article><p>{LONG}</p><div id="comments-list"><p>First!</p></div></article>', LONG.strip()),
+        (f"<body><div><a href=x>Home</a></div><h1>Title</h1><p>By me</p><p>Short.</p><p>{LONG}</p><p>The end.</p><p>© 2020 Us</p></body>", f"Title\nBy me\nShort.\n{LONG.strip()}\nThe end."),
+    ],
+)
+def test_nothing_of_an_article_is_lost(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_very_long_pages(spark):
     page = "<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>"
     df = spark.createDataFrame([(1, page), (1, page), (None, "<div>" * 5000 + "x")], "page_id long, html string")
