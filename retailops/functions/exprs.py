@@ -54,10 +54,14 @@ def period_index(year: Column, month: Column) -> Column:
     return year * 12 + month
 
 
+#: Words in a KPI's name that tell its unit.
+PERCENT_WORDS = ("%", "ratio", "margin", "contribution", "rate", "percent")
+DAY_WORDS = ("time", "days", "delivery")
+
+
 def kpi_unit(name: Column) -> Column:
     """'%', 'days' or 'num' by words in a KPI's name."""
-    has = lambda *words: _any(name, words)
-    return F.when(has("%", "ratio", "margin", "contribution", "rate", "percent"), "%").when(has("time", "days", "delivery"), "days").otherwise("num")
+    return F.when(_any(name, PERCENT_WORDS), "%").when(_any(name, DAY_WORDS), "days").otherwise("num")
 
 
 #: Words in a KPI's name that mean that lower is better.
@@ -99,9 +103,17 @@ def column_name(header: str) -> str:
     return name if re.match(r"[a-z_]", name) else f"col_{name}"
 
 
+def table_name(name: str) -> str:
+    """A table name from a file's name, by the same rule."""
+    if not name:
+        return "imported_table"
+    made = re.sub(r"[^A-Za-z0-9_]", "_", name).lower()
+    return made if re.match(r"[a-z_]", made) else f"table_{made}"
+
+
 #: Words in a column's name that tell its type, in the order in which they are tried.
 TYPE_WORDS = (
-    ("decimal(18,2)", ("price", "amount", "cost", "rate", "percent")),
+    ("decimal(18,3)", ("price", "amount", "cost", "rate", "percent")),
     ("timestamp", ("date", "time")),
     ("string", ("description", "note", "comment")),
     ("boolean", ("active", "enabled")),

@@ -31,8 +31,9 @@ def test_labels_and_names(spark):
     assert tuple(one(spark, exprs.label(F.lit(""), F.lit(None)), exprs.label(F.lit("  "), F.lit("b"), trim=True), exprs.label(F.lit(" ")))) == ("Unknown", "b", " ")
     assert exprs.normal_name("Mrp (LBP)") == "mrp__lbp_" and exprs.column_name("1st") == "col_1st" and exprs.column_name("Sr.No") == "sr_no"
     assert [exprs.column_name(x) for x in ("", "Total Sales", "_x")] == ["column", "total_sales", "_x"]
-    assert [exprs.type_by_name(x) for x in ("unit_rate", "Active", "note", "this_year", "is_new", "percent_off", "qty")] == ["decimal(18,2)", "boolean", "string", "string", "boolean", "decimal(18,2)", "string"]
-    assert exprs.type_by_name("unit_price") == "decimal(18,2)" and exprs.type_by_name("ship_date") == "timestamp"
+    assert [exprs.type_by_name(x) for x in ("unit_rate", "Active", "note", "this_year", "is_new", "percent_off", "qty")] == ["decimal(18,3)", "boolean", "string", "string", "boolean", "decimal(18,3)", "string"]
+    assert [exprs.table_name(x) for x in ("", "2024 Sales.csv", "Äb", "_ok", "Orders")] == ["imported_table", "table_2024_sales_csv", "_b", "_ok", "orders"]
+    assert exprs.type_by_name("unit_price") == "decimal(18,3)" and exprs.type_by_name("ship_date") == "timestamp"
     assert tuple(one(spark, exprs.month_number(F.lit("SEPTEMBER")), exprs.month_number(F.lit("xx")))) == (9, None)
     assert tuple(one(spark, exprs.kpi_unit(F.lit("Return Rate")), exprs.kpi_unit(F.lit("Lead Time")), exprs.kpi_direction(F.lit("Return Rate")), exprs.kpi_direction(F.lit("Sales")))) == ("%", "days", "down", "up")
 
@@ -187,6 +188,17 @@ def test_audit_search_includes_its_end(spark):
     assert [r.event_id for r in tables.audit_search(df, 1, page=2, page_size=2).collect()] == [1]
 
 
+def test_utc_windows_of_local_days(spark):
+    for day, zone, want in (
+        (D(2024, 7, 1), "Asia/Beirut", ("2024-06-30 21:00", "2024-07-01 21:00")),
+        (D(2024, 1, 1), "Asia/Beirut", ("2023-12-31 22:00", "2024-01-01 22:00")),
+        (D(2024, 3, 31), "Europe/Berlin", ("2024-03-30 23:00", "2024-03-31 22:00")),
+        (D(2024, 10, 27), "Europe/Berlin", ("2024-10-26 22:00", "2024-10-27 23:00")),
+        (D(2024, 7, 1), "UTC", ("2024-07-01 00:00", "2024-07-02 00:00")),
+    ):
+        assert tuple(one(spark, *(F.date_format(c, "yyyy-MM-dd HH:mm") for c in exprs.utc_window(day, zone)))) == want
+
+
 def test_audience_of_a_closure(spark):
     closure = spark.createDataFrame([(1, 1), (1, 2)], "root long, node long")
     contacts = spark.createDataFrame([(1, " A@x ", True), (2, "a@X", True), (2, "b@x", False), (2, " ", True)], "entity_id long, email string, is_active boolean")
