@@ -25,7 +25,11 @@ def current(feed: DataFrame, day: dt.date, zone: str = "UTC") -> DataFrame:
 
 
 def kpis(state: DataFrame) -> DataFrame:
-    return state.agg(F.round(F.sum("net_amount_acy"), 2).alias("sales"), F.sum("total_transactions").alias("tx"), F.count_distinct("store_code").alias("stores"), F.count_distinct("scheme").alias("schemes"), F.max("received_at").alias("updated"))
+    """Sums, distinct stores and schemes, and the last arrival. Rows become one for each (store, scheme) first; of these one kind is counted at a time."""
+    pairs = state.groupBy("store_code", "scheme").agg(F.sum("net_amount_acy").alias("net"), F.sum("total_transactions").alias("tx"), F.max("received_at").alias("at"))
+    totals = pairs.agg(F.round(F.sum("net"), 2).alias("sales"), F.sum("tx").alias("tx"), F.count_distinct("store_code").alias("stores"), F.max("at").alias("updated"))
+    schemes = pairs.agg(F.count_distinct("scheme").alias("schemes"))
+    return totals.crossJoin(schemes).select("sales", "tx", "stores", "schemes", "updated")  # one row by one row
 
 
 def rollup(state: DataFrame, *by: str) -> DataFrame:
@@ -87,8 +91,9 @@ def live_store_sales(lines: DataFrame, terminals: DataFrame, rates: DataFrame, s
     rate = F.broadcast(rates.agg(F.max_by("rate", "date").alias("market")))
     bad = terminals.where(F.col("hardware_profile") == profile).select(F.col("no").alias("pos_terminal_no"))
     good = lines.where(F.trim("pos_terminal_no") != "").join(bad, "pos_terminal_no", "left_anti")
-    stores = good.groupBy("store_no").agg(F.count_distinct("transaction_no").alias("tx"), F.count_distinct("item_category_code").alias("categories"))
+    transactions = good.groupBy("store_no", "transaction_no").agg(F.lit(1).alias("one")).groupBy("store_no").agg(F.count("transaction_no").alias("tx"))
     by = good.groupBy("store_no", "item_category_code").agg(F.max("hour").alias("hour"), F.sum("net_amount").alias("net"), F.count("*").alias("lines"))
+    stores = by.groupBy("store_no").agg(F.count("item_category_code").alias("categories")).join(transactions, "store_no")
     used = F.when(F.col("store_no") == store_at_market, F.col("market")).otherwise(F.lit(divisor))
     return by.join(stores, "store_no").crossJoin(rate).select("store_no", "item_category_code", "hour", F.round(-F.col("net") / used, 4).alias("net_amount_acy"), F.round(F.col("tx") / F.col("categories"), 4).alias("store_transactions"), "lines")
 
