@@ -1,9 +1,10 @@
 """Substring dedup by suffix automata.
 
 The reference is the corpus itself, cut into shards so that equal windows are in one shard (`repeats`): every shard holds the
-different segments that share an anchor, and its suffix automaton, of bounded size, exists only in the task that works on the
-shard; sending all automata to all executors would be a broadcast that grows with the corpus. The automaton is built over the
-words of the shard's segments and every state gets the number of places in the corpus at which its strings end. The segments
+different segments of many anchors, and its suffix automaton, of bounded size, exists only in the task that works on the
+shard; sending all automata to all executors would be a broadcast that grows with the corpus. One automaton is built over the
+words of all the shard's segments, and every state gets the number of places in the corpus at which its strings end (up to two for a
+segment: whole copies of it are counted by two hashes). A window lies in one segment only, so no place counts twice. The segments
 are then streamed through it: at each word the matching statistic is the longest string that ends there and occurs at
 another place as well, and where it reaches the window, the window is repeated. Maximal runs of such windows are removed.
 
@@ -97,19 +98,14 @@ class Automaton:
 
 
 def judge(contents: list[bytes], copies: np.ndarray, windows: np.ndarray, off: np.ndarray, anchor: np.ndarray) -> list[np.ndarray]:
-    """The verdict of a shard, for `repeats.spans`: one automaton for the segments of each run of anchors."""
-    out: list[np.ndarray] = [np.zeros(0, bool)] * len(contents)
-    order = np.argsort(anchor, kind="stable")
-    for group in np.split(order, np.flatnonzero(np.diff(anchor[order])) + 1):
-        numbers: dict[bytes, int] = {}
-        sequences = [[numbers.setdefault(w, len(numbers)) for w in contents[i].split()] for i in group]
-        automaton = Automaton()
-        for i, s in zip(group, sequences, strict=True):
-            automaton.add(s, min(int(copies[i]), 2))
-        automaton.settle()
-        for i, s in zip(group, sequences, strict=True):
-            out[i] = automaton.repeated(s, WINDOW) if len(s) >= WINDOW else np.zeros(0, bool)
-    return out
+    """The verdict of a shard, for `repeats.spans`: one automaton of all its segments, and every segment streamed through it."""
+    numbers: dict[bytes, int] = {}
+    sequences = [[numbers.setdefault(w, len(numbers)) for w in c.split()] for c in contents]
+    automaton = Automaton()
+    for s, n in zip(sequences, copies.tolist(), strict=True):
+        automaton.add(s, min(n, 2))
+    automaton.settle()
+    return [automaton.repeated(s, WINDOW) if len(s) >= WINDOW else np.zeros(0, bool) for s in sequences]
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

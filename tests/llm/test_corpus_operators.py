@@ -69,6 +69,32 @@ def test_automaton_counts_other_places_only():
     assert b.repeated([5] * 6, 3).tolist() == [True] * 4
 
 
+def test_a_shard_has_one_automaton(monkeypatch):
+    """All segments of a shard go into one automaton and are streamed through it, whatever their anchors."""
+    rnd, made = random.Random(6), []
+
+    class Counted(suffix_automata.Automaton):
+        def __init__(self):
+            super().__init__()
+            made.append(self)
+
+    monkeypatch.setattr(suffix_automata, "Automaton", Counted)
+    voc = [b"w%d" % i for i in range(60)]
+    shared = [[rnd.choice(voc) for _ in range(50)] for _ in range(30)]
+    segments = []
+    for k in range(300):
+        own = [rnd.choice(voc) for _ in range(rnd.randint(20, 60))]
+        segments.append(own + shared[k % 30][rnd.randint(0, 10) :] + own[:5])
+    copies = np.array([1 + (k % 50 == 0) for k in range(300)])
+    got = suffix_automata.judge([b" ".join(s) for s in segments], copies, copies, copies, np.arange(300) // 3)
+    assert len(made) == 1
+    seen = defaultdict(int)
+    for s, n in zip(segments, copies.tolist()):
+        for i in range(len(s) - 34):
+            seen[tuple(s[i : i + 35])] += n
+    assert [g.tolist() for g in got] == [[seen[tuple(s[i : i + 35])] > 1 for i in range(len(s) - 34)] for s in segments]
+
+
 @pytest.mark.parametrize("how", [{}, {"common": 3, "chunk": 2}])
 def test_jaccard_join(docs, rows, how):
     assert got(jaccard.join(docs, **how).select("doc_id", "n_shingles", "component_id")) == brute.jaccard(pairs(rows))
