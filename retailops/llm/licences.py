@@ -53,7 +53,7 @@ RULES = (
     ("MIT", ("mit-title", "mit-grant", "mit-condition", "mit-warranty"), False),
     ("MIT", ("mit-grant", "mit-condition", "mit-warranty"), False),
     ("Apache-2.0", ("apache2-notice", "apache2-copy", "apache2-warranty"), False),
-    ("GPL-3.0", ("gpl-grant", "gpl-details"), True),
+    ("GPL", ("gpl-grant", "gpl-details"), True),
     ("BSD", ("bsd-grant", "bsd-source"), False),
     ("Apache-2.0", ("apache2-notice",), False),
     ("Apache-2.0", ("apache2-tag",), False),
@@ -96,7 +96,7 @@ FULL = {
     "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl2-copy",
     "this is free and unencumbered software released into the public domain": "unlicense",
     **{f"this work is licensed under {a} creative commons {name} {v} international license": f"cc-{k}-{v[0]}-text" for k, name in _CC.items() for a in ("a", "the") for v in ("4 0",)},
-    **{f"spdx license identifier {tag.lower().replace('-', ' ').replace('.', ' ')}": f"tag-{tag}" for tag in ("BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "Unlicense")},
+    **{f"spdx license identifier {tag.lower().replace('-', ' ').replace('.', ' ')}": f"tag-{tag}" for tag in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "Zlib", "BSL-1.0", "EPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "Unlicense")},
     **{
         f"{start}{_GPL.format(kind)} {rest}": f"{name}{v[0]}-grant"
         for name, kind, versions in _FAMILY
@@ -104,6 +104,19 @@ FULL = {
         for start in ("", "this program is free software ", "this library is free software ")
         for rest in (f"{_FSF} either version {v} of the license or at your option any later version", f"{_FSF} version {v} of the license", f"{_FSF} version {v}", f"version {v} {_FSF}", f"version {v} only {_FSF}")
     },
+    **{f"{start}licensed under the {name}{end}": x for start in ("this project is ", "") for end in (" see the license file for details", " see the license md file for details", " see license for details", " see the license file", " see license md for details") for name, x in (("mit license", "mit-notice-2"), ("apache license 2 0", "apache2-notice"), ("apache license version 2 0", "apache2-notice"), ("gnu general public license v3 0", "gpl3-notice"))},
+    **{f"{start} apache license version 2 0 the license": "apache2-notice" for start in ("the asf licenses this file to you under the", "licenses this file to you under the")},
+    _GPL.format(""): "gpl-grant",
+    "licensed to the apache software foundation asf under one or more contributor license agreements": "apache2-contributors",
+    "apache license version 2 0 january 2004": "apache2-title",
+    **{f"gnu {kind}general public license version {v}": f"{name}{v[0]}-title" for name, kind, v in (("gpl", "", "3 29 june 2007"), ("gpl", "", "2 june 1991"), ("lgpl", "lesser ", "3 29 june 2007"), ("lgpl", "lesser ", "2 1 february 1999"), ("agpl", "affero ", "3 19 november 2007"))},
+    **{f"this work is licensed under cc {k.replace('-', ' ')} 4 0": f"cc-{k}-4-text" for k in _CC},
+    **{f"this work is licensed under a creative commons {name} 3 0 unported license": f"cc-{k}-3-text" for k, name in _CC.items()},
+    "this software is provided as is without any express or implied warranty": "zlib-warranty",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "distributed under the boost software license version 1 0": "boost-notice",
+    "boost software license version 1 0 august 17th 2003": "boost-notice",
+    **{f"this program and the accompanying materials are made available under the terms of the eclipse public license v {v} {rest}": f"epl{v[0]}-notice" for v, rest in (("1 0", "which accompanies this distribution and is available at http www eclipse org legal epl v10 html"), ("1 0", "which accompanies this distribution"), ("2 0", "which is available at https www eclipse org legal epl 2 0"), ("2 0", "which accompanies this distribution and is available at https www eclipse org legal epl 2 0"))},
     "see the gnu lesser general public license for more details": "lgpl-details",
     "see the gnu affero general public license for more details": "agpl-details",
 }
@@ -112,6 +125,14 @@ FULL_RULES = (
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names"), False),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary"), False),
     *((f"{name.upper()}-{v.replace(' ', '.') if ' ' in v else v + '.0'}", ids, True) for name, _, versions in _FAMILY for v in versions for ids in ((f"{name}{v[0]}-grant", f"{name}-details"), (f"{name}{v[0]}-grant",))),
+    ("Apache-2.0", ("apache2-title",), False),
+    *((f"{name.upper()}-{v}", (f"{name}{v[0]}-title",), True) for name, v in (("gpl", "3.0"), ("gpl", "2.0"), ("lgpl", "3.0"), ("lgpl", "2.1"), ("agpl", "3.0"))),
+    *((f"CC-{k.upper()}-3.0", (f"cc-{k}-3-text",), "nc" in k or "nd" in k) for k in _CC),
+    ("Zlib", ("zlib-warranty", "zlib-grant"), False),
+    ("Zlib", ("zlib-grant",), False),
+    ("BSL-1.0", ("boost-notice",), False),
+    ("EPL-1.0", ("epl1-notice",), False),
+    ("EPL-2.0", ("epl2-notice",), False),
     ("MPL-2.0", ("mpl2-notice", "mpl2-copy"), False),
     ("MPL-2.0", ("mpl2-notice",), False),
     ("ISC", ("isc-grant",), False),
@@ -123,13 +144,17 @@ FULL_RULES = (
 _ALL = SENTENCES | FULL
 _CODE = {name: chr(0x100 + k) for k, name in enumerate(dict.fromkeys(_ALL.values()))}
 assert all(any(h in s for h in HINTS) for s in _ALL)
-#: A known sentence between sentence ends (X), line feeds (Y) and the ends of the text; the longest that begins at a place.
-_PATTERN = "(?<![^XY] )(?<![^ ])(" + "|".join(s.replace(" ", " (?:Y )?") for s in sorted(_ALL, key=len, reverse=True)) + ")(?= [XY]|$)"
+#: The first two words of the known sentences, and the words of the longest, which is more lines than one can be wrapped into.
+_OPENINGS = tuple(sorted({" ".join(s.split()[:2]) for s in _ALL}))
+_LONGEST = max(len(s.split()) for s in _ALL)
 
 
 def _marked(text: Column) -> Column:
-    """Words in lower case, with X for the ends of sentences and Y for line feeds."""
-    t = F.regexp_replace(F.lower(text), r"(following\s+conditions:|conditions\s+are\s+met:|licenses/license-2\.0)\s+", "$1; ")
+    """Words in lower case, with X for the ends of sentences and Y for line feeds. Each licence of an SPDX expression has a tag of its own."""
+    t = F.lower(text)
+    for _ in range(4):  # an expression of n licences is n - 1 steps, two of which a pass can take
+        t = F.regexp_replace(t, r"(spdx-license-identifier:[ \t]*\(*[\w.+-]+)\)*[ \t]+(?:or|and)[ \t]+\(*(?=[\w.+-])", "$1; spdx-license-identifier: ")
+    t = F.regexp_replace(t, r"(following\s+conditions:|conditions\s+are\s+met:|licenses/license-2\.0)\s+", "$1; ")
     # the second version of the GPL has a semicolon before its version
     t = F.regexp_replace(t, r"(free\W+software\W+foundation);(?=\W+either\W+version)", "$1,")
     # the holder named in the third condition of the BSD, and full stops that end no sentence
@@ -140,10 +165,29 @@ def _marked(text: Column) -> Column:
 
 
 def _known(text: Column) -> Column:
-    """The identifiers' codes in the order of the text."""
+    """The identifiers' codes in the order of the text.
+
+    A sentence is one or more whole lines between two sentence ends. Lines that open like a known one are put together with those
+    after them, and what the table has is found by its hash; the longest from a line on counts and takes its lines.
+    """
     codes = F.create_map(*(F.lit(x) for s, name in _ALL.items() for x in (s, _CODE[name])))
-    found = F.regexp_extract_all(_marked(text), F.lit(_PATTERN), F.lit(1))
-    return F.array_join(F.transform(found, lambda s: F.element_at(codes, F.replace(s, F.lit(" Y"), F.lit("")))), "")
+    number = lambda n: F.lit(n).cast("int")
+
+    def of_sentences(lines: Column) -> Column:
+        joined = lambda i, n: F.array_join(F.slice(lines, i, n), " ")
+        starts = F.filter(F.sequence(number(1), F.size(lines)), lambda i: F.substring_index(joined(i, number(2)), " ", 2).isin(*_OPENINGS))
+        lengths = lambda i: F.sequence(F.least(number(_LONGEST), F.size(lines) - i + 1), number(1), number(-1))
+        longest = lambda i: F.get(F.filter(F.transform(lengths(i), lambda n: F.struct(i.alias("i"), (i + n).alias("next"), joined(i, n).alias("s"))), lambda c: c["s"].isin(*_ALL)), 0)
+        none = F.struct(number(1).alias("next"), F.array().cast("array<string>").alias("found"))
+        taken = F.aggregate(
+            F.array_compact(F.transform(starts, longest)), none,
+            lambda acc, c: F.when(c["i"] >= acc["next"], F.struct(c["next"].alias("next"), F.concat(acc["found"], F.array(c["s"])).alias("found"))).otherwise(acc),
+        )
+        return taken["found"]
+
+    pieces = F.split(_marked(text), "(?:^| )X(?: |$)")
+    found = F.flatten(F.transform(pieces, lambda p: let(F.array_remove(F.split(p, "(?:^| )Y(?: |$)"), ""), lambda x: F.when(F.size(x) > 0, of_sentences(x)).otherwise(F.array().cast("array<string>")))))
+    return F.array_join(F.transform(found, lambda s: F.element_at(codes, s)), "")
 
 
 def identify(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -80,6 +80,31 @@ def test_licences(docs, empty):
     assert licences.identify(docs).count() == docs.count() and licences.identify(empty).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License. See the GNU General Public License for more details.", ["GPL"]),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0", ["Apache-2.0", "MIT"]),
+        ("SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR (ISC AND Zlib) OR GPL-2.0\nint x;", ["BSD-3-Clause", "GPL-2.0", "ISC", "MIT", "Zlib"]),
+        ("/* SPDX-License-Identifier: GPL-2.0 */", ["GPL-2.0"]),
+        ("Licensed to the Apache Software Foundation (ASF) under one\nor more contributor license agreements.  The ASF licenses this file\nto you under the Apache License, Version 2.0 (the\n\"License\"); you may not use this file except in compliance", ["Apache-2.0"]),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS", ["Apache-2.0"]),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007", ["GPL-3.0"]),
+        ("This project is licensed under the MIT License - see the LICENSE file for details.", ["MIT"]),
+        ("Notes. This work is licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License.", ["CC-BY-NC-3.0"]),
+        ("This software is provided 'as-is', without any express or implied\nwarranty. Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:", ["Zlib"]),
+        ("Distributed under the Boost Software License, Version 1.0.\n(See accompanying file)", ["BSL-1.0"]),
+        ("This program and the accompanying materials are made available under the terms of the\nEclipse Public License v. 2.0 which is available at https://www.eclipse.org/legal/epl-2.0.", ["EPL-2.0"]),
+        ("mit\nlicense\nreleased under the\nmit\nlicense", ["MIT"]),
+        ("We may license this. A licensed plumber. Permission was not granted under the MIT License here.", []),
+    ],
+)
+def test_licence_notices(spark, text, want):
+    row = licences.identify(spark.createDataFrame([(text,)], "text string")).first()
+    assert sorted(row.licences) == want, row
+
+
 def test_licences_of_repeated_rows_and_clashing_columns(spark):
     rows = [("MIT License", "x", 1, "s"), ("MIT License", "x", 1, "s"), (None, None, None, None), ("  " * 100_000 + "Released under the MIT License.", "y", 2, "s")]
     found = licences.identify(spark.createDataFrame(rows, "text string, licences string, restricted int, _seq string"))
