@@ -149,12 +149,16 @@ _OPENINGS = tuple(sorted({" ".join(s.split()[:2]) for s in _ALL}))
 _LONGEST = max(len(s.split()) for s in _ALL)
 
 
+def _tags(t: Column) -> Column:
+    for _ in range(6):  # a pass takes one licence more off what is left of each expression
+        t = F.regexp_replace(t, r"(spdx-license-identifier:[ \t]*\(*[\w.+-]+)\)*[ \t]+(?:or|and)[ \t]+\(*(?=[\w.+-])", "$1; spdx-license-identifier: ")
+    return t
+
+
 def _marked(text: Column) -> Column:
     """Words in lower case, with X for the ends of sentences and Y for line feeds. Each licence of an SPDX expression has a tag of its own."""
-    t = F.lower(text)
-    for _ in range(4):  # an expression of n licences is n - 1 steps, two of which a pass can take
-        t = F.regexp_replace(t, r"(spdx-license-identifier:[ \t]*\(*[\w.+-]+)\)*[ \t]+(?:or|and)[ \t]+\(*(?=[\w.+-])", "$1; spdx-license-identifier: ")
-    t = F.regexp_replace(t, r"(following\s+conditions:|conditions\s+are\s+met:|licenses/license-2\.0)\s+", "$1; ")
+    low = lambda x: F.when(F.contains(x, F.lit("spdx-license-identifier")), _tags(x)).otherwise(x)
+    t = F.regexp_replace(let(F.lower(text), low), r"(following\s+conditions:|conditions\s+are\s+met:|licenses/license-2\.0)\s+", "$1; ")
     # the second version of the GPL has a semicolon before its version
     t = F.regexp_replace(t, r"(free\W+software\W+foundation);(?=\W+either\W+version)", "$1,")
     # the holder named in the third condition of the BSD, and full stops that end no sentence
@@ -185,7 +189,7 @@ def _known(text: Column) -> Column:
         )
         return taken["found"]
 
-    pieces = F.split(_marked(text), "(?:^| )X(?: |$)")
+    pieces = F.filter(F.split(_marked(text), "(?:^| )X(?: |$)"), lambda p: p.rlike("|".join(HINTS)))
     found = F.flatten(F.transform(pieces, lambda p: let(F.array_remove(F.split(p, "(?:^| )Y(?: |$)"), ""), lambda x: F.when(F.size(x) > 0, of_sentences(x)).otherwise(F.array().cast("array<string>")))))
     return F.array_join(F.transform(found, lambda s: F.element_at(codes, s)), "")
 
