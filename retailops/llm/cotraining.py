@@ -157,11 +157,16 @@ def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, exchange: Exchange, ro
     return Model(w[0], w[1], scales[0], scales[1], prior, tuple(given))
 
 
-def surest(p: np.ndarray, free: np.ndarray, good: int, bad: int) -> tuple[np.ndarray, np.ndarray]:
-    """The free rows that a view with these probabilities is surest of: (good ones, bad ones)."""
+def surest(p: np.ndarray, free: np.ndarray, good: int, bad: int, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The free rows that a view with these probabilities is surest of: (good ones, bad ones).
+
+    Of equally sure ones, and rows with the same metadata are just that, those with the least keys: which slice or task a row is in
+    makes no difference.
+    """
     left = np.flatnonzero(free)
-    top, low = left[np.argsort(-p[left], kind="stable")[:good]], left[np.argsort(p[left], kind="stable")[:bad]]
-    return top[p[top] >= SURE], low[p[low] <= 1 - SURE]
+    order = left[np.lexsort((left if key is None else key[left], -np.abs(p[left] - 0.5)))]
+    top, low = order[p[order] >= SURE][:good], order[p[order] <= 1 - SURE][:bad]
+    return top, low
 
 
 _COLUMNS = ("text", "source", "lang", "n_chars")
@@ -221,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", labelled:
                     p = [probability(x @ w[v]) for v, x in ((0, t), (1, m))]
                     for to in (0, 1):
                         free = ~np.isin(key, gone[to])
-                        for label, chosen in zip((1, 0), surest(p[1 - to], free, good, bad), strict=True):
+                        for label, chosen in zip((1, 0), surest(p[1 - to], free, good, bad, key), strict=True):
                             sure = np.abs(p[1 - to][chosen] - 0.5)
                             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(chosen), to, np.int32)), pa.array(np.full(len(chosen), label, np.int32)), pa.array(sure), pa.array(key[chosen])], ["view", "label", "sure", "key"])
 

@@ -249,6 +249,50 @@ def test_co_training_is_accurate_on_held_out_labels(spark):
     assert right[0] > 0.97 and right[1] > 0.99
 
 
+def test_classifier_equals_an_exchange_over_one_array(spark):
+    """The rounds in plain numpy: every document's features in one array, the surest by a sort of all of them."""
+    at = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet").where("doc_id % 2 = 0")
+    all_rows = docs.selectExpr("doc_id", "xxhash64(doc_id) AS key", "text", "source", "lang", "n_chars").collect()
+    x = [np.stack([cotraining.text_features(r.text) for r in all_rows]), np.stack([cotraining.meta_features(r.source, r.lang, r.n_chars) for r in all_rows])]
+    keys = [r.key for r in all_rows]
+    at_key = {k: i for i, k in enumerate(keys)}
+    assert len(at_key) == len(keys)
+    by_id = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    marked = [i for i, r in enumerate(all_rows) if r.doc_id in by_id]
+    # rows are held back by their place in the order of the features' hashes
+    order = {r.key: k for k, r in enumerate(spark.createDataFrame([(keys[i], x[0][i].tobytes(), x[1][i].tobytes()) for i in marked], "key long, t binary, m binary").orderBy("key").selectExpr("key", "xxhash64(t, m) AS h").orderBy("h").collect())}
+    marked.sort(key=lambda i: order[keys[i]])
+
+    def exchange(w, taken, good, bad):
+        out = []
+        for to in (0, 1):
+            p = cotraining.probability(x[1 - to] @ w[1 - to])
+            free = [i for i in range(len(keys)) if i not in set(marked) and keys[i] not in taken[to]]
+            chosen = [(i, 1.0) for i in sorted((i for i in free if p[i] > 0.5), key=lambda i: (-abs(p[i] - 0.5), keys[i]))[:good] if p[i] >= cotraining.SURE]
+            chosen += [(i, 0.0) for i in sorted((i for i in free if p[i] < 0.5), key=lambda i: (-abs(p[i] - 0.5), keys[i]))[:bad] if p[i] <= 1 - cotraining.SURE]
+            out.append((x[to][[i for i, _ in chosen]], np.array([y for _, y in chosen]), [keys[i] for i, _ in chosen]))
+        return out
+
+    y = np.array([by_id[all_rows[i].doc_id] for i in marked], float)
+    want = cotraining.co_train(x[0][marked], x[1][marked], y, exchange, 3, 40)
+    model = cotraining.train(docs, labels, per_round=40)
+    assert model.given == want.given and sum(n for n, _ in want.given) > 0
+    scores = {r.doc_id: r.score for r in cotraining.score(docs, model).collect()}
+    odds = want.log_odds(*x)[2]
+    far = [abs(scores[r.doc_id] - cotraining.probability(odds[i])) for i, r in enumerate(all_rows)]
+    assert max(far) < 0.02 and np.mean(far) < 1e-3
+
+
+def test_the_surest_rows_are_the_same_in_any_order():
+    rng = np.random.default_rng(1)
+    p, key = rng.choice([0.01, 0.02, 0.5, 0.97, 0.99], 400), rng.permutation(10_000)[:400]
+    want = [sorted(key[x].tolist()) for x in cotraining.surest(p, p < 2, 30, 30, key)]
+    for _ in range(20):
+        mixed = rng.permutation(400)
+        assert [sorted(key[mixed][x].tolist()) for x in cotraining.surest(p[mixed], p < 2, 30, 30, key[mixed])] == want
+
+
 def test_both_views_give_labels_and_gain_by_it():
     """Two views that tell of the label independently, few labels and many rows without one."""
     rng = np.random.default_rng(4)
