@@ -37,10 +37,13 @@ Judge = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray],
 
 
 class Unit:
-    """What a symbol is: a byte, or a word of a text. A segment's content is its bytes, or its words joined by one space."""
+    """What a symbol is: a byte, or a word of a text. A segment's content is its bytes, or its words joined by one space.
 
-    def __init__(self, kind: str, window: int, gram: int):
-        self.words, self.window, self.gram = kind == "words", window, gram
+    per_shard: segments of a shard, about; what an index over so many takes is the memory of a task.
+    """
+
+    def __init__(self, kind: str, window: int, gram: int, per_shard: int = 1500):
+        self.words, self.window, self.gram, self.per_shard = kind == "words", window, gram, per_shard
 
     def symbols(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         flat = np.frombuffer(b"".join(data), np.uint8)
@@ -114,7 +117,7 @@ def _cut_into_segments(docs: DataFrame, unit: Unit) -> DataFrame:
     return docs.select("text", *KEYS).mapInArrow(of, _SEGMENTS)
 
 
-def spans(docs: DataFrame, unit: Unit, judge: Judge, per_shard: int = 1500, hot: int = 5000) -> DataFrame:
+def spans(docs: DataFrame, unit: Unit, judge: Judge, per_shard: int | None = None, hot: int = 5000) -> DataFrame:
     """(h1, h2, spans): for each document with repeated windows the symbols that they cover, as an array of (start, end), unsorted.
 
     docs: the result of `keyed`.
@@ -129,7 +132,7 @@ def spans(docs: DataFrame, unit: Unit, judge: Judge, per_shard: int = 1500, hot:
     unlike = again.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct(*KEYS, "lo", "hi", "off")).alias("at"))
     crowd = again.select("anchor", "seg").distinct().groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > hot)
     unlike = cut(unlike.join(crowd, "anchor", "left").select("anchor", "seg", "copies", F.col("m").isNotNull().alias("hot"), "at.*"), "unlike")
-    shards = max(1, -(-unlike.count() // per_shard))
+    shards = max(1, -(-unlike.count() // (per_shard or unit.per_shard)))
 
     def contents(some: DataFrame) -> DataFrame:
         wanted = some.groupBy(*KEYS).agg(F.collect_list(F.struct("anchor", "seg", "copies", "lo", "hi", "off")).alias("wanted"))

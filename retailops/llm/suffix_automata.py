@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from . import repeats
 
 WINDOW, GRAM = 35, 8
+#: Segments of an automaton, about: one has a few hundred bytes for each of their words.
+PER_SHARD = 400
 
 
 class Automaton:
@@ -111,7 +113,7 @@ def judge(contents: list[bytes], copies: np.ndarray, windows: np.ndarray, off: n
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the kept words of every document, joined by one space."""
     rows = repeats.keyed(docs, doc_id, text)
-    unit = repeats.Unit("words", WINDOW, GRAM)
+    unit = repeats.Unit("words", WINDOW, GRAM, PER_SHARD)
     found = repeats.with_spans(rows, repeats.spans(rows, unit, judge))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
