@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as A
-from .common import Bits, cut, discard, text_of
+from .common import BATCH, Bits, cut, discard, text_of
 from .components import components
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -304,7 +304,7 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, chunk: int = 128, commo
     body = text_of(text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id).alias("did"), F.xxhash64(body).alias("th"), body.alias("text"))
     known = docs.sparkSession.sparkContext.broadcast(_frequent(rows, measure, common, listed))
-    sets = cut(_sets(rows, measure, known), "sets")
+    sets = cut(_sets(rows, measure, known), "sets", BATCH)
     ids = sets.select("doc_id", "th", "s1", "s2", "n")
     classes = cut(_classes(sets.where("n > 0")).withColumn("cid", F.monotonically_increasing_id()), "classes")
 
@@ -315,15 +315,15 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, chunk: int = 128, commo
 
     pairs = cut(_to_leaders(met, measure), "pairs")
     texts = _texts(rows, classes, _members(pairs))
-    links = cut(_compared(pairs, texts, measure), "similar")
+    links = cut(_compared(pairs, texts, measure), "similar", BATCH)
     chunks = cut(_chunks(met, components(links), pairs, chunk), "chunks")
     asks = cut(_queries(met, chunks, measure), "queries")
     discard(met, texts)
-    single = cut(_alike(asks.where("alone IS NOT NULL").select("a", F.col("alone").alias("b")), classes, measure), "singles")
+    single = cut(_alike(asks.where("alone IS NOT NULL").select("a", F.col("alone").alias("b")), classes, measure), "singles", BATCH)
     many = asks.where("alone IS NULL").select("a", "home", "part")
     held = chunks.join(many.select("home", "part").distinct(), ["home", "part"], "left_semi")
     texts = _texts(rows, classes, _members(single).unionByName(many.select(F.col("a").alias("cid"))).unionByName(held.select("cid")).distinct())
-    more = cut(_compared(single, texts, measure).unionByName(_opened(many, chunks, texts, measure)), "similar")
+    more = cut(_compared(single, texts, measure).unionByName(_opened(many, chunks, texts, measure)), "similar", BATCH)
     discard(texts)
     final = components(links.unionByName(more))
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import BATCH, cut
 
 LENGTH, END = 1024, 2
 #: Letters of the texts that the quick splitter knows: ASCII and the Latin letters up to U+024F.
@@ -34,6 +34,10 @@ _STRANGE = re.compile(f"[^\\x00-\\x7f{_LETTER}]|<\\|endoftext\\|>")
 _SPLIT = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\t-\r {_LETTER}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 
+#: Bytes of ids that a task collects before it hands them on.
+_HELD = 4 << 20
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit numbers. Merges never cross the tokenizer's pre-tokens, so each of these is encoded once while it is known."""
 
@@ -78,33 +82,43 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], encoder: Encoder, uid: int, length: int, end: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of batches of (id, text), numbered from uid, in batches of about _HELD bytes of ids, or one document if that has more."""
+
+    def batch() -> pa.RecordBatch:
+        cols = np.array(rows, np.int64).reshape(-1, 4)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(cols[:, 0]), b.column(0).take(pa.array(source, pa.int64())), pa.array(cols[:, 1].astype(np.int32)), pa.array(cols[:, 2]), pa.array(cols[:, 3]), pa.array(ids, pa.binary())],
+            ["uid", "doc_id", "piece", "start", "length", "ids"],
+        )
+
+    for b in batches:
+        rows, ids, source, held = [], [], [], 0
+        for i, t in enumerate(b.column(1)):
+            body = encoder.encode(t.as_py() or "") + end.to_bytes(4, "little")
+            n = len(body) // 4
+            at, size = 0, n % length or length
+            if n <= length:
+                size = n
+            for piece in range(-(-n // length)):
+                rows.append((uid, piece, at, size))
+                ids.append(body[4 * at : 4 * (at + size)])
+                source.append(i)
+                uid += 1
+                at, size = at + size, length
+            held += len(body)
+            if held >= _HELD:
+                yield batch()
+                rows, ids, source, held = [], [], [], 0
+        yield batch()
+
+
 def tokenized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
     """(uid, doc_id, piece, start, length, ids): the pieces of every document; uid is a number of its own for each piece."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(vocabulary or vocabulary_path())
-        uid = TaskContext.get().partitionId() << 36
-        for b in batches:
-            rows, ids = [], []
-            source = []
-            for i, t in enumerate(b.column(1)):
-                body = encoder.encode(t.as_py() or "") + end.to_bytes(4, "little")
-                n = len(body) // 4
-                at, size = 0, n % length or length
-                if n <= length:
-                    size = n
-                for piece in range(-(-n // length)):
-                    rows.append((uid, piece, at, size))
-                    ids.append(body[4 * at : 4 * (at + size)])
-                    source.append(i)
-                    uid += 1
-                    at, size = at + size, length
-            cols = np.array(rows, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[:, 0]), b.column(0).take(pa.array(source, pa.int64())), pa.array(cols[:, 1].astype(np.int32)), pa.array(cols[:, 2]), pa.array(cols[:, 3]), pa.array(ids, pa.binary())],
-                ["uid", "doc_id", "piece", "start", "length", "ids"],
-            )
+        yield from _pieces(batches, encoder_of(vocabulary or vocabulary_path()), TaskContext.get().partitionId() << 36, length, end)
 
     return docs.select(doc_id, text).mapInArrow(of, f"uid long, doc_id {kind}, piece int, start long, length long, ids binary")
 
@@ -229,7 +243,7 @@ def packed(pieces: DataFrame, length: int = LENGTH, group: int = 8192) -> DataFr
 def digests(docs: DataFrame, **how) -> DataFrame:
     """The packing of docs with a checksum of each piece's ids instead of the ids."""
     pieces = tokenized(docs, **how).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packed(cut(pieces, "pieces"), how.get("length", LENGTH)).drop("uid")
+    return packed(cut(pieces, "pieces", BATCH), how.get("length", LENGTH)).drop("uid")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

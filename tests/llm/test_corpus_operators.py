@@ -9,7 +9,7 @@ import brute
 import numpy as np
 import pytest
 
-from retailops.llm import cotraining, jaccard, packing, repeats, suffix_arrays, suffix_automata
+from retailops.llm import common, cotraining, jaccard, packing, repeats, suffix_arrays, suffix_automata
 from retailops.llm.components import components
 
 
@@ -226,6 +226,40 @@ def test_quick_splitter_gives_the_tokenizers_ids():
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_tokenizing_holds_few_ids():
+    import pyarrow as pa
+
+    enc = packing.Encoder(packing.vocabulary_path())
+    texts = [f"once{i} " + "again and again " * 400 for i in range(3000)] + [None, "x y " * 700_000, ""]
+    out = list(packing._pieces(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])]), enc, 7, 1024, 2))
+    sizes = [b.nbytes for b in out]  # of one batch; the text of 1.4 million tokens is never split
+    assert sorted(sizes)[-2] < 5 << 20 and sum(sizes) > 14 << 20
+    whole = pa.Table.from_batches(out).to_pydict()
+    assert whole["uid"] == list(range(7, 7 + len(whole["uid"])))
+    have = defaultdict(bytes)
+    for d, ids in zip(whole["doc_id"], whole["ids"], strict=True):
+        have[d] += ids
+    for d in (0, 1, 2999, 3000, 3001, 3002):
+        assert np.frombuffer(have[d], "<u4").tolist() == enc.tokenizer.encode(texts[d] or "", add_special_tokens=False).ids + [2]
+    assert len(have) == len(texts)
+
+
+def test_a_cut_sends_small_batches(spark):
+    from pyspark.sql import functions as F
+
+    def of(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    usual = spark.conf.get(key)
+    rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("text "), 1000).alias("text"))
+    n = [r.n for r in common.cut(rows.mapInArrow(of, "n long"), "batches", common.BATCH).collect()]
+    assert sum(n) > 19e6 and max(n) < 5 << 20 and spark.conf.get(key) == usual
+
+
 def test_local_search_only_helps():
     rng = np.random.default_rng(2)
     for sizes in (rng.integers(1, 1024, 400), rng.integers(300, 700, 300), np.array([600, 500, 424, 524]), np.zeros(0, np.int64)):
