@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from retailops.llm import decontaminate, jaccard, packing, quality_rules, secrets
-from retailops.llm.common import cut
+from retailops.llm.common import ARROW_BYTES, BATCH, batches_of, cut
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret and n_chars to match."""
+    """All documents, with a mark in place of each secret and n_chars to match.
+
+    The caller runs the stage, so the session is left with small Arrow batches; `run` puts the usual ones back.
+    """
+    spark.conf.set(ARROW_BYTES, BATCH)
     return secrets.redact(docs)
 
 
@@ -56,8 +60,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = cut(docs, name)
+    with batches_of(spark, BATCH):
+        for k, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k + 1 < len(STAGES):
+                docs = cut(docs, name)
     return docs

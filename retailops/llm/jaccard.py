@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as A
-from .common import BATCH, Bits, cut, discard, text_of
+from .common import BATCH, Bits, batches_of, cut, discard, text_of
 from .components import components
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -89,16 +89,36 @@ class Measure:
         return len(np.intersect1d(x, y, assume_unique=True)) >= self.least(n, m)
 
 
-def _frequent(docs: DataFrame, measure: Measure, common: int, listed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, ranks): the shingles known to be frequent, sorted, and their ranks, the rarest first. At most `listed`."""
+def _often(sets: list[np.ndarray], common: int) -> pa.RecordBatch:
+    """(token, n): the shingles that at least `common` of the sets have. Empties the list, as its arrays are no longer needed."""
+    every = np.concatenate([np.zeros(0, A.U), *sets])
+    sets.clear()
+    every.sort()
+    tokens = np.unique(every[common - 1 :][every[common - 1 :] == every[: max(len(every) - common + 1, 0)]])
+    n = np.searchsorted(every, tokens, "right") - np.searchsorted(every, tokens)
+    return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
+
+
+def _frequent(docs: DataFrame, measure: Measure, common: int, listed: int, texts: int = 10_000, shingles: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, ranks): the shingles known to be frequent, sorted, and their ranks, the rarest first. At most `listed`.
+
+    Texts come in small Arrow batches; what is counted at a time are the sets of about `texts` of them, with about `shingles` at most.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, held = [], 0
         for b in batches:
-            sets = [measure.shingles(t) for t in b.column(0).to_pylist()]
-            every, n = np.unique(np.concatenate([np.zeros(0, A.U), *sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(every[n >= common].view(np.int64)), pa.array(n[n >= common].astype(np.int64))], ["token", "n"])
-
-    top = docs.select("text").mapInArrow(of, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(listed).toPandas()
+            for t in b.column(0):
+                sets.append(measure.shingles(t.as_py()))
+                held += len(sets[-1])
+            if len(sets) >= texts or held >= shingles:
+                yield _often(sets, common)
+                held = 0
+        yield _often(sets, common)
+
+    every = docs.select("text").mapInArrow(of, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    with batches_of(docs.sparkSession, BATCH):
+        top = every.orderBy(F.desc("n"), "token").limit(listed).toPandas()
     tokens = top.token.to_numpy(np.int64).view(A.U)[::-1]
     order = np.argsort(tokens)
     return tokens[order], np.arange(len(tokens))[order]

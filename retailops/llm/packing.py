@@ -41,7 +41,7 @@ _HELD = 4 << 20
 class Encoder:
     """Ids as little-endian unsigned 32-bit numbers. Merges never cross the tokenizer's pre-tokens, so each of these is encoded once while it is known."""
 
-    def __init__(self, vocabulary: str, most: int = 600_000):
+    def __init__(self, vocabulary: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary)
@@ -51,7 +51,9 @@ class Encoder:
             def __missing__(self, word: str) -> bytes:
                 if len(self) >= most:
                     self.clear()
-                found = tokenizer.model.tokenize(word.encode().decode("latin-1").translate(letters))
+                # of printable ASCII only the space has another letter
+                plain = word.isascii() and word.isprintable()
+                found = tokenizer.model.tokenize(word.replace(" ", letters[32]) if plain else word.encode().decode("latin-1").translate(letters))
                 ids = self[word] = array("I", [x.id for x in found]).tobytes()
                 return ids
 
@@ -72,7 +74,7 @@ def _byte_letters() -> dict[int, str]:
 
 @functools.cache
 def encoder_of(vocabulary: str) -> Encoder:
-    """One encoder for each Python worker, which keeps what it knows from task to task."""
+    """One encoder for each Python worker, which keeps the vocabulary from task to task."""
     return Encoder(vocabulary)
 
 
@@ -118,7 +120,9 @@ def tokenized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _pieces(batches, encoder_of(vocabulary or vocabulary_path()), TaskContext.get().partitionId() << 36, length, end)
+        encoder = encoder_of(vocabulary or vocabulary_path())
+        yield from _pieces(batches, encoder, TaskContext.get().partitionId() << 36, length, end)
+        encoder.known.clear()  # the worker goes on to other work
 
     return docs.select(doc_id, text).mapInArrow(of, f"uid long, doc_id {kind}, piece int, start long, length long, ids binary")
 

@@ -59,12 +59,16 @@ _ROWS = 500
 
 
 @lru_cache(maxsize=2)
-def _numbers(wanted: tuple[str, ...]) -> np.ndarray:
-    """The number of each wanted trigram, from 1; 0 for others."""
-    number = np.zeros(1 << 24, np.uint16)
+def _numbers(wanted: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number): the row of each pair of bytes, 0 for those that begin no wanted trigram; by row and third byte the number of the trigram, from 1, else 0."""
+    pairs = sorted({g[:2] for g in wanted})
+    row = np.zeros(1 << 16, np.uint16)
+    for k, g in enumerate(pairs, 1):
+        row[(ord(g[0]) << 8) | ord(g[1])] = k
+    number = np.zeros((len(pairs) + 1) << 8, np.uint16)
     for k, g in enumerate(wanted, 1):
-        number[(ord(g[0]) << 16) | (ord(g[1]) << 8) | ord(g[2])] = k
-    return number
+        number[(int(row[(ord(g[0]) << 8) | ord(g[1])]) << 8) | ord(g[2])] = k
+    return row, number
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,11 +86,11 @@ class BatchIndex:
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         ends = np.cumsum(sizes + 2)
         data = np.frombuffer(b"\0\0".join(raw) + b"\0\0", np.uint8) if raw else np.zeros(0, np.uint8)
-        fold = np.arange(256, dtype=np.uint32)
+        fold = np.arange(256, dtype=np.uint8)
         fold[65:91] += 32
         codes = fold[data]
-        grams = (codes[:-2] << 16) | (codes[1:-1] << 8) | codes[2:] if len(codes) > 2 else np.zeros(0, np.uint32)
-        which = _numbers(tuple(wanted))[grams]
+        row, number = _numbers(tuple(wanted))
+        which = number[(row[(codes[:-2].astype(np.uint16) << 8) | codes[1:-1]].astype(np.uint32) << 8) | codes[2:]]
         at = np.flatnonzero(which)
         found = np.unique(which[at].astype(np.int64) * max(self.rows, 1) + np.searchsorted(ends, at, side="right"))
         self.postings = {g: found[(found >= k * self.rows) & (found < (k + 1) * self.rows)] - k * self.rows for k, g in enumerate(wanted, 1)}

@@ -260,6 +260,53 @@ def test_a_cut_sends_small_batches(spark):
     assert sum(n) > 19e6 and max(n) < 5 << 20 and spark.conf.get(key) == usual
 
 
+def test_frequent_shingles_are_counted_over_many_small_batches(spark):
+    from pyspark.sql import functions as F
+
+    class Held(jaccard.Measure):
+        def shingles(self, text):
+            import pyarrow as pa
+
+            return np.array([pa.total_allocated_bytes()], np.uint64)
+
+    rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("text "), 1000).alias("text"))
+    held, _ = jaccard._frequent(rows, Held(4, 85), 1, 100)
+    assert int(held.max()) < 10 << 20
+    # texts that share shingles lie in different batches, and count together
+    words = spark.range(0, 4000, 1, 1).select(F.concat(F.when(F.expr("id % 500 = 3"), "a b c d ").otherwise(""), F.repeat(F.concat("id", F.lit(" ")), 1000)).alias("text"))
+    known, _ = jaccard._frequent(words, jaccard.Measure(4, 85), 8, 100)
+    assert known.tolist() == jaccard.Measure(4, 85).shingles("a b c d").tolist()
+
+
+def test_often_counts_sets():
+    rng = np.random.default_rng(1)
+    for common in (1, 2, 8):
+        for m in (0, 1, 5, 300):
+            sets = [np.unique(rng.integers(0, 200, rng.integers(0, 60)).astype(np.uint64)) for _ in range(m)]
+            every, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            assert jaccard._often(sets, common).to_pydict() == {"token": every[n >= common].tolist(), "n": n[n >= common].tolist()} and not sets
+
+
+def test_an_encoder_keeps_no_more_words_than_a_worker_has_room_for():
+    enc = packing.Encoder(packing.vocabulary_path())
+    words = [" a", "\x7fa", "\t", "é", " ü", "ab\x01"]
+    for w in words:
+        assert np.frombuffer(enc.encode(w), np.uint32).tolist() == enc.tokenizer.encode(w, add_special_tokens=False).ids
+    for k in range(210_000):
+        enc.known[f" {k}"]
+    assert len(enc.known) <= 200_000
+
+
+def test_trigram_numbers_are_small_tables():
+    from retailops.llm import secrets
+
+    wanted = ("aki", "akj", "key", "\0=\x7f")
+    row, number = secrets._numbers(wanted)
+    assert row.nbytes + number.nbytes < 1 << 20
+    look = lambda g: int(number[(int(row[(ord(g[0]) << 8) | ord(g[1])]) << 8) | ord(g[2])])
+    assert [look(g) for g in (*wanted, "akk", "kez", "zzz", "kij")] == [1, 2, 3, 4, 0, 0, 0, 0]
+
+
 def test_local_search_only_helps():
     rng = np.random.default_rng(2)
     for sizes in (rng.integers(1, 1024, 400), rng.integers(300, 700, 300), np.array([600, 500, 424, 524]), np.zeros(0, np.int64)):

@@ -75,3 +75,17 @@ def test_each_stage_on_odd_and_empty_tables(spark, docs, empty, rows, name, stag
         kept = [i for i, c in enumerate(docs.columns) if c not in changed]
         assert {tuple(r[i] for i in kept) for r in found} <= {tuple(r[i] for i in kept) for r in want}
         assert len(found) <= len(rows) and (name == "quality_rules" or any(r.text is None for r in found))
+
+
+def test_secrets_are_sought_in_small_batches(spark, tmp_path):
+    from retailops.llm.common import ARROW_BYTES, BATCH
+
+    usual = spark.conf.get(ARROW_BYTES)
+    at = "/root/testdata/sf0.001"
+    try:
+        corpus_pipeline.secret_scan(spark, spark.read.parquet(f"{at}/documents.parquet"), at)
+        assert spark.conf.get(ARROW_BYTES) == BATCH
+    finally:
+        spark.conf.set(ARROW_BYTES, usual)
+    corpus_pipeline.run(spark, at)
+    assert spark.conf.get(ARROW_BYTES) == usual
