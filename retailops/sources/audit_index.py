@@ -20,10 +20,12 @@ _SIDECAR = "file string, month string, part int, bits binary"
 
 
 def trigrams(text: Column) -> Column:
-    """The places of all trigrams of a text in lower case."""
-    low = F.lower(text)
-    at = F.when(F.char_length(low) >= 3, F.sequence(F.lit(1), F.char_length(low) - 2))
-    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substr(low, i, F.lit(3))).bitwiseAND(F.lit((1 << _BITS) - 1))))
+    """All trigrams of a text in lower case, in one walk over the text."""
+    return F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))."), F.lit(1))
+
+
+def place(trigram: Column) -> Column:
+    return F.xxhash64(trigram).bitwiseAND(F.lit((1 << _BITS) - 1))
 
 
 def _indexed(spark: SparkSession, sidecar: str) -> DataFrame:
@@ -38,10 +40,16 @@ def update(spark: SparkSession, store: str, sidecar: str, columns: Sequence[str]
     if not new:
         return 0
     rows = spark.read.option("basePath", store).schema(spark.read.parquet(store).schema).parquet(*new)
-    places = F.array_distinct(F.flatten(F.array_compact(F.array(*(trigrams(F.col(c).cast("string")) for c in columns if c in rows.columns)))))
-    found = rows.select(F.regexp_extract("_metadata.file_path", "[^/]+/[^/]+$", 0).alias("file"), F.col("month").cast("string").alias("month"), F.explode_outer(places).alias("place"))
+    name = F.substring_index("_metadata.file_path", "/", -2).alias("file")
+    texts = rows.select(name, F.col("month").cast("string").alias("month"), F.explode_outer(F.array(*(F.col(c).cast("string") for c in columns if c in rows.columns))).alias("text"))
     # a file without any trigram has a row, too, so that it is known
-    bits = found.groupBy("file", "month", F.shiftright("place", 15).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.coalesce(F.col("place"), F.lit(0)).bitwiseAND(F.lit(32767))).alias("bits"))
+    found = texts.select("file", "month", F.explode_outer(trigrams(F.col("text"))).alias("trigram"))
+    found = found.select("file", "month", F.when(F.isnotnull("trigram"), place(F.col("trigram"))).alias("place"))
+    # Spark makes bitmaps of sorted rows; numbers of 64 places it sums up by hash as it reads, and at most 4096 of these a file are left to sort
+    words = found.groupBy("file", "month", F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("has"))
+    dealt = words.withColumn("part", F.shiftright("word", 9).cast("int")).repartition("file", "month", "part").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    held = dealt.where(F.isnull("has") | (F.getbit("has", F.col("k")) == 1))
+    bits = held.groupBy("file", "month", "part").agg(F.bitmap_construct_agg(F.coalesce((F.col("word") * 64 + F.col("k")).bitwiseAND(F.lit(32767)), F.lit(0))).alias("bits"))
     bits.write.mode("append").parquet(sidecar)
     return len(new)
 
@@ -59,7 +67,7 @@ def _files(spark: SparkSession, store: str) -> list[str]:
 def candidates(spark: SparkSession, store: str, sidecar: str, text: str | None, months: tuple[str, str] | None = None) -> list[str]:
     """The files that may hold a text, of the months from the first to the last."""
     files = [f for f in _files(spark, store) if months is None or months[0] <= f.split("month=")[1].split("/")[0] <= months[1]]
-    places = [] if not text or len(text.strip()) < 3 else spark.range(1).select(trigrams(F.lit(text)).alias("p")).first().p
+    places = [] if not text or len(text.strip()) < 3 else spark.range(1).select(F.array_distinct(F.transform(trigrams(F.lit(text)), place)).alias("p")).first().p
     if not places:
         return files
     by_part: dict[int, list[int]] = {}

@@ -157,9 +157,9 @@ def export_csv(df: DataFrame, path: str, pattern: str | None = None) -> None:
 
 
 def write_audit(df: DataFrame, path: str) -> None:
-    """Audit rows by month, sorted for the usual search by company and time."""
-    by_month = df.withColumn("month", F.date_format("event_time", "yyyy-MM"))
-    by_month.repartition("month", F.pmod(F.xxhash64("company_id", "event_time"), F.lit(8))).sortWithinPartitions("month", "company_id", "event_time", "action").write.mode("append").partitionBy("month").parquet(path)
+    """Audit rows by month, sorted for the usual search by company and time: over all files of a write, too, whose number grows with the rows."""
+    order = ["month", "company_id", "event_time", "action"]
+    df.withColumn("month", F.date_format("event_time", "yyyy-MM")).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy("month").parquet(path)
 
 
 def drop_old_months(spark: SparkSession, path: str, as_of: str, keep: int) -> list[str]:

@@ -115,6 +115,58 @@ def test_a_rare_text_reads_few_files(spark, tmp_path):
     assert [r.event_id for r in audit_index.search(spark, store, sidecar, 0, "rareword").collect()] == [50]
 
 
+def test_an_index_of_many_rows_and_long_texts(spark, tmp_path):
+    store, sidecar = str(tmp_path / "audit"), str(tmp_path / "index")
+    at = F.lit(dt.datetime(2024, 1, 1)) + F.make_dt_interval(secs=F.col("id") % 2_000_000)
+    rows = spark.range(0, 400_000, numPartitions=8).select(F.col("id").alias("event_id"), at.cast("timestamp_ntz").alias("event_time"), (F.col("id") % 4).alias("company_id"), F.lit("purchase").alias("action"), F.concat(F.lit("order "), F.col("id") * 7919 % 1_000_003).alias("details"))
+    files_module.write_audit(rows, store)
+    long = rows.where("event_id = 0").withColumns({"event_id": F.lit(-1).cast("long"), "details": F.concat(F.repeat(F.lit("abcdé "), 50_000), F.lit("Ω end"))})
+    files_module.write_audit(long, store)
+    began = time.perf_counter()
+    audit_index.update(spark, store, sidecar)
+    assert time.perf_counter() - began < 20  # a pattern matched for each trigram of the rows, a text put in lower case for each of its own otherwise
+    found = audit_index.search(spark, store, sidecar, 0, "ω END")
+    assert [r.event_id for r in found.collect()] == [-1] and len(found.inputFiles()) == 1
+    assert audit_index.search(spark, store, sidecar, 0, "Order 7919").count() == rows.where("company_id = 0 AND details LIKE 'order 7919%'").count()
+
+
+def test_a_store_of_many_rows_has_more_files(spark, tmp_path):
+    at = F.lit(dt.datetime(2024, 1, 1)) + F.make_dt_interval(days=(F.col("id") % 40).cast("int"))
+    rows = spark.range(0, 200_000, numPartitions=1).select(F.col("id").alias("event_id"), at.cast("timestamp_ntz").alias("event_time"), (F.col("id") % 16).alias("company_id"), F.lit("act").alias("action"))
+    files_module.write_audit(rows.limit(100).where("event_time < '2024-02-01'"), str(tmp_path / "small"))
+    given = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}  # as if they were large
+    before = {k: spark.conf.get(k) for k in given}
+    try:
+        for k, v in given.items():
+            spark.conf.set(k, v)
+        files_module.write_audit(rows, str(tmp_path / "large"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    large = spark.read.parquet(str(tmp_path / "large"))
+    assert large.count() == large.distinct().count() == 200_000 and large.columns == [*rows.columns, "month"]
+    assert 20 <= len(large.inputFiles()) <= 25 and len(spark.read.parquet(str(tmp_path / "small")).inputFiles()) == 1
+    # a company's rows of a month lie in few of them
+    spread = large.groupBy("month", "company_id").agg(F.count_distinct("_metadata.file_path").alias("n")).agg(F.max("n").alias("n")).first()
+    assert spread.n <= 3
+
+
+def test_bitmaps_hold_the_trigrams_of_odd_texts(spark, tmp_path):
+    store, sidecar = str(tmp_path / "audit"), str(tmp_path / "index")
+    texts = ["one\ntwo\r\n", "x\U0001f600y\U0001f600\U0001f600z", "ÀÉÎ", "ab", "", None, "a\u0085b"]
+    rows = [(k, dt.datetime(2024, 1 + k, 1), 1, t, None) for k, t in enumerate(texts)]
+    files_module.write_audit(spark.createDataFrame(rows, "event_id long, event_time timestamp_ntz, company_id long, action string, details string"), store)
+    assert audit_index.update(spark, store, sidecar) == len(texts) and audit_index.update(spark, store, sidecar) == 0
+    got = {month: set() for _, month in {(r.file, r.month) for r in spark.read.parquet(sidecar).collect()}}
+    for r in spark.read.parquet(sidecar).where("part IS NOT NULL").collect():
+        got[r.month] |= {(r.part << 15) + k for k in range(1 << 15) if r.bits[k >> 3] >> (k & 7) & 1}
+    want = {}
+    for k, t in enumerate(texts):
+        three = sorted({t.lower()[i : i + 3] for i in range(len(t) - 2)}) if t else []
+        want[f"2024-{1 + k:02}"] = {r.p for r in spark.createDataFrame([(x,) for x in three], "x string").select(F.xxhash64("x").bitwiseAND(F.lit((1 << 18) - 1)).alias("p")).collect()}
+    assert got == want
+
+
 def test_bounds_of_a_skewed_key_are_found(spark, tmp_path):
     url = f"jdbc:derby:{tmp_path}/db;create=true"
     rows = [(1 if k % 3 else k * 1000, f"s{k % 97:03}", k) for k in range(3000)] + [(None, "x", -1), (None, "y", -2)]
